@@ -5,15 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .html_extract import extract_main_text
+from .quality import fit_quality, quality_scores
 from .tokencount import count_tokens
+from .toxicity import toxicity_scores
 
 #: The public tokenizer whose tokens op10 counts.
 TOKENIZER = "name:byte_bpe_50k.json"
 
 
+def _held_out():
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(~_held_out())
+    scores = toxicity_scores(table(spark, sf_dir, "documents"), labels)
+    return scores.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality(docs))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -23,7 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_html_extraction, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op7_quality, op8_html_extraction, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
