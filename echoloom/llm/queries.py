@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .html_extract import extract_main_text
+from .neardup import near_duplicates
+from .pii import pseudonymize
 from .quality import fit_quality, quality_scores
 from .tokencount import count_tokens
 from .toxicity import toxicity_scores
 
 #: The public tokenizer whose tokens op10 counts.
 TOKENIZER = "name:byte_bpe_50k.json"
+#: The key of op2's permutations, for reproducible results here; a deployment passes its own secret.
+KEY = b"echoloom example key"
 
 
 def _held_out():
@@ -27,6 +31,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(table(spark, sf_dir, "documents"), KEY)
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, num=80, den=100)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_scores(docs, fit_quality(docs))
@@ -41,7 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op7_quality, op8_html_extraction, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_near_duplicates, op7_quality, op8_html_extraction, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
