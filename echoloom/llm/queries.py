@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .fingerprints import fingerprint_in_order
 from .html_extract import extract_main_text
 from .neardup import near_duplicates
 from .pii import pseudonymize
@@ -39,6 +40,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, num=80, den=100)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_in_order(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_scores(docs, fit_quality(docs))
@@ -53,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_near_duplicates, op7_quality, op8_html_extraction, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_near_duplicates, op4_fingerprints, op7_quality, op8_html_extraction, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
