@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from .common import table
 from .fingerprints import fingerprint_in_order
 from .html_extract import extract_main_text
+from .mixing import mix
 from .neardup import near_duplicates
+from .packing import pack, text_tokens
 from .pii import pseudonymize
 from .quality import fit_quality, quality_scores
+from .search import search
 from .tokencount import count_tokens
 from .toxicity import toxicity_scores
 
@@ -44,6 +47,15 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_in_order(table(spark, sf_dir, "documents"))
 
 
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, docs.filter(F.col("doc_id") % 100 == 0), k=10)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_scores(docs, fit_quality(docs))
@@ -53,12 +65,29 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", text_tokens("text").alias("n_tokens"), F.col("__pass").alias("pass"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_near_duplicates, op4_fingerprints, op7_quality, op8_html_extraction, op10_token_counts)}
+    every = (
+        op1_toxicity,
+        op2_pii,
+        op3_near_duplicates,
+        op4_fingerprints,
+        op5_search,
+        op6_packing,
+        op7_quality,
+        op8_html_extraction,
+        op9_mixing,
+        op10_token_counts,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
