@@ -10,11 +10,13 @@ The stages, none of which makes all pairs of a group:
 1. Equal shingle sets become one class with the smallest id as representative (counted in part before the shuffle).
 2. Half keys of the first collection that only one representative has can't collide; the rest are paired with
    those of the second collection.
-3. In each round every table's bucket has one leader by a hash of that round; each representative is compared
-   with the leader it meets most often. Links make components, and only buckets that still hold several
-   components go on.
-4. Representatives of different components that still share a bucket are compared, after size and a 128-bit
-   sketch have ruled out pairs that can't reach the threshold (a miss of less than 1 in a million).
+3. In each round every table's bucket has one leader, and each representative is compared with ``tried`` leaders of
+   other components: those that a 128-bit sketch takes for the nearest. Links make components, and only buckets
+   that still hold several components go on.
+4. Representatives of different components that still share a table are compared, in small buckets pair by pair,
+   after size, sketch and the number of shared half keys have ruled out pairs that don't reach the threshold (a
+   miss of about 1 in ten thousand for a pair just at it, far less above). Large buckets are cut into blocks, and
+   each two blocks are compared in one task by matrix products that give all intersections at once.
 
 Links and components stay in tables; loops cut their lineage with checkpoints.
 
@@ -25,6 +27,7 @@ null id keep a null component and are kept. An empty table gives an empty result
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,8 +111,47 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return pairs.select("a", "b").join(left, "a").join(right, "b").filter(den * both >= num * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def block_links(component: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join different components of a block's rows, a spanning forest of them.
+
+    All intersections come from products of 0/1 matrices, over a bounded part of the shingles at a time.
+    """
+    names, root = np.unique(component, return_inverse=True)
+    if len(names) < 2:
+        return []
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    shingle, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen[at] > 1  # the others are in no intersection
+    order = np.argsort(at[shared], kind="stable")
+    owner, at = owner[shared][order], at[shared][order]
+    new = np.cumsum(np.append(0, np.diff(at) > 0)) if len(at) else at
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(new[-1]) + 1 if len(new) else 0, 8192):
+        a, b = np.searchsorted(new, (low, low + 8192))
+        part = np.zeros((len(sets), 8192), np.float32)
+        part[owner[a:b], new[a:b] - low] = 1
+        both += part @ part.T
+    i, j = np.nonzero(np.triu(den * both >= num * (n[:, None] + n[None, :] - both), 1) & (root[:, None] != root[None, :]))
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        p, q = find(root[x]), find(root[y])
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
+
+
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, halves: int = 16, width: int = 4, rounds: int = 2
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, halves: int = 16, width: int = 4, rounds: int = 2, tried: int = 2, least_shared: int = 4, small: int = 48, block: int = 128
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable over links), kept (it is its own component)."""
     spark = docs.sparkSession
@@ -157,34 +199,54 @@ def near_duplicates(
 
     sets, sets_at = store(map_texts(text.join(ids, "id", "left_semi"), ["id", "text"], make_sets, "rep bigint, shingles array<bigint>"))
 
+    # bits of equal MinHash values agree, others by half: mean mismatches 64 * (1 - s); 4 deviations of the binomial at the threshold
+    miss = 0.5 * (1 - num / den)
+    most = int(128 * miss + 4 * (128 * miss * (1 - miss)) ** 0.5) + 1
+    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_2"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_2")))
+    near_enough = (den * F.least("n", "n_2") >= num * F.greatest("n", "n_2")) & (apart <= most)
+
     links = None
     component = tabled.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
     for r in range(rounds):
-        rows = tabled.join(component, tabled["rep"] == component["node"]).withColumn("h", F.xxhash64(F.lit(r), "rep"))
-        keys = keyed(rows, "component", "h")
+        rows = tabled.join(component, tabled["rep"] == component["node"])
+        keys = keyed(rows, "component", "n", "s0", "s1").withColumn("h", F.xxhash64("rep") if r == 0 else F.xxhash64(F.lit(r), "key", "rep"))
         # the leader is the row with the smallest hash; a bucket within one component has nothing to compare
         lead = keys.groupBy("key").agg(F.min("h").alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", "lead")
-        met = keys.join(lead, "key").filter("h <> lead").groupBy("rep", "component", "lead").agg(F.count("*").alias("times"))
-        leaders = rows.select(F.col("h").alias("lead"), F.col("rep").alias("b"), F.col("component").alias("of"))
-        best = met.join(leaders, "lead").filter("component <> of").groupBy(F.col("rep").alias("a")).agg(F.max(F.struct("times", "b"))["b"].alias("b"))
+        held = keys.join(lead, "key")
+        leaders = held.filter("h = lead").select("key", *(F.col(c).alias(f"{c}_2") for c in ("rep", "component", "n", "s0", "s1")))
+        met = held.filter("h <> lead").join(leaders, "key").filter((F.col("component") != F.col("component_2")) & near_enough)
+        nearest = F.array_sort(F.collect_set(F.struct("apart", F.col("rep_2").alias("b"))))  # at most one a table
+        best = met.select(F.col("rep").alias("a"), "rep_2", apart.alias("apart")).groupBy("a").agg(F.slice(nearest, 1, tried).alias("near")).select("a", F.explode("near.b").alias("b"))
         found = _confirmed(best, sets, num, den)
         links = cut(found if links is None else links.unionByName(found))
         nodes = connected(links)
         component = tabled.select("rep").join(nodes, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("node"), F.coalesce("component", "rep").alias("component"))
 
-    # 4. what buckets with several components still leave to compare
-    rows = tabled.join(component, tabled["rep"] == component["node"])
-    keys = keyed(rows, "component", "n", "s0", "s1")
-    mixed = keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    left = keys.join(mixed, "key")
-    right = left.select("key", *(F.col(c).alias(f"{c}_2") for c in ("rep", "component", "n", "s0", "s1")))
-    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_2"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_2")))
-    # bits of equal MinHash values agree, others by half: mean mismatches 64 * (1 - s); 5 deviations of the binomial at the threshold
-    miss = 0.5 * (1 - num / den)
-    most = int(128 * miss + 5 * (128 * miss * (1 - miss)) ** 0.5) + 1
-    fits = (F.col("component") < F.col("component_2")) & (den * F.least("n", "n_2") >= num * F.greatest("n", "n_2")) & (apart <= most)
-    pairs = left.join(right, (left["key"] == right["key"]) & fits).select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
+    # 4. what is left: pairs of different components
+    second = F.transform("second", lambda v, j: F.xxhash64(j, v))
+    rows = tabled.join(component, tabled["rep"] == component["node"]).select("rep", "component", "n", "s0", "s1", "first", second.alias("second"))
+    left = rows.select("*", F.explode("first").alias("one"))
+    mixed = left.groupBy("one").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("one", "m")
+    left = left.join(mixed, "one")
+    few = left.filter(F.col("m") <= small)
+    right = few.select(*(F.col(c).alias(f"{c}_2") for c in few.columns))
+    # a pair at the threshold shares 13 of 32 half keys in the mean, and fewer than 4 once in ten thousand
+    both = F.size(F.array_intersect("first", "first_2")) + F.size(F.array_intersect("second", "second_2"))
+    table_shared = F.arrays_overlap("second", "second_2") & (both >= least_shared)
+    pairs = few.join(right, (F.col("one") == F.col("one_2")) & (F.col("component") < F.col("component_2")) & near_enough & table_shared).select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
     last = _confirmed(pairs, sets, num, den)
+    # large buckets: blocks of rows, all pairs of blocks; no pair is a row
+    nb = F.ceil(F.col("m") / block).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), nb).cast("int")
+    many = left.filter(F.col("m") > small).select("rep", "component", "one", mine.alias("mine"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("other"))
+    many = many.select("rep", "component", "one", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).join(sets, "rep")
+
+    def linked(group: pa.Table) -> pa.Table:
+        found = block_links(group.column("component").to_numpy(), [x.values.to_numpy() for x in group.column("shingles")], num, den)
+        rep = group.column("rep").to_numpy()
+        return pa.table({"a": pa.array(rep[[i for i, _ in found]] if found else [], pa.int64()), "b": pa.array(rep[[j for _, j in found]] if found else [], pa.int64())})
+
+    last = last.unionByName(many.groupBy("one", "lo", "hi").applyInArrow(linked, "a bigint, b bigint"))
     links = cut(last if links is None else links.unionByName(last))
     nodes = connected(links)
 
