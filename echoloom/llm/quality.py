@@ -120,7 +120,7 @@ class LabelModel:
         self.index = {p: k for k, p in enumerate(sorted(patterns))}
         count = np.array([patterns[p] for p in self.index], float)
         m = len(next(iter(self.index), ""))
-        cast = np.array([["gb-".index(c) for c in p] for p in self.index], np.int64).reshape(-1, m)
+        cast = np.array([["gb-".index(c) for c in p] for p in self.index], np.int64).reshape(len(self.index), m)
         one_hot = np.eye(3)[cast]  # pattern, labeller, vote
         self.post = 1 - (1 - (1 - trust) ** (cast == 1).sum(1)) if len(count) else np.empty(0)
         self.post = np.clip(self.post, 0.01, 0.97)

@@ -137,7 +137,7 @@ class Shard:
         heavy = np.zeros((q, len(self.dense)))
         heavy[owner[common], row[common]] = weight[common]
         spot, of = self._spans(self.starts[at[~common]], self.starts[at[~common] + 1])
-        score = np.bincount(owner[~common][of] * width + self.place[spot], self.impact[spot] * weight[~common][of], q * width).reshape(q, self.blocks, BLOCK)
+        score = np.bincount(owner[~common][of] * width + self.place[spot], self.impact[spot] * weight[~common][of], q * width).astype(float).reshape(q, self.blocks, BLOCK)
         bound = (score.max(2) + heavy @ self.block_max) * (1 + 1e-9)
         done = np.zeros((q, self.blocks), bool)
         lead = min(self.blocks, max(2, -(-2 * k // BLOCK)))
