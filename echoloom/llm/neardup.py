@@ -10,9 +10,9 @@ The stages, none of which makes all pairs of a group:
 1. Equal shingle sets become one class with the smallest id as representative (counted in part before the shuffle).
 2. Half keys of the first collection that only one representative has can't collide; the rest are paired with
    those of the second collection.
-3. In each round every table's bucket has one leader, and each representative is compared with ``tried`` leaders of
-   other components: those that a 128-bit sketch takes for the nearest. Links make components, and only buckets
-   that still hold several components go on.
+3. Every table's bucket has one leader, and each representative is compared with ``tried`` of the leaders that it
+   meets: those that a 128-bit sketch takes for the nearest. Links make components, and only buckets that still
+   hold several components go on.
 4. Representatives of different components that still share a table are compared, in small buckets pair by pair,
    after size, sketch and the number of shared half keys have ruled out pairs that don't reach the threshold (a
    miss of about 1 in ten thousand for a pair just at it, far less above). Large buckets are cut into blocks, and
@@ -151,7 +151,7 @@ def block_links(component: np.ndarray, sets: list[np.ndarray], num: int, den: in
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, halves: int = 16, width: int = 4, rounds: int = 2, tried: int = 2, least_shared: int = 4, small: int = 48, block: int = 128
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, halves: int = 16, width: int = 4, tried: int = 2, least_shared: int = 4, small: int = 48, block: int = 128
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable over links), kept (it is its own component)."""
     spark = docs.sparkSession
@@ -188,9 +188,9 @@ def near_duplicates(
     tabled = reps.select("rep", "n", "s0", "s1", F.slice("k", halves + 1, halves).alias("second")).join(alive, "rep")
     tabled, tabled_at = store(tabled)
 
-    def keyed(rows: DataFrame, *more: str) -> DataFrame:
-        one = rows.select("rep", *more, "second", F.explode("first").alias("one"))
-        return one.select("rep", *more, "one", F.posexplode("second").alias("j", "two")).select("rep", *more, F.xxhash64("one", "j", "two").alias("key"))
+    def keyed(rows: DataFrame) -> DataFrame:
+        one = rows.select("rep", "second", F.explode("first").alias("one"))
+        return one.select("rep", "one", F.posexplode("second").alias("j", "two")).select("rep", F.xxhash64("one", "j", "two").alias("key"))
 
     ids = tabled.select(F.col("rep").alias("id"))
 
@@ -205,22 +205,18 @@ def near_duplicates(
     apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_2"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_2")))
     near_enough = (den * F.least("n", "n_2") >= num * F.greatest("n", "n_2")) & (apart <= most)
 
-    links = None
-    component = tabled.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
-    for r in range(rounds):
-        rows = tabled.join(component, tabled["rep"] == component["node"])
-        keys = keyed(rows, "component", "n", "s0", "s1").withColumn("h", F.xxhash64("rep") if r == 0 else F.xxhash64(F.lit(r), "key", "rep"))
-        # the leader is the row with the smallest hash; a bucket within one component has nothing to compare
-        lead = keys.groupBy("key").agg(F.min("h").alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", "lead")
-        held = keys.join(lead, "key")
-        leaders = held.filter("h = lead").select("key", *(F.col(c).alias(f"{c}_2") for c in ("rep", "component", "n", "s0", "s1")))
-        met = held.filter("h <> lead").join(leaders, "key").filter((F.col("component") != F.col("component_2")) & near_enough)
-        nearest = F.array_sort(F.collect_set(F.struct("apart", F.col("rep_2").alias("b"))))  # at most one a table
-        best = met.select(F.col("rep").alias("a"), "rep_2", apart.alias("apart")).groupBy("a").agg(F.slice(nearest, 1, tried).alias("near")).select("a", F.explode("near.b").alias("b"))
-        found = _confirmed(best, sets, num, den)
-        links = cut(found if links is None else links.unionByName(found))
-        nodes = connected(links)
-        component = tabled.select("rep").join(nodes, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("node"), F.coalesce("component", "rep").alias("component"))
+    # 3. the leader of a bucket is the representative with the smallest hash, which is one to one
+    keys = keyed(tabled)
+    lead = keys.groupBy("key").agg(F.min(F.xxhash64("rep")).alias("lead"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key", "lead")
+    met = keys.join(lead, "key").filter(F.xxhash64("rep") != F.col("lead")).select("rep", "lead").distinct()
+    sketch = tabled.select("rep", "n", "s0", "s1")
+    leaders = sketch.select(F.xxhash64("rep").alias("lead"), *(F.col(c).alias(f"{c}_2") for c in sketch.columns))
+    near = met.join(sketch, "rep").join(leaders, "lead").filter(near_enough)
+    nearest = F.array_sort(F.collect_set(F.struct(apart.alias("apart"), F.col("rep_2").alias("b"))))  # at most one a table
+    best = near.groupBy(F.col("rep").alias("a")).agg(F.slice(nearest, 1, tried).alias("near")).select("a", F.explode("near.b").alias("b"))
+    links = cut(_confirmed(best, sets, num, den))
+    nodes = connected(links)
+    component = tabled.select("rep").join(nodes, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("node"), F.coalesce("component", "rep").alias("component"))
 
     # 4. what is left: pairs of different components
     second = F.transform("second", lambda v, j: F.xxhash64(j, v))
@@ -247,7 +243,7 @@ def near_duplicates(
         return pa.table({"a": pa.array(rep[[i for i, _ in found]] if found else [], pa.int64()), "b": pa.array(rep[[j for _, j in found]] if found else [], pa.int64())})
 
     last = last.unionByName(many.groupBy("one", "lo", "hi").applyInArrow(linked, "a bigint, b bigint"))
-    links = cut(last if links is None else links.unionByName(last))
+    links = cut(links.unionByName(last))
     nodes = connected(links)
 
     of_set = reps.select("f0", "f1", "rep").join(nodes, F.col("rep") == F.col("node"), "left").select("f0", "f1", F.coalesce("component", "rep").alias("component"))
