@@ -62,7 +62,8 @@ def is_trimmed(c: Column | str) -> Column:
 
 
 def chosen_count(c: Column | str) -> Column:
-    return F.coalesce(F.size(col(c)), F.lit(0)) if not isinstance(c, str) else F.when(F.col(c).isNull(), 0).otherwise(F.size(F.col(c)))
+    """The size of an array, 0 for null."""
+    return F.when(col(c).isNull(), 0).otherwise(F.size(col(c)))
 
 
 def snippet(c: Column | str, most: int = 100) -> Column:

@@ -25,7 +25,8 @@ def token_ratios(rows: DataFrame, token: str, strength: float) -> DataFrame:
 
 def token_quotas(ratios: DataFrame, token: str, target: int) -> DataFrame:
     """Adds quota (half to even), and take: the quota or all there are, then filled or cut to ``target`` in total,
-    the tokens furthest below their ratio first."""
+    the tokens furthest below their ratio first. The order over all tokens is one task: it holds a row a token,
+    which a tokenizer's vocabulary bounds."""
     rows = ratios.withColumn("quota", F.bround(F.col("ratio") * target, 0).cast("bigint"))
     rows = rows.withColumn("first", F.least("quota", "cnt"))
     every = Window.partitionBy()

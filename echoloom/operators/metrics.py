@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,5 +48,5 @@ def estimated_steps(examples: int, epochs: float, batch: int, accumulation: int)
 def trained_layers(parameters: DataFrame, name: str, layer: Column, last: int) -> DataFrame:
     """Marks the parameters of the last ``last`` layers."""
     rows = parameters.withColumn("layer", layer)
-    top = F.max("layer").over(Window.partitionBy())
-    return rows.withColumn("trainable", F.coalesce(F.col("layer") > top - last, F.lit(False)))
+    top = rows.agg(F.max("layer").alias("top"))  # one row
+    return rows.join(F.broadcast(top)).withColumn("trainable", F.coalesce(F.col("layer") > F.col("top") - last, F.lit(False))).drop("top")

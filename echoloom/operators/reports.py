@@ -19,7 +19,8 @@ def rate_change(rates: DataFrame, round_col: str = "round") -> DataFrame:
 
 def shares(rows: DataFrame, key: str) -> DataFrame:
     counts = rows.groupBy(key).agg(F.count("*").alias("cnt"))
-    return counts.withColumn("share", F.col("cnt") / F.sum("cnt").over(Window.partitionBy()))
+    total = counts.agg(F.sum("cnt").alias("total"))  # one row
+    return counts.join(F.broadcast(total)).select(key, "cnt", (F.col("cnt") / F.col("total")).alias("share"))
 
 
 def top_counts(rows: DataFrame, key: str, limit: int = 8) -> DataFrame:
