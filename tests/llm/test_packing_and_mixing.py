@@ -38,7 +38,7 @@ def test_batches(spark):
 
 
 def test_pack_odd(odd, none):
-    got = packing.pack(odd, keep=["source", "length"] if False else ["source"]).collect()
+    got = packing.pack(odd, keep=["source"]).collect()
     assert len(got) == 10 and {r["length"] for r in got if r["doc_id"] in (3, 4, 7)} == {0}
     assert packing.pack(none).count() == 0
 
