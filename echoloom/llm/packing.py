@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 EXACT = 2048
 
 
@@ -37,21 +39,21 @@ def choose_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
         return []
     upto = np.concatenate(([0.0], np.cumsum(counts, dtype=float)))
     best = lengths * upto[1:]  # padded tokens of one bucket up to j
-    cuts = []
+    splits = []
     for _ in range(1, min(buckets, m)):
-        new, cut = best.copy(), np.full(m, -1)
+        new, split = best.copy(), np.full(m, -1)
         for j in range(1, m):
             cost = best[:j] + lengths[j] * (upto[j + 1] - upto[1 : j + 1])
             i = int(cost.argmin())
             if cost[i] < new[j]:
-                new[j], cut[j] = cost[i], i
-        cuts.append(cut)
+                new[j], split[j] = cost[i], i
+        splits.append(split)
         best = new
     out, j = [], m - 1
-    for cut in reversed(cuts):
-        if cut[j] >= 0:
+    for split in reversed(splits):
+        if split[j] >= 0:
             out.append(int(lengths[j]))
-            j = int(cut[j])
+            j = int(split[j])
     out.append(int(lengths[j]))
     return sorted(out)
 
@@ -65,6 +67,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buc
     """Per row: id, length, bucket, padded_length, batch (its number in the bucket) and slot; ``keep`` adds columns."""
     kept = [c for c in (keep or []) if c != id_col]
     rows = docs.select(F.col(f"`{id_col}`").alias("__id"), *(F.col(f"`{c}`").alias(f"__k{k}") for k, c in enumerate(kept)), text_tokens(text_col).alias("__length"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("__h"))
+    rows = cut(rows)  # texts are read once; what is kept is a few numbers a row
     tops, counts = length_histogram(rows.select(F.col("__length").alias("length")))
     boundaries = choose_boundaries(tops, counts, buckets) or [0]
     owner = np.searchsorted(boundaries, tops)
