@@ -120,9 +120,15 @@ def fingerprint_in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     rows = rows.withColumn("place", F.coalesce(F.col("id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
     cuts = rows.agg(F.percentile_approx("place", [k / tasks for k in range(1, tasks)] or [0.5], 20 * tasks)).first()[0] or []
     bounds = sorted(set(cuts))  # at most as many as tasks
-    # the number of the range: bounds below or at the place
-    part = F.lit(0) if not bounds else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("place")))
-    rows = rows.withColumn("part", part.cast("int"))
+
+    def range_of(low: int, high: int):
+        """The number of bounds below or at the place, by halving."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col("place") < bounds[middle], range_of(low, middle)).otherwise(range_of(middle + 1, high))
+
+    rows = rows.withColumn("part", range_of(0, len(bounds)))
     heads = {r["part"]: (r["first"]["place"], r["first"]["h"]) for r in rows.groupBy("part").agg(F.min(F.struct("place", "h")).alias("first")).collect()}  # at most one for each range
     order = sorted(heads)
     before = {p: order[k - 1] for k, p in enumerate(order)}

@@ -11,8 +11,8 @@ the k-th best score so far then rules out every block with a smaller bound, and
 block-max WAND with whole blocks as the unit of skipping, run for a few hundred queries side by side. Scores are
 rounded to 9 decimals, so that equal documents tie.
 
-Queries are taken in blocks of bounded size: the terms of at most ``queries_at_once`` queries go to the driver and
-to all tasks at a time, and each block is one pass over the index.
+Queries are taken in hashed blocks of about ``queries_at_once`` queries or ``terms_at_once`` terms, whichever gives
+more blocks: the terms of one block go to the driver and to all tasks at a time, and each is a pass over the index.
 
 Null and empty texts match nothing and, as queries, find nothing. Equal scores are ordered by id. A row may find
 itself. Repeated rows are documents each. Rows with a null id are searched, but are no queries.
@@ -166,7 +166,7 @@ class Shard:
 
 
 def search(
-    docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75, shard_rows: int = 4096, shard_chars: int = 16_000_000, queries_at_once: int = 4000
+    docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75, shard_rows: int = 4096, shard_chars: int = 16_000_000, queries_at_once: int = 4000, terms_at_once: int = 4_000_000
 ) -> DataFrame:
     """The k best documents of each query (id, text; each distinct term counts once): query_id, rank, the found id, score."""
     spark = docs.sparkSession
@@ -186,7 +186,8 @@ def search(
     local = index.select(F.explode(F.arrays_zip("terms", F.zip_with("starts", F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(1))), lambda x, y: y - x).alias("df"))).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.df").alias("df"))
     wanted = asked.select(F.explode("terms").alias("term")).distinct()
     frequency, frequency_at = store(local.groupBy("term").agg(F.sum("df").alias("df")).join(wanted, "term", "left_semi"))
-    blocks = max(1, -(-asked.count() // queries_at_once))
+    number, terms = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    blocks = max(1, -(-number // queries_at_once), -(-terms // terms_at_once))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     out = None
     for block in range(blocks):
