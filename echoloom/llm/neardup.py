@@ -260,5 +260,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, num=num, den=den)
     gone = found.filter(~F.col("kept")).select(F.col(id_col).alias("__echoloom_id")).distinct()
     left = docs.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col("__echoloom_id"), "left_anti")
-    named = left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(left.filter(F.col(id_col).isNull()))
+    # rows without an id differ in a number of their own, so one pass over the texts does
+    own = F.when(F.col(f"`{id_col}`").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    return left.withColumn("__echoloom_row", own).dropDuplicates([id_col, "__echoloom_row"]).drop("__echoloom_row")
