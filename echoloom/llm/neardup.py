@@ -112,13 +112,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
 
 def block_links(component: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join different components of a block's rows, a spanning forest of them.
+    """Links that join different components of a block's rows, for a later check on full sets.
 
-    All intersections come from products of 0/1 matrices, over a bounded part of the shingles at a time.
+    Of clear links (half a percent above the threshold) a spanning forest is given, and all of those within half a
+    percent of it between trees, since shortened hashes may shift these. All intersections come from products of 0/1 matrices, over a bounded part of the shingles at a time.
     """
     names, root = np.unique(component, return_inverse=True)
     if len(names) < 2:
         return []
+    sets = [np.unique(s) for s in sets]
     n = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), n)
     shingle, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -132,7 +134,11 @@ def block_links(component: np.ndarray, sets: list[np.ndarray], num: int, den: in
         part = np.zeros((len(sets), 8192), np.float32)
         part[owner[a:b], new[a:b] - low] = 1
         both += part @ part.T
-    i, j = np.nonzero(np.triu(den * both >= num * (n[:, None] + n[None, :] - both), 1) & (root[:, None] != root[None, :]))
+    union = n[:, None] + n[None, :] - both
+    apart = root[:, None] != root[None, :]
+    clear = np.triu((den * both >= 1.005 * num * union) & apart, 1)
+    close = np.triu((den * both >= 0.995 * num * union) & apart, 1) & ~clear
+    i, j = np.nonzero(clear)
     parent = list(range(len(names)))
 
     def find(x: int) -> int:
@@ -147,11 +153,11 @@ def block_links(component: np.ndarray, sets: list[np.ndarray], num: int, den: in
         if p != q:
             parent[max(p, q)] = min(p, q)
             out.append((x, y))
-    return out
+    return out + [(x, y) for x, y in zip(*map(np.ndarray.tolist, np.nonzero(close)), strict=True) if find(root[x]) != find(root[y])]
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, halves: int = 16, width: int = 4, tried: int = 2, least_shared: int = 4, small: int = 48, block: int = 128
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, halves: int = 16, width: int = 4, tried: int = 2, least_shared: int = 4, small: int = 48, block: int = 512
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable over links), kept (it is its own component)."""
     spark = docs.sparkSession
@@ -235,14 +241,18 @@ def near_duplicates(
     nb = F.ceil(F.col("m") / block).cast("int")
     mine = F.pmod(F.xxhash64("rep"), nb).cast("int")
     many = left.filter(F.col("m") > small).select("rep", "component", "one", mine.alias("mine"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("other"))
-    many = many.select("rep", "component", "one", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).join(sets, "rep")
+    many = many.select("rep", "component", "one", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    # 31 bits of each shingle's hash: they can only add to an intersection, and what they link is confirmed on full sets
+    short = sets.select("rep", F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("shingles"))
+    many = many.join(short, "rep")
 
     def linked(group: pa.Table) -> pa.Table:
         found = block_links(group.column("component").to_numpy(), [x.values.to_numpy() for x in group.column("shingles")], num, den)
         rep = group.column("rep").to_numpy()
         return pa.table({"a": pa.array(rep[[i for i, _ in found]] if found else [], pa.int64()), "b": pa.array(rep[[j for _, j in found]] if found else [], pa.int64())})
 
-    last = last.unionByName(many.groupBy("one", "lo", "hi").applyInArrow(linked, "a bigint, b bigint"))
+    linked_rows = many.groupBy("one", "lo", "hi").applyInArrow(linked, "a bigint, b bigint").distinct()
+    last = last.unionByName(_confirmed(linked_rows, sets, num, den))
     links = cut(links.unionByName(last))
     nodes = connected(links)
 
