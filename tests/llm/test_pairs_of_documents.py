@@ -165,3 +165,16 @@ def test_search_odd(odd, none):
     got = search.search(odd, odd, k=3).collect()
     assert {r["query_id"] for r in got} == {1, 2, 5, 6} and all(r["score"] > 0 for r in got)
     assert search.search(none, odd).count() == 0 == search.search(odd, none).count()
+
+
+def test_near_duplicate_sql():
+    import duckdb
+
+    from echoloom.llm import queries
+
+    rows = make_docs(2)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = con.execute(queries.oracle_sql()["op3_near_duplicates"]).fetchall()
+    assert {i: (n, c) for i, n, c, _ in got} == brute_components(rows, 2) and all(k == (i == c) for i, _, c, k in got)
