@@ -1,21 +1,24 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of a host are read in groups of bounded size. In a group, each token (a tag with its block path, or a
-word with its block path) has an occurrence vector: how often it occurs in each page. Tokens with the same
-vector form an equivalence class; a class is valid where its members stand in the same order in every page and
-its spans are not interleaved with those of its parent. Valid classes nest: the class that occurs once in every
-page is the template's frame, classes that occur several times nest inside its slots. What lies in a slot is
-page content. Slots of the frame with the role of navigation, header, footer, notice, advert, form or comments
-are left out, template words are not content, and the remaining slots are the text.
+The tokens of a page are its block paths and its texts with their block paths. Over the pages of a host that differ
+in their content (copies count once), tokens with the same occurrence vector form an equivalence class. A class
+belongs to the template where it occurs in ``LEAST`` pages or more and in at least half of those with the element
+around it, so classes nest; on a page, its members are template where they stand in the order of the class. Texts
+of the template are not content, in an article or outside; what is left lies in the slots. A slot with the role of
+navigation, header, footer, notice, advert, form or comments is left out, and the remaining slots are the text.
 
-The role of a slot is that of its enclosing elements (names, classes, ids, roles). Inside an article or main
-element no words are taken for template, as copies of one article on a host would otherwise vanish.
+The role of a slot is that of its enclosing elements (names, classes, ids, roles). If more
+than half of an article's words are the host's, the page is an edited copy and keeps them. Of a page whose host shows
+no template, content elements are the text, or all slots if it has none.
+
+Pages of a host are read in groups of bounded size.
 
 Null or empty html gives an empty text. Repeated pages are extracted each; a null url is a host of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import re
 from collections import Counter, defaultdict
@@ -48,6 +51,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z0-9]+")
+LEAST = 5  # pages of different content that show a template
 
 
 def _roles(name: str, attrs: str) -> tuple[str, bool, bool]:
@@ -71,7 +75,7 @@ class Page:
     """The blocks of a page in order: (path, content element's depth or 0, left out, text), and its tags in order."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, bool, bool, str]] = []
+        self.blocks: list[tuple[str, bool, bool, tuple[str, ...], str]] = []
         self.tags: list[str] = []
         stack: list[tuple[str, str, bool, bool]] = []  # name, label, left out, in a content element
         text: list[str] = []
@@ -82,7 +86,7 @@ class Page:
                 joined = _SPACE.sub(" ", htmllib.unescape("".join(text))).strip()
                 text.clear()
                 if joined:
-                    self.blocks.append((path, content, out, joined))
+                    self.blocks.append((path, content, out, (), joined))
 
         def settle() -> tuple[str, bool, bool]:
             return "/".join(x[1] for x in stack if x[0] not in INLINE), bool(stack and stack[-1][2]), bool(stack and stack[-1][3])
@@ -145,82 +149,88 @@ class Page:
         flush()
 
 
-def classes(vectors: dict[str, tuple[int, ...]], least_pages: int) -> dict[tuple[int, ...], list[str]]:
-    """Equivalence classes of tokens that share an occurrence vector and occur in enough pages."""
-    out: dict[tuple[int, ...], list[str]] = defaultdict(list)
-    for token, v in vectors.items():
-        if len(v) - v.count(0) >= least_pages:
-            out[v].append(token)
+def _key(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def tokens(page: Page) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """A fingerprint of the page's content, and its distinct tokens: key, key of the path around, first place, count."""
+    root = _key("<")
+    keys: dict[str, int] = {"": root}
+    found = {root: [root, 0, 1]}
+    for at, path in enumerate(page.tags):
+        if path not in keys:
+            keys[path] = _key("<" + path)
+            found[keys[path]] = [keys.get(path.rpartition("/")[0], root), at, 0]
+        found[keys[path]][2] += 1
+    shown = [(path, content, text) for path, content, off, _, text in page.blocks if not off]
+    inner = [x for x in shown if x[1]] or shown
+    for at, (path, _, text) in enumerate(shown):
+        x = found.setdefault(_key(path + "\t" + text), [keys.get(path, root), at, 0])
+        x[2] += 1
+    return _key("\n".join(x[2] for x in inner)), sorted((k, *x) for k, x in found.items())
+
+
+Template = dict[int, tuple[int, float]]  # key of a token: its class, and its mean place
+
+
+def deduce(pages: list[Page]) -> Template:
+    """The template of a group of pages of a host."""
+    distinct = {}
+    for fingerprint, found in map(tokens, pages):
+        distinct[fingerprint] = min(found, distinct.get(fingerprint, found))
+    seen: Counter = Counter()
+    vector: dict[int, int] = defaultdict(int)
+    place: Counter = Counter()
+    around = {}
+    for fingerprint, found in distinct.items():
+        for key, parent, at, n in found:
+            seen[key] += 1
+            vector[key] ^= _key(f"{fingerprint} {n}")
+            place[key] += at
+            around[key] = parent
+    return {k: (vector[k], place[k] / n) for k, n in seen.items() if n >= LEAST and 2 * n >= seen[around[k]]}
+
+
+def _of_template(page: Page, template: Template) -> set[int]:
+    """The blocks of a page that are members of template classes and stand in their order."""
+    last: dict[int, tuple[float, int]] = {}
+    out, taken = set(), set()
+    for k, (path, _, off, _, text) in enumerate(page.blocks):
+        key = 0 if off else _key(path + "\t" + text)
+        if off or key not in template:
+            continue
+        group, place = template[key]
+        if key in taken or place >= last.get(group, (-1.0, 0))[0]:
+            out.add(k)
+            if key not in taken:
+                taken.add(key)
+                last[group] = (place, k)
     return out
 
 
-def _ordered(members: list[str], places: list[dict[str, list[int]]], vector: tuple[int, ...]) -> list[str]:
-    """The members of a class that stand in the order of the first page in all its pages, span after span."""
-    first = next(k for k, n in enumerate(vector) if n)
-    members = sorted(members, key=lambda t: places[first][t][0])
-    for k, n in enumerate(vector):
-        if not n:
+def page_text(page: Page, template: Template) -> str:
+    """The text in the remaining slots of a page."""
+    fixed = _of_template(page, template) if template else set()
+    words = [0, 0]
+    for k, (_, content, off, _, text) in enumerate(page.blocks):
+        if content and not off:
+            words[k in fixed] += text.count(" ") + 1
+    if words[1] > words[0]:  # an edited copy
+        fixed = {k for k in fixed if not page.blocks[k][1]}
+    only_content = not template and sum(words) > 0
+    kept = []
+    for k, (_, content, off, unsure, text) in enumerate(page.blocks):
+        if off or k in fixed or (only_content and not content) or any(_key("<" + u) in template for u in unsure):
             continue
-        kept: list[str] = []
-        for t in members:
-            if not kept or all(places[k][kept[-1]][j] <= places[k][t][j] for j in range(n)):
-                kept.append(t)
-        members = kept
-    for k, n in enumerate(vector):  # the last member of a span before the first one of the next
-        if n > 1 and len(members) > 1 and any(places[k][members[-1]][j] > places[k][members[0]][j + 1] for j in range(n - 1)):
-            return []
-    return members
-
-
-def deduce(pages: list[Page]) -> tuple[set[str], set[tuple[str, str]]]:
-    """The template of a group: block paths of its valid classes, and its fixed words as (path, word)."""
-    if len(pages) < 2:
-        return set(pages[0].tags) if pages else set(), set()
-    places: list[dict[str, list[int]]] = []
-    for p in pages:
-        where: dict[str, list[int]] = defaultdict(list)
-        at = 0
-        for tag in p.tags:
-            where["<" + tag].append(at)
-            at += 1
-        for path, content, out, text in p.blocks:
-            if not content and not out:
-                for w in text.split(" "):
-                    where[path + "\t" + w].append(at)
-                    at += 1
-        places.append(where)
-    counts = [{t: len(x) for t, x in w.items()} for w in places]
-    vectors = {t: tuple(c.get(t, 0) for c in counts) for t in {t for c in counts for t in c}}
-    frame: set[str] = set()
-    words: set[tuple[str, str]] = set()
-    for vector, members in classes(vectors, max(2, (len(pages) + 1) // 2)).items():
-        valid = _ordered(members, places, vector)
-        always = len(pages) >= 5 and all(vector)
-        for t in valid:
-            if t[0] == "<" and "\t" not in t:
-                frame.add(t[1:])
-            elif always and len(valid) >= 2 and max(vector) == 1:
-                words.add(tuple(t.split("\t", 1)))
-    return frame, words
+        kept.append(text)
+    return "\n".join(kept)
 
 
 def extract(pages: list[Page]) -> list[str]:
-    """The text in the remaining slots of each page of a group."""
-    frame, words = deduce(pages)
-    out = []
-    for p in pages:
-        has_content = any(content and not off for _, content, off, _ in p.blocks)
-        kept = []
-        for path, content, off, text in p.blocks:
-            if off or (has_content and not content):
-                continue
-            if not content and words:
-                text = " ".join(w for w in text.split(" ") if (path, w) not in words)
-            # a slot lies in an element of the template, or deeper in one; a page without any has no template
-            if text and (content or not frame or any(path == f or path.startswith(f + "/") for f in frame)):
-                kept.append(text)
-        out.append("\n".join(kept))
-    return out
+    """The text in the remaining slots of each page of a host."""
+    template = deduce(pages)
+    return [page_text(p, template) for p in pages]
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_pages: int = 48, group_chars: int = 4_000_000) -> DataFrame:

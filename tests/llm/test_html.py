@@ -58,3 +58,12 @@ def test_odd_rows(spark):
     got = extract_main_text(pages, group_pages=2).collect()
     assert len(got) == 5 and sorted(len(r["text"]) for r in got) == [0, 0, 1, 1, 249_999]
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_sentences_keep_their_words_and_slots_outside_articles_count():
+    pages = [Page(f"<body><div>Site of things</div><div><p>Text number {k} is here</p></div></body>") for k in range(49)]
+    assert extract(pages) == [f"Text number {k} is here" for k in range(49)]
+    copies = [Page("<body><div>Menu</div><div><p>Once said words</p></div></body>")] * 9
+    assert extract(copies) == ["Menu\nOnce said words"] * 9
+    beside = [Page(f"<body><div>Fixed line</div><div class=lead>Lead {k}</div><article>Text {k}</article></body>") for k in range(9)]
+    assert extract(beside) == [f"Lead {k}\nText {k}" for k in range(9)]
