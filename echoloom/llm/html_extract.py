@@ -7,7 +7,9 @@ around it, so classes nest; on a page, its members are template where they stand
 of the template are not content, in an article or outside; what is left lies in the slots. A slot with the role of
 navigation, header, footer, notice, advert, form or comments is left out, and the remaining slots are the text.
 
-The role of a slot is that of its enclosing elements (names, classes, ids, roles). If more
+The role of a slot is that of its enclosing elements (names, and whole words of class, id and role). A role word
+never hides an article or main element below it, except that lists of comments or related articles stay out beside
+another article. On headings and sections in an article it counts only where the template holds the element. If more
 than half of an article's words are the host's, the page is an edited copy and keeps them. Of a page whose host shows
 no template, content elements are the text, or all slots if it has none.
 
@@ -42,6 +44,8 @@ ROLES = frozenset(
     "sidebar aside rail footer foot header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "login search share sharing social related recommended comment comments reply replies respond disqus pagination pager toolbar widget widgets complementary contentinfo skip".split()
 )
+#: Role words of lists that hold articles of their own.
+LISTS = frozenset("comment comments reply replies respond disqus related recommended".split())
 CONTENT = frozenset(("article", "main"))
 #: Class and id words of content elements on sites that use plain divisions.
 CONTENT_MARKS = frozenset("content article post entry story main".split())
@@ -51,45 +55,58 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z0-9]+")
+_NO_ROLE = frozenset("h1 h2 h3 h4 h5 h6 section".split())  # in an article, unless the template holds the element
 LEAST = 5  # pages of different content that show a template
 
 
-def _roles(name: str, attrs: str) -> tuple[str, bool, bool]:
-    """The label of an element in paths, and whether it marks its inside as no content, or as content."""
+def _roles(name: str, attrs: str) -> tuple[str, bool, str, bool]:
+    """The label of an element in paths, whether it is no content by itself, its role word, and whether it marks content."""
     if not attrs.strip():
-        return name, name in CHROME, name in CONTENT
-    marks, label, hidden = set(), name, False
+        return name, name in CHROME, "", name in CONTENT
+    whole, marks, label, hidden = set(), set(), name, False
     for m in _ATTR.finditer(attrs):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role"):
-            if key == "class" and value:
-                label += "." + ".".join(sorted(value.lower().split()))
-            marks.update(_WORDS.findall(value.lower()))
-        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
+            words = value.split()
+            if key == "class" and words:
+                label += "." + ".".join(sorted(words))
+            whole.update(words)
+            marks.update(_WORDS.findall(value))
+        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             hidden = True
-    off = hidden or name in CHROME or (name not in ("html", "body", *CONTENT) and bool(marks & ROLES))
-    return label, off, name in CONTENT or (not off and name in ("div", "section", "td") and bool(marks & CONTENT_MARKS))
+    off = hidden or name in CHROME
+    role = "" if name in ("html", "body", *CONTENT) else min(whole & ROLES, default="")
+    return label, off, role, name in CONTENT or (not off and name in ("div", "section", "td") and bool(marks & CONTENT_MARKS) and not marks & ROLES)
+
+
+# What an element's inside is: shown; left out by a role word, by a list's role word, or for good; an article in a list.
+SHOWN, ROLE, LIST, OFF, LISTED = range(5)
 
 
 class Page:
-    """The blocks of a page in order: (path, content element's depth or 0, left out, text), and its tags in order."""
+    """The blocks of a page in order: (path, in a content element, left out, elements that leave it out if they are
+    of the template, text); and its paths in order."""
 
     def __init__(self, source: str) -> None:
         self.blocks: list[tuple[str, bool, bool, tuple[str, ...], str]] = []
         self.tags: list[str] = []
-        stack: list[tuple[str, str, bool, bool]] = []  # name, label, left out, in a content element
+        stack: list[tuple[str, str, int, bool, tuple[str, ...]]] = []  # name, label, state, in a content element, unsure roles
         text: list[str] = []
-        path, out, content = "", False, False
+        path, out, content, unsure = "", SHOWN, False, ()
+        listed: list[int] = []  # blocks of articles in lists
 
         def flush() -> None:
             if text:
                 joined = _SPACE.sub(" ", htmllib.unescape("".join(text))).strip()
                 text.clear()
                 if joined:
-                    self.blocks.append((path, content, out, (), joined))
+                    if out == LISTED:
+                        listed.append(len(self.blocks))
+                    self.blocks.append((path, content, out in (ROLE, LIST, OFF), unsure, joined))
 
-        def settle() -> tuple[str, bool, bool]:
-            return "/".join(x[1] for x in stack if x[0] not in INLINE), bool(stack and stack[-1][2]), bool(stack and stack[-1][3])
+        def settle() -> tuple[str, int, bool, tuple[str, ...]]:
+            top = stack[-1][2:] if stack else (SHOWN, False, ())
+            return "/".join(x[1] for x in stack if x[0] not in INLINE), *top
 
         at, n = 0, len(source)
         while at < n:
@@ -129,24 +146,37 @@ class Page:
                     k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), None)
                     if k is not None and stack[k][0] in _CLOSES[name]:
                         del stack[k:]
-                label, off, holds = _roles(name, m[3])
-                inside = bool(stack and stack[-1][3])
-                if name == "header" and not inside:
-                    off = True
-                off = off or name in HIDDEN or bool(stack and stack[-1][2])
-                if off and not out:
+                label, off, role, holds = _roles(name, m[3])
+                state, inside, roles = stack[-1][2:] if stack else (SHOWN, False, ())
+                if name in CONTENT and state in (ROLE, LIST):
+                    state = LISTED if state == LIST else SHOWN
+                if state != OFF and (name in HIDDEN or off):
+                    state = ROLE if name == "form" and state in (SHOWN, ROLE) else OFF  # a form may hold the whole page
+                elif state == SHOWN and name == "header" and not inside:
+                    state = ROLE
+                elif role and state in (SHOWN, LISTED, ROLE):
+                    if inside and name in _NO_ROLE:
+                        label += "#" + role
+                        roles = (*roles, "/".join([x[1] for x in stack if x[0] not in INLINE] + [label]))
+                    else:
+                        state = LIST if role in LISTS else ROLE
+                if state != out or roles != unsure:
                     flush()
                 if name in RAW:  # its text ends at its own end tag alone
                     end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                     at = end.end() if end else n
                     continue
-                stack.append((name, label, off, inside or holds))
+                stack.append((name, label, state, inside or holds, roles))
                 if name not in INLINE:
-                    path, out, content = settle()
+                    path, out, content, unsure = settle()
                     self.tags.append(path)
                     continue
-            path, out, content = settle()
+            path, out, content, unsure = settle()
         flush()
+        if listed and any(c and not off and k not in set(listed) for k, (_, c, off, _, _) in enumerate(self.blocks)):
+            for k in listed:
+                p, c, _, u, t = self.blocks[k]
+                self.blocks[k] = (p, c, True, u, t)
 
 
 def _key(token: str) -> int:

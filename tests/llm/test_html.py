@@ -67,3 +67,15 @@ def test_sentences_keep_their_words_and_slots_outside_articles_count():
     assert extract(copies) == ["Menu\nOnce said words"] * 9
     beside = [Page(f"<body><div>Fixed line</div><div class=lead>Lead {k}</div><article>Text {k}</article></body>") for k in range(9)]
     assert extract(beside) == [f"Lead {k}\nText {k}" for k in range(9)]
+
+
+def test_role_words_hide_no_article():
+    for source, text in (
+        ('<div class="layout has-sidebar"><article>a</article></div>', "a"),
+        ('<div class="sidebar"><main>a</main></div>', "a"),
+        ('<article><div class="entry-header"><h1>t</h1></div><section id="related-work">r</section><h2 id="search-results">s</h2><h2 id="search">q</h2></article>', "t\nr\ns\nq"),
+        ('<article>a<div class="share">no</div></article><div class="comments"><article>no</article></div>', "a"),
+    ):
+        assert extract([Page(source)]) == [text], source
+    pages = [Page(f'<article><p>a {k}</p><section id="related">see {k}</section></article>') for k in range(9)]
+    assert extract(pages) == [f"a {k}" for k in range(9)]
