@@ -13,7 +13,7 @@ another article. On headings and sections in an article it counts only where the
 than half of an article's words are the host's, the page is an edited copy and keeps them. Of a page whose host shows
 no template, content elements are the text, or all slots if it has none.
 
-Pages of a host are read in groups of bounded size.
+Template counts are taken over all pages of a host by hashes, so no pages are held together.
 
 Null or empty html gives an empty text. Repeated pages are extracted each; a null url is a host of its own.
 """
@@ -24,13 +24,11 @@ import hashlib
 import html as htmllib
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import cut, map_texts, partitions
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -205,7 +203,7 @@ Template = dict[int, tuple[int, float]]  # key of a token: its class, and its me
 
 
 def deduce(pages: list[Page]) -> Template:
-    """The template of a group of pages of a host."""
+    """The template of a host's pages: what ``host_templates`` finds, in memory."""
     distinct = {}
     for fingerprint, found in map(tokens, pages):
         distinct[fingerprint] = min(found, distinct.get(fingerprint, found))
@@ -263,18 +261,42 @@ def extract(pages: list[Page]) -> list[str]:
     return [page_text(p, template) for p in pages]
 
 
-def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_pages: int = 48, group_chars: int = 4_000_000) -> DataFrame:
-    """Per page: id, url, text, n_chars. One shuffle by host; a hot host is dealt over several tasks.
+def host_templates(rows: DataFrame) -> DataFrame:
+    """Per host with a template: its tokens as (key, class, mean place). ``rows`` has host and html.
 
-    A host with more than its even share of all pages (so there are no more of them than tasks) is salted by a
-    hash of the page. A task reads the pages of a host in the order of that hash and forms groups of
-    ``group_pages`` pages or ``group_chars`` characters.
+    Counts are grouped sums of hashes; a host keeps at most two texts for each one of a page's mean, as each of them
+    stands in half of the pages with its path.
+    """
+
+    def make():
+        def f(x):
+            got = [tokens(Page(h or "")) for h in x["html"]]
+            return {"host": x["host"], "print": [g[0] for g in got], "found": [[dict(zip(("key", "around", "at", "n"), t, strict=True)) for t in g[1]] for g in got]}
+
+        return f
+
+    found = map_texts(rows, ["host", "html"], make, "host string, print bigint, found array<struct<key:bigint,around:bigint,at:int,n:int>>", rows_at_once=128)
+    distinct = found.groupBy("host", "print").agg(F.min("found").alias("found"))
+    each = distinct.select("host", "print", F.inline("found"))
+    counted = each.groupBy("host", "key").agg(F.min("around").alias("around"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("print", "n")).alias("class"), F.avg("at").alias("place"))
+    counted = cut(counted.filter(F.col("n") >= LEAST))
+    outer = counted.select("host", F.col("key").alias("around"), F.col("n").alias("n_around"))
+    held = counted.join(outer, ["host", "around"]).filter(2 * F.col("n") >= F.col("n_around"))
+    return held.groupBy("host").agg(F.collect_list(F.struct("key", "class", "place")).alias("template"))
+
+
+def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_pages: int = 48) -> DataFrame:
+    """Per page: id, url, text, n_chars. Pages are read twice: for the templates of their hosts, and with them.
+
+    A host with more than its even share of all pages (``group_pages`` at least, and so there are no more of them than
+    tasks) is dealt over several tasks by a hash of the page where its template is joined.
     """
     spark = pages.sparkSession
     tasks = partitions(spark)
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    counts = rows.groupBy(host.alias("host")).agg(F.count("*").alias("n"))
+    rows = rows.withColumn("host", host)
+    counts = rows.groupBy("host").agg(F.count("*").alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     share = max(group_pages, total // (2 * tasks))
     hot = {x["host"]: -(-x["n"] // share) for x in counts.filter(F.col("n") > share).collect()}  # at most 2 * tasks hosts
@@ -282,36 +304,23 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     if hot:
         by_host = F.create_map(*[F.lit(v) for kv in hot.items() for v in kv])
         salts = F.coalesce(F.try_element_at(by_host, F.col("host")), F.lit(1))
+    templates = host_templates(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    keyed = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url", "html"), salts).cast("int"))
+    joined = keyed.join(templates, ["host", "salt"], "left")
+
+    def make():
+        known: list = [None, None, {}]
+
+        def f(x):
+            texts = []
+            for h, html, t in zip(x["host"], x["html"], x["template"], strict=True):
+                if known[0] != h or known[1] != t:
+                    known[:] = [h, t, {r["key"]: (r["class"], r["place"]) for r in t or ()}]
+                texts.append(page_text(Page(html or ""), known[2]))
+            return {"page": x["id"], "url": x["url"], "text": texts, "n_chars": [len(t) for t in texts]}
+
+        return f
+
     kind = dict(pages.dtypes)
-    keyed = rows.withColumn("host", host).withColumn("h", F.xxhash64("id", "url")).withColumn("salt", F.pmod("h", salts))
-    keyed = keyed.repartition(tasks, "host", "salt").sortWithinPartitions("host", "salt", "h", "id")
-    schema = f"page {kind[id_col]}, url string, text string, n_chars bigint"
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(T._parse_datatype_string(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(ids, urls, group):
-            texts = extract(group)
-            return pa.RecordBatch.from_arrays([pa.array(ids, arrow.field(0).type), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=arrow)
-
-        ids, urls, group, now, chars = [], [], [], None, 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for i, u, source, h, salt in zip(*(part.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True):
-                    source = source or ""
-                    if group and ((h, salt) != now or len(group) >= group_pages or chars + len(source) > group_chars):
-                        yield done(ids, urls, group)
-                        ids, urls, group, chars = [], [], [], 0
-                    now = (h, salt)
-                    ids.append(i)
-                    urls.append(u)
-                    group.append(Page(source))
-                    chars += len(source)
-        if group:
-            yield done(ids, urls, group)
-
-    out = keyed.mapInArrow(run, schema)
+    out = map_texts(joined, ["id", "url", "host", "html", "template"], make, f"page {kind[id_col]}, url string, text string, n_chars bigint", rows_at_once=128)
     return out.select(F.col("page").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

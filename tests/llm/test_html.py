@@ -60,6 +60,17 @@ def test_odd_rows(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_template_inside_articles_goes_and_copies_stay(spark):
+    """Fixed lines of an article without a listed class go on every page, whatever the number of pages or their order."""
+    pages = [f"<body><article><p>Own words {k} {'w%d ' % k * 30}</p><p>Read more on our site</p></article></body>" for k in range(49)]
+    rows = [(k, f"http://a/{k}", p) for k, p in enumerate(pages)] + [(100 + k, f"http://b/{k}", pages[0]) for k in range(9)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(49):
+        assert got[k] == f"Own words {k} {'w%d ' % k * 30}".strip(), k
+    assert all(got[100 + k].endswith("Read more on our site") for k in range(9))
+    assert extract([Page(p) for p in pages]) == [got[k] for k in range(49)]
+
+
 def test_sentences_keep_their_words_and_slots_outside_articles_count():
     pages = [Page(f"<body><div>Site of things</div><div><p>Text number {k} is here</p></div></body>") for k in range(49)]
     assert extract(pages) == [f"Text number {k} is here" for k in range(49)]
