@@ -4,6 +4,8 @@ The terms of a text are its distinct lower-cased words and the beginnings of lon
 inflected forms share a term), hashed to ``2**HASH_BITS`` buckets. The machine scores
 ``b + sum w_i + sum_{i<j} <v_i, v_j>`` over the terms present, so pairs of terms count beyond their own weights.
 It is fitted on the driver on a bounded sample of labelled rows; every whole text is scored by a narrow map.
+All terms of the sample are screened, alone and in pairs, and each one that passes has a weight and factors: a term
+whose rows differ in their labels, and both terms of a pair whose common rows differ more than by either term.
 
 Null and empty texts have no terms and get the score of the intercept. Without labels of both classes every
 score is the share of label 1 (0 without labels). Repeated rows are scored each; a document with several
@@ -55,30 +57,89 @@ class FactorizationMachine:
         return (1 / (1 + np.exp(-np.clip(self.raw(row, feature, len(rows)), -40, 40)))).tolist()
 
 
-def select_features(rows: list[np.ndarray], label: np.ndarray, most: int, least_rows: int = 3) -> np.ndarray:
-    """Buckets in enough rows whose rows differ most from the others in their labels (log-likelihood ratio)."""
-    if not rows or label.min() == label.max():
-        return np.empty(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    bucket = np.concatenate(rows).astype(np.int64)
-    ids, inverse, seen = np.unique(bucket, return_inverse=True, return_counts=True)
-    with_one = np.bincount(inverse, label[owner], len(ids))
-    n, ones = len(rows), label.sum()
+def _ratio(with_one: np.ndarray, seen: np.ndarray, ones: float, n: int) -> np.ndarray:
+    """Log-likelihood ratios of labels in rows that hold something against the others."""
     table = np.stack([with_one, seen - with_one, ones - with_one, n - seen - ones + with_one])
     margins = np.stack([seen * ones, seen * (n - ones), (n - seen) * ones, (n - seen) * (n - ones)]) / n
     with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * np.where(table > 0, table * np.log(table / np.maximum(margins, 1e-12)), 0).sum(0)
+        return 2 * np.where(table > 0, table * np.log(table / np.maximum(margins, 1e-12)), 0).sum(0)
+
+
+def _counts(rows: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets; of each entry its row and bucket's number; of each bucket its rows with label 1 and all its rows."""
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    ids, inverse, seen = np.unique(np.concatenate(rows).astype(np.int64), return_inverse=True, return_counts=True)
+    return ids, owner, inverse, np.bincount(inverse, label[owner], len(ids)), seen
+
+
+def select_features(rows: list[np.ndarray], label: np.ndarray, most: int | None = None, least_rows: int = 3) -> np.ndarray:
+    """Buckets in enough rows whose rows differ from the others in their labels; the first ``most`` if it is given."""
+    if not rows or label.min() == label.max():
+        return np.empty(0, np.int64)
+    ids, _, _, with_one, seen = _counts(rows, label)
+    g = _ratio(with_one, seen, label.sum(), len(rows))
     g[seen < least_rows] = 0
     best = np.argsort(-g, kind="stable")[:most]
     return np.sort(ids[best[g[best] > 10.83]])  # 10.83: chi-square of one degree at 0.001
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, *, factors: int = 4, most_features: int = 512, steps: int = 120, rate: float = 0.05, decay: float = 2e-4, seed: int = 7) -> FactorizationMachine:
+def select_pairs(rows: list[np.ndarray], label: np.ndarray, error: float = 0.05, block: int = 1024) -> np.ndarray:
+    """Pairs of buckets whose common rows differ in their labels by more than the rows of either one do.
+
+    All pairs that can pass are counted: common rows of one label alone bound the ratio, so terms in fewer rows than
+    reach the threshold have no such pair. The threshold is for ``error`` expected false pairs among all counted.
+    """
+    none = np.empty((0, 2), np.int64)
+    if not rows or label.min() == label.max():
+        return none
+    n, ones = len(rows), float(label.sum())
+    ids, owner, inverse, with_one, seen = _counts(rows, label)
+    able = np.ones(len(ids), bool)
+    for _ in range(3):  # the threshold depends on the number of pairs that can reach it
+        most = max(2, int(able.sum()))
+        least = 2 * np.log(most * (most - 1) / 2 / error)
+        able = np.maximum(_ratio(with_one, with_one, ones, n), _ratio(np.zeros(len(ids)), seen - with_one, ones, n)) >= least
+    able = np.flatnonzero(able)
+    if len(able) < 2:
+        return none
+    number = np.full(len(ids), -1)
+    number[able] = np.arange(len(able))
+    held = number[inverse] >= 0
+    column, row = number[inverse[held]], owner[held]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    alone = _ratio(with_one[able], seen[able], ones, n)
+    place = np.cumsum(label) - 1  # the number of a row among those of its label
+    place = np.where(label > 0, place, np.arange(n) - place - 1).astype(np.int64)
+    sizes = {1: int(ones), 0: n - int(ones)}
+
+    def dense(at: int, one: int) -> np.ndarray:
+        a, b = np.searchsorted(column, (at, at + block))
+        of = label[row[a:b]] == one
+        out = np.zeros((sizes[one], min(block, len(able) - at)), np.float32)
+        out[place[row[a:b][of]], column[a:b][of] - at] = 1
+        return out
+
+    out = []
+    for i in range(0, len(able), block):
+        left = dense(i, 1).T.copy(), dense(i, 0).T.copy()
+        for j in range(i, len(able), block):
+            pos, neg = left[0] @ dense(j, 1), left[1] @ dense(j, 0)
+            x, y = np.nonzero((pos + neg > 0) & (np.arange(i, i + pos.shape[0])[:, None] < np.arange(j, j + pos.shape[1])))
+            pos, both = pos[x, y].astype(float), (pos[x, y] + neg[x, y]).astype(float)
+            far = np.abs(pos - both * ones / n) > 1  # a row more or less reaches no threshold; cheaper than the ratio
+            x, y, pos, both = x[far], y[far], pos[far], both[far]
+            good = _ratio(pos, both, ones, n) - np.maximum(alone[i + x], alone[j + y]) >= least
+            out.append(np.stack([ids[able[i + x[good]]], ids[able[j + y[good]]]], 1))
+    return np.concatenate(out)
+
+
+def fit(rows: list[np.ndarray], label: np.ndarray, *, factors: int = 4, steps: int = 120, rate: float = 0.05, decay: float = 2e-4, seed: int = 7) -> FactorizationMachine:
     """Adam on the whole sample; ``rows`` are the distinct buckets of each text."""
     n = len(rows)
     share = float(label.mean()) if n else 0.0
     bias = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    ids = select_features(rows, label, most_features)
+    ids = np.union1d(select_features(rows, label, None), select_pairs(rows, label).ravel())
     slot = {int(b): k for k, b in enumerate(ids)}
     rng = np.random.default_rng(seed)
     p = [np.array([bias]), np.zeros(len(ids)), rng.normal(0, 0.05, (len(ids), factors))]

@@ -101,6 +101,23 @@ def test_machine_learns_pairs():
     assert ((p > 0.5) == (np.array(y) > 0.5)).mean() > 0.95
 
 
+def test_pairs_and_rare_terms_are_selected():
+    """As above with nothing replaced: neither term of the pair differs in its labels; and beyond 512 terms none is cut."""
+    rng = np.random.default_rng(3)
+    rows, y = [], []
+    for _ in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(np.array(sorted({*(10 + rng.integers(0, 50, 6)), *([1] if a else []), *([2] if b else [])}), np.int64))
+        y.append(float(a == b))
+    y = np.array(y)
+    assert not {1, 2} & set(toxicity.select_features(rows, y).tolist()) and toxicity.select_pairs(rows, y).tolist() == [[1, 2]]
+    m = toxicity.fit(rows, y, steps=400)
+    p = np.array(m.score([{m.slot[b] for b in r.tolist() if b in m.slot} for r in rows]))
+    assert ((p > 0.5) == (y > 0.5)).mean() > 0.95
+    words = [np.array([k // 10 + 1000, k % 7]) for k in range(6000)] + [np.array([k % 7]) for k in range(42_000)]
+    assert len(set(toxicity.fit(words, np.array([1.0] * 6000 + [0.0] * 42_000), steps=1).slot) - set(range(7))) == 600
+
+
 def test_toxicity(spark, odd, none, small_dir):
     labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, toxic int")
     got = toxicity.toxicity_scores(odd, labels).collect()
