@@ -5,6 +5,8 @@ Feistel permutation of the values of their own format: a card number becomes ano
 digit and the same grouping, a date another date in the same notation, an address another of the same shape.
 The permutation is a bijection, so equal values have equal pseudonyms in all documents and different values of a
 kind stay different; with the key, pseudonyms can be turned back. A pseudonym equal to its value is permuted on.
+A match that isn't valid is tried with shorter ends and the later patterns, and then the search goes on one position
+further, so values beside other numbers are found.
 
 Null texts stay null; texts without such values come back unchanged. Repeated rows are treated alike.
 """
@@ -89,6 +91,14 @@ PATTERNS = (
     ("phone", r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]){1,3}[0-9]{2,5}(?![\w-])|(?<![\w+])\+[0-9]{8,15}(?!\w)"),
 )
 _ONE = re.compile("|".join(f"(?P<k{k}>{p})" for k, (_, p) in enumerate(PATTERNS)))
+_EACH = [re.compile(p) for _, p in PATTERNS]
+_SHORTER = frozenset(("iban", "card", "phone"))  # patterns that run on over separate groups
+_GAP = re.compile(r"[ -]")
+_AFTER = re.compile(r"[0-9]-\Z")
+_CARD = next(k for k, (kind, _) in enumerate(PATTERNS) if kind == "card")
+_APART = [k for k, (kind, _) in enumerate(PATTERNS) if kind in ("ip", "date", "ssn")]
+_DATE = _EACH[next(k for k, (kind, _) in enumerate(PATTERNS) if kind == "date")]
+_CARD_GROUPS = re.compile(r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])")
 _DATE_FORMS = (("%Y-%m-%d", re.compile(r"\d{4}-\d\d-\d\d")), ("%Y/%m/%d", re.compile(r"\d{4}/\d\d/\d\d")), ("%d.%m.%Y", re.compile(r"\d{1,2}\.\d{1,2}\.\d{4}")))
 
 
@@ -227,32 +237,82 @@ class Pseudonymizer:
             out.append((a, done))
         return out
 
-    def replace(self, text: str | None) -> tuple[str | None, list[tuple[int, int, str]]]:
-        """The text with pseudonyms, and the replaced spans (start, end in the given text, kind)."""
-        if not text or not _ANY.search(text):
-            return text, []
-        out, spans, at = [], [], 0
-        for m in (m for a, b in self._windows(text) for m in _ONE.finditer(text, a, b)):
-            kind = PATTERNS[int(m.lastgroup[1:]) if m.lastgroup != "sv" else 3][0]
-            start, end = m.span("sv") if kind == "secret_value" else m.span()
-            value = text[start:end]
+    def _found(self, kind: str, value: str) -> str | None:
+        """The pseudonym of a value that a pattern took, or None if it isn't valid."""
+        found = self.known.get((kind, value), 0)
+        if found == 0:
+            if len(self.known) >= 200_000:
+                self.known.clear()
             if kind == "secret_value" and not any(c.isdigit() for c in value):
-                continue
-            found = self.known.get((kind, value), 0)
-            if found == 0:
-                if len(self.known) >= 200_000:
-                    self.known.clear()
+                found = None
+            else:
                 found = self.pseudonym(kind, value)
                 if found == value:  # a fixed point of the permutation
                     found = self.pseudonym(kind, self.pseudonym(kind, value) or value)
-                if found is None and kind == "card":
-                    found = self.pseudonym("phone", value) if re.search(r"[ -]", value) else None
-                self.known[kind, value] = found
-            if found is None or found == value:
+            self.known[kind, value] = found
+        return found
+
+    def _value_at(self, text: str, m: re.Match[str], stop: int) -> tuple[int, int, str, str] | None:
+        """The valid value that begins where a match does: start, end, kind, pseudonym.
+
+        Of each pattern, in their order, the longest match is tried, and then shorter ones that end before a blank or
+        hyphen; a shorter card number needs the groups of a card, as one in ten numbers has a right sum. What another
+        pattern tells apart inside a phone number, or a card number of other groups, goes before it.
+        """
+        first = int(m.lastgroup[1:]) if m.lastgroup != "sv" else 3
+        for k in range(first, len(PATTERNS)):
+            kind = PATTERNS[k][0]
+            x = m if k == first else _EACH[k].match(text, m.start(), stop)
+            if x is None:
                 continue
-            out += (text[at:start], found)
-            spans.append((start, end, "secret" if kind == "secret_value" else kind))
-            at = end
+            start, end = x.span("sv") if kind == "secret_value" else x.span()
+            gaps = [g.start() for g in _GAP.finditer(text, start, end)] if kind in _SHORTER else []
+            for e in (end, *reversed(gaps)):
+                value = text[start:e]
+                if kind == "card":
+                    if not _CARD_GROUPS.fullmatch(value) and (e != end or self._holds(text, start, e, stop)):
+                        continue
+                elif e != end and (text[e] == "-" or not _EACH[k].fullmatch(text, start, e)):
+                    continue
+                elif kind == "phone" and (_AFTER.search(text, max(0, start - 2), start) or _DATE.fullmatch(value) or self._holds(text, start, e, stop)):
+                    continue
+                found = self._found(kind, value)
+                if found is not None:
+                    return start, e, kind, found
+        if PATTERNS[first][0] == "card" and _GAP.search(m[0]) and not self._holds(text, *m.span(), stop):
+            found = self._found("phone", m[0])
+            return found and (*m.span(), "card", found)
+        return None
+
+    def _holds(self, text: str, start: int, end: int, stop: int) -> bool:
+        """Whether a valid date, address, social security number or grouped card number begins in a run of numbers."""
+        for at in (start, *(g.end() for g in _GAP.finditer(text, start, end))):
+            for k in _APART:
+                x = _EACH[k].match(text, at, stop)
+                if x is not None and self._found(PATTERNS[k][0], x[0]) is not None:
+                    return True
+            if (c := _CARD_GROUPS.match(text, at, stop)) is not None and (at > start or c.end() < end) and self._found("card", c[0]) is not None and _EACH[_CARD].match(text, at, stop):
+                return True
+        return False
+
+    def replace(self, text: str | None) -> tuple[str | None, list[tuple[int, int, str]]]:
+        """The text with pseudonyms, and the replaced spans (start, end in the given text, kind)."""
+        if not text or not _ANY.search(text):
+            return text, []
+        out, spans, at = [], [], 0
+        for a, b in self._windows(text):
+            while (m := _ONE.search(text, a, b)) is not None:
+                got = self._value_at(text, m, b)
+                if got is None:
+                    a = m.start() + 1
+                    continue
+                start, end, kind, found = got
+                a = max(end, m.start() + 1)
+                if found == text[start:end]:
+                    continue
+                out += (text[at:start], found)
+                spans.append((start, end, "secret" if kind == "secret_value" else kind))
+                at = end
         out.append(text[at:])
         return "".join(out), spans
 

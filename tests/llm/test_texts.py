@@ -63,6 +63,19 @@ def test_invalid_values_stay():
     assert "e3b3ed3cc8548923d6" not in p.replace("password=e3b3ed3cc8548923d6 x")[0]
 
 
+@pytest.mark.parametrize(
+    "text,values",
+    [
+        ("4111 1111 1111 1111 12/25", ("4111 1111 1111 1111",)), ("4111111111111111 123", ("4111111111111111",)), ("2023-01-15 2024-02-20", ("2023-01-15", "2024-02-20")), ("123-45-6789 555-123-4567", ("123-45-6789", "555-123-4567")),
+        ("2023-01-15 12345", ("2023-01-15",)), ("BE68 5390 0754 7034 2024", ("BE68 5390 0754 7034",)), ("12 4111 1111 1111 1111", ("4111 1111 1111 1111",)), ("call 555-123-4567 2023-01-15 ok", ("555-123-4567", "2023-01-15")),
+    ],
+)
+def test_values_beside_other_numbers_are_found(text, values):
+    out, spans = pii.Pseudonymizer(b"key").replace(text)
+    assert tuple(text[a:b] for a, b, _ in spans) == values and not any(v in out for v in values)
+    assert re.sub(r"[0-9]", "9", out) == re.sub(r"[0-9]", "9", text)
+
+
 def test_windows_find_what_the_whole_text_holds():
     rng = random.Random(1)
     p = pii.Pseudonymizer(b"key")
