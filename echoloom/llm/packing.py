@@ -1,8 +1,8 @@
 """Packing documents into batches by optimal length buckets.
 
-The histogram of lengths over all rows goes to the driver, exact up to ``EXACT`` tokens and in 64 steps an octave
-beyond, so it has a few thousand entries at any input size; each keeps its largest length. Dynamic programming over
-it chooses the bucket boundaries with the least padding. In a bucket, rows are numbered across tasks (numbers
+The histogram of the exact lengths over all rows goes to the driver: one entry a distinct length, so its size is
+bounded by the longest text and not by the rows. Dynamic programming over it, by divide and conquer, chooses the
+bucket boundaries with the least padding. In a bucket, rows are numbered across tasks (numbers
 within hashed shards, plus the counts of the shards before), and consecutive rows form batches of as many rows as
 the token budget holds at the bucket's length. No row is cut or dropped: one that is longer than the budget is
 a batch of its own.
@@ -18,22 +18,17 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-EXACT = 2048
-
 
 def text_tokens(text_col: str = "text"):
     """Whitespace-delimited words as tokens, counted in the JVM."""
     return F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(r"\S+")), F.lit(0)).cast("bigint")
 
 
-def _bin(length):
-    octave = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double")))
-    step = F.pow(F.lit(2.0), octave - 6)
-    return F.when(length <= EXACT, length.cast("double")).otherwise(F.ceil(length / step) * step)
-
-
 def choose_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
-    """The largest lengths of at most ``buckets`` buckets that pad the fewest tokens; lengths ascend."""
+    """The largest lengths of at most ``buckets`` buckets that pad the fewest tokens; lengths ascend.
+
+    The first best split never falls as the last length rises, so each half of the lengths searches its part of the splits.
+    """
     m = len(lengths)
     if not m:
         return []
@@ -42,11 +37,18 @@ def choose_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     splits = []
     for _ in range(1, min(buckets, m)):
         new, split = best.copy(), np.full(m, -1)
-        for j in range(1, m):
-            cost = best[:j] + lengths[j] * (upto[j + 1] - upto[1 : j + 1])
-            i = int(cost.argmin())
-            if cost[i] < new[j]:
-                new[j], split[j] = cost[i], i
+        todo = [(1, m - 1, 0, m - 2)]
+        while todo:
+            first, last, low, high = todo.pop()
+            if first > last:
+                continue
+            j = (first + last) // 2
+            until = min(j - 1, high)
+            cost = best[low : until + 1] + lengths[j] * (upto[j + 1] - upto[low + 1 : until + 2])
+            i = low + int(cost.argmin())
+            if cost[i - low] < new[j]:
+                new[j], split[j] = cost[i - low], i
+            todo += [(first, j - 1, low, i), (j + 1, last, i, high)]
         splits.append(split)
         best = new
     out, j = [], m - 1
@@ -59,7 +61,7 @@ def choose_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
 
 
 def length_histogram(rows: DataFrame, length: str = "length") -> tuple[np.ndarray, np.ndarray]:
-    got = rows.groupBy(_bin(F.col(length)).alias("bin")).agg(F.max(length).alias("top"), F.count("*").alias("n")).orderBy("bin").collect()
+    got = rows.groupBy(F.col(length).alias("top")).agg(F.count("*").alias("n")).orderBy("top").collect()
     return np.array([r["top"] for r in got], np.int64), np.array([r["n"] for r in got], np.int64)
 
 

@@ -37,6 +37,18 @@ def test_batches(spark):
         assert len(rs) == room or n == max(m for b, m in batches if b == bucket)  # only the last may be short
 
 
+def test_long_lengths_are_exact(spark):
+    rows = [(k, "w " * (2079 if k == 0 else 2050)) for k in range(20)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), buckets=2).collect()
+    assert all(r["padded_length"] == r["length"] for r in got) and len({r["bucket"] for r in got}) == 2
+    rng = np.random.default_rng(4)
+    lengths, counts = np.sort(rng.choice(20_000, 300, replace=False)), rng.integers(1, 50, 300)
+    best = [[lengths[j] * counts[: j + 1].sum() for j in range(300)]]
+    for _ in range(6):
+        best.append([min(best[-1][j], *(best[-1][i] + lengths[j] * counts[i + 1 : j + 1].sum() for i in range(j)), np.inf) for j in range(300)])
+    assert padding(lengths, counts, packing.choose_boundaries(lengths, counts, 7)) == best[-1][-1]
+
+
 def test_pack_odd(odd, none):
     got = packing.pack(odd, keep=["source"]).collect()
     assert len(got) == 10 and {r["length"] for r in got if r["doc_id"] in (3, 4, 7)} == {0}
