@@ -1,21 +1,27 @@
-"""Exact BM25 top-k search: an inverted index per shard, block-max pruning, and an exact merge.
-
-Shards are runs of rows as the input's partitions hold them, so no text is shuffled. A shard's index holds for each
-term its postings (place of the document, count) in the order of places, in blocks of ``BLOCK`` documents. All shards
-score with the same global statistics (documents, mean length, document frequencies of the query's terms), so the
-best k of the shards' best k are the best k of all.
-
-For a query, the postings of its rare terms are summed first. Each block's bound is the largest such sum in it plus
-the common terms' weights times their largest impacts there. The blocks with the largest bounds are scored first;
-the k-th best score so far then rules out every block with a smaller bound, and the others are scored. This is
-block-max WAND with whole blocks as the unit of skipping, run for a few hundred queries side by side. Scores are
-rounded to 9 decimals, so that equal documents tie.
-
-Queries are taken in hashed blocks of about ``queries_at_once`` queries or ``terms_at_once`` terms, whichever gives
-more blocks: the terms of one block go to the driver and to all tasks at a time, and each is a pass over the index.
+"""Exact BM25 top-k search: an inverted index per shard, block-max WAND, and an exact merge.
+
+Shards are runs of rows as the input's partitions hold them, so no text is shuffled. In a shard the documents are put
+in an order that brings similar ones together (repeated halving along the main direction of their common terms), and
+a term's postings (place, count) follow it. ``BLOCK`` neighbouring places are a block; the maxima of a term's impacts
+in blocks are the block-max entries. All shards score with the same global statistics (documents, mean length,
+document frequencies of the terms asked for), so the best k of the shards' best k are the best k of all.
+
+A few hundred queries walk a shard side by side. Each has a bound for every block, the sum of its terms' weights times
+their block maxima, and a threshold: the k-th best score that it has seen in any shard of the task so far. A query's
+pivot is the next block in order whose bound reaches its threshold; all its cursors move there, past the postings
+of the blocks between, which are never read. The block is scored for those queries whose pivot it is, and their
+thresholds rise at once. The block of the largest bound is scored first, so thresholds are tight from the start.
+Scores are rounded to 9 decimals, so that equal documents tie.
+
+Shards are dealt to a fixed number of ``groups``, each read by one task, which gives k rows a query: the rows of the
+map are queries * k * groups at any size of the table. Queries are taken in hashed blocks of about
+``queries_at_once`` queries or ``terms_at_once`` terms, whichever gives more blocks; the terms of one block are
+broadcast, which bounds the driver, and a block's queries are dealt in slices over further tasks. Each block is a
+pass over the index.
 
 Null and empty texts match nothing and, as queries, find nothing. Equal scores are ordered by id. A row may find
-itself. Repeated rows are documents each. Rows with a null id are searched, but are no queries.
+itself. Repeated rows are documents each. Rows with a null id are searched, but are no queries. Of several queries
+with one id the one with the smallest hash of its terms is taken.
 """
 
 from __future__ import annotations
@@ -35,8 +41,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import cut, drop_stored, map_texts, store
 
 BLOCK = 64
+_NULL = -(1 << 63)
 _TERM = re.compile(r"\w+")
-_INDEX = "ids array<bigint>, lengths array<int>, terms array<bigint>, starts array<int>, place array<int>, count array<int>"
+_INDEX = "n int, total bigint, ids array<bigint>, lengths array<int>, terms array<bigint>, starts array<int>, place array<int>, count array<int>"
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -47,6 +54,40 @@ def _hashes(terms) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in terms), np.uint64).view(np.int64)
 
 
+def similar_order(x: np.ndarray, leaf: int = BLOCK, steps: int = 5) -> np.ndarray:
+    """The rows of a matrix in an order of similar neighbours: halved along the main direction down to ``leaf`` rows."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= leaf:
+            out.append(rows)
+            continue
+        y = x[rows] - x[rows].mean(0)
+        v = y[np.argmax((y * y).sum(1))]
+        for _ in range(steps):
+            v = (y @ v) @ y
+            v = v / (np.sqrt(v @ v) + 1e-12)
+        order = np.argsort(y @ v, kind="stable")
+        half = max(1, -(-len(rows) // leaf) // 2) * leaf
+        todo += [rows[order[half:]], rows[order[:half]]]
+    return np.concatenate(out) if out else np.arange(0)
+
+
+def _ordered(lengths: np.ndarray, term: np.ndarray, place: np.ndarray, count: np.ndarray, common: int = 128) -> np.ndarray:
+    """The new place of each document of a shard, by the impacts of its most common terms."""
+    unique, at, seen = np.unique(term, return_inverse=True, return_counts=True)
+    often = np.argsort(-seen, kind="stable")[:common]
+    column = np.full(len(unique), -1)
+    column[often] = np.arange(len(often))
+    held = column[at] >= 0
+    norm = 0.3 + 0.9 * lengths / max(lengths.mean(), 1e-9)
+    x = np.zeros((len(lengths), len(often)), np.float32)
+    x[place[held], column[at[held]]] = (count / (count + norm[place]) * np.log1p(len(lengths) / seen[at]))[held]
+    new = np.empty(len(lengths), np.int32)
+    new[similar_order(x)] = np.arange(len(lengths), dtype=np.int32)
+    return new
+
+
 def build_index(rows: DataFrame, shard_rows: int, shard_chars: int) -> DataFrame:
     """One row a shard of (id, text) rows; terms ascend by hash, and starts has one entry more than terms."""
     arrow = to_arrow_schema(T._parse_datatype_string(_INDEX))
@@ -56,12 +97,15 @@ def build_index(rows: DataFrame, shard_rows: int, shard_chars: int) -> DataFrame
         known: dict[str, int] = {}
 
         def done():
-            term = np.concatenate(hashes) if hashes else np.empty(0, np.int64)
+            term = np.concatenate(hashes)
             place = np.repeat(np.arange(len(ids), dtype=np.int32), [len(h) for h in hashes])
-            count = np.concatenate(counts) if counts else np.empty(0, np.int32)
-            order = np.argsort(term, kind="stable")
+            count, size = np.concatenate(counts), np.array(lengths, np.int32)
+            new = _ordered(size, term, place, count)
+            old = np.argsort(new)
+            place = new[place]
+            order = np.lexsort((place, term))
             unique, first = np.unique(term[order], return_index=True)
-            columns = (ids, lengths, unique, np.append(first, len(term)).astype(np.int32), place[order], count[order])
+            columns = (len(ids), int(size.sum()), np.array(ids)[old], size[old], unique, np.append(first, len(term)).astype(np.int32), place[order], count[order])
             return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
@@ -88,16 +132,23 @@ def build_index(rows: DataFrame, shard_rows: int, shard_chars: int) -> DataFrame
     return rows.mapInArrow(run, _INDEX)
 
 
+def _spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all spans, one after the other, and the span of each."""
+    n = end - start
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[owner], owner
+
+
 class Shard:
-    """A shard's postings with their impacts under the global mean length.
+    """A shard's postings with their impacts under the global mean length, and their block maxima.
 
-    Terms in many of its documents also have a dense row of impacts and the maximum of each block; the others are
-    read by their postings. ``common`` is the share of documents from which a term is dense, ``most_common`` the
-    number of dense rows at most (the most frequent terms), so the shard's memory is bounded.
+    Terms in many of its documents also have a dense row of impacts; the others are read by their postings.
+    ``common`` is the share of documents from which a term is dense, ``most_common`` the number of dense rows at most
+    (the most frequent terms), so the shard's memory is bounded.
     """
 
     def __init__(self, ids, lengths, terms, starts, place, count, mean_length: float, k1: float, b: float, common: float = 1 / 24, most_common: int = 768) -> None:
-        self.ids, self.terms, self.starts, self.place = ids, terms, starts, place
+        self.ids, self.terms, self.place = ids, terms, place
         norm = k1 * (1 - b + b * lengths / max(mean_length, 1e-9))
         self.impact = count * (k1 + 1) / (count + norm[place]) if len(place) else np.empty(0)
         self.blocks = -(-len(ids) // BLOCK)
@@ -107,120 +158,154 @@ class Shard:
         self.row = np.full(len(terms), -1)
         self.row[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), self.blocks * BLOCK))
-        at, owner = self._spans(starts[often], starts[often + 1])
+        at, owner = _spans(starts[often], starts[often + 1])
         self.dense[owner, place[at]] = self.impact[at]
-        self.block_max = self.dense.reshape(len(often), self.blocks, BLOCK).max(2) if len(often) else np.zeros((0, self.blocks))
-
-    @staticmethod
-    def _spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The places of all spans, one after the other, and the span of each."""
-        n = end - start
-        owner = np.repeat(np.arange(len(n)), n)
-        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[owner], owner
-
-    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
-        """For each query (terms ascending, weights) the best k of the shard as (score, id); ties go to smaller ids.
-
-        The scores of rare terms are summed first. A block's bound is its largest such sum plus the weights of
-        the common terms times their block maxima; a block below the k-th best score so far is skipped.
-        """
-        q, width = len(queries), self.blocks * BLOCK
-        if not q or not len(self.terms):
-            return [[] for _ in queries]
-        owner = np.repeat(np.arange(q), [len(t) for t, _ in queries])
-        term, weight = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
-        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
-        here = self.terms[at] == term
-        owner, at, weight = owner[here], at[here], weight[here]
-        row = self.row[at]
-        common = row >= 0
-        heavy = np.zeros((q, len(self.dense)))
-        heavy[owner[common], row[common]] = weight[common]
-        spot, of = self._spans(self.starts[at[~common]], self.starts[at[~common] + 1])
-        score = np.bincount(owner[~common][of] * width + self.place[spot], self.impact[spot] * weight[~common][of], q * width).astype(float).reshape(q, self.blocks, BLOCK)
-        bound = (score.max(2) + heavy @ self.block_max) * (1 + 1e-9)
-        done = np.zeros((q, self.blocks), bool)
-        lead = min(self.blocks, max(2, -(-2 * k // BLOCK)))
-        first = np.argpartition(-bound, lead - 1, 1)[:, :lead]
-        wanted = np.zeros((q, self.blocks), bool)
-        np.put_along_axis(wanted, first, True, 1)
-        least = np.zeros(q)
-        for turn in range(2):
-            for block in np.flatnonzero(wanted.any(0)):
-                who = np.flatnonzero(wanted[:, block])
-                score[who, block] += heavy[who] @ self.dense[:, block * BLOCK : (block + 1) * BLOCK]
-            done |= wanted
-            if turn == 0:
-                seen = np.where(done[:, :, None], score, 0).reshape(q, width)
-                least = np.partition(seen, -min(k, width), 1)[:, -min(k, width)]
-                wanted = ~done & (bound >= least[:, None]) & (bound > 0)
-        score = np.where(done[:, :, None], score, 0).reshape(q, width)[:, : len(self.ids)].round(9)
-        out = []
-        kth = np.partition(score, -min(k, score.shape[1]), 1)[:, -min(k, score.shape[1])]
-        for j in range(q):
-            found = np.flatnonzero((score[j] >= kth[j]) & (score[j] > 0))
-            ids, s = self.ids[found], score[j, found]
-            order = np.lexsort((ids, -s))[:k]
-            out.append(list(zip(s[order].tolist(), ids[order].tolist(), strict=True)))
-        return out
+        self.dense_max = self.dense.reshape(len(often), self.blocks, BLOCK).max(2) if len(often) else np.zeros((0, self.blocks))
+        # block-max entries: a term's postings in one block
+        block = place // BLOCK
+        new = np.ones(len(place), bool)
+        new[1:] = block[1:] != block[:-1]
+        new[starts[:-1]] = True
+        self.first = np.append(np.flatnonzero(new), len(place))  # an entry's first posting
+        self.block = block[self.first[:-1]]
+        self.block_max = np.maximum.reduceat(self.impact, self.first[:-1]) if len(place) else np.empty(0)
+        self.entry = np.searchsorted(self.first, starts)  # a term's first entry
+
+
+class Walk:
+    """Queries that walk over shards with their best k so far: scores, ids and thresholds."""
+
+    def __init__(self, sizes: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> None:
+        """``term`` and ``weight`` hold the terms of all queries one after the other, ``sizes`` their numbers."""
+        self.q, self.k = len(sizes), k
+        self.owner, self.weight = np.repeat(np.arange(self.q), sizes), weight
+        self.term, self.of = np.unique(term, return_inverse=True)
+        self.score = np.zeros((self.q, k))
+        self.id = np.full((self.q, k), np.iinfo(np.int64).max)
+        self.met = self.scored = 0  # blocks of queries; those not scored were skipped
+
+    def over(self, shard: Shard) -> None:
+        if not self.q or not len(shard.terms):
+            return
+        at = np.minimum(np.searchsorted(shard.terms, self.term), len(shard.terms) - 1)
+        here = shard.terms[at] == self.term
+        held = here[self.of]
+        owner, at, weight = self.owner[held], at[self.of[held]], self.weight[held]
+        row = shard.row[at]
+        dense = row >= 0
+        heavy = np.zeros((self.q, len(shard.dense)))
+        heavy[owner[dense], row[dense]] = weight[dense]
+        entry, of = _spans(shard.entry[at[~dense]], shard.entry[at[~dense] + 1])
+        owner, weight, block = owner[~dense][of], weight[~dense][of], shard.block[entry]
+        bound = np.bincount(owner * shard.blocks + block, weight * shard.block_max[entry], self.q * shard.blocks).reshape(self.q, shard.blocks)
+        bound = (bound + heavy @ shard.dense_max) * (1 + 1e-9)
+        order = np.argsort(block.astype(np.uint16) if shard.blocks < 1 << 16 else block, kind="stable")
+        entry, owner, weight = entry[order], owner[order], weight[order]
+        first = np.searchsorted(block[order], np.arange(shard.blocks + 1))  # a block's entries of all queries
+        number = np.full(self.q, -1)
+
+        def visit(b: int, who: np.ndarray) -> None:
+            width = min(BLOCK, len(shard.ids) - b * BLOCK)
+            number[who] = np.arange(len(who))
+            mine = slice(first[b], first[b + 1])
+            in_who = number[owner[mine]] >= 0
+            e = entry[mine][in_who]
+            post, which = _spans(shard.first[e], shard.first[e + 1])
+            cell = number[owner[mine][in_who]][which] * BLOCK + shard.place[post] - b * BLOCK
+            number[who] = -1
+            score = np.bincount(cell, weight[mine][in_who][which] * shard.impact[post], len(who) * BLOCK).reshape(len(who), BLOCK)
+            score = (score + heavy[who] @ shard.dense[:, b * BLOCK : (b + 1) * BLOCK])[:, :width].round(9)
+            better = (score > 0) & (score >= self.score[who, -1:])
+            some = np.flatnonzero(better.any(1))
+            if len(some):
+                who = who[some]
+                s = np.concatenate([self.score[who], np.where(better[some], score[some], 0)], 1)
+                i = np.concatenate([self.id[who], np.broadcast_to(shard.ids[b * BLOCK : b * BLOCK + width], (len(who), width))], 1)
+                best = np.lexsort((i, -s), axis=1)[:, : self.k]
+                self.score[who], self.id[who] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
+
+        best = bound.argmax(1)
+        for b in np.unique(best):
+            who = np.flatnonzero((best == b) & (bound[:, b] > 0) & (bound[:, b] + 1e-9 >= self.score[:, -1]))
+            if len(who):
+                visit(b, who)
+                self.scored += len(who)
+        bound[np.arange(self.q), best] = 0
+        for b in range(shard.blocks):
+            who = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] + 1e-9 >= self.score[:, -1]))
+            if len(who):
+                visit(b, who)
+                self.scored += len(who)
+        self.met += self.q * shard.blocks
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query number, id and score of all that was found."""
+        q, r = np.nonzero(self.score > 0)
+        return q, self.id[q, r], self.score[q, r]
 
 
 def search(
-    docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75, shard_rows: int = 4096, shard_chars: int = 16_000_000, queries_at_once: int = 4000, terms_at_once: int = 4_000_000
+    docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75, shard_rows: int = 4096, shard_chars: int = 16_000_000, queries_at_once: int = 32_000, terms_at_once: int = 4_000_000, groups: int = 12, side_by_side: int = 512, slice_queries: int = 2048
 ) -> DataFrame:
     """The k best documents of each query (id, text; each distinct term counts once): query_id, rank, the found id, score."""
     spark = docs.sparkSession
-    index, index_at = store(build_index(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")), shard_rows, shard_chars))
-    n, total = index.agg(F.sum(F.size("ids")), F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()
+    number = F.col(f"`{id_col}`").cast("bigint")
+    index, index_at = store(build_index(docs.select(F.coalesce(number, F.lit(_NULL)).alias("id"), F.col(f"`{text_col}`").alias("text")), shard_rows, shard_chars))
+    n, total = index.agg(F.sum("n"), F.sum("total")).first()
     n, total = n or 0, total or 0
 
     def make():
-        def f(x):
-            return {"id": x["id"], "terms": [np.unique(_hashes(set(terms_of(t)))).tolist() for t in x["text"]]}
-
-        return f
+        return lambda x: {"id": x["id"], "terms": [np.unique(_hashes(set(terms_of(t)))) for t in x["text"]]}
 
-    asked = queries.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).filter(F.col("id").isNotNull())
+    asked = queries.select(number.alias("id"), F.col(f"`{text_col}`").alias("text")).filter(F.col("id").isNotNull())
     asked, asked_at = store(map_texts(asked, ["id", "text"], make, "id bigint, terms array<bigint>"))
     # document frequencies of the terms that are asked for
     local = index.select(F.explode(F.arrays_zip("terms", F.zip_with("starts", F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(1))), lambda x, y: y - x).alias("df"))).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.df").alias("df"))
     wanted = asked.select(F.explode("terms").alias("term")).distinct()
     frequency, frequency_at = store(local.groupBy("term").agg(F.sum("df").alias("df")).join(wanted, "term", "left_semi"))
-    number, terms = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
-    blocks = max(1, -(-number // queries_at_once), -(-terms // terms_at_once))
+    rows, terms = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    blocks = max(1, -(-rows // queries_at_once), -(-terms // terms_at_once))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    out = None
+    mean, out = total / max(1, n), None
     for block in range(blocks):
-        mine = asked.filter(F.col("block") == block).dropDuplicates(["id"])
-        rows = mine.orderBy("id").select("id", "terms").toArrow()
-        ids, lists = rows.column("id").to_pylist(), [np.array(t, np.int64) for t in rows.column("terms").to_pylist()]
+        mine = asked.filter(F.col("block") == block).groupBy("id").agg(F.min_by("terms", F.xxhash64("terms")).alias("terms"))
+        held = mine.toArrow().combine_chunks()
         known = frequency.join(mine.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi").toArrow()
         term, df = known.column("term").to_numpy(), known.column("df").to_numpy()
         order = np.argsort(term)
         term, df = term[order], df[order]
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        asked_terms = spark.sparkContext.broadcast((ids, [np.searchsorted(term, t[np.isin(t, term)]) for t in lists], term, idf))
-        mean = total / max(1, n)
-
-        def run(batches: Iterator[pa.RecordBatch], asked_terms=asked_terms, mean=mean) -> Iterator[pa.RecordBatch]:
-            ids, lists, term, idf = asked_terms.value
-            for batch in batches:
-                for at in range(batch.num_rows):
-                    columns = [batch.column(c)[at].values for c in range(6)]
-                    shard = Shard(*(c.to_numpy(zero_copy_only=False) if not c.null_count else np.array([-(1 << 63) if v is None else v for v in c.to_pylist()]) for c in columns), mean, k1, b)
-                    found = []
-                    for low in range(0, len(ids), 256):
-                        some = shard.top([(term[t], idf[t]) for t in lists[low : low + 256]], k)
-                        found += [(i, d, s) for i, best in zip(ids[low : low + 256], some, strict=True) for s, d in best]
-                    q, d, s = zip(*found, strict=True) if found else ((), (), ())
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "found", "score"])
-
-        best = index.mapInArrow(run, "query_id bigint, found bigint, score double")
+        lists = held.column("terms").combine_chunks() if held.num_rows else pa.array([], pa.list_(pa.int64()))
+        sizes, flat = np.diff(lists.offsets.to_numpy()), lists.values.to_numpy()
+        at = np.minimum(np.searchsorted(term, flat), max(0, len(term) - 1))
+        found = term[at] == flat if len(term) else np.zeros(len(flat), bool)
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[found], minlength=len(sizes))
+        weight = np.log(1 + (n - df + 0.5) / (df + 0.5))[at[found]] if len(term) else np.empty(0)
+        told = spark.sparkContext.broadcast((held.column("id").to_numpy(), sizes, flat[found], weight))
+        slices = max(1, -(-held.num_rows // slice_queries))
+        best = None
+        for part in range(slices):
+
+            def run(batches: Iterator[pa.RecordBatch], told=told, part=part, slices=slices) -> Iterator[pa.RecordBatch]:
+                ids, sizes, term, weight = told.value
+                ends = np.append(0, np.cumsum(sizes))
+                low, high = len(ids) * part // slices, len(ids) * (part + 1) // slices
+                walks = [(at, to, Walk(sizes[at:to], term[ends[at] : ends[to]], weight[ends[at] : ends[to]], k)) for at in range(low, high, side_by_side) for to in [min(high, at + side_by_side)]]
+                for batch in batches:
+                    for at in range(batch.num_rows):
+                        shard = Shard(*(batch.column(c)[at].values.to_numpy() for c in range(6)), mean, k1, b)
+                        for _, _, walk in walks:
+                            walk.over(shard)
+                for at, to, walk in walks:
+                    q, i, s = walk.best()
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at:to][q], pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "found", "score"])
+
+            shards = index.select("ids", "lengths", "terms", "starts", "place", "count").coalesce(groups)
+            some = shards.mapInArrow(run, "query_id bigint, found bigint, score double")
+            best = some if best is None else best.unionByName(some)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "found"))
         top = cut(best.withColumn("rank", rank).filter(F.col("rank") <= k))
         out = top if out is None else out.unionByName(top)
-        asked_terms.unpersist()
+        told.unpersist()
     for path in (index_at, asked_at, frequency_at):
         drop_stored(spark, path)
-    found = F.when(F.col("found") > -(1 << 63), F.col("found"))
-    return out.select("query_id", "rank", found.alias(id_col), "score")
+    return out.select("query_id", "rank", F.when(F.col("found") > _NULL, F.col("found")).alias(id_col), "score")

@@ -161,6 +161,42 @@ def test_search(spark):
     assert all(abs(s + w) < 1e-6 for q, x in got.items() for (s, _), (w, _) in zip(x, want[q]))
 
 
+def test_search_skips_blocks(spark):
+    """Texts of four vocabularies with Zipf-like words: most blocks are skipped, and the best stay exact."""
+    rng = random.Random(9)
+    words = {lang: [f"{lang}{j}" for j in range(900)] for lang in "abcd"}
+    rows = [(k, " ".join(rng.choices(words[rng.choice("abcd")], weights=[1 / (j + 3) for j in range(900)], k=rng.randint(20, 120)))) for k in range(1500)]
+    asked = rows[:60]
+    index = search.build_index(spark.createDataFrame(rows, "id long, text string").coalesce(2), 500, 1 << 30).collect()
+    df = Counter(t for _, text in rows for t in set(search.terms_of(text)))
+    n, mean = len(rows), sum(r["total"] for r in index) / len(rows)
+    lists = [sorted(set(search.terms_of(t))) for _, t in asked]
+    weight = np.array([math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for x in lists for t in x])
+    walk = search.Walk(np.array([len(x) for x in lists]), search._hashes([t for x in lists for t in x]), weight, 5)
+    for r in index:
+        walk.over(search.Shard(*(np.array(r[c]) for c in ("ids", "lengths", "terms", "starts", "place", "count")), mean, 1.2, 0.75))
+    got = {}
+    for q, i, s in zip(*walk.best()):
+        got.setdefault(asked[q][0], []).append((round(-float(s), 6), int(i)))
+    assert got == {q: [(round(s, 6), i) for s, i in x] for q, x in brute_search(rows, asked, 5).items()}
+    assert walk.met == 60 * sum(-(-len(r["ids"]) // search.BLOCK) for r in index) and walk.scored < 0.5 * walk.met
+
+
+def test_search_map_rows_are_bounded(spark):
+    """The map gives k rows a query and group, however many shards there are."""
+    rows = [(k, f"w{k % 7} x{k % 11} y") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    a = search.search(docs, docs.filter("doc_id % 100 = 0"), k=4, shard_rows=10, groups=3).orderBy("query_id", "rank").collect()
+    b = search.search(docs, docs.filter("doc_id % 100 = 0"), k=4, slice_queries=2, side_by_side=1).orderBy("query_id", "rank").collect()
+    assert a == b and len(a) == 24
+
+
+def test_search_one_query_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c d"), (2, "a"), (3, "c")], "doc_id long, text string")
+    got = search.search(docs, docs.filter("doc_id = 1"), k=9).collect()
+    assert {r["query_id"] for r in got} == {1} and len({r["doc_id"] for r in got} & {2, 3}) == 1
+
+
 def test_search_odd(odd, none):
     got = search.search(odd, odd, k=3).collect()
     assert {r["query_id"] for r in got} == {1, 2, 5, 6} and all(r["score"] > 0 for r in got)
