@@ -2,11 +2,12 @@
 
 Several heuristic labellers each vote good, bad or nothing on a text. The counts of all vote patterns (at most
 3 to the number of labellers) go to expectation-maximisation, which estimates the labellers' accuracies and the
-share of good texts, with votes taken as independent given the class. The posterior of each pattern labels its
-texts, and a logistic scorer over hashed features (word shapes and binned statistics) learns from the posteriors
-of a bounded sample. No gold labels are used. Every whole text is counted and scored.
+share of good texts, with votes taken as independent given the kind of a text: good, or one of a few kinds of bad.
+The posterior of each pattern labels its texts, and a logistic scorer over hashed features (word shapes and binned
+statistics) learns from the posteriors of a bounded sample. No gold labels are used. Every whole text is counted
+and scored.
 
-Null and empty texts have no words: they get bad votes for length and a low score. An empty table gives an empty
+Null and empty texts have no words: they get a bad vote for length and no others. An empty table gives an empty
 result. Repeated rows are scored each.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, replace_batches
+from .common import drop_stored, map_texts, replace_batches, store
 
 #: Frequent short words of English, French, German and Spanish.
 COMMON_WORDS = frozenset(
@@ -65,23 +66,24 @@ def statistics(text: str | None) -> tuple[dict[str, float], list[str]]:
 
 
 def votes(s: dict[str, float]) -> str:
-    """One character a labeller: g good, b bad, - nothing."""
-    def by(x: float, good: bool, bad: bool) -> str:
-        return "g" if good else "b" if bad else "-"
+    """One character a labeller: g good, b bad, - nothing. Between its two bounds a labeller gives no vote."""
 
-    few = s["words"] < 40  # repeated words and lines say little about short texts
+    def by(heard: bool, good: bool, bad: bool) -> str:
+        return "-" if not heard else "g" if good else "b" if bad else "-"
+
+    some, many = s["words"] > 0, s["words"] >= 40  # repeated words and lines say little about short texts
     return "".join(
         (
-            by(s["words"], s["words"] >= 5, s["words"] < 2),
-            by(s["symbols"], False, s["symbols"] > 0.08),
-            by(s["capitals"], False, s["capitals"] > 0.5),
-            by(s["separators"], False, s["separators"] > 0.15),
-            by(s["variety"], not few and s["variety"] > 0.2, not few and s["variety"] < 0.02),
-            by(s["common_words"], s["common_words"] > 0.12, not few and s["common_words"] < 0.01),
-            by(s["word_length"], 2.5 < s["word_length"] < 9, s["words"] > 0 and not 1.8 < s["word_length"] < 14),
-            by(s["word_repeats"], False, s["word_repeats"] > 0.2),
-            by(s["line_repeats"], False, not few and s["line_repeats"] > 0.8),
-            by(s["digits"], False, s["digits"] > 0.3),
+            by(True, s["words"] >= 5, not some),
+            by(some, s["symbols"] < 0.03, s["symbols"] > 0.08),
+            by(some, s["capitals"] < 0.2, s["capitals"] > 0.5),
+            by(some, s["separators"] < 0.05, s["separators"] > 0.15),
+            by(many, s["variety"] > 0.3, s["variety"] < 0.05),
+            by(some, s["common_words"] > 0.12, many and s["common_words"] < 0.01),
+            by(some, 2.5 < s["word_length"] < 7, not 1.8 < s["word_length"] < 14),
+            by(many, s["word_repeats"] < 0.1, s["word_repeats"] > 0.2),
+            by(many, s["line_repeats"] < 0.5, s["line_repeats"] > 0.8),
+            by(some, s["digits"] < 0.2, s["digits"] > 0.3),
         )
     )
 
@@ -96,7 +98,9 @@ def hashed_features(s: dict[str, float], words: list[str], known: dict[str, int]
         if b is None:
             if len(known) >= 300_000:
                 known.clear()
-            b = known[w] = crc32(_RUNS.sub(r"\1", w[:64].translate(_SHAPE)).encode("utf-8", "surrogatepass")) & keep
+            b = crc32(_RUNS.sub(r"\1", w.translate(_SHAPE)).encode("utf-8", "surrogatepass")) & keep
+            if len(w) <= 64:  # longer words are seldom met again
+                known[w] = b
         shape[b] = shape.get(b, 0) + 1
     out = {b: (c / n) ** 0.5 for b, c in shape.items()}
     for name, x in s.items():
@@ -106,41 +110,69 @@ def hashed_features(s: dict[str, float], words: list[str], known: dict[str, int]
 
 
 class LabelModel:
-    """What each labeller votes on good and on bad texts, and the share of good texts, by expectation-maximisation.
+    """The accuracies of the labellers and the share of good texts, by expectation-maximisation.
 
-    ``vote_given`` holds for each class (bad, good) and labeller the shares of texts with a good, a bad and no
-    vote; the first two give its accuracy. Labellers that look for one symptom vote bad or nothing. Two bounds
-    keep a class from shrinking to one kind of junk: each labeller passes ``least_passed`` of the bad texts at
-    least as good, if it ever votes good, and calls ``most_false`` of the good texts bad at most. It begins with each bad vote
-    taken as right with probability ``trust``.
+    A text is of one hidden kind, and its votes are independent given the kind; no vote says nothing. Since symptoms of
+    bad texts exclude each other more than independence allows, bad texts can be of several kinds: kinds are added, each
+    begun at the texts that one labeller calls bad, as long as the Bayesian information criterion rises. A kind is bad
+    where some labeller's bad votes on it clearly outnumber its good ones; the first step takes texts without a bad vote
+    as good. ``share`` holds the shares of the kinds and ``good_given`` each labeller's share of good votes on them.
     """
 
-    def __init__(self, patterns: dict[str, int], steps: int = 100, trust: float = 0.75, least_passed: float = 0.25, most_false: float = 0.002) -> None:
-        self.least_passed, self.most_false = least_passed, most_false
+    def __init__(self, patterns: dict[str, int], most_kinds: int | None = None, steps: int = 2000) -> None:
         self.index = {p: k for k, p in enumerate(sorted(patterns))}
-        count = np.array([patterns[p] for p in self.index], float)
+        self.count = np.array([patterns[p] for p in self.index], float)
         m = len(next(iter(self.index), ""))
         cast = np.array([["gb-".index(c) for c in p] for p in self.index], np.int64).reshape(len(self.index), m)
-        one_hot = np.eye(3)[cast]  # pattern, labeller, vote
-        self.post = 1 - (1 - (1 - trust) ** (cast == 1).sum(1)) if len(count) else np.empty(0)
-        self.post = np.clip(self.post, 0.01, 0.97)
-        self.prior, self.vote_given = 0.9, np.full((2, m, 3), 1 / 3)
-        for _ in range(steps if count.sum() else 0):
-            for y, of in ((0, count * (1 - self.post)), (1, count * self.post)):
-                votes_of = np.einsum("p,plv->lv", of, one_hot) + 0.5
-                self.vote_given[y] = votes_of / votes_of.sum(1, keepdims=True)
-            self.vote_given[0, :, 0] = np.maximum(self.vote_given[0, :, 0], self.least_passed)
-            self.vote_given[1, :, 1] = np.minimum(self.vote_given[1, :, 1], self.most_false)
-            self.prior = float(np.clip((count * self.post).sum() / count.sum(), 0.02, 0.98))
-            ratio = np.log(self.vote_given[1] / self.vote_given[0])
-            ratio[:, 2] = 0  # no vote says nothing of the class: short texts get few votes
-            odds = np.log(self.prior / (1 - self.prior)) + np.einsum("plv,lv->p", one_hot, ratio)
-            self.post = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+        self.good, self.cast = (cast == 0).astype(float), (cast != 2).astype(float)
+        self.share, self.good_given, self.bad_kind = np.array([0.5, 0.5]), np.full((2, m), 0.5), np.array([False, True])
+        self.post, self.right = np.empty(0), np.full((m, 2), np.nan)
+        if not self.count.sum():
+            return
+        bad = (cast == 1).any(1)
+        like, belongs = self._settle(np.stack([np.where(bad, 0.1, 0.9), np.where(bad, 0.9, 0.1)], 1), steps)
+        while belongs.shape[1] - 1 < (m if most_kinds is None else most_kinds):
+            tries = []
+            for voted in (cast == 1).T:
+                new = np.where(voted, 0.9, 0.02)[:, None]
+                tries.append(self._settle(np.concatenate([belongs * (1 - new), new], 1), 60))
+            further = self._settle(max(tries, key=lambda x: x[0])[1], steps)
+            if further[0] - like <= 0.5 * (m + 1) * np.log(self.count.sum()):
+                break
+            like, belongs = further
+        self._settle(belongs, 1)
+        weight = self.count[:, None] * belongs
+        good, all_votes = weight.T @ self.good, weight.T @ self.cast
+        self.bad_kind = (all_votes - 2 * good > np.sqrt(all_votes)).any(1)
+        self.post = belongs[:, ~self.bad_kind].sum(1)
+        with np.errstate(invalid="ignore"):
+            on_bad, on_good = all_votes[self.bad_kind].sum(0), all_votes[~self.bad_kind].sum(0)
+            self.right = np.stack([1 - good[self.bad_kind].sum(0) / on_bad, good[~self.bad_kind].sum(0) / on_good], 1)
+
+    def _settle(self, belongs: np.ndarray, steps: int) -> tuple[float, np.ndarray]:
+        """Turns of both steps until the log-likelihood stands; it, and the posteriors of the kinds for each pattern."""
+        like = -np.inf
+        for _ in range(steps):
+            weight = self.count[:, None] * belongs
+            self.share = (weight.sum(0) + 0.5) / (weight.sum() + 0.5 * belongs.shape[1])
+            self.good_given = (weight.T @ self.good + 0.5) / (weight.T @ self.cast + 1)
+            odds = np.log(self.share) + self.good @ np.log(self.good_given.T) + (self.cast - self.good) @ np.log(1 - self.good_given.T)
+            top = odds.max(1, keepdims=True)
+            each = np.exp(odds - top)
+            belongs = each / each.sum(1, keepdims=True)
+            before, like = like, float((self.count * (top[:, 0] + np.log(each.sum(1)))).sum())
+            if like - before < 1e-10 * abs(like):
+                break
+        return like, belongs
+
+    @property
+    def prior(self) -> float:
+        """The share of good texts."""
+        return float((self.count * self.post).sum() / self.count.sum()) if len(self.post) else 0.5
 
     def accuracies(self) -> np.ndarray:
-        """Of each labeller on bad and on good texts: the share of right votes."""
-        right = np.stack([self.vote_given[0, :, 1], self.vote_given[1, :, 0]], 1)
-        return right / (self.vote_given[..., 0] + self.vote_given[..., 1]).T
+        """Of each labeller on bad and on good texts: the share of right votes among its votes."""
+        return self.right
 
     def posterior(self, pattern: str) -> float:
         return float(self.post[self.index[pattern]])
@@ -179,50 +211,40 @@ class QualityModel:
 
 
 def fit_quality(docs: DataFrame, *, text_col: str = "text", sample: int = 6_000) -> QualityModel:
-    """Counts the vote patterns of all texts, then fits the scorer on ``sample`` texts.
+    """Counts the vote patterns of all texts, then fits the scorer on about ``sample`` texts.
 
-    The sample holds, with the smallest hash of the text, half texts whose votes hold a bad one and half others.
+    The sample holds, with the smallest hash of the text, half texts whose votes hold a bad one and half others; only
+    their hashes are broadcast, and equal texts count once. Every text is voted on once; votes are stored by hash.
     """
-    text = docs.select(F.col(f"`{text_col}`").alias("text"))
+    hashed = docs.select(F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
 
     def make():
         return lambda x: {"pattern": [votes(statistics(t)[0]) for t in x["text"]], "h": x["h"]}
 
-    hashed = text.withColumn("h", F.xxhash64("text"))
-    voted = map_texts(hashed, ["text", "h"], make, "pattern string, h bigint")
-    got = voted.groupBy("pattern").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).collect()
+    voted, voted_at = store(map_texts(hashed, ["text", "h"], make, "pattern string, h bigint"))
+    got = voted.groupBy("pattern").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).collect()  # at most 3 ** labellers
     labels = LabelModel({r["pattern"]: r["n"] for r in got})
-    with_bad = sum(r["d"] for r in got if "b" in r["pattern"])
-    without = sum(r["d"] for r in got if "b" not in r["pattern"])
 
-    def cutoff(total: int) -> int:
-        share = min(1.0, sample / 2 / max(1, total))
+    def cutoff(bad: bool) -> int:
+        share = min(1.0, sample / 2 / max(1, sum(r["d"] for r in got if ("b" in r["pattern"]) == bad)))
         return int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1
 
-    low, high = cutoff(with_bad), cutoff(without)
+    chosen = voted.filter(F.col("h") <= F.when(F.col("pattern").contains("b"), F.lit(cutoff(True))).otherwise(F.lit(cutoff(False)))).dropDuplicates(["h"])
 
     def make_rows():
         known: dict[str, int] = {}
 
         def f(x):
-            out = {"b": [], "v": [], "p": []}
-            for t, h in zip(x["text"], x["h"], strict=True):
-                s, words = statistics(t)
-                p = votes(s)
-                if h <= (low if "b" in p else high):
-                    got = hashed_features(s, words, known)
-                    out["b"].append(list(got))
-                    out["v"].append(list(got.values()))
-                    out["p"].append(p)
-            return out
+            each = [hashed_features(*statistics(t), known) for t in x["text"]]
+            return {"h": x["h"], "b": [list(e) for e in each], "v": [list(e.values()) for e in each], "p": x["pattern"]}
 
         return f
 
-    near = hashed.filter(F.col("h") <= max(low, high)).dropDuplicates(["h"])
-    rows = map_texts(near, ["text", "h"], make_rows, "b array<int>, v array<double>, p string").toArrow().to_pydict()
-    order = sorted(range(len(rows["p"])), key=lambda k: (rows["p"][k], rows["b"][k], rows["v"][k]))
-    features = [dict(zip(rows["b"][k], rows["v"][k], strict=True)) for k in order]
-    target = np.array([labels.posterior(rows["p"][k]) for k in order])
+    near = hashed.join(F.broadcast(chosen), "h")  # about ``sample`` hashes
+    rows = map_texts(near, ["text", "h", "pattern"], make_rows, "h bigint, b array<int>, v array<double>, p string").dropDuplicates(["h"]).orderBy("h").toArrow().to_pydict()
+    drop_stored(docs.sparkSession, voted_at)
+    features = [dict(zip(b, v, strict=True)) for b, v in zip(rows["b"], rows["v"], strict=True)]
+    target = np.array([labels.posterior(p) for p in rows["p"]])
     return QualityModel(labels, fit_scorer(features, target))
 
 
