@@ -4,16 +4,24 @@ Values are found by pattern, validated (Luhn sums, address parts, calendar dates
 Feistel permutation of the values of their own format: a card number becomes another number with a right check
 digit and the same grouping, a date another date in the same notation, an address another of the same shape.
 The permutation is a bijection, so equal values have equal pseudonyms in all documents and different values of a
-kind stay different; with the key, pseudonyms can be turned back. A pseudonym equal to its value is permuted on.
+kind stay different; with the key, pseudonyms can be turned back. It is a step round one keyed cycle of all values
+(the network, the next number, the network back), so no value is its own pseudonym.
 A match that isn't valid is tried with shorter ends and the later patterns, and then the search goes on one position
 further, so values beside other numbers are found.
 
+A value has one permutation wherever it stands: what follows a word like ``password`` is taken without marks at its
+ends, and as the kind that it would be alone, if any. Letters of addresses are permuted alike in both cases. A date
+with slashes is read as month and day if it can be, and then linked with other notations; else as day and month,
+among the dates that can only be read so. Days and months of one digit come back with two.
+
 Null texts stay null; texts without such values come back unchanged. Repeated rows are treated alike.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import math
 import re
@@ -26,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import map_texts, replace_batches
 
 _DAY0, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
-#: Every value holds a digit, an @ or the beginning of an access key.
-_ANY = re.compile(r"[0-9@]|A[KS]IA")
-_MARGIN = 160  # characters around such a place that are searched, and on to the next white space
+#: Every value holds a digit, an @ or the beginning of an access key, but for those after a word of SECRET_WORDS.
+_ANY = re.compile(r"[0-9@]|A[KS]IA|gh[pousr]_|[sp]k_(?:live|test)_")
+_MARGIN = 160  # characters around such a place that are searched, and on to the next white space: no value begins further before
 _SPACE = re.compile(r"\s")
 
 
@@ -76,12 +84,16 @@ def luhn_sum(digits: str) -> int:
     return total % 10
 
 
+#: Words before a secret.
+SECRET_WORDS = "password passwd pwd secret token api_key apikey access_key accesskey auth".split()
+_SECRET_LABEL = rf"""(?i:\b(?:{'|'.join(SECRET_WORDS)})\b["']?\s*[=:]\s*["']?)"""
+_LABELLED = re.compile(_SECRET_LABEL + r"[A-Za-z0-9+/_\-.]*")
 #: The patterns, each with its kind, in order of precedence.
 PATTERNS = (
     ("secret", r"\b(?:AKIA|ASIA)[A-Z2-7]{16}\b"),
     ("secret", r"\bgh[pousr]_[A-Za-z0-9]{36}\b"),
     ("secret", r"\b[sp]k_(?:live|test)_[A-Za-z0-9]{16,}\b"),
-    ("secret_value", r"""(?i:\b(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)\b["']?\s*[=:]\s*["']?)(?P<sv>[A-Za-z0-9+/_\-.]{6,})"""),
+    ("secret_value", _SECRET_LABEL + r"(?P<sv>[A-Za-z0-9+/_\-.]{6,})"),
     ("email", r"(?<![\w.+%-])[\w][\w.+%-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("card", r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9])"),
@@ -100,6 +112,14 @@ _APART = [k for k, (kind, _) in enumerate(PATTERNS) if kind in ("ip", "date", "s
 _DATE = _EACH[next(k for k, (kind, _) in enumerate(PATTERNS) if kind == "date")]
 _CARD_GROUPS = re.compile(r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])")
 _DATE_FORMS = (("%Y-%m-%d", re.compile(r"\d{4}-\d\d-\d\d")), ("%Y/%m/%d", re.compile(r"\d{4}/\d\d/\d\d")), ("%d.%m.%Y", re.compile(r"\d{1,2}\.\d{1,2}\.\d{4}")))
+_HEX = re.compile(r"[0-9a-f]{8,}")
+_EDGES = re.compile(r"[^A-Za-z0-9]*")
+
+
+@functools.cache
+def _late_days() -> list[int]:
+    """The days after the 12th of their month, which can't be read as month and day."""
+    return [d for d in range(_DAYS) if datetime.date.fromordinal(_DAY0 + d).day > 12]
 
 
 class Pseudonymizer:
@@ -118,8 +138,7 @@ class Pseudonymizer:
             if len(self.permutations) >= 4096:
                 self.permutations.clear()
             p = self.permutations[kind, size] = Feistel(self.key, kind, size)
-        step = p.backward if back else p.forward
-        return step(x)
+        return p.backward((p.forward(x) + (-1 if back else 1)) % size)
 
     def _digits(self, kind: str, value: str, back: bool) -> str:
         """Permutes all digits of a value together; the rest of it stays."""
@@ -127,15 +146,27 @@ class Pseudonymizer:
         new = iter(str(self._permute(f"{kind}{len(d)}", 10 ** len(d), int(d), back)).zfill(len(d)))
         return "".join(next(new) if c in "0123456789" else c for c in value)
 
-    def _mixed(self, kind: str, value: str, back: bool) -> str:
-        """Permutes the values of the same shape: letters stay letters of their case, digits digits, other characters stay."""
-        hexes = kind == "secret" and bool(re.fullmatch(r"[0-9a-f]{8,}", value))
+    def _secret(self, value: str, back: bool) -> str:
+        """Hexadecimal numbers stay such, and no other secret becomes one."""
+        if _HEX.fullmatch(value):
+            return self._mixed("secret", value, back, hexes=True)
+        new = self._mixed("secret", value, back)
+        while _HEX.fullmatch(new):
+            new = self._mixed("secret", new, back)
+        return new
+
+    def _mixed(self, kind: str, value: str, back: bool, hexes: bool = False) -> str:
+        """Permutes the values of the same shape: letters stay letters of their case, digits digits, other characters stay.
+
+        Addresses that differ in case alone have the same letters afterwards.
+        """
+        caseless = kind in ("email", "domain")
         radix = [16 if hexes else 10 if "0" <= c <= "9" else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 1 for c in value]
         x, size = 0, 1
         for c, r in zip(value, radix, strict=True):
             if r > 1:
                 x, size = x * r + (int(c, 16) if r in (10, 16) else ord(c.lower()) - 97), size * r
-        x = self._permute(f"{kind}:{''.join('h' if r == 16 else '9' if r == 10 else 'A' if c.isupper() else 'a' if r == 26 else c for c, r in zip(value, radix, strict=True))}", size, x, back)
+        x = self._permute(f"{kind}:{''.join('h' if r == 16 else '9' if r == 10 else 'A' if c.isupper() and r == 26 and not caseless else 'a' if r == 26 else c for c, r in zip(value, radix, strict=True))}", size, x, back)
         out = []
         for c, r in zip(reversed(value), reversed(radix), strict=True):
             if r == 1:
@@ -169,7 +200,12 @@ class Pseudonymizer:
                 continue
             if not 0 <= day < _DAYS:
                 continue
-            new = datetime.date.fromordinal(_DAY0 + self._permute("date", _DAYS, day, back))
+            if form == "%d/%m/%Y":
+                late = _late_days()
+                day = late[self._permute("late date", len(late), bisect.bisect_left(late, day), back)]
+            else:
+                day = self._permute("date", _DAYS, day, back)
+            new = datetime.date.fromordinal(_DAY0 + day)
             return form.replace("%Y", f"{new.year:04d}").replace("%m", f"{new.month:02d}").replace("%d", f"{new.day:02d}")
         return None
 
@@ -210,31 +246,37 @@ class Pseudonymizer:
             head = re.match(r"[A-Za-z]+_(?:(?:live|test)_)?|A[A-Z]{3}", value)[0]
             rest, alphabet = value[len(head) :], "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
             if "_" in head:
-                return head + self._mixed("secret", rest, back)
+                return head + self._secret(rest, back)
             x = 0
             for c in rest:
                 x = x * 32 + alphabet.index(c)
             x = self._permute("access key", 32 ** len(rest), x, back)
             return head + "".join(alphabet[x >> 5 * k & 31] for k in reversed(range(len(rest))))
-        return self._mixed("secret", value, back)
+        head, tail = _EDGES.match(value)[0], _EDGES.match(value[::-1])[0]
+        core = value[len(head) : len(value) - len(tail)]
+        for other, pattern in zip((kind for kind, _ in PATTERNS), _EACH, strict=True):
+            if other != "secret_value" and pattern.fullmatch(core) and (new := self.pseudonym(other, core, back)) is not None:
+                return head + new + tail[::-1]
+        return head + self._secret(core, back) + tail[::-1]
 
     @staticmethod
     def _windows(text: str) -> list[tuple[int, int]]:
         """Disjoint parts of the text, cut at white space, that hold all places where a value can be."""
+        places = [m.span() for m in _ANY.finditer(text)]
+        if any(map(text.lower().__contains__, SECRET_WORDS)):
+            places = sorted(places + [m.span() for m in _LABELLED.finditer(text)])
         out: list[tuple[int, int]] = []
-        done = 0
-        for m in _ANY.finditer(text):
-            if m.start() < done:
-                if m.start() + _MARGIN <= done:
-                    continue
-                a = out.pop()[0]
+        for start, end in places:
+            if out and end + _MARGIN <= out[-1][1]:
+                continue
+            a = max(0, start - _MARGIN)
+            a = max(text.rfind(" ", 0, a), text.rfind("\n", 0, a), 0)
+            space = _SPACE.search(text, min(len(text), end + _MARGIN))
+            b = space.start() if space else len(text)
+            if out and a < out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
             else:
-                a = max(text.rfind(" ", 0, max(0, m.start() - _MARGIN)), text.rfind("\n", 0, max(0, m.start() - _MARGIN)), 0)
-                if out and a < done:
-                    a = out.pop()[0]
-            end = _SPACE.search(text, min(len(text), m.end() + _MARGIN))
-            done = end.start() if end else len(text)
-            out.append((a, done))
+                out.append((a, b))
         return out
 
     def _found(self, kind: str, value: str) -> str | None:
@@ -247,8 +289,6 @@ class Pseudonymizer:
                 found = None
             else:
                 found = self.pseudonym(kind, value)
-                if found == value:  # a fixed point of the permutation
-                    found = self.pseudonym(kind, self.pseudonym(kind, value) or value)
             self.known[kind, value] = found
         return found
 
@@ -297,7 +337,7 @@ class Pseudonymizer:
 
     def replace(self, text: str | None) -> tuple[str | None, list[tuple[int, int, str]]]:
         """The text with pseudonyms, and the replaced spans (start, end in the given text, kind)."""
-        if not text or not _ANY.search(text):
+        if not text:
             return text, []
         out, spans, at = [], [], 0
         for a, b in self._windows(text):
