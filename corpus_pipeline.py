@@ -34,7 +34,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in tempered shares of their sources; those of a second pass occur twice."""
-    return mix(docs).select([f"`{c}`" for c in docs.columns])
+    return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

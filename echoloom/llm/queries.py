@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .fingerprints import fingerprint_in_order
 from .html_extract import extract_main_text
-from .mixing import mix
+from .mixing import draws
 from .neardup import near_duplicates
-from .packing import pack, text_tokens
+from .packing import pack
 from .pii import pseudonymize
 from .quality import fit_quality, quality_scores
 from .search import search
@@ -66,8 +66,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", text_tokens("text").alias("n_tokens"), F.col("__pass").alias("pass"))
+    return draws(table(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
