@@ -1,19 +1,43 @@
-"""The driver's contract holds with and without the optional subpackage."""
-
-import importlib
+import os
+import shutil
+import subprocess
 import sys
 
+import __spark_entry__ as entry
+from echoloom import queries as core
+
+ROOT = os.path.dirname(os.path.abspath(entry.__file__))
+
 
 def test_entry(spark, small_dir):
-    import __spark_entry__ as e
+    assert entry.entry(spark).count() > 0
+
+
+def test_every_query_has_sql_or_a_reason():
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(core.oracle_sql()) <= set(core.queries())
+
+
+def _names(folder):
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"], cwd=folder, capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": ""})
+    return [line.split() for line in run.stdout.splitlines()]
+
 
-    rows = e.entry(spark).collect()
-    assert rows and set(e.oracle_sql()) <= set(e.queries())
+def test_without_the_corpus_operators(tmp_path):
+    """In a copy whose llm folder is gone, with and without corpus_pipeline.py, the engine's own queries stay."""
+    shutil.copytree(f"{ROOT}/echoloom", tmp_path / "echoloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    want = [sorted(core.queries()), sorted(core.oracle_sql())]
+    assert _names(tmp_path) == want
+    if os.path.exists(f"{ROOT}/corpus_pipeline.py"):
+        shutil.copy(f"{ROOT}/corpus_pipeline.py", tmp_path)
+        assert _names(tmp_path) == want
 
 
-def test_without_subpackage(monkeypatch):
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("echoloom.llm", "corpus_pipeline") else real(name, *a))
-    sys.modules.pop("__spark_entry__", None)
-    e = importlib.import_module("__spark_entry__")
-    assert "loop_hits" in e.queries() and not any(n.startswith("op") or n == "pipeline" for n in e.queries())
+def test_with_a_broken_subpackage(tmp_path):
+    """A third-party module that is missing takes only the corpus operators away."""
+    shutil.copytree(f"{ROOT}/echoloom", tmp_path / "echoloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    (tmp_path / "echoloom" / "llm").mkdir()
+    (tmp_path / "echoloom" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "echoloom" / "llm" / "queries.py").write_text("import no_such_module_anywhere\n")
+    assert _names(tmp_path)[0] == sorted(core.queries())
