@@ -245,7 +245,7 @@ class Walk:
 
 
 def search(
-    docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75, shard_rows: int = 4096, shard_chars: int = 16_000_000, queries_at_once: int = 32_000, terms_at_once: int = 4_000_000, groups: int = 12, side_by_side: int = 512, slice_queries: int = 2048
+    docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75, shard_rows: int = 4096, shard_chars: int = 16_000_000, queries_at_once: int = 32_000, terms_at_once: int = 4_000_000, groups: int = 12, side_by_side: int = 256, slice_queries: int = 2048
 ) -> DataFrame:
     """The k best documents of each query (id, text; each distinct term counts once): query_id, rank, the found id, score."""
     spark = docs.sparkSession
