@@ -57,7 +57,7 @@ def decode_tokens(tokens: Column | str) -> Column:
         known = _Memory()
         return pa.array([None if x is None else [known[t] for t in x] for x in a.to_pylist()], pa.list_(pa.string()))
 
-    return run(F.col(tokens) if isinstance(tokens, str) else tokens)
+    return run.asNondeterministic()(F.col(tokens) if isinstance(tokens, str) else tokens)  # run once a row, whatever filters on it
 
 
 def decode_token(token: Column | str) -> Column:

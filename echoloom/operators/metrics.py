@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,26 +23,60 @@ def threshold_stop(log: DataFrame, key: str, step: str, value: str, threshold: f
     return log.groupBy(key).agg(F.min(F.when(reached, F.col(step))).alias("stop_step"))
 
 
-def plateau_stop(log: DataFrame, key: str, step: str, value: str, higher: bool = True, patience: int = 10, min_delta: float = 0.0) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], cell: Column, order: list[Column | str], name: str) -> DataFrame:
+    """Adds the number (from 1) of each row of a group in an order; ``cell`` must not fall in that order.
+
+    Rows are numbered in their cells, and counts of the cells before are added, so a group of any size is spread over
+    tasks: one window task holds a group's cells, not its rows.
+    """
+    held = rows.withColumn("__cell", cell)
+    counts = held.groupBy(*keys, "__cell").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "__cell", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__cell").orderBy(*order))
+    return held.withColumn("__in", inside).join(offsets, [*keys, "__cell"]).withColumn(name, F.col("__before") + F.col("__in")).drop("__cell", "__before", "__in")
+
+
+def records(log: DataFrame, key: str, place: str, value: str, cell_rows: int = 4096) -> DataFrame:
+    """The rows with a higher value than all before them in their series, by places that count from 1.
+
+    Maxima of cells of places are compared first; only cells' rows are put in order.
+    """
+    cell = F.floor((F.col(place) - 1) / cell_rows)
+    tops = log.groupBy(key, cell.alias("__cell")).agg(F.max(value).alias("__top"))
+    earlier = Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = tops.select(key, "__cell", F.max("__top").over(earlier).alias("__before"))
+    inside = F.max(value).over(Window.partitionBy(key, "__cell").orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
+    rows = log.withColumn("__cell", cell).withColumn("__inside", inside).join(before, [key, "__cell"])
+    best = F.greatest("__before", "__inside")  # null only where nothing is before
+    return rows.filter(best.isNull() | (F.col(value) > best)).drop("__cell", "__inside", "__before")
+
+
+def plateau_stop(log: DataFrame, key: str, step: str, value: str, higher: bool = True, patience: int = 10, min_delta: float = 0.0, cell_steps: int = 4096) -> DataFrame:
     """Per key the first step with ``patience`` logs since the best value last rose by more than ``min_delta``.
 
-    A series is one array in order: with ``min_delta`` each best value depends on all before it.
+    Only a value above all before it can raise the best, so a series is reduced to its records before it is folded in
+    order. ``cell_steps`` steps are numbered in one task.
     """
-    series = log.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), (F.col(value) if higher else -F.col(value)).cast("double").alias("v")))).alias("xs"))
-    zero = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("since"), F.lit(None).cast("bigint").alias("stop"))
+    v = (F.col(value) if higher else -F.col(value)).cast("double")
+    rows = numbered(log.select(key, F.col(step).alias("__step"), v.alias("__v")), [key], F.floor(F.col("__step") / cell_steps), ["__step"], "__place")
+    rising = records(rows, key, "__place", "__v").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("__place").alias("p"), F.col("__v").alias("v")))).alias("xs"))
+    zero = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("stop"))
 
     def fold(s, x):
-        first, better = s["best"].isNull(), x["v"] - s["best"] > min_delta
-        since = F.when(first | better, 0).otherwise(s["since"] + 1)
-        best = F.when(first | better, x["v"]).otherwise(s["best"])
-        stop = F.coalesce(s["stop"], F.when(since >= patience, x["s"].cast("bigint")))
-        return F.struct(best.alias("best"), since.alias("since"), stop.alias("stop"))
+        risen = s["best"].isNull() | (x["v"] - s["best"] > min_delta)
+        stop = F.coalesce(s["stop"], F.when(risen & (x["p"] - s["at"] > patience), s["at"] + patience))
+        return F.struct(F.when(risen, x["v"]).otherwise(s["best"]).alias("best"), F.when(risen, x["p"]).otherwise(s["at"]).alias("at"), stop.alias("stop"))
 
-    return series.select(key, F.aggregate("xs", zero, fold, lambda s: s["stop"]).alias("stop_step"))
+    ends = rising.select(F.col(key).alias("__key"), F.aggregate("xs", zero, fold, lambda s: F.coalesce(s["stop"], s["at"] + patience)).alias("__stop"))  # a row a key
+    there = rows.join(ends, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__place") <= F.col("__stop")), "inner")
+    return there.groupBy(key).agg(F.min(F.when(F.col("__place") == F.col("__stop"), F.col("__step").cast("bigint"))).alias("stop_step"))
 
 
-def estimated_steps(examples: int, epochs: float, batch: int, accumulation: int) -> int:
-    return math.ceil(examples * epochs / (batch * accumulation))
+def estimated_steps(examples: int | Column, epochs: float, batch: int, accumulation: int) -> int | Column:
+    """The optimizer steps of a number of examples, given as a number or as a column."""
+    exact = examples * epochs / (batch * accumulation)
+    return F.ceil(exact) if isinstance(examples, Column) else math.ceil(exact)
 
 
 def trained_layers(parameters: DataFrame, name: str, layer: Column, last: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import PROMPT_TEMPLATE, Choice, Repetition
@@ -360,8 +360,8 @@ t AS (SELECT vec_id, CAST(vec_id % 8 AS INTEGER) AS batch, pref, n_chosen, n_won
 
 
 def _events(spark, d):
-    step = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return read(spark, d, "events").select("event_type", "value", step.alias("step"))
+    rows = read(spark, d, "events").select("event_type", "value", "ts", "event_id")
+    return metrics.numbered(rows, ["event_type"], F.date_trunc("hour", "ts"), ["ts", "event_id"], "step").select("event_type", "value", "step")
 
 
 def metric_windows(spark, d):
@@ -386,7 +386,7 @@ _EVENTS = "WITH ev AS (SELECT event_type, value, row_number() OVER (PARTITION BY
 def starter_share(spark, d):
     """Share of loops by the word at which the loop begins."""
     rows = repetition.with_repetition(_docs(spark, d).select("doc_id", "text")).filter(F.col("hit").isNotNull())
-    word = F.regexp_extract(F.expr("substring(text, hit.repeat_start + 1, 200)"), r"^\s*(\S+)", 1)
+    word = F.regexp_extract(F.expr("substring(text, hit.repeat_start + 1)"), r"^\s*(\S+)", 1)
     return reports.shares(rows.select(word.alias("starter")), "starter").withColumn("share", F.round("share", 9))
 
 
@@ -469,7 +469,7 @@ def oracle_sql() -> dict[str, str]:
         "metric_windows": f"{_EVENTS} SELECT event_type, (step - 1) // 5 AS \"window\", round(avg(value), 6) AS mean_value, count(*) AS n FROM ev GROUP BY ALL",
         "threshold_stop": f"{_EVENTS} SELECT event_type, CAST(min(step) FILTER (value >= 200.0) AS INTEGER) AS stop_step FROM ev GROUP BY event_type",
         "plateau_stop": f"{_EVENTS}, m AS (SELECT *, max(value) OVER (PARTITION BY event_type ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM ev), g AS (SELECT *, max(CASE WHEN best IS NULL OR value > best THEN step END) OVER (PARTITION BY event_type ORDER BY step) AS risen FROM m) SELECT event_type, min(step) FILTER (step - risen >= 10) AS stop_step FROM g GROUP BY event_type",
-        "starter_share": f"{_FIRST}, s AS (SELECT regexp_extract(substr(text, CAST(h.start_char + h.period + 1 AS BIGINT), 200), '^\\s*(\\S+)', 1) AS starter FROM looped h JOIN documents USING (doc_id)) SELECT starter, count(*) AS cnt, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM s GROUP BY starter",
+        "starter_share": f"{_FIRST}, s AS (SELECT regexp_extract(substr(text, CAST(h.start_char + h.period + 1 AS BIGINT)), '^\\s*(\\S+)', 1) AS starter FROM looped h JOIN documents USING (doc_id)) SELECT starter, count(*) AS cnt, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM s GROUP BY starter",
         "top_counter": f"WITH {_PAIRS} SELECT token, count(*) AS cnt FROM pairs GROUP BY token ORDER BY cnt DESC, token LIMIT 8",
         "model_name_parse": f"SELECT p_partkey, base, coalesce(nullif(regexp_extract(base, '(?i)(\\d+B)', 1), ''), 'model') AS size, coalesce(nullif(regexp_extract(base, '_(\\d+)_HF(?:_|$)', 1), ''), regexp_extract_all(base, '\\d+')[-1], 'unknown') AS parent FROM (SELECT p_partkey, regexp_extract(name, '([^/]*)$', 1) AS base FROM {names})",
         "sanitize_names": "SELECT p_partkey, regexp_replace(regexp_replace(trim('-_ ' || p_name || '/#' || p_type || ' !'), '[^A-Za-z0-9._+-]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g') AS safe FROM part",

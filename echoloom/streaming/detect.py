@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,17 +26,28 @@ def windowed_rates(stream: DataFrame, time_col: str, width: str = "10 minutes",
 
 
 def until_target(stream: DataFrame, out: str, checkpoint: str, target: int, hit: str = "hit"):
-    """Writes hits as Parquet and stops after the micro-batch that reaches ``target``; surplus hits of it are cut."""
-    state = {"n": 0}
+    """Writes hits as Parquet, a folder a micro-batch, and stops after the micro-batch that reaches ``target``; surplus
+    hits of it are cut. What earlier runs wrote is counted first, so a restart goes on where it was."""
+    spark, state, started = stream.sparkSession, {"n": None}, threading.Event()
+
+    def written(before: int) -> int:
+        try:
+            return spark.read.parquet(out).filter(F.col("batch") < before).count()
+        except AnalysisException:  # nothing is written yet
+            return 0
 
     def sink(batch: DataFrame, number: int) -> None:
+        if state["n"] is None:
+            state["n"] = written(number)
         left = target - state["n"]
-        if left <= 0:
-            query.stop()
-            return
-        path = f"{out}/batch={number}"
-        batch.filter(F.col(hit).isNotNull()).limit(left).write.mode("overwrite").parquet(path)
-        state["n"] += batch.sparkSession.read.parquet(path).count()
+        if left > 0:
+            path = f"{out}/batch={number}"
+            batch.filter(F.col(hit).isNotNull()).limit(left).write.mode("overwrite").parquet(path)
+            state["n"] += spark.read.schema(batch.schema).parquet(path).count()
+        if state["n"] >= target:
+            started.wait()
+            threading.Thread(target=query.stop, daemon=True).start()  # the query ends when this call has returned
 
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    started.set()
     return query

@@ -73,6 +73,19 @@ def test_loss(spark):
         assert got[b]["margin_win"] == pytest.approx(np.mean(np.array(deltas) >= 2)) and med[b] == pytest.approx(sorted(deltas)[(len(deltas) - 1) // 2])
 
 
+def plain_plateau(values, patience, least):
+    """The step (odd numbers) of the first log that is ``patience`` logs after the last rise."""
+    best, since = None, 0
+    for n, v in enumerate(values):
+        if best is None or v - best > least:
+            best, since = v, 0
+        else:
+            since += 1
+        if since >= patience:
+            return n * 2 + 1
+    return None
+
+
 def test_stops(spark):
     values = [0.1, 0.5, 0.4, 0.45, 0.3, 0.9, 0.2]
     log = spark.createDataFrame([("m", k + 1, v) for k, v in enumerate(values)], "key string, step int, value double")
@@ -81,6 +94,15 @@ def test_stops(spark):
     assert metrics.plateau_stop(log, "key", "step", "value", patience=3).first()["stop_step"] == 5
     assert metrics.plateau_stop(log, "key", "step", "value", patience=3, min_delta=0.6).first()["stop_step"] == 4
     assert metrics.plateau_stop(log, "key", "step", "value", higher=False, patience=6).first()["stop_step"] == 7
+    rng = np.random.default_rng(2)
+    series = {k: np.cumsum(rng.normal(0.02, 1, 300)).round(2).tolist() for k in "abc"}
+    many = spark.createDataFrame([(k, n * 2 + 1, v) for k, vs in series.items() for n, v in enumerate(vs)], "key string, step int, value double").repartition(5)
+    for patience, least, higher in ((10, 0.0, True), (25, 1.5, True), (30, 0.5, False), (1000, 0.0, True)):
+        got = metrics.plateau_stop(many, "key", "step", "value", higher=higher, patience=patience, min_delta=least, cell_steps=64)
+        assert {r["key"]: r["stop_step"] for r in got.collect()} == {k: plain_plateau(vs if higher else [-v for v in vs], patience, least) for k, vs in series.items()}
+    placed = metrics.numbered(many, ["key"], F.floor(F.col("step") / 40), ["step"], "n")
+    assert placed.filter("n * 2 - 1 <> step").count() == 0 and placed.count() == 900
+    assert {(r["key"], r["n"]) for r in metrics.records(placed, "key", "n", "value", 16).collect()} == {(k, n + 1) for k, vs in series.items() for n, v in enumerate(vs) if all(v > w for w in vs[:n])}
     assert [round(r["mean_value"], 3) for r in metrics.window_means(log, "key", "step", "value", 5).orderBy("window").collect()] == [0.35, 0.55]
     assert reports.loop_rate(log.limit(0), F.lit(True)).first()["loop_rate"] == 0
 
@@ -93,6 +115,13 @@ def test_stream(spark, tmp_path):
     query = until_target(stream, str(tmp_path / "out"), str(tmp_path / "ck"), 4)
     query.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    for _ in range(2):  # a file a batch: the target is met in the second one, and a restart writes no more
+        query = until_target(detect_files(spark, str(tmp_path / "in"), data.schema, files_at_once=1), str(tmp_path / "out2"), str(tmp_path / "ck3"), 4)
+        query.awaitTermination(60)
+        assert spark.read.parquet(str(tmp_path / "out2")).count() == 4
+    query = until_target(detect_files(spark, str(tmp_path / "in"), data.schema), str(tmp_path / "out2"), str(tmp_path / "ck4"), 4)
+    query.awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out2")).filter("batch > 0").count() <= 4
     rates = windowed_rates(detect_files(spark, str(tmp_path / "in"), data.schema), "at")
     q = rates.writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination(60)

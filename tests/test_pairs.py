@@ -52,6 +52,8 @@ def test_byte_tokens(spark):
         assert rows.select(tokens.token_index(F.col("decoded"), F.lit(at)).alias("k")).first()["k"] == want
     spans = tokens.token_spans(rows.withColumn("id", F.lit(1)), "id")
     assert [(r["char_start"], r["char_end"]) for r in spans.orderBy("idx").collect()] == [(0, 2), (2, 3), (3, 3), (3, 5)]
+    several = spark.createDataFrame([(1, ["ab", "é中", None]), (2, None), (3, []), (4, ["", "x"])], "id int, decoded array<string>").coalesce(1)
+    assert [tuple(r) for r in tokens.token_spans(several, "id").select("id", "idx", "char_end").collect()] == [(1, 0, 2), (1, 1, 4), (1, 2, 4), (4, 0, 0), (4, 1, 1)]
 
 
 def plain_choice(options, rejected, temperature, c):
