@@ -14,10 +14,12 @@ from ..operators.balance import sample_pairs
 from ..operators.features import drop_trimmed, filter_counts, tokenise
 from ..operators.metrics import estimated_steps
 from ..operators.reports import top_counts
+from ..sources.readers import write_json
 
 
 @dataclass
 class Prepared:
+    dropped: DataFrame
     features: DataFrame
     reasons: DataFrame
     sampled: DataFrame
@@ -28,20 +30,38 @@ class Prepared:
 
 def prepare(pairs: DataFrame, encode: Callable[[], Callable[[str], list[int]]], cfg: TrainingConfig = TrainingConfig(), own_source: bool = False) -> Prepared:
     """``own_source`` lets pairs without source fields of their own be balanced by ``source``."""
-    untrimmed, _ = drop_trimmed(pairs)
+    untrimmed, dropped = drop_trimmed(pairs)
     rows = untrimmed.withColumn("source_label", source_label("source_dataset", "source_task", "source_eval_key", fallback="source" if own_source else None))
     rows = rows.withColumn("__key", F.sha2(F.to_json(F.struct(*[F.col(c) for c in pairs.columns])), 256))
     sampled = sample_pairs(rows, token="rejected_decoded", source="source_label", key="__key", most=cfg.max_train_examples, strength=cfg.rejected_regularisation_strength, seed=cfg.seed, mode=cfg.source_balance_mode, chosen="multi_chosen_decoded", min_chosen=cfg.min_chosen_tokens).drop("__key")
     tokenised = tokenise(sampled, encode, max_length=cfg.max_seq_length, stop_words=cfg.filter_rejected_stop_words, chosen_strength=cfg.chosen_regularisation_strength)
     features = tokenised.filter(F.col("reject_reason").isNull()).select("prompt_ids", "chosen_ids", "rejected_token_id", "rejected_decoded", "chosen_decoded")
     counted = pairs.withColumn("n_chosen", chosen_count("multi_chosen_decoded").cast("string"))
-    return Prepared(features, filter_counts(tokenised), sampled, top_counts(pairs, "rejected_decoded"), top_counts(counted, "n_chosen"), top_counts(sampled, "source_label"))
+    return Prepared(dropped, features, filter_counts(tokenised), sampled, top_counts(pairs, "rejected_decoded"), top_counts(counted, "n_chosen"), top_counts(sampled, "source_label"))
 
 
 def steps(cfg: TrainingConfig, examples: int) -> int:
     return estimated_steps(examples, cfg.num_epochs, cfg.batch_size, cfg.gradient_accumulation_steps)
 
 
+def write_training_data(pairs: DataFrame, encode: Callable[[], Callable[[str], list[int]]], out: str, cfg: TrainingConfig = TrainingConfig(), own_source: bool = False, user: str = "local", job: str = "local") -> dict:
+    """Writes <out>/features and, under <out>/reports, the counts by reason, rejected token, number of chosen tokens and
+    source; returns the totals with the schedule and, if it is to be made, the merged model's name and folder."""
+    ready = prepare(pairs, encode, cfg, own_source)
+    write_json(ready.features, f"{out}/features")
+    spark = pairs.sparkSession
+    n = spark.read.schema(ready.features.schema).json(f"{out}/features").count()
+    for name, rows in (("reasons", ready.reasons), ("by_rejected", ready.by_rejected), ("by_chosen", ready.by_chosen), ("by_source", ready.by_source)):
+        write_json(rows.coalesce(1), f"{out}/reports/{name}")
+    report = {"examples": n, "dropped_trimmed": ready.dropped.first()["n_dropped"], "steps": steps(cfg, n)}
+    if cfg.model_name and cfg.auto_merged_output_name:
+        named = model_names(spark.range(1).select(F.lit(cfg.model_name).alias("name")), "name", user=user, job=job, examples=n, rate=cfg.learning_rate, epochs=cfg.num_epochs)
+        report["merged_name"] = named.first()["merged_name"]
+        report["merged_dir"] = merged_dir(str(cfg.merged_output_dir), report["merged_name"])
+    write_json(spark.createDataFrame([report]).coalesce(1), f"{out}/reports/summary")
+    return report
+
+
 def model_names(models: DataFrame, name: str, *, user: str, job: str, examples: int, rate: float, epochs: float, tag: str = "prefs"):
     """Names of models trained from each parent: user_tag-size, parent, samples, rate, epochs, job."""
     parts = F.concat_ws("_", F.concat(safe_name(F.lit(user)), F.lit(f"_{tag}"), model_size(name)), F.concat(F.lit("from"), parent_id(name)), F.lit(f"{examples}-samples"), F.lit(f"lr{format_number(rate)}"), F.lit(f"ep{format_epochs(epochs)}"), safe_name(F.lit(job)), F.lit("HF"))

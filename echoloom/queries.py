@@ -58,7 +58,7 @@ def generation_records(spark, d):
     return out.select("source", "prompt", "status", F.col("repetition.start_char").alias("start_char"), F.col("repetition.repeats").alias("repeats"), F.length("completion").alias("n"))
 
 
-_PROBES = """
+_HIT_PARTS = """
 probes AS (
   SELECT doc_id, text, n, CAST(u.sp AS BIGINT) AS sp, substr(text, CAST(u.sp + 1 AS BIGINT), 16) AS fp
   FROM (SELECT doc_id, source, text, length(text) AS n FROM documents WHERE length(text) >= {total}) d,
@@ -94,10 +94,10 @@ hits AS (
 
 
 def _hits_sql(total: int, repeats: int) -> str:
-    return f"WITH {_PROBES.format(total=total, repeats=repeats)} SELECT doc_id, CAST(start_char AS INTEGER) AS start_char, CAST(end_char AS INTEGER) AS end_char, CAST(period AS INTEGER) AS period, CAST(repeats AS INTEGER) AS repeats, CAST(start_char + period AS INTEGER) AS repeat_start_char, snippet FROM hits WHERE first = 1"
+    return f"WITH {_HIT_PARTS.format(total=total, repeats=repeats)} SELECT doc_id, CAST(start_char AS INTEGER) AS start_char, CAST(end_char AS INTEGER) AS end_char, CAST(period AS INTEGER) AS period, CAST(repeats AS INTEGER) AS repeats, CAST(start_char + period AS INTEGER) AS repeat_start_char, snippet FROM hits WHERE first = 1"
 
 
-_FIRST = f"WITH {_PROBES.format(total=60, repeats=4)}, looped AS (SELECT * FROM hits WHERE first = 1)"
+_FIRST = f"WITH {_HIT_PARTS.format(total=60, repeats=4)}, looped AS (SELECT * FROM hits WHERE first = 1)"
 _RATE = "count(*) AS n_texts, count(h.doc_id) AS n_loops, round(100.0 * count(h.doc_id) / greatest(count(*), 1), 6) AS loop_rate FROM documents d LEFT JOIN looped h USING (doc_id)"
 
 
@@ -110,13 +110,6 @@ def prompt_format(spark, d):
     return turns.select("conv_id", format_prompt(F.lit(""), F.col("chat"), PROMPT_TEMPLATE).alias("prompt"))
 
 
-def chat_roles(spark, d):
-    rows = read(spark, d, "conversations")
-    role = F.coalesce(F.when(F.col("role") == "assistant", "gpt").when(F.col("role") == "user", "human"), F.col("role"))
-    back = F.when(role == "human", "user").when(role == "gpt", "assistant").when(role == "system", "system").otherwise("user")
-    return rows.groupBy(back.alias("role")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-
-
 def skip_filter(spark, d):
     return _docs(spark, d).filter(~scalar.holds_any("source", SKIPPED)).select("doc_id", "source")
 
@@ -138,11 +131,6 @@ def trimmed_count(spark, d):
     return features.drop_trimmed(_with_marks(spark, d))[1]
 
 
-def blank_lines(spark, d):
-    lines = _docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.filter(F.trim("line") != "").groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-
-
 def source_labels(spark, d):
     a, b = F.when(F.col("doc_id") % 3 == 0, F.col("source")), F.when(F.col("doc_id") % 3 == 1, "").otherwise(F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
     return _docs(spark, d).select("doc_id", scalar.source_label(a, b, F.lit(None).cast("string")).alias("label"))
@@ -415,15 +403,19 @@ def layers(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        loop_hits, loop_hits_loose, loop_rate_by_source, loop_report, generation_records, prompt_format, chat_roles, skip_filter, source_isin, trimmed_filter, trimmed_count, blank_lines, source_labels,
+        loop_hits, loop_hits_loose, loop_rate_by_source, loop_report, generation_records, prompt_format, skip_filter, source_isin, trimmed_filter, trimmed_count, source_labels,
         token_spans, char_to_token, char_to_token_join, context_before, choose_tokens, choose_min_p, choose_top_k, rejected_ratios, quotas, source_share, regularised_sample, source_balance_equal,
         source_balance_sqrt, filter_cascade, filter_cascade_counts, normal_keys, preference_loss, batch_metrics, median_delta, metric_windows, threshold_stop, plateau_stop, starter_share, top_counter,
         model_name_parse, sanitize_names, layers,
     )
-    return {f.__name__: f for f in every}
+    from . import queries_mining
+
+    return {f.__name__: f for f in every} | queries_mining.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_mining
+
     skipped = " OR ".join(f"contains(lower(source), '{s}')" for s in SKIPPED)
     words = "regexp_extract_all(text, '\\s?\\S+')"
     template = PROMPT_TEMPLATE.replace("'", "''").partition("{prompt}")
@@ -433,19 +425,17 @@ def oracle_sql() -> dict[str, str]:
     spans = f"(SELECT doc_id, text, len(w) AS nw, w, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS idx FROM (SELECT doc_id, text, {words} AS w FROM documents))"
     ends = f"(SELECT doc_id, text, idx, t, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY idx) AS e FROM {spans})"
     located = f"SELECT d.doc_id, CAST(length(d.text) // 2 AS INTEGER) AS pos, CAST(s.idx AS INTEGER) AS idx FROM documents d {{join}} JOIN {ends} s ON s.doc_id = d.doc_id AND s.e - length(s.t) <= length(d.text) // 2 AND length(d.text) // 2 < s.e"
-    return {
+    return queries_mining.oracle_sql() | {
         "loop_hits": _hits_sql(60, 4),
         "loop_hits_loose": _hits_sql(32, 2),
         "loop_rate_by_source": f"{_FIRST} SELECT d.source, {_RATE} GROUP BY d.source",
         "loop_report": f"{_FIRST} SELECT {_RATE}",
         "generation_records": f"{_FIRST} SELECT d.source, CAST(d.doc_id AS VARCHAR) AS prompt, CASE WHEN h.doc_id IS NULL THEN 'clean' ELSE 'loop_detected' END AS status, CAST(h.start_char AS INTEGER) AS start_char, CAST(h.repeats AS INTEGER) AS repeats, CAST(length(d.text) AS INTEGER) AS n FROM documents d LEFT JOIN looped h USING (doc_id)",
         "prompt_format": f"SELECT conv_id, '{template[0]}' || string_agg(role || ': ' || text, chr(10) ORDER BY turn) || '{template[2]}' AS prompt FROM conversations GROUP BY conv_id",
-        "chat_roles": "SELECT CASE WHEN role IN ('user', 'assistant', 'system') THEN role ELSE 'user' END AS role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1",
         "skip_filter": f"SELECT doc_id, source FROM documents WHERE NOT ({skipped})",
         "source_isin": f"SELECT doc_id, source FROM documents WHERE source IN ({', '.join(repr(s) for s in SOURCES)})",
         "trimmed_filter": f"SELECT doc_id FROM {marked} WHERE NOT starts_with(coalesce(source_prompt, ''), '{mark}')",
         "trimmed_count": f"SELECT count(*) FILTER (starts_with(coalesce(source_prompt, ''), '{mark}')) AS n_dropped FROM {marked}",
-        "blank_lines": "SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY doc_id",
         "source_labels": f"SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN source END, ''), nullif(CASE WHEN doc_id % 3 = 1 THEN '' WHEN doc_id % 2 = 0 THEN lang END, ''), '{scalar.UNKNOWN_SOURCE}') AS label FROM documents",
         "token_spans": f"SELECT doc_id, CAST(idx AS INTEGER) AS idx, CAST(e - length(t) AS INTEGER) AS char_start, CAST(e AS INTEGER) AS char_end FROM {ends}",
         "char_to_token": located.format(join="LEFT"),

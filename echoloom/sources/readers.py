@@ -20,11 +20,19 @@ PAIR = (
 SPEAKERS = {"human": "user", "gpt": "assistant", "system": "system"}
 
 
-def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines as ``value``; a line that is no JSON object is an error when it is read."""
-    lines = spark.read.text(path).filter(F.regexp_replace("value", r"(?U)\s", "") != "")
+def non_blank(lines: DataFrame, value: str = "value") -> DataFrame:
+    """The lines that hold more than white space."""
+    return lines.filter(F.regexp_replace(value, r"(?U)\s", "") != "")
+
+
+def checked_lines(lines: DataFrame) -> DataFrame:
+    """Non-blank lines as ``value``; a line that is no JSON is an error when it is read."""
     whole = F.try_parse_json("value")
-    return lines.withColumn("value", F.when(whole.isNotNull(), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("malformed JSON line: "), F.substring("value", 1, 80)))))
+    return non_blank(lines).withColumn("value", F.when(whole.isNotNull(), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("malformed JSON line: "), F.substring("value", 1, 80)))))
+
+
+def json_lines(spark: SparkSession, path: str) -> DataFrame:
+    return checked_lines(spark.read.text(path))
 
 
 def messages_of(field: Column) -> Column:
@@ -39,8 +47,12 @@ def messages_of(field: Column) -> Column:
 
 
 def prompts(lines: DataFrame, *, prompt_field: str = "conversations", source_field: str | None = "source", source_values: list[str] | None = None, skip: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """text, chat_messages and source of JSON lines; filters come before parsing, the limit last."""
-    rows = lines.withColumn("__field", F.get_json_object("value", f"$.{prompt_field}"))
+    """text, chat_messages and source of JSON lines; filters come before parsing, the limit last.
+
+    The limit takes the first lines as they stand in the input; 0 and None are no limit.
+    """
+    rows = lines.withColumn("__line", F.monotonically_increasing_id()) if limit else lines
+    rows = rows.withColumn("__field", F.get_json_object("value", f"$.{prompt_field}"))
     keys = F.json_object_keys("value")
     if source_field:
         given = F.get_json_object("value", f"$.{source_field}")
@@ -54,8 +66,9 @@ def prompts(lines: DataFrame, *, prompt_field: str = "conversations", source_fie
     chat = messages_of(F.col("__field"))
     plain = F.when(F.array_contains(keys, prompt_field), F.coalesce("__field", F.lit("None"))).otherwise("")
     rows = rows.withColumn("chat_messages", chat)
-    out = rows.select(F.when(F.col("chat_messages").isNull(), plain).otherwise("").alias("text"), "chat_messages", "source")
-    return out.limit(limit) if limit else out
+    if limit:
+        rows = rows.orderBy("__line").limit(limit)
+    return rows.select(F.when(F.col("chat_messages").isNull(), plain).otherwise("").alias("text"), "chat_messages", "source")
 
 
 def load_prompts(spark: SparkSession, *, input_jsonl: str | None = None, dataset_path: str | None = None, **options) -> DataFrame:
@@ -77,10 +90,13 @@ def format_prompt(text: Column, chat: Column, template: str) -> Column:
 
 
 def parse_completions(rows: DataFrame, response: str = "response") -> DataFrame:
-    """Adds completion, tokens and alternatives from the JSON of completion responses (first choice).
+    """Adds completion, tokens and alternatives from the JSON of completion responses (first choice), and failed.
 
-    Alternatives keep the order of the response; empty and missing positions are left out.
+    Alternatives keep the order of the response; empty and missing positions are left out. A response that is missing
+    or no JSON object has failed; it stops nothing.
     """
+    whole = F.try_parse_json(response)
+    rows = rows.withColumn("failed", ~F.coalesce(F.startswith(F.schema_of_variant(whole), F.lit("OBJECT")), F.lit(False)))
     choice = "$.choices[0]"
     has = F.get_json_object(response, f"{choice}.logprobs").isNotNull()
     tokens = F.from_json(F.get_json_object(response, f"{choice}.logprobs.tokens"), "array<string>")
@@ -96,8 +112,18 @@ def parse_completions(rows: DataFrame, response: str = "response") -> DataFrame:
     return rows.withColumn("alternatives", F.filter(every, lambda a: (F.size(a["options"]) > 0) & (a["idx"] < F.size("tokens"))))
 
 
+def pairs_of(lines: DataFrame) -> DataFrame:
+    """Pairs of JSON lines, with null for fields that a line lacks; blank lines are left out."""
+    return checked_lines(lines).select(F.from_json("value", PAIR, {"mode": "FAILFAST"}).alias("p")).select("p.*")
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAIR).option("mode", "FAILFAST").json(path)
+    return pairs_of(spark.read.text(path))
+
+
+def as_lines(rows: DataFrame) -> DataFrame:
+    """Rows as JSON lines that keep null fields."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_json(df: DataFrame, path: str) -> None:

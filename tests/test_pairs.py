@@ -23,6 +23,9 @@ def test_config():
             parse_config(bad)
     with pytest.raises(TypeError):
         parse_config({"train": {"unknown": 1}})
+    whole = parse_config({"model_name": "org/m", "generation": {"api_base_url": "http://x", "hf_dataset": "some/set", "hf_source_values": ["a"], "chosen_top_k": 7, "chosen_skip_raw_token_substrings": ["<"], "repetition": None, "top_k": 50}, "train": {"lora_r": 8, "optim": "x", "seed": 1}})
+    assert whole.generation.choice() == Choice(top_k=7, skip_raw_token_substrings=("<",)) and whole.generation.thresholds().min_repeats == 4 and str(whole.generation.dataset_path) == "some/set"
+    assert whole.generation.outside == {"api_base_url": "http://x", "top_k": 50} and whole.train.outside == {"lora_r": 8, "optim": "x"} and whole.generation.source_values == ["a"]
 
 
 def test_prompts(spark, tmp_path):
@@ -98,7 +101,9 @@ def test_mining(spark, tmp_path):
     index = p["repetition"]["rejected_token_index"]
     assert p["rejected_token"] == toks[index] and p["context_before"] == "p1" + "".join(map(bytelevel.decode, toks[:index])) and p["multi_chosen_tokens"] == ["Now", "So"]
     report = run_mining(completions, str(tmp_path / "run"), MiningConfig(temperature=1.0))
-    assert report == {"n_texts": 4, "n_loops": 3, "loop_rate": 75.0, "n_pairs": 1}
+    assert report == {"n_texts": 4, "n_loops": 3, "loop_rate": 75.0, "n_pairs": 1, "n_failed": 0}
+    broken = readers.parse_completions(spark.createDataFrame([*rows, ("c", "p5", "{broken"), ("c", "p6", None), ("c", "p7", "[1]")], "source string, prompt string, response string"))
+    assert run_mining(broken, str(tmp_path / "run2"), MiningConfig(temperature=1.0)) == {**report, "n_failed": 3}
     ready = prepare(readers.read_pairs(spark, str(tmp_path / "run" / "pairs")), lambda: lambda t: [len(w) for w in t.split()] or [0], TrainingConfig(filter_rejected_stop_words=False))
     assert ready.features.count() == 1 and ready.by_source.first()["source_label"] == "__unknown__"
     assert steps(TrainingConfig(num_epochs=2), 17) == 3 and merged_dir("runs/merged", "n") == "runs/n"
@@ -124,3 +129,31 @@ def test_cascade(spark):
     assert all(x["decoded"] != "same" for x in thin) and len(thin) == 40
     padded = spark.range(1).select(features.pad_left(F.array(F.lit(5).cast("bigint"), F.lit(6).cast("bigint")), 5, 0).alias("p"), features.position_ids(F.lit(2), 5).alias("i")).first()
     assert padded["p"] == [0, 0, 0, 5, 6] and padded["i"] == [0, 0, 0, 0, 1]
+
+
+def test_command_line(spark, tmp_path):
+    """Prompts, then pairs of completions, then features with their reports."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from echoloom import cli
+
+    unit = ["Wait", ",", "Ġlet", "Ġme", "Ġre", "consider", "."]
+    toks = ["Let", "Ġme", "Ġsolve", "Ġthis", ".", "Ġ"] + (unit + ["Ġ"]) * 6
+    (tmp_path / "p.jsonl").write_text("\n".join(json.dumps({"conversations": f"q{k}", "source": "s"}) for k in range(5)))
+    (tmp_path / "c.yaml").write_text(f"model_name: org/base-3B\ngeneration:\n  input_jsonl: {tmp_path}/p.jsonl\n  max_prompts: 3\n  prompt_template: '<{{prompt}}>'\n  temperature: 1.0\n  api_key: x\ntrain:\n  filter_rejected_stop_words: false\n  lora_r: 4\n")
+    run = str(tmp_path / "run")
+    base = ["-c", str(tmp_path / "c.yaml"), "-r", run]
+    assert cli.main(base) == 0
+    assert [r["prompt"] for r in spark.read.json(f"{run}/prompts").orderBy("prompt").collect()] == ["<q0>", "<q1>", "<q2>"]
+    rows = [("s", "<q0>", response(toks, [{t: -0.2, "So": -1.0, "Now": -2.0} for t in toks])), ("s", "<q1>", "{broken")]
+    spark.createDataFrame(rows, "source string, prompt string, response string").write.parquet(str(tmp_path / "done.parquet"))
+    words = {w: k for k, w in enumerate(["So", "Now", "Wait", "x"])}
+    tokenizer = Tokenizer(models.WordLevel(words, unk_token="x"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    tokenizer.save(str(tmp_path / "t.json"))
+    assert cli.main([*base, "--train-only"]) == 1
+    assert cli.main([*base, "--completions", str(tmp_path / "done.parquet"), "--tokenizer", str(tmp_path / "t.json")]) == 0
+    summary = spark.read.json(f"{run}/reports/summary").first()
+    assert summary["examples"] == 1 and summary["steps"] == 1 and summary["merged_name"] == "local_prefs3B_from3_1-samples_lr1e-6_ep1_local_HF"
+    assert {r["reason"]: r["n"] for r in spark.read.json(f"{run}/reports/reasons").collect()} == {"kept": 1}
+    assert cli.main([*base, "--generate-only", "--train-only"]) == 0
