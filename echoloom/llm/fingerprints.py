@@ -4,7 +4,7 @@ The weighted terms of a text are its 2-word shingles (single words where there a
 each of ``samples`` samples a term x of weight S draws r ~ Gamma(2,1), c ~ Gamma(2,1) and b ~ U(0,1), fixed by x and
 the sample alone; with t = floor(ln S / r + b) the term with the smallest ln c - r (t - b) - r is taken. The pair
 (term, t) agrees between two texts with their generalised Jaccard similarity sum min / sum max as probability, so
-the share of equal samples estimates it. A sample is kept as 16 bits of a hash.
+the share of equal samples estimates it. A sample is kept as 15 bits of a hash, above a bit that tells it from none.
 
 Draws come from one pool of 65,536 triples; each sample reads the place that its own multiplicative hash of the
 term gives, and equal values are decided by the term's hash.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -53,7 +53,7 @@ class Sampler:
         return np.unique(h, return_counts=True)
 
     def sample(self, text: str | None) -> np.ndarray:
-        """A 16-bit code for each sample, from 1; zeros for a text without words."""
+        """An odd 16-bit code for each sample; zeros for a text without words."""
         term, weight = self.terms(text or "")
         if not len(term):
             return np.zeros(self.samples, np.uint16)
@@ -105,44 +105,65 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+class Ranges:
+    """Consecutive ranges of places with their heads, the smallest (place, hash) of each."""
+
+    def __init__(self, bounds: list[int], heads: list[tuple[int, int]]) -> None:
+        self.bounds, self.heads = bounds, heads
+
+    def part(self, place: Column) -> Column:
+        """The number of bounds at or below a place, by halving; in the JVM, so texts beside it go nowhere."""
+        bounds = F.lit(self.bounds).cast("array<bigint>")
+        steps = F.lit([1 << k for k in reversed(range(len(self.bounds).bit_length()))]).cast("array<int>")
+        return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(bounds, at + step - 1) <= place, step).otherwise(0))
+
+    def ahead(self, part: Column, place: Column, h: Column) -> Column:
+        """For the head of a range the range before (the last for the first), null for other rows."""
+        places, hashes = (F.lit([x[k] for x in self.heads]).cast("array<bigint>") for k in range(2))
+        return F.when((F.get(places, part) == place) & (F.get(hashes, part) == h), F.pmod(part - 1, F.lit(max(1, len(self.heads)))))
+
+
+def byte_ranges(rows: DataFrame, most: int, finer: int = 8) -> Ranges:
+    """At most ``most`` ranges with about equal bytes of text, from (place, h, text).
+
+    A quantile sketch cuts the places into ``finer`` times as many ranges of equal rows; neighbours are joined by their
+    bytes. One row of each goes to the driver.
+    """
+    n = most * finer
+    cuts = sorted(set(rows.agg(F.percentile_approx("place", [k / n for k in range(1, n)] or [0.5], 10 * n)).first()[0] or []))
+    held = rows.groupBy(Ranges(cuts, []).part(F.col("place")).alias("part")).agg(F.sum(F.octet_length("text") + 64).alias("bytes"), F.min(F.struct("place", "h")).alias("head"))
+    got = sorted((r["part"], r["bytes"], (r["head"]["place"], r["head"]["h"])) for r in held.collect())
+    total, before, last, bounds, heads = sum(r[1] for r in got), 0, -1, [], []
+    for part, size, head in got:
+        number = int((before + size / 2) / total * most)
+        if number != last:
+            if heads:
+                bounds.append(cuts[part - 1])
+            heads.append(head)
+        before, last = before + size, number
+    return Ranges(bounds, heads)
+
+
 def fingerprint_in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: int = 64) -> DataFrame:
     """Per row: id, n_chars, the fingerprint of its text and of its edited text, and the likeness to the latter and
     to the next row in the order of (id, hash of the text); after the last comes the first. Null ids come first.
 
-    Texts are shuffled once, into ranges of ids. Each range is read in order, so a row meets the next one; the
-    first row of each range is read once more at the end of the range before. No range depends on a single task
-    but its own: bounds come from a quantile sketch of the ids.
+    Texts are shuffled once, into ranges of ids with about equal bytes, one range a task. Each range is read in order,
+    so a row meets the next one; the first row of each range is read once more at the end of the range before. Rows of
+    one id stand in one range.
     """
     spark = docs.sparkSession
     tasks = partitions(spark)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("place", F.coalesce(F.col("id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
-    cuts = rows.agg(F.percentile_approx("place", [k / tasks for k in range(1, tasks)] or [0.5], 20 * tasks)).first()[0] or []
-    bounds = sorted(set(cuts))  # at most as many as tasks
-
-    def range_of(low: int, high: int):
-        """The number of bounds below or at the place, by halving."""
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("place") < bounds[middle], range_of(low, middle)).otherwise(range_of(middle + 1, high))
-
-    rows = rows.withColumn("part", range_of(0, len(bounds)))
-    heads = {r["part"]: (r["first"]["place"], r["first"]["h"]) for r in rows.groupBy("part").agg(F.min(F.struct("place", "h")).alias("first")).collect()}  # at most one for each range
-    order = sorted(heads)
-    before = {p: order[k - 1] for k, p in enumerate(order)}
-    if order:
-        target = F.create_map(*[F.lit(x) for p in order for x in (p, before[p])])
-        first = F.create_map(*[F.lit(x) for p in order for x in (p, heads[p][0])])
-        first_h = F.create_map(*[F.lit(x) for p in order for x in (p, heads[p][1])])
-        is_head = (F.col("place") == first[F.col("part")]) & (F.col("h") == first_h[F.col("part")])
-        ahead = F.when(is_head, F.array(F.struct(F.lit(0).alias("late"), F.col("part").alias("part")), F.struct(F.lit(1).alias("late"), target[F.col("part")].alias("part"))))
-        spots = F.coalesce(ahead, F.array(F.struct(F.lit(0).alias("late"), F.col("part").alias("part"))))
-    else:
-        spots = F.array(F.struct(F.lit(0).alias("late"), F.col("part").alias("part")))
+    ranges = byte_ranges(rows, tasks)
+    rows = rows.withColumn("part", ranges.part(F.col("place")))
+    rows = rows.withColumn("ahead", ranges.ahead(F.col("part"), F.col("place"), F.col("h")))
+    spot = F.struct(F.lit(0).alias("late"), F.col("part").alias("part"))
+    spots = F.when(F.col("ahead").isNull(), F.array(spot)).otherwise(F.array(spot, F.struct(F.lit(1).alias("late"), F.col("ahead").alias("part"))))
     dealt = rows.withColumn("spot", F.explode(spots)).select("id", "text", "place", "h", F.col("spot.late").alias("late"), F.col("spot.part").alias("part"))
-    ranged = dealt.repartition(tasks, "part").sortWithinPartitions("part", "late", "place", "h")
+    ranged_rows = dealt.repartitionById(tasks, "part").sortWithinPartitions("part", "late", "place", "h")
     schema = T._parse_datatype_string(f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     arrow = to_arrow_schema(schema)
 
@@ -174,4 +195,4 @@ def fingerprint_in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return ranged.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return ranged_rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

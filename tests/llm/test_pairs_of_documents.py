@@ -124,6 +124,20 @@ def test_fingerprints_estimate_generalised_jaccard(spark):
     assert got[60]["fingerprint"] == "0" * 1024 == got[61]["fingerprint"] and got[60]["near_next"] == 1.0
 
 
+def test_ranges_have_equal_bytes(spark):
+    """Long texts stand at the first ids: ranges of equal rows would give one task nearly all of the bytes."""
+    rows = [(k, "word " * (2000 if k < 200 else 2)) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "place long, text string").selectExpr("place", "xxhash64(text) AS h", "text").repartition(3)
+    ranges = fingerprints.byte_ranges(docs, 8)
+    sizes = Counter()
+    for k, t in rows:
+        sizes[int(np.searchsorted(ranges.bounds, k, "right"))] += len(t)
+    assert len(ranges.heads) == len(ranges.bounds) + 1 <= 8 and max(sizes.values()) <= 1.6 * sum(sizes.values()) / 8
+    assert [h[0] for h in ranges.heads] == [0, *ranges.bounds]
+    got = docs.select("place", ranges.part(docs["place"]).alias("part")).collect()
+    assert all(r["part"] == np.searchsorted(ranges.bounds, r["place"], "right") for r in got)
+
+
 def test_fingerprints_odd(odd, none):
     got = fingerprints.fingerprint_in_order(odd).collect()
     assert len(got) == 10 and fingerprints.fingerprint_in_order(none).count() == 0
