@@ -17,13 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset.
+
+    Our own is in the warehouse, which is shared; in local mode, where there is one machine, it is a temporary one.
+    """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="echoloom-"))
+        local = spark.sparkContext.master.startswith("local")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="echoloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/echoloom-shared")
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
 

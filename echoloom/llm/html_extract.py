@@ -7,11 +7,14 @@ around it, so classes nest; on a page, its members are template where they stand
 of the template are not content, in an article or outside; what is left lies in the slots. A slot with the role of
 navigation, header, footer, notice, advert, form or comments is left out, and the remaining slots are the text.
 
-The role of a slot is that of its enclosing elements (names, and whole words of class, id and role). A role word
-never hides an article or main element below it, except that lists of comments or related articles stay out beside
-another article. On headings and sections in an article it counts only where the template holds the element. If more
-than half of an article's words are the host's, the page is an edited copy and keeps them. Of a page whose host shows
-no template, content elements are the text, or all slots if it has none.
+A class lies in the slot of the class of the element around it, whose support is at least its own; the slots of
+elements found so are named by their roles. The role of a slot is that of its enclosing elements: names, and whole
+words of class, id and role. Parts of such words (site-header, cookie-notice) name only slots that deduction found,
+outside articles and where they don't hold most of a page without one. A role word never hides an article or main
+element below it, except that lists of comments or related articles stay out beside another article. On headings and
+sections in an article it counts only where the template holds the element. If more than half of an article's words
+are the host's, the page is an edited copy and keeps them. Of a page whose host shows no template, content elements
+are the text, or all slots if it has none.
 
 Template counts are taken over all pages of a host by hashes, so no pages are held together.
 
@@ -51,16 +54,18 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_UNFINISHED = re.compile(r"</?[A-Za-z]")  # a tag that the end of the page cuts is no text
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z0-9]+")
 _NO_ROLE = frozenset("h1 h2 h3 h4 h5 h6 section".split())  # in an article, unless the template holds the element
 LEAST = 5  # pages of different content that show a template
 
 
-def _roles(name: str, attrs: str) -> tuple[str, bool, str, bool]:
-    """The label of an element in paths, whether it is no content by itself, its role word, and whether it marks content."""
+def _roles(name: str, attrs: str) -> tuple[str, bool, str, str, bool]:
+    """The label of an element in paths, whether it is no content by itself, its role word, else a role word that is a
+    part of its marks, and whether it marks content."""
     if not attrs.strip():
-        return name, name in CHROME, "", name in CONTENT
+        return name, name in CHROME, "", "", name in CONTENT
     whole, marks, label, hidden = set(), set(), name, False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -73,8 +78,9 @@ def _roles(name: str, attrs: str) -> tuple[str, bool, str, bool]:
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             hidden = True
     off = hidden or name in CHROME
-    role = "" if name in ("html", "body", *CONTENT) else min(whole & ROLES, default="")
-    return label, off, role, name in CONTENT or (not off and name in ("div", "section", "td") and bool(marks & CONTENT_MARKS) and not marks & ROLES)
+    roles = frozenset() if name in ("html", "body", *CONTENT) else ROLES
+    role = min(whole & roles, default="")
+    return label, off, role, "" if role else min(marks & roles, default=""), name in CONTENT or (not off and name in ("div", "section", "td") and bool(marks & CONTENT_MARKS) and not marks & ROLES)
 
 
 # What an element's inside is: shown; left out by a role word, by a list's role word, or for good; an article in a list.
@@ -110,7 +116,8 @@ class Page:
         while at < n:
             m = _TAG.search(source, at)
             if m is None:
-                text.append(source[at:])
+                unfinished = _UNFINISHED.search(source, at)
+                text.append(source[at : unfinished.start() if unfinished else n])
                 break
             if m.start() > at:
                 text.append(source[at : m.start()])
@@ -144,8 +151,10 @@ class Page:
                     k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), None)
                     if k is not None and stack[k][0] in _CLOSES[name]:
                         del stack[k:]
-                label, off, role, holds = _roles(name, m[3])
+                label, off, role, part, holds = _roles(name, m[3])
                 state, inside, roles = stack[-1][2:] if stack else (SHOWN, False, ())
+                if holds and not inside:
+                    roles = ()
                 if name in CONTENT and state in (ROLE, LIST):
                     state = LISTED if state == LIST else SHOWN
                 if state != OFF and (name in HIDDEN or off):
@@ -158,6 +167,9 @@ class Page:
                         roles = (*roles, "/".join([x[1] for x in stack if x[0] not in INLINE] + [label]))
                     else:
                         state = LIST if role in LISTS else ROLE
+                elif part and state == SHOWN and not inside and not holds and name not in INLINE:
+                    label += "#" + part
+                    roles = (*roles, "/".join([x[1] for x in stack if x[0] not in INLINE] + [label]))
                 if state != out or roles != unsure:
                     flush()
                 if name in RAW:  # its text ends at its own end tag alone
@@ -247,14 +259,28 @@ def page_text(page: Page, template: Template) -> str:
     if words[1] > words[0]:  # an edited copy
         fixed = {k for k in fixed if not page.blocks[k][1]}
     only_content = not template and sum(words) > 0
+    named = _named_slots(page, template, fixed, sum(words) > 0) if template else set()
     kept = []
     for k, (_, content, off, unsure, text) in enumerate(page.blocks):
-        if off or k in fixed or (only_content and not content) or any(_key("<" + u) in template for u in unsure):
+        if off or k in fixed or (only_content and not content) or not named.isdisjoint(unsure):
             continue
         kept.append(text)
     return "\n".join(kept)
 
 
+def _named_slots(page: Page, template: Template, fixed: set[int], has_content: bool) -> set[str]:
+    """The elements with a role by part of a word, or in an article, that the template holds; of a page without content
+    elements only those with at most half of its words."""
+    size: Counter = Counter()
+    total = 0
+    for k, (_, _, off, unsure, text) in enumerate(page.blocks):
+        if not off and k not in fixed:
+            n = text.count(" ") + 1
+            total += n
+            size.update(dict.fromkeys(unsure, n))
+    return {u for u, n in size.items() if _key("<" + u) in template and (has_content or 2 * n <= total)}
+
+
 def extract(pages: list[Page]) -> list[str]:
     """The text in the remaining slots of each page of a host."""
     template = deduce(pages)

@@ -183,7 +183,7 @@ def _terms_map():
 def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashed terms and labels of the ``sample`` labelled rows with the smallest hash of their id.
 
-    At most ``sample`` ids are broadcast, and one text of each is read.
+    At most ``sample`` ids are broadcast. Of several texts of an id the one with the smallest terms is taken.
     """
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("y"))
     chosen = marked.orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -194,7 +194,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
         terms = _terms_map()
         return lambda x: {"id": x["id"], "terms": [sorted(terms(t)) for t in x["text"]], "y": x["y"]}
 
-    got = map_texts(pairs, ["id", "text", "y"], make, f"id {kind}, terms array<int>, y double").dropDuplicates(["id"]).orderBy("id").toArrow()
+    got = map_texts(pairs, ["id", "text", "y"], make, f"id {kind}, terms array<int>, y double").groupBy("id").agg(F.min("terms").alias("terms"), F.max("y").alias("y")).orderBy("id").toArrow()
     return [np.array(r, np.int64) for r in got.column("terms").to_pylist()], np.array(got.column("y").to_pylist(), float)
 
 

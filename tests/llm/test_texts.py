@@ -1,6 +1,7 @@
 """Operators that read one text at a time: tokens, pseudonyms, toxicity, quality."""
 
 import datetime
+import math
 import random
 import re
 from collections import Counter
@@ -140,23 +141,38 @@ def test_pseudonymize_rows(odd, none):
     assert pii.pseudonymize_rows(none, b"k").count() == 0
 
 
-def test_machine_learns_pairs():
-    """Label 1 needs both terms of a pair: no linear rule separates them."""
+def test_machine_is_the_sum_over_pairs():
+    """Scores equal the definition, pair by pair."""
     rng = np.random.default_rng(0)
-    rows, y = [], []
-    for _ in range(1500):
-        a, b = rng.random() < 0.5, rng.random() < 0.5
-        rows.append(np.array(sorted({*(10 + rng.integers(0, 50, 6)), *([1] if a else []), *([2] if b else [])}), np.int64))
-        y.append(float(a == b))
-    ids = np.unique(np.concatenate(rows))
-    slot = {int(b): k for k, b in enumerate(ids)}
-    keep, toxicity.select_features = toxicity.select_features, lambda r, label, most, least_rows=3: ids
-    try:
-        m = toxicity.fit(rows, np.array(y), steps=400)
-    finally:
-        toxicity.select_features = keep
-    p = np.array(m.score([{slot[b] for b in r.tolist()} for r in rows]))
-    assert ((p > 0.5) == (np.array(y) > 0.5)).mean() > 0.95
+    m = toxicity.FactorizationMachine({k: k for k in range(12)}, 0.3, rng.normal(size=12), rng.normal(size=(12, 3)))
+    rows = [sorted(rng.choice(12, k, replace=False).tolist()) for k in (0, 1, 2, 5, 12)]
+    for r, p in zip(rows, m.score([set(r) for r in rows])):
+        z = 0.3 + sum(m.weight[i] for i in r) + sum(float(m.factor[i] @ m.factor[j]) for i in r for j in r if i < j)
+        assert abs(p - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_gradient_steps_lower_the_loss():
+    rng = np.random.default_rng(4)
+    rows = [np.array(sorted({*(rng.integers(0, 30, 5)), *([100] if k % 3 == 0 else [])}), np.int64) for k in range(600)]
+    y = np.array([float(k % 3 == 0) for k in range(600)])
+
+    def loss(steps):
+        m = toxicity.fit(rows, y, steps=steps)
+        p = np.array(m.score([{m.slot[b] for b in r.tolist() if b in m.slot} for r in rows]))
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    assert loss(0) > loss(20) > loss(120)
+
+
+def test_null_ids_and_several_texts_of_an_id(spark, odd):
+    from echoloom.llm import queries
+
+    assert all(r["h"] is not None for r in odd.select(queries._held_out().alias("h")).collect())
+    docs = spark.createDataFrame([(1, "b c"), (1, "a"), (2, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    for parts in (1, 3):
+        rows, y = toxicity.training_rows(docs.repartition(parts), labels, id_col="doc_id", text_col="text", label_col="toxic", sample=9)
+        assert y.tolist() == [1.0, 0.0] and rows[0].tolist() == min(sorted({t for w in x.split() for t in toxicity.word_terms(w)}) for x in ("b c", "a"))
 
 
 def test_pairs_and_rare_terms_are_selected():
