@@ -23,21 +23,40 @@ def token_ratios(rows: DataFrame, token: str, strength: float) -> DataFrame:
     return weighted.join(F.broadcast(total)).select(token, "cnt", (F.col("weighted") / F.col("total")).alias("ratio"))
 
 
+def running_before(rows: DataFrame, value: str, classes: list[str], token: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before each one in the order of the classes (numbers) and then the token.
+
+    Sums of classes and, in a class, of cells (the first two characters) are added to what is before in the cell, so
+    one task holds the classes or a class's cells, and no task all rows.
+    """
+    cell = F.coalesce(F.substring(token, 1, 2), F.lit(""))
+    held = rows.withColumn("__cell", cell)
+    sums = held.groupBy(*classes, "__cell").agg(F.sum(value).alias("__sum"))
+    up_to_here = lambda w: F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = sums.select(*classes, "__cell", up_to_here(Window.partitionBy(*classes).orderBy("__cell")).alias("__cells"))
+    outer = sums.groupBy(*classes).agg(F.sum("__sum").alias("__sum"))
+    outer = outer.select(*classes, up_to_here(Window.orderBy(*classes)).alias("__classes"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy(*classes, "__cell").orderBy(token).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = held.withColumn("__inside", inside).join(cells, [*classes, "__cell"]).join(outer, classes)
+    return placed.withColumn(name, F.col("__classes") + F.col("__cells") + F.col("__inside")).drop("__cell", "__inside", "__cells", "__classes")
+
+
 def token_quotas(ratios: DataFrame, token: str, target: int) -> DataFrame:
     """Adds quota (half to even), and take: the quota or all there are, then filled or cut to ``target`` in total,
-    the tokens furthest below their ratio first. The order over all tokens is one task: it holds a row a token,
-    which a tokenizer's vocabulary bounds."""
+    the tokens furthest below their ratio first. Tokens of equal counts have equal ratios, so there are far fewer
+    ratios than tokens, and only those are put in one order."""
     rows = ratios.withColumn("quota", F.bround(F.col("ratio") * target, 0).cast("bigint"))
     rows = rows.withColumn("first", F.least("quota", "cnt"))
-    every = Window.partitionBy()
-    need = F.lit(target) - F.sum("first").over(every)
-    gap = F.col("ratio") - F.col("first") / F.lit(max(target, 1))
-    rows = rows.withColumn("need", need).withColumn("gap", F.round(gap, 9)).withColumn("spare", F.col("cnt") - F.col("first"))
-    before = F.coalesce(F.sum("spare").over(Window.orderBy(F.desc("gap"), token).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    over = F.row_number().over(Window.orderBy((F.col("first") == 0).cast("int"), "gap", token))
-    more = F.greatest(F.least(F.col("need") - F.col("before"), F.col("spare")), F.lit(0))
-    rows = rows.withColumn("before", before).withColumn("over", over)
-    take = F.when(F.col("need") >= 0, F.col("first") + more).otherwise(F.col("first") - (F.col("over") <= -F.col("need")).cast("bigint"))
+    gap = F.round(F.col("ratio") - F.col("first") / F.lit(max(target, 1)), 9)
+    rows = rows.withColumn("gap", gap + F.lit(0.0)).withColumn("spare", F.col("cnt") - F.col("first"))
+    need = target - (rows.agg(F.sum("first")).first()[0] or 0)
+    if need >= 0:
+        rows = running_before(rows.withColumn("above", -F.col("gap") + F.lit(0.0)), "spare", ["above"], token, "before")
+        take = F.col("first") + F.greatest(F.least(F.lit(need) - F.col("before"), F.col("spare")), F.lit(0))
+    else:
+        one = rows.withColumn("none", (F.col("first") == 0).cast("int")).withColumn("one", F.lit(1).cast("bigint"))
+        rows = running_before(one, "one", ["none", "gap"], token, "before")
+        take = F.col("first") - (F.col("before") < -need).cast("bigint")
     return rows.select(token, "cnt", "ratio", "quota", take.cast("bigint").alias("take"))
 
 

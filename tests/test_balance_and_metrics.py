@@ -73,6 +73,32 @@ def test_loss(spark):
         assert got[b]["margin_win"] == pytest.approx(np.mean(np.array(deltas) >= 2)) and med[b] == pytest.approx(sorted(deltas)[(len(deltas) - 1) // 2])
 
 
+def test_running_sums_and_quotas_against_loops(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"{'abc'[k % 3]}{k % 4}{k}", int(rng.integers(0, 9)), float(rng.integers(-2, 3))) for k in range(300)] + [(None, 4, 0.0), ("", 5, 0.0)]
+    df = spark.createDataFrame(rows, "token string, value long, class double").repartition(4)
+    got = {r["token"]: r["before"] for r in balance.running_before(df, "value", ["class"], "token", "before").collect()}
+    order = sorted(rows, key=lambda r: (r[2], r[0] is not None, (r[0] or "").encode()))
+    assert got == {r[0]: sum(x[1] for x in order[:k]) for k, r in enumerate(order)}
+    counts = [(f"t{k}", int(c)) for k, c in enumerate(rng.zipf(1.6, 120).clip(1, 400))]
+    for target in (5, 40, 200):
+        total = sum(c for _, c in counts)
+        ratios = spark.createDataFrame([(t, c, c / total) for t, c in counts], "token string, cnt long, ratio double")
+        take = {r["token"]: r["take"] for r in balance.token_quotas(ratios, "token", target).collect()}
+        first = {t: min(round(c / total * target), c) for t, c in counts}
+        need = target - sum(first.values())
+        want = dict(first)
+        gaps = {t: round(c / total - first[t] / target, 9) for t, c in counts}
+        if need >= 0:
+            for t, c in sorted(counts, key=lambda x: (-gaps[x[0]], x[0])):
+                more = max(0, min(need, c - first[t]))
+                want[t], need = first[t] + more, need - more
+        else:
+            for t, _ in sorted(counts, key=lambda x: (first[x[0]] == 0, gaps[x[0]], x[0]))[:-need]:
+                want[t] -= 1
+        assert take == want
+
+
 def plain_plateau(values, patience, least):
     """The step (odd numbers) of the first log that is ``patience`` logs after the last rise."""
     best, since = None, 0
