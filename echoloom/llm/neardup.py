@@ -11,17 +11,18 @@ The stages, none of which makes all pairs of a group:
 2. Half keys of the first collection that only one representative has can't collide; the rest are paired with
    those of the second collection.
 3. Every table's bucket has one leader, and each representative is compared with ``tried`` of the leaders that it
-   meets: those that a 128-bit sketch takes for the nearest. Links make components, and only buckets that still
-   hold several components go on.
-4. Representatives of different components that still share a table are compared, in small buckets pair by pair,
-   after size, sketch and the number of shared half keys have ruled out pairs that don't reach the threshold (a
-   miss of about 1 in ten thousand for a pair just at it, far less above). Large buckets are cut into blocks, and
-   each two blocks are compared in one task by matrix products that give all intersections at once.
-
-Links and components stay in tables; loops cut their lineage with checkpoints.
-
-Null and empty texts have no shingles and are linked with nothing. Rows with one id are one document. Rows with a
-null id keep a null component and are kept. An empty table gives an empty result.
+   meets: those that a 128-bit sketch takes for the nearest. Links make components.
+4. What still shares a half key of the first collection across components is compared in full, whatever the size of
+   the bucket: all rows outside a bucket's largest component against all of its rows, in blocks of bounded rows and
+   shingles, by matrix products that give all intersections at once. Rows of the largest component aren't compared
+   with each other, so a group that is mostly linked costs its size times the few that are left.
+
+Keys that many rows share (leaders, components, copies) meet what is known of them in salted joins: the one row of a
+key is copied to ``SALTS`` tasks. Hot table keys, of which there can be few, are broadcast. Links and components stay in tables; loops cut their lineage with
+checkpoints.
+
+Null and empty texts have no shingles and are linked with nothing. Rows with one id are one document, with the links
+of all its texts. Rows with a null id keep a null component and are kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import cut, drop_stored, map_texts, store
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+SALTS = 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -83,6 +85,18 @@ class Signer:
         return key.view(np.int64), words
 
 
+def looked_up(rows: DataFrame, key: str, table: DataFrame, table_key: str, salts: int = SALTS, how: str = "inner") -> DataFrame:
+    """Rows with the one row of ``table`` that has their key; many rows of one key are spread over ``salts`` tasks.
+
+    The copies are shuffled at any size: broadcast, they would weigh on the driver.
+    """
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts))
+    copies = table.withColumn("__salt_2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    salted = rows.withColumn("__salt", salt)
+    copies = copies.hint("merge")
+    return salted.join(copies, (salted[key] == copies[table_key]) & (F.col("__salt") == F.col("__salt_2")), how).drop("__salt", "__salt_2")
+
+
 def connected(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
     """Components of undirected links: node, component (its smallest node). Smallest labels spread to neighbours
     and labels jump to their own label's label, so long chains take logarithmic rounds."""
@@ -90,35 +104,44 @@ def connected(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 1
     both = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     label = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
     for _ in range(most_rounds):
-        seen = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("component").alias("near"))
+        seen = looked_up(both, "v", label, "node").groupBy("u").agg(F.min("component").alias("near"))
         spread = label.join(seen, label["node"] == seen["u"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         # the old label's node may be told of a smaller one as well (hooking), then every label jumps
         hook = spread.groupBy(F.col("old").alias("root")).agg(F.min("component").alias("hooked"))
-        spread = spread.join(hook, spread["old"] == hook["root"]).select("node", "old", F.least("component", "hooked").alias("component"))
+        spread = looked_up(spread, "old", hook, "root").select("node", "old", F.least("component", "hooked").alias("component"))
         jump = spread.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        new = cut(spread.join(jump, spread["component"] == jump["at"]).select("node", "old", F.least("component", "further").alias("component")))
+        new = cut(looked_up(spread, "component", jump, "at").select("node", "old", F.least("component", "further").alias("component")))
         if not new.filter(F.col("old") != F.col("component")).limit(1).count():
             return new.select("node", "component")
         label = new.select("node", "component")
     raise RuntimeError("components did not settle")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) of representatives those with den * intersection >= num * union of their full sets."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int, together: int = 1024) -> DataFrame:
+    """Of pairs (a, b) of representatives those with den * intersection >= num * union of their full sets.
+
+    A representative that is ``b`` in many pairs has its set copied once for about each ``together`` of them.
+    """
+    parts = cut(pairs.groupBy(F.col("b").alias("of")).agg(F.ceil(F.count("*") / together).alias("parts")))
+    dealt = looked_up(pairs.select("a", "b"), "b", parts, "of").select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part"))
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    each = parts.select("of", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    right = each.join(sets, F.col("of") == F.col("rep")).select(F.col("of").alias("b"), "part", F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").filter(den * both >= num * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    found = dealt.join(left, "a").join(right, ["b", "part"])
+    return found.filter(den * both >= num * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def block_links(component: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join different components of a block's rows, for a later check on full sets.
+def block_links(component: np.ndarray, minor: np.ndarray, sets: list[np.ndarray], num: int, den: int, width: int = 2048) -> list[tuple[int, int]]:
+    """Links between minor rows and any rows of other components, for a later check on full sets.
 
     Of clear links (half a percent above the threshold) a spanning forest is given, and all of those within half a
-    percent of it between trees, since shortened hashes may shift these. All intersections come from products of 0/1 matrices, over a bounded part of the shingles at a time.
+    percent of it between trees, since shortened hashes may shift these. All intersections come from products of 0/1
+    matrices, over a bounded part of the shingles at a time.
     """
     names, root = np.unique(component, return_inverse=True)
-    if len(names) < 2:
+    few = np.flatnonzero(minor)
+    if len(names) < 2 or not len(few):
         return []
     sets = [np.unique(s) for s in sets]
     n = np.array([len(s) for s in sets])
@@ -128,16 +151,17 @@ def block_links(component: np.ndarray, sets: list[np.ndarray], num: int, den: in
     order = np.argsort(at[shared], kind="stable")
     owner, at = owner[shared][order], at[shared][order]
     new = np.cumsum(np.append(0, np.diff(at) > 0)) if len(at) else at
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for low in range(0, int(new[-1]) + 1 if len(new) else 0, 8192):
-        a, b = np.searchsorted(new, (low, low + 8192))
-        part = np.zeros((len(sets), 8192), np.float32)
+    both = np.zeros((len(few), len(sets)), np.float32)
+    for low in range(0, int(new[-1]) + 1 if len(new) else 0, width):
+        a, b = np.searchsorted(new, (low, low + width))
+        part = np.zeros((len(sets), width), np.float32)
         part[owner[a:b], new[a:b] - low] = 1
-        both += part @ part.T
-    union = n[:, None] + n[None, :] - both
-    apart = root[:, None] != root[None, :]
-    clear = np.triu((den * both >= 1.005 * num * union) & apart, 1)
-    close = np.triu((den * both >= 0.995 * num * union) & apart, 1) & ~clear
+        both += part[few] @ part.T
+    size = n.astype(np.float32)
+    union = size[few][:, None] + size[None, :] - both
+    apart = root[few][:, None] != root[None, :]
+    clear = (den * both >= 1.005 * num * union) & apart
+    close = (den * both >= 0.995 * num * union) & apart & ~clear
     i, j = np.nonzero(clear)
     parent = list(range(len(names)))
 
@@ -148,16 +172,17 @@ def block_links(component: np.ndarray, sets: list[np.ndarray], num: int, den: in
         return x
 
     out = []
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+    for x, y in zip(few[i].tolist(), j.tolist(), strict=True):
         p, q = find(root[x]), find(root[y])
         if p != q:
             parent[max(p, q)] = min(p, q)
             out.append((x, y))
-    return out + [(x, y) for x, y in zip(*map(np.ndarray.tolist, np.nonzero(close)), strict=True) if find(root[x]) != find(root[y])]
+    i, j = np.nonzero(close)
+    return out + [(x, y) for x, y in zip(few[i].tolist(), j.tolist(), strict=True) if find(root[x]) != find(root[y])]
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, halves: int = 16, width: int = 4, tried: int = 2, least_shared: int = 4, small: int = 48, block: int = 512
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, halves: int = 16, width: int = 4, tried: int = 2, block_rows: int = 512, block_shingles: int = 500_000
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable over links), kept (it is its own component)."""
     spark = docs.sparkSession
@@ -184,7 +209,7 @@ def near_duplicates(
 
     signed, signed_at = store(map_texts(text, ["id", "text"], make, "id bigint, n int, f0 bigint, f1 bigint, k array<bigint>, s0 bigint, s1 bigint"))
     full = signed.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    by_set = full.groupBy("f0", "f1").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("k").alias("k"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
+    by_set = full.groupBy("f0", "f1").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("k").alias("k"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
     reps, reps_at = store(by_set)
 
     # 2. first half keys that several representatives have
@@ -213,52 +238,63 @@ def near_duplicates(
 
     # 3. the leader of a bucket is the representative with the smallest hash, which is one to one
     keys = keyed(tabled)
-    lead = keys.groupBy("key").agg(F.min(F.xxhash64("rep")).alias("lead"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key", "lead")
-    met = keys.join(lead, "key").filter(F.xxhash64("rep") != F.col("lead")).select("rep", "lead").distinct()
+    lead = keys.groupBy(F.col("key").alias("of_key")).agg(F.min(F.xxhash64("rep")).alias("lead"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("m")).filter("lo < hi")
+    lead = cut(lead.select("of_key", "lead", "m"))
+    # keys with more than a 2,000th of all rows, so less than 2,000 of them, meet their leader by a broadcast
+    edge = tabled.select(F.sum(F.size("first") * halves)).first()[0] or 0
+    hot, usual = lead.filter(F.col("m") > edge / 2000), lead.filter(F.col("m") <= edge / 2000)
+    here = F.col("key") == F.col("of_key")
+    rest = keys.join(F.broadcast(hot.select("of_key")), here, "left_anti").join(usual, here)
+    met = rest.unionByName(keys.join(F.broadcast(hot), here)).filter(F.xxhash64("rep") != F.col("lead")).select("rep", "lead").distinct()
     sketch = tabled.select("rep", "n", "s0", "s1")
-    leaders = sketch.select(F.xxhash64("rep").alias("lead"), *(F.col(c).alias(f"{c}_2") for c in sketch.columns))
-    near = met.join(sketch, "rep").join(leaders, "lead").filter(near_enough)
+    leaders = sketch.select(F.xxhash64("rep").alias("lead_2"), *(F.col(c).alias(f"{c}_2") for c in sketch.columns)).join(lead.select(F.col("lead").alias("lead_2")).distinct(), "lead_2", "left_semi")
+    near = looked_up(met.join(sketch, "rep"), "lead", leaders, "lead_2").filter(near_enough)
     nearest = F.array_sort(F.collect_set(F.struct(apart.alias("apart"), F.col("rep_2").alias("b"))))  # at most one a table
-    best = near.groupBy(F.col("rep").alias("a")).agg(F.slice(nearest, 1, tried).alias("near")).select("a", F.explode("near.b").alias("b"))
-    links = cut(_confirmed(best, sets, num, den))
-    nodes = connected(links)
-    component = tabled.select("rep").join(nodes, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("node"), F.coalesce("component", "rep").alias("component"))
-
-    # 4. what is left: pairs of different components
-    second = F.transform("second", lambda v, j: F.xxhash64(j, v))
-    rows = tabled.join(component, tabled["rep"] == component["node"]).select("rep", "component", "n", "s0", "s1", "first", second.alias("second"))
-    left = rows.select("*", F.explode("first").alias("one"))
-    mixed = left.groupBy("one").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("one", "m")
-    left = left.join(mixed, "one")
-    few = left.filter(F.col("m") <= small)
-    right = few.select(*(F.col(c).alias(f"{c}_2") for c in few.columns))
-    # a pair at the threshold shares 13 of 32 half keys in the mean, and fewer than 4 once in ten thousand
-    both = F.size(F.array_intersect("first", "first_2")) + F.size(F.array_intersect("second", "second_2"))
-    table_shared = F.arrays_overlap("second", "second_2") & (both >= least_shared)
-    pairs = few.join(right, (F.col("one") == F.col("one_2")) & (F.col("component") < F.col("component_2")) & near_enough & table_shared).select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
-    last = _confirmed(pairs, sets, num, den)
-    # large buckets: blocks of rows, all pairs of blocks; no pair is a row
-    nb = F.ceil(F.col("m") / block).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), nb).cast("int")
-    many = left.filter(F.col("m") > small).select("rep", "component", "one", mine.alias("mine"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("other"))
-    many = many.select("rep", "component", "one", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    best = cut(near.groupBy(F.col("rep").alias("a")).agg(F.slice(nearest, 1, tried).alias("near")).select("a", F.explode("near.b").alias("b")))
+    nodes = connected(_confirmed(best, sets, num, den))
+    component = tabled.select("rep", "n", "first").join(nodes, F.col("rep") == F.col("node"), "left").select("rep", "n", "first", F.coalesce("component", "rep").alias("component"))
+
+    # 4. what is left: rows of different components that share a first half key
+    left = cut(component.select("rep", "n", "component", F.explode("first").alias("one")))
+    parts = left.groupBy("one", "component").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    mixed = parts.groupBy(F.col("one").alias("of_one")).agg(F.max(F.struct("m", "component", "total")).alias("major"), F.sum("m").alias("m"), F.sum("total").alias("total"), F.count("*").alias("parts")).filter("parts > 1")
+
+    def blocks(m, total):
+        return F.greatest(F.ceil(m / block_rows), F.ceil(total / block_shingles), F.lit(1))
+
+    few, many = blocks(F.col("m") - F.col("major.m"), F.col("total") - F.col("major.total")), blocks(F.col("major.m"), F.col("major.total"))
+    mixed = mixed.select("of_one", F.col("major.component").alias("major"), few.alias("few"), many.alias("many"))
+    dealt = looked_up(left, "one", mixed, "of_one").withColumn("minor", F.col("component") != F.col("major"))
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("minor"), F.col("few")).otherwise(F.col("many")))
+    # block i of the minor rows meets each block of the major ones, numbered from ``few`` on, and each later one of its own
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    others = F.filter(upto(F.col("few") + F.col("many")), lambda k: k != F.col("mine"))
+    meetings = F.when(F.col("minor"), F.transform(others, lambda k: F.struct(F.least("mine", k).alias("lo"), F.greatest("mine", k).alias("hi"))))
+    meetings = meetings.otherwise(F.transform(upto(F.col("few")), lambda k: F.struct(k.alias("lo"), (F.col("mine") + F.col("few")).alias("hi"))))
+    dealt = dealt.withColumn("mine", mine).select("rep", "component", "minor", "one", F.explode(meetings).alias("meeting")).select("rep", "component", "minor", "one", "meeting.lo", "meeting.hi")
     # 31 bits of each shingle's hash: they can only add to an intersection, and what they link is confirmed on full sets
     short = sets.select("rep", F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("shingles"))
-    many = many.join(short, "rep")
+    dealt = dealt.join(short, "rep")
 
     def linked(group: pa.Table) -> pa.Table:
-        found = block_links(group.column("component").to_numpy(), [x.values.to_numpy() for x in group.column("shingles")], num, den)
-        rep = group.column("rep").to_numpy()
+        rep, minor = group.column("rep").to_numpy(), group.column("minor").to_numpy()
+        found = block_links(group.column("component").to_numpy(), minor, [x.values.to_numpy() for x in group.column("shingles")], num, den)
         return pa.table({"a": pa.array(rep[[i for i, _ in found]] if found else [], pa.int64()), "b": pa.array(rep[[j for _, j in found]] if found else [], pa.int64())})
 
-    linked_rows = many.groupBy("one", "lo", "hi").applyInArrow(linked, "a bigint, b bigint").distinct()
-    last = last.unionByName(_confirmed(linked_rows, sets, num, den))
-    links = cut(links.unionByName(last))
-    nodes = connected(links)
-
-    of_set = reps.select("f0", "f1", "rep").join(nodes, F.col("rep") == F.col("node"), "left").select("f0", "f1", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", "n", "f0", "f1").join(of_set, ["f0", "f1"], "left")
-    component_id = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
+    late = _confirmed(cut(dealt.groupBy("one", "lo", "hi").applyInArrow(linked, "a bigint, b bigint").distinct()), sets, num, den)
+    # the late links join components, so only these are connected again
+    of_node = nodes.select(F.col("node").alias("at"), F.col("component").alias("root"))
+    ends = late.join(of_node, F.col("a") == F.col("at"), "left").select(F.coalesce("root", "a").alias("a"), "b")
+    ends = ends.join(of_node, F.col("b") == F.col("at"), "left").select("a", F.coalesce("root", "b").alias("b")).filter("a <> b")
+    joined = connected(ends).select(F.col("node").alias("root_2"), F.col("component").alias("further"))
+    of_rep = nodes.unionByName(joined.select(F.col("root_2").alias("node"), F.col("root_2").alias("component"))).distinct()
+    nodes = cut(looked_up(of_rep, "component", joined, "root_2", how="left").select("node", F.coalesce("further", "component").alias("component")))
+
+    # sets of several documents or with links; any other document is a component of its own
+    known = reps.select("f0", "f1", "rep", "copies").join(nodes, F.col("rep") == F.col("node"), "left").filter((F.col("copies") > 1) | F.col("node").isNotNull())
+    known = known.select(F.struct("f0", "f1").alias("set"), F.coalesce("component", "rep").alias("component"))
+    out = looked_up(signed.select("id", "n", F.struct("f0", "f1").alias("of")), "of", known, "set", how="left")
+    component_id = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
     result = cut(out.select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), component_id.alias("component_id")))
     for path in (signed_at, reps_at, tabled_at, sets_at):
         drop_stored(spark, path)
@@ -266,10 +302,13 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of documents that are their component's smallest id, one row of each id; rows without an id stay."""
+    """The rows of documents that are their component's smallest id, one row of each text of an id; rows without an id stay."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, num=num, den=den)
-    gone = found.filter(~F.col("kept")).select(F.col(id_col).alias("__echoloom_id")).distinct()
-    left = docs.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col("__echoloom_id"), "left_anti")
+    gone = found.filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
+    left = docs.join(gone, F.col(f"`{id_col}`").cast("bigint") == gone["__gone"], "left_anti")
     # rows without an id differ in a number of their own, so one pass over the texts does
-    own = F.when(F.col(f"`{id_col}`").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))
-    return left.withColumn("__echoloom_row", own).dropDuplicates([id_col, "__echoloom_row"]).drop("__echoloom_row")
+    own = F.when(F.col(f"`{id_col}`").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(F.col(f"`{text_col}`")))
+    name = "__row"
+    while name in left.columns:
+        name += "_"
+    return left.withColumn(name, own).dropDuplicates([id_col, name]).drop(name)

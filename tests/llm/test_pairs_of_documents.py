@@ -51,14 +51,41 @@ def make_docs(seed, groups=12, copies=10):
     return rows
 
 
-@pytest.mark.parametrize("size,small", [(2, 48), (5, 3)])
-def test_near_duplicates(spark, size, small):
+@pytest.mark.parametrize("size,blocks", [(2, {}), (5, {"block_rows": 3, "block_shingles": 200}), (2, {"tried": 0, "block_rows": 4})])
+def test_near_duplicates(spark, size, blocks):
+    """With small blocks, and with all links left to the blocks, the components are the same."""
     rows = make_docs(size)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, shingle=size, small=small, block=8).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, shingle=size, **blocks).collect()}
     assert got == brute_components(rows, size)
 
 
+def test_large_group_near_the_threshold(spark):
+    """One group whose pairs lie on both sides of 0.8, beside exact copies: nothing is lost with its size."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for k in range(400):
+        words = list(base)
+        for at in rng.sample(range(90), rng.choice((1, 2, 3, 4, 5))):
+            words[at] = f"x{rng.randint(0, 10**6)}"
+        rows.append((k + 1000, " ".join(words)))
+    rows += [(k, rows[0][1].upper()) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, shingle=2, block_rows=64).collect()}
+    assert got == brute_components(rows, 2)
+
+
+def test_texts_of_one_id(spark):
+    """An id with two texts has the links of both; one row of each of its texts stays."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a), (1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, "c d e f g h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(docs, shingle=2).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4)} and len(got) == 6
+    assert sorted(tuple(r) for r in neardup.keep_one(docs, shingle=2).collect()) == [(1, a), (1, b), (4, "c d e f g h")]
+
+
 def test_near_duplicates_odd(odd, none):
     got = neardup.near_duplicates(odd, shingle=2).collect()
     by = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
@@ -74,7 +101,7 @@ def test_block_links_span_all_links():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 10**6, 60)
     sets = [np.unique(np.where(rng.random(60) < 0.12, rng.integers(0, 10**6, 60), base)) for _ in range(40)]
-    found = [(i, j) for i, j in neardup.block_links(np.arange(40), sets, 80, 100) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    found = [(i, j) for i, j in neardup.block_links(np.arange(40), np.ones(40, bool), sets, 80, 100, width=16) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
     labels = list(range(40))
     for pairs in (found, [(i, j) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]):
         parent = list(range(40))
