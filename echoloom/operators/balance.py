@@ -7,6 +7,7 @@ ordered, so a group of any size is spread over tasks.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,21 +42,47 @@ def running_before(rows: DataFrame, value: str, classes: list[str], token: str,
     return placed.withColumn(name, F.col("__classes") + F.col("__cells") + F.col("__inside")).drop("__cell", "__inside", "__cells", "__classes")
 
 
+_UNIT = 1_000_000  # deficits are compared in millionths of a row
+
+
+def water_level(deficit: np.ndarray, spare: np.ndarray, tokens: np.ndarray, need: int) -> int:
+    """The least level with at most ``need`` picks above it, where a token's picks have its deficit and, one after the
+    other, ``_UNIT`` less, as long as it has rows to spare."""
+    def above(level: int) -> int:
+        return int((tokens * np.clip(-((level - deficit) // _UNIT), 0, spare)).sum())
+
+    low, high = int((deficit - spare * _UNIT).min()) - 1, int(deficit.max())
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if above(middle) <= need else (middle + 1, high)
+    return low
+
+
 def token_quotas(ratios: DataFrame, token: str, target: int) -> DataFrame:
-    """Adds quota (half to even), and take: the quota or all there are, then filled or cut to ``target`` in total,
-    the tokens furthest below their ratio first. Tokens of equal counts have equal ratios, so there are far fewer
-    ratios than tokens, and only those are put in one order."""
+    """Adds quota (half to even), and take: the quota or all there are, then filled or cut to ``target`` in total.
+
+    A row is added, one by one, to the token furthest below its ratio, as long as that has rows to spare; or taken from
+    the token furthest above it, once each. Equal ones go by the token. Tokens of equal counts have equal ratios, so
+    the driver finds the level up to which all are filled from one row a count: less than sqrt(2 * rows) of them.
+    """
     rows = ratios.withColumn("quota", F.bround(F.col("ratio") * target, 0).cast("bigint"))
     rows = rows.withColumn("first", F.least("quota", "cnt"))
-    gap = F.round(F.col("ratio") - F.col("first") / F.lit(max(target, 1)), 9)
-    rows = rows.withColumn("gap", gap + F.lit(0.0)).withColumn("spare", F.col("cnt") - F.col("first"))
-    need = target - (rows.agg(F.sum("first")).first()[0] or 0)
-    if need >= 0:
-        rows = running_before(rows.withColumn("above", -F.col("gap") + F.lit(0.0)), "spare", ["above"], token, "before")
-        take = F.col("first") + F.greatest(F.least(F.lit(need) - F.col("before"), F.col("spare")), F.lit(0))
+    rows = rows.withColumn("deficit", F.round((F.col("ratio") * target - F.col("first")) * _UNIT, 0).cast("bigint")).withColumn("spare", F.col("cnt") - F.col("first"))
+    one = F.lit(1).cast("bigint")
+    held = rows.groupBy("deficit", "spare", "first").agg(F.count("*").alias("n")).collect()  # one row a count
+    need = target - sum(r["first"] * r["n"] for r in held)
+    if need >= 0 and held:
+        level = water_level(*(np.array([r[c] for r in held], np.int64) for c in ("deficit", "spare", "n")), need)
+        filled = F.greatest(F.least(F.ceil((F.col("deficit") - level) / F.lit(float(_UNIT))), F.col("spare")), F.lit(0))
+        rows = rows.withColumn("filled", filled)
+        at_level = (F.col("deficit") - F.col("filled") * _UNIT == level) & (F.col("filled") < F.col("spare"))
+        rows = rows.withColumn("one", F.when(at_level, one).otherwise(0)).withColumn("class", F.lit(0))
+        left = need - sum(r["n"] * max(0, min(-((level - r["deficit"]) // _UNIT), r["spare"])) for r in held)
+        rows = running_before(rows, "one", ["class"], token, "before")
+        take = F.col("first") + F.col("filled") + ((F.col("one") > 0) & (F.col("before") < left)).cast("bigint")
     else:
-        one = rows.withColumn("none", (F.col("first") == 0).cast("int")).withColumn("one", F.lit(1).cast("bigint"))
-        rows = running_before(one, "one", ["none", "gap"], token, "before")
+        rows = rows.withColumn("none", (F.col("first") == 0).cast("int")).withColumn("one", one)
+        rows = running_before(rows, "one", ["none", "deficit"], token, "before")
         take = F.col("first") - (F.col("before") < -need).cast("bigint")
     return rows.select(token, "cnt", "ratio", "quota", take.cast("bigint").alias("take"))
 

@@ -239,10 +239,11 @@ ratios AS (SELECT token, cnt, weighted / sum(weighted) OVER () AS ratio FROM w)"
 _QUOTAS = f"""{_RATIOS},
 q AS (SELECT *, CAST(round_even(ratio * {TARGET}, 0) AS BIGINT) AS quota FROM ratios),
 q1 AS (SELECT *, least(quota, cnt) AS first FROM q),
-q2 AS (SELECT *, {TARGET} - sum(first) OVER () AS need, round(ratio - first / {TARGET}.0::DOUBLE, 9) AS gap, cnt - first AS spare FROM q1),
-q3 AS (SELECT *, coalesce(sum(spare) OVER (ORDER BY gap DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-  row_number() OVER (ORDER BY CAST(first = 0 AS INTEGER), gap, token) AS over_rank FROM q2),
-taken AS (SELECT token, cnt, quota, CAST(CASE WHEN need >= 0 THEN first + greatest(least(need - before, spare), 0) ELSE first - CAST(over_rank <= -need AS BIGINT) END AS BIGINT) AS take FROM q3)"""
+q2 AS (SELECT *, {TARGET} - sum(first) OVER () AS need, CAST(round((ratio * {TARGET} - first) * 1000000, 0) AS BIGINT) AS deficit, cnt - first AS spare FROM q1),
+picks AS (SELECT token, need, deficit - 1000000 * unnest(range(spare)) AS priority FROM q2),
+picked AS (SELECT token, count(*) AS more FROM (SELECT token, need, row_number() OVER (ORDER BY priority DESC, token) AS rank FROM picks) WHERE rank <= need GROUP BY token),
+q3 AS (SELECT *, row_number() OVER (ORDER BY CAST(first = 0 AS INTEGER), deficit, token) AS over_rank FROM q2 LEFT JOIN picked USING (token)),
+taken AS (SELECT token, cnt, quota, CAST(CASE WHEN need >= 0 THEN first + coalesce(more, 0) ELSE first - CAST(over_rank <= -need AS BIGINT) END AS BIGINT) AS take FROM q3)"""
 _SAMPLE = f"""WITH {_QUOTAS},
 m AS (SELECT token, source, count(*) AS n FROM pairs GROUP BY ALL),
 s AS (SELECT m.token, source, take, take * n / cnt::DOUBLE AS exact FROM m JOIN taken USING (token)),

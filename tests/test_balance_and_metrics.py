@@ -80,23 +80,44 @@ def test_running_sums_and_quotas_against_loops(spark):
     got = {r["token"]: r["before"] for r in balance.running_before(df, "value", ["class"], "token", "before").collect()}
     order = sorted(rows, key=lambda r: (r[2], r[0] is not None, (r[0] or "").encode()))
     assert got == {r[0]: sum(x[1] for x in order[:k]) for k, r in enumerate(order)}
-    counts = [(f"t{k}", int(c)) for k, c in enumerate(rng.zipf(1.6, 120).clip(1, 400))]
-    for target in (5, 40, 200):
-        total = sum(c for _, c in counts)
-        ratios = spark.createDataFrame([(t, c, c / total) for t, c in counts], "token string, cnt long, ratio double")
+
+
+def greedy(counts, ratios, target):
+    """Row by row: the token furthest below its ratio of what is taken so far, first up to its quota, then beyond."""
+    quota, seen, taken = {t: round(ratios[t] * target) for t in counts}, dict.fromkeys(counts, 0), 0
+    for capped in (True, False):
+        while taken < target:
+            open_tokens = [t for t in counts if seen[t] < min(counts[t], quota[t] if capped else counts[t])]
+            if not open_tokens:
+                break
+            best = max(open_tokens, key=lambda t: ratios[t] - seen[t] / max(taken, 1))
+            seen[best], taken = seen[best] + 1, taken + 1
+    return seen
+
+
+@pytest.mark.parametrize("strength", [0.0, 0.8, 1.5])
+def test_quotas_against_the_greedy_rule(spark, strength):
+    """The allocation in closed form is that of picking rows one by one, to a row a token (its denominator moves)."""
+    rng = np.random.default_rng(6)
+    counts = {f"t{k}": int(c) for k, c in enumerate(rng.zipf(1.5, 60).clip(1, 300))}
+    rows = spark.createDataFrame([(t,) for t, c in counts.items() for _ in range(c)], "token string")
+    ratios = balance.token_ratios(rows, "token", strength)
+    known = {r["token"]: r["ratio"] for r in ratios.collect()}
+    for target in (5, 60, sum(counts.values()) // 2, sum(counts.values()) - 20):
         take = {r["token"]: r["take"] for r in balance.token_quotas(ratios, "token", target).collect()}
-        first = {t: min(round(c / total * target), c) for t, c in counts}
-        need = target - sum(first.values())
-        want = dict(first)
-        gaps = {t: round(c / total - first[t] / target, 9) for t, c in counts}
-        if need >= 0:
-            for t, c in sorted(counts, key=lambda x: (-gaps[x[0]], x[0])):
-                more = max(0, min(need, c - first[t]))
-                want[t], need = first[t] + more, need - more
-        else:
-            for t, _ in sorted(counts, key=lambda x: (first[x[0]] == 0, gaps[x[0]], x[0]))[:-need]:
-                want[t] -= 1
-        assert take == want
+        want = greedy(counts, known, target)
+        assert sum(take.values()) == target and all(0 <= take[t] <= counts[t] for t in counts)
+        assert max(abs(take[t] - want[t]) for t in counts) <= 1, target
+
+
+def test_water_level():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        deficit, spare, n = rng.integers(-3_000_000, 3_000_000, 6) // 250_000 * 250_000, rng.integers(0, 5, 6), rng.integers(1, 4, 6)
+        picks = sorted((int(d) - balance._UNIT * k for d, s, m in zip(deficit, spare, n) for k in range(s) for _ in range(m)), reverse=True)
+        need = int(rng.integers(0, len(picks) + 1))
+        level = balance.water_level(deficit, spare, n, need)
+        assert sum(p > level for p in picks) <= need and (sum(p > level - 1 for p in picks) > need or need == len(picks))
 
 
 def plain_plateau(values, patience, least):
