@@ -76,23 +76,27 @@ def safe_name(c: Column | str) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(stripped(c), r"[^A-Za-z0-9._+-]+", "-"), r"^[-_]+|[-_]+$", ""), F.lit("")), F.lit("unknown"))
 
 
+#: The size, the parent's number and any number in a model's name; a layer's number in a parameter's name.
+_SIZE, _PARENT, _NUMBER, _LAYER = r"(?i)(\d+B)", r"_(\d+)_HF(?:_|$)", r"\d+", r"\.(\d+)\."
+
+
 def base_name(c: Column | str) -> Column:
     return F.substring_index(F.regexp_replace(col(c), r"/+$", ""), "/", -1)
 
 
 def model_size(c: Column | str) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(base_name(c), r"(?i)(\d+B)", 1), F.lit("")), F.lit("model"))
+    return F.coalesce(F.nullif(F.regexp_extract(base_name(c), _SIZE, 1), F.lit("")), F.lit("model"))
 
 
 def parent_id(c: Column | str) -> Column:
     name = base_name(c)
-    marked = F.nullif(F.regexp_extract(name, r"_(\d+)_HF(?:_|$)", 1), F.lit(""))
-    return F.coalesce(marked, F.try_element_at(F.regexp_extract_all(name, F.lit(r"\d+"), F.lit(0)), F.lit(-1)), F.lit("unknown"))
+    marked = F.nullif(F.regexp_extract(name, _PARENT, 1), F.lit(""))
+    return F.coalesce(marked, F.try_element_at(F.regexp_extract_all(name, F.lit(_NUMBER), F.lit(0)), F.lit(-1)), F.lit("unknown"))
 
 
 def layer_of(c: Column | str) -> Column:
     """The number of a parameter's layer: the first number between dots."""
-    return F.nullif(F.regexp_extract(col(c), r"\.(\d+)\.", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(col(c), _LAYER, 1), F.lit("")).cast("int")
 
 
 def format_number(x: float) -> str:
