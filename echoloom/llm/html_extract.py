@@ -10,7 +10,7 @@ navigation, header, footer, notice, advert, form or comments is left out, and th
 A class lies in the slot of the class of the element around it, whose support is at least its own; the slots of
 elements found so are named by their roles. The role of a slot is that of its enclosing elements: names, and whole
 words of class, id and role. Parts of such words (site-header, cookie-notice) name only slots that deduction found,
-outside articles and where they don't hold most of a page without one. A role word never hides an article or main
+outside articles (but for comments) and where they don't hold most of a page without one. A role word never hides an article or main
 element below it, except that lists of comments or related articles stay out beside another article. On headings and
 sections in an article it counts only where the template holds the element. If more than half of an article's words
 are the host's, the page is an edited copy and keeps them. Of a page whose host shows no template, content elements
@@ -47,6 +47,8 @@ ROLES = frozenset(
 )
 #: Role words of lists that hold articles of their own.
 LISTS = frozenset("comment comments reply replies respond disqus related recommended".split())
+#: Role words of reader comments, whose compounds count in an article as well.
+COMMENTS = frozenset("comment comments reply replies respond disqus".split())
 CONTENT = frozenset(("article", "main"))
 #: Class and id words of content elements on sites that use plain divisions.
 CONTENT_MARKS = frozenset("content article post entry story main".split())
@@ -167,7 +169,7 @@ class Page:
                         roles = (*roles, "/".join([x[1] for x in stack if x[0] not in INLINE] + [label]))
                     else:
                         state = LIST if role in LISTS else ROLE
-                elif part and state == SHOWN and not inside and not holds and name not in INLINE:
+                elif part and state == SHOWN and not holds and name not in INLINE and (not inside or part in COMMENTS):
                     label += "#" + part
                     roles = (*roles, "/".join([x[1] for x in stack if x[0] not in INLINE] + [label]))
                 if state != out or roles != unsure:

@@ -52,6 +52,8 @@ def test_parts_of_role_words_name_slots_that_deduction_found():
     assert extract(rare)[-1] == "Line 9\nPrices rose"  # no template holds it
     layout = [Page(f'<body><div class="layout has-sidebar"><p>All the text {k}</p></div><div>About {k}</div></body>') for k in range(9)]
     assert extract(layout) == [f"All the text {k}\nAbout {k}" for k in range(9)]
+    comments = [Page(f'<main><article><p>Text {k}</p></article><div class="comments-area"><p>Said {k}</p></div></main>') for k in range(9)]
+    assert extract(comments) == [f"Text {k}" for k in range(9)]
     article = [Page(f'<div class="with-sidebar"><article><div class="entry-header"><h1>Title {k}</h1></div><p class="share-price">Prices {k}</p></article></div>') for k in range(9)]
     assert extract(article) == [f"Title {k}\nPrices {k}" for k in range(9)]
 
