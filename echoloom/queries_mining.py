@@ -13,7 +13,9 @@ from .operators.tokens import with_decoded
 from .plans.mine import mine
 from .plans.training_data import model_names
 from .queries import _HIT_PARTS, _docs, _events, _logits, _model_names, _pairs, _PAIRS, _toy_pairs, SOURCES, WORD, read
+from .shared import new_path
 from .sources import readers
+from .streaming.detect import windowed_rates, write_whole
 
 EPOCHS, BATCH, ACCUMULATION = 1.5, 4, 8
 LENGTH = 64
@@ -93,6 +95,18 @@ def loop_rate_rounds(spark, d):
     return rates.select("round", "n_texts", "n_loops", F.round("loop_rate", 6).alias("loop_rate"), F.round("change", 6).alias("change"))
 
 
+def stream_rates(spark, d):
+    """Error rates of the events in windows of an hour, from a stream over the table's files."""
+    schema = read(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", 1).alias("hit"))
+    out = new_path(spark)
+    running = write_whole(windowed_rates(stream, "ts", "1 hour"), f"{out}/rates", f"{out}/state")
+    running.awaitTermination()
+    written = spark.read.parquet(f"{out}/rates")
+    last = written.agg(F.max("batch")).first()[0]
+    return written.filter(F.col("batch") == last).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "n_texts", "n_loops", F.round("loop_rate", 6).alias("loop_rate"))
+
+
 # Readers ------------------------------------------------------------------------------------------------------------
 
 
@@ -201,7 +215,7 @@ def snippets(spark, d):
 
 def queries():
     every = (
-        parse_completions, decode_tokens, mined_pairs, mined_by_source, failed_responses, first_pairs, loop_rate_rounds, read_prompts, prompts_of_sources, max_prompts, chat_roles, blank_lines, pair_lines,
+        parse_completions, decode_tokens, mined_pairs, mined_by_source, failed_responses, first_pairs, loop_rate_rounds, stream_rates, read_prompts, prompts_of_sources, max_prompts, chat_roles, blank_lines, pair_lines,
         thin_chosen, padded_ids, min_chosen, clipped_norms, named_windows, estimated_steps, merged_names, snippets,
     )
     return {f.__name__: f for f in every}
@@ -231,6 +245,7 @@ def oracle_sql() -> dict[str, str]:
         "failed_responses": f"SELECT {_KIND} = 3 AS failed, count(*) AS n FROM documents GROUP BY 1",
         "first_pairs": f"WITH {_PAIRS} SELECT doc_id, source, token FROM pairs ORDER BY source, doc_id LIMIT 75",
         "loop_rate_rounds": f"{_FIRST}, r AS (SELECT d.doc_id % 3 AS round, count(*) AS n_texts, count(h.doc_id) AS n_loops, 100.0::DOUBLE * count(h.doc_id) / greatest(count(*), 1) AS rate FROM documents d LEFT JOIN looped h USING (doc_id) GROUP BY 1) SELECT round, n_texts, n_loops, round(rate, 6) AS loop_rate, round(rate - lag(rate) OVER (ORDER BY round), 6) AS change FROM r",
+        "stream_rates": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, count(*) AS n_texts, count(*) FILTER (event_type = 'error') AS n_loops, round(100.0::DOUBLE * count(*) FILTER (event_type = 'error') / count(*), 6) AS loop_rate FROM events GROUP BY 1",
         "read_prompts": "SELECT source, md5('<' || CASE WHEN doc_id % 3 = 0 THEN 'user: ' || text || chr(10) || 'assistant: ok' ELSE text END || '>') AS prompt_md5, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS n_messages FROM documents WHERE NOT contains(lower(source), 'src1')",
         "prompts_of_sources": f"SELECT source, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS n_chats FROM documents WHERE source IN ({', '.join(repr(s) for s in SOURCES)}) GROUP BY source",
         "max_prompts": "SELECT source, CAST(doc_id AS VARCHAR) AS text FROM documents WHERE NOT contains(lower(source), 'src2') ORDER BY doc_id LIMIT 60",

@@ -25,6 +25,15 @@ def windowed_rates(stream: DataFrame, time_col: str, width: str = "10 minutes",
     return counts.withColumn("loop_rate", F.lit(100.0) * F.col("n_loops") / F.greatest("n_texts", F.lit(1)))
 
 
+def write_whole(result: DataFrame, out: str, checkpoint: str):
+    """Writes the whole result of an aggregated stream after each micro-batch, as <out>/batch=<number>."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return result.writeStream.foreachBatch(sink).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def until_target(stream: DataFrame, out: str, checkpoint: str, target: int, hit: str = "hit"):
     """Writes hits as Parquet, a folder a micro-batch, and stops after the micro-batch that reaches ``target``; surplus
     hits of it are cut. What earlier runs wrote is counted first, so a restart goes on where it was."""
