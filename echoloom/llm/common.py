@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,27 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import new_path, shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset.
-
-    Our own is in the warehouse, which is shared; in local mode, where there is one machine, it is a temporary one.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        local = spark.sparkContext.master.startswith("local")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="echoloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/echoloom-shared")
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint; the files go when the frame is no longer referenced."""
     shared_dir(df.sparkSession)
@@ -41,7 +25,7 @@ def cut(df: DataFrame) -> DataFrame:
 def store(df: DataFrame) -> tuple[DataFrame, str]:
     """Writes the frame as Parquet in the shared folder and reads it back; returns it and its path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/echoloom-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -313,38 +313,38 @@ def host_templates(rows: DataFrame) -> DataFrame:
     return held.groupBy("host").agg(F.collect_list(F.struct("key", "class", "place")).alias("template"))
 
 
-def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_pages: int = 48) -> DataFrame:
+def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk_bytes: int = 1 << 18) -> DataFrame:
     """Per page: id, url, text, n_chars. Pages are read twice: for the templates of their hosts, and with them.
 
-    A host with more than its even share of all pages (``group_pages`` at least, and so there are no more of them than
-    tasks) is dealt over several tasks by a hash of the page where its template is joined.
+    Where templates are joined, a host with more bytes than an eighth of a task's even share (``chunk_bytes`` at least)
+    is dealt over several tasks by a hash of the page, so chunks are small against tasks and fill them evenly.
     """
     spark = pages.sparkSession
     tasks = partitions(spark)
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = rows.withColumn("host", host)
-    counts = rows.groupBy("host").agg(F.count("*").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    share = max(group_pages, total // (2 * tasks))
-    hot = {x["host"]: -(-x["n"] // share) for x in counts.filter(F.col("n") > share).collect()}  # at most 2 * tasks hosts
-    salts = F.lit(1)
-    if hot:
-        by_host = F.create_map(*[F.lit(v) for kv in hot.items() for v in kv])
-        salts = F.coalesce(F.try_element_at(by_host, F.col("host")), F.lit(1))
-    templates = host_templates(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    keyed = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url", "html"), salts).cast("int"))
+    sizes = cut(rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("bigint")).alias("n")))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    share = max(chunk_bytes, total // (8 * tasks))
+    # less than 8 * tasks hosts hold more than the share
+    hot = F.broadcast(sizes.filter(F.col("n") > share).select("host", F.ceil(F.col("n") / share).alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    templates = host_templates(rows).join(hot, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("salts")
+    keyed = rows.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("id", "url", "html"), salts)).drop("salts").repartition(tasks, "host", "salt")
     joined = keyed.join(templates, ["host", "salt"], "left")
 
     def make():
-        known: list = [None, None, {}]
+        known: dict[str, Template] = {}
 
         def f(x):
             texts = []
             for h, html, t in zip(x["host"], x["html"], x["template"], strict=True):
-                if known[0] != h or known[1] != t:
-                    known[:] = [h, t, {r["key"]: (r["class"], r["place"]) for r in t or ()}]
-                texts.append(page_text(Page(html or ""), known[2]))
+                if h not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    known[h] = {r["key"]: (r["class"], r["place"]) for r in t or ()}
+                texts.append(page_text(Page(html or ""), known[h]))
             return {"page": x["id"], "url": x["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
         return f
