@@ -95,8 +95,7 @@ def parse_completions(rows: DataFrame, response: str = "response") -> DataFrame:
     Alternatives keep the order of the response; empty and missing positions are left out. A response that is missing
     or no JSON object has failed; it stops nothing.
     """
-    whole = F.try_parse_json(response)
-    rows = rows.withColumn("failed", ~F.coalesce(F.startswith(F.schema_of_variant(whole), F.lit("OBJECT")), F.lit(False)))
+    rows = rows.withColumn("failed", F.json_object_keys(response).isNull())
     choice = "$.choices[0]"
     has = F.get_json_object(response, f"{choice}.logprobs").isNotNull()
     tokens = F.from_json(F.get_json_object(response, f"{choice}.logprobs.tokens"), "array<string>")
