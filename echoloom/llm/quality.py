@@ -112,11 +112,12 @@ def hashed_features(s: dict[str, float], words: list[str], known: dict[str, int]
 class LabelModel:
     """The accuracies of the labellers and the share of good texts, by expectation-maximisation.
 
-    A text is of one hidden kind, and its votes are independent given the kind; no vote says nothing. Since symptoms of
-    bad texts exclude each other more than independence allows, bad texts can be of several kinds: kinds are added, each
-    begun at the texts that one labeller calls bad, as long as the Bayesian information criterion rises. A kind is bad
-    where some labeller's bad votes on it clearly outnumber its good ones; the first step takes texts without a bad vote
-    as good. ``share`` holds the shares of the kinds and ``good_given`` each labeller's share of good votes on them.
+    A text is of one hidden kind, and its votes (good, bad or none) are independent given the kind. Since symptoms of bad
+    texts exclude each other more than independence allows, bad texts can be of several kinds: kinds are added, each
+    begun at the texts that one labeller calls bad, as long as the Bayesian information criterion rises. The first step
+    takes texts without a bad vote as good, and the kind that holds most of these is good. Any other kind is bad
+    where some labeller calls a tenth of it bad at least, and clearly more of it bad than good. ``share`` holds the
+    shares of the kinds and ``vote_given`` the shares of good votes, bad votes and none of each labeller on them.
     """
 
     def __init__(self, patterns: dict[str, int], most_kinds: int | None = None, steps: int = 2000) -> None:
@@ -124,8 +125,8 @@ class LabelModel:
         self.count = np.array([patterns[p] for p in self.index], float)
         m = len(next(iter(self.index), ""))
         cast = np.array([["gb-".index(c) for c in p] for p in self.index], np.int64).reshape(len(self.index), m)
-        self.good, self.cast = (cast == 0).astype(float), (cast != 2).astype(float)
-        self.share, self.good_given, self.bad_kind = np.array([0.5, 0.5]), np.full((2, m), 0.5), np.array([False, True])
+        self.votes = np.eye(3)[cast].reshape(len(self.index), 3 * m)  # pattern, labeller and vote
+        self.share, self.vote_given, self.bad_kind = np.array([0.5, 0.5]), np.full((2, m, 3), 1 / 3), np.array([False, True])
         self.post, self.right = np.empty(0), np.full((m, 2), np.nan)
         if not self.count.sum():
             return
@@ -137,17 +138,19 @@ class LabelModel:
                 new = np.where(voted, 0.9, 0.02)[:, None]
                 tries.append(self._settle(np.concatenate([belongs * (1 - new), new], 1), 60))
             further = self._settle(max(tries, key=lambda x: x[0])[1], steps)
-            if further[0] - like <= 0.5 * (m + 1) * np.log(self.count.sum()):
+            if further[0] - like <= 0.5 * (2 * m + 1) * np.log(self.count.sum()):
                 break
             like, belongs = further
         self._settle(belongs, 1)
         weight = self.count[:, None] * belongs
-        good, all_votes = weight.T @ self.good, weight.T @ self.cast
-        self.bad_kind = (all_votes - 2 * good > np.sqrt(all_votes)).any(1)
+        good, called_bad, _ = np.moveaxis((weight.T @ self.votes).reshape(-1, m, 3), 2, 0)
+        self.bad_kind = ((called_bad - good > np.sqrt(called_bad + good)) & (called_bad >= 0.1 * weight.sum(0)[:, None])).any(1)
+        if not bad.all():
+            self.bad_kind[weight[~bad].sum(0).argmax()] = False
         self.post = belongs[:, ~self.bad_kind].sum(1)
+        voted = good + called_bad
         with np.errstate(invalid="ignore"):
-            on_bad, on_good = all_votes[self.bad_kind].sum(0), all_votes[~self.bad_kind].sum(0)
-            self.right = np.stack([1 - good[self.bad_kind].sum(0) / on_bad, good[~self.bad_kind].sum(0) / on_good], 1)
+            self.right = np.stack([called_bad[self.bad_kind].sum(0) / voted[self.bad_kind].sum(0), good[~self.bad_kind].sum(0) / voted[~self.bad_kind].sum(0)], 1)
 
     def _settle(self, belongs: np.ndarray, steps: int) -> tuple[float, np.ndarray]:
         """Turns of both steps until the log-likelihood stands; it, and the posteriors of the kinds for each pattern."""
@@ -155,8 +158,9 @@ class LabelModel:
         for _ in range(steps):
             weight = self.count[:, None] * belongs
             self.share = (weight.sum(0) + 0.5) / (weight.sum() + 0.5 * belongs.shape[1])
-            self.good_given = (weight.T @ self.good + 0.5) / (weight.T @ self.cast + 1)
-            odds = np.log(self.share) + self.good @ np.log(self.good_given.T) + (self.cast - self.good) @ np.log(1 - self.good_given.T)
+            seen = (weight.T @ self.votes).reshape(belongs.shape[1], -1, 3) + 0.5
+            self.vote_given = seen / seen.sum(2, keepdims=True)
+            odds = np.log(self.share) + self.votes @ np.log(self.vote_given.reshape(belongs.shape[1], -1).T)
             top = odds.max(1, keepdims=True)
             each = np.exp(odds - top)
             belongs = each / each.sum(1, keepdims=True)

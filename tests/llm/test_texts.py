@@ -227,25 +227,33 @@ def test_label_model_is_plain_expectation_maximisation():
     _, items = _voted(np.random.default_rng(5), 900, 0.6, (0.85, 0.8, 0.75), 0.3)
     post = [0.1 if "b" in p else 0.9 for p in items]
     for _ in range(3000):
-        n = len(items)
-        prior = (sum(post) + 0.5) / (n + 1)
-        right = []
+        prior = (sum(post) + 0.5) / (len(items) + 1)
+        given = []  # for each labeller the shares of its votes on good and on bad items
         for k in range(3):
-            voted = [(w, p[k]) for w, p in zip(post, items) if p[k] != "-"]
-            on_good, on_bad = sum(w for w, _ in voted), sum(1 - w for w, _ in voted)
-            right.append(((sum(w for w, v in voted if v == "g") + 0.5) / (on_good + 1), (sum(1 - w for w, v in voted if v == "b") + 0.5) / (on_bad + 1)))
+            of = []
+            for weights in (post, [1 - w for w in post]):
+                seen = {v: 0.5 + sum(w for w, p in zip(weights, items) if p[k] == v) for v in "gb-"}
+                of.append({v: n / sum(seen.values()) for v, n in seen.items()})
+            given.append(of)
         new = []
         for p in items:
             a, b = prior, 1 - prior
-            for (g, d), v in zip(right, p):
-                a, b = (a * g, b * (1 - d)) if v == "g" else (a * (1 - g), b * d) if v == "b" else (a, b)
+            for (on_good, on_bad), v in zip(given, p):
+                a, b = a * on_good[v], b * on_bad[v]
             new.append(a / (a + b))
         moved, post = max(abs(x - y) for x, y in zip(new, post)), new
         if moved < 1e-9:
             break
     m = quality.LabelModel(Counter(items), most_kinds=1)
     assert max(abs(m.posterior(p) - w) for p, w in zip(items, post)) < 0.01
-    assert np.abs(m.accuracies() - np.array([(d, g) for g, d in right])).max() < 0.01
+    assert np.abs(m.accuracies() - np.array([(d["b"] / (d["b"] + d["g"]), g["g"] / (g["b"] + g["g"])) for g, d in given])).max() < 0.01
+
+
+def test_silent_labellers_turn_nothing_bad():
+    """Good texts on which a labeller never votes stay good beside texts that it calls bad."""
+    m = quality.LabelModel({"gg-": 300, "gbg": 40, "g-b": 40})
+    assert m.posterior("gg-") > 0.99 and m.posterior("gbg") < 0.01 and m.posterior("g-b") < 0.01
+    assert quality.LabelModel({"g-": 5, "gg": 3}).post.min() > 0.99
 
 
 def test_label_model_tells_kinds_of_bad_texts():
