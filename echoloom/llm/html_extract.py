@@ -313,11 +313,12 @@ def host_templates(rows: DataFrame) -> DataFrame:
     return held.groupBy("host").agg(F.collect_list(F.struct("key", "class", "place")).alias("template"))
 
 
-def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk_bytes: int = 1 << 18) -> DataFrame:
+def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk_bytes: int = 1 << 16, chunks: int = 128) -> DataFrame:
     """Per page: id, url, text, n_chars. Pages are read twice: for the templates of their hosts, and with them.
 
-    Where templates are joined, a host with more bytes than an eighth of a task's even share (``chunk_bytes`` at least)
-    is dealt over several tasks by a hash of the page, so chunks are small against tasks and fill them evenly.
+    Where templates are joined, a host with more bytes than one of ``chunks`` parts of a task's even share
+    (``chunk_bytes`` at least) is dealt over several tasks by a hash of the page, so chunks are small against tasks and
+    fill them evenly.
     """
     spark = pages.sparkSession
     tasks = partitions(spark)
@@ -326,8 +327,8 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     rows = rows.withColumn("host", host)
     sizes = cut(rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("bigint")).alias("n")))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    share = max(chunk_bytes, total // (8 * tasks))
-    # less than 8 * tasks hosts hold more than the share
+    share = max(chunk_bytes, total // (chunks * tasks))
+    # less than chunks * tasks hosts hold more than the share
     hot = F.broadcast(sizes.filter(F.col("n") > share).select("host", F.ceil(F.col("n") / share).alias("salts")))
     salts = F.coalesce("salts", F.lit(1))
     templates = host_templates(rows).join(hot, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("salts")
