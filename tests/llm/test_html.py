@@ -83,7 +83,7 @@ def test_pages(spark, small_dir):
 def test_odd_rows(spark):
     rows = [(1, "http://a/x", "<article>t</article>", 1, "h"), (1, "http://a/x", "<article>t</article>", 1, "h"), (2, None, None, None, None), (None, "no url", "", 2, None), (3, "http://a/y", "<p>" + "word " * 50_000, 0, "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host long, text string")
-    got = extract_main_text(pages, group_pages=2).collect()
+    got = extract_main_text(pages, chunk_bytes=2).collect()
     assert len(got) == 5 and sorted(len(r["text"]) for r in got) == [0, 0, 1, 1, 249_999]
     assert extract_main_text(pages.limit(0)).count() == 0
 
