@@ -22,11 +22,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame) -> tuple[DataFrame, str]:
+def store(df: DataFrame, **options: str) -> tuple[DataFrame, str]:
     """Writes the frame as Parquet in the shared folder and reads it back; returns it and its path."""
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

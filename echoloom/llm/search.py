@@ -250,7 +250,9 @@ def search(
     """The k best documents of each query (id, text; each distinct term counts once): query_id, rank, the found id, score."""
     spark = docs.sparkSession
     number = F.col(f"`{id_col}`").cast("bigint")
-    index, index_at = store(build_index(docs.select(F.coalesce(number, F.lit(_NULL)).alias("id"), F.col(f"`{text_col}`").alias("text")), shard_rows, shard_chars))
+    # rows of megabytes: a row group's size is looked at after each, not first after a hundred
+    written = {"parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "4", "parquet.page.size.row.check.min": "1"}
+    index, index_at = store(build_index(docs.select(F.coalesce(number, F.lit(_NULL)).alias("id"), F.col(f"`{text_col}`").alias("text")), shard_rows, shard_chars), **written)
     n, total = index.agg(F.sum("n"), F.sum("total")).first()
     n, total = n or 0, total or 0
 
