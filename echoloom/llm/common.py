@@ -69,6 +69,21 @@ def map_texts(
     return df.select([F.col(f"`{c}`") for c in columns]).mapInArrow(run, kind)
 
 
+def map_stream(df: DataFrame, columns: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
+    """Maps the batches of a task, with some columns, to dicts of output columns by one generator a task, which may hold
+    bounded state between batches and give what is left at the end."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = T._parse_datatype_string(schema)
+    arrow_schema = to_arrow_schema(kind)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in run(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) for x in arrow_schema], schema=arrow_schema)
+
+    return df.select([F.col(f"`{c}`") for c in columns]).mapInArrow(go, kind)
+
+
 def replace_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], rows_at_once: int = 512) -> DataFrame:
     """Maps whole batches to batches of the same columns: rows may go and values may change."""
 

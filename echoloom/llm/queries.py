@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .divergence import source_divergence
+from .exactdedup import exact_duplicates
 from .fingerprints import fingerprint_in_order
 from .html_extract import extract_main_text
+from .importance import resample
 from .mixing import draws
 from .neardup import near_duplicates
 from .packing import pack
@@ -74,6 +77,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"), least_docs=10, terms=10)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least_words=20, percent=5, seed=42)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_toxicity,
@@ -86,6 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_html_extraction,
         op9_mixing,
         op10_token_counts,
+        op11_source_divergence,
+        op12_importance_resampling,
+        op13_exact_dedup,
     )
     return {f.__name__: f for f in every}
 
@@ -104,5 +122,29 @@ r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT b.y, r.c FROM r JOIN
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id, n"""
 
 
+_SOURCE_DIVERGENCE = f"""WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+e AS (SELECT lang, source, row, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM e GROUP BY ALL),
+k AS (SELECT lang, term FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+t AS (SELECT lang, source, sum(n) AS total FROM x GROUP BY ALL),
+p AS (SELECT lang, source, term, n, CAST(1 + (1000000000 * (n + 2)) // (total + 2 * v) AS HUGEINT) AS p FROM x JOIN t USING (lang, source) JOIN v USING (lang)),
+lt AS (SELECT lang, sum(n) AS total FROM x GROUP BY lang),
+q AS (SELECT lang, term, CAST(1 + (1000000000 * (sum(n) + 2)) // (any_value(total) + 2 * any_value(v)) AS HUGEINT) AS q FROM x JOIN lt USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 10"""
+_EXACT_DEDUP = f"""SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  coalesce(doc_id = max(doc_id) OVER same, max(doc_id) OVER same IS NULL) AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents) WINDOW same AS (PARTITION BY t)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_duplicates": _NEAR_DUPLICATES}
+    return {"op3_near_duplicates": _NEAR_DUPLICATES, "op11_source_divergence": _SOURCE_DIVERGENCE, "op13_exact_dedup": _EXACT_DEDUP}
