@@ -1,118 +1,139 @@
 """Regularised sampling: flat shares of rejected tokens, fair shares of sources.
 
-Counts go through a small matrix of (token, source); rows are then taken in the order of a keyed hash. Where a
-quota cuts a group, hashed cells of the group are counted, whole cells are taken, and only the cell at the cut is
-ordered, so a group of any size is spread over tasks.
+Counts go through one stored matrix of (token, source), from which rows are picked one by one in numbers; rows are then
+taken in the order of a keyed hash. Where a quota cuts a group, hashed cells of the group are counted, and rows are
+numbered in cells, so a group of any size is spread over tasks.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import drop_path, stored
+
 MODES = ("off", "sqrt", "equal")
 
 
 def token_ratios(rows: DataFrame, token: str, strength: float) -> DataFrame:
     """token, cnt, ratio: counts above the median are weighted by (median / count) ** strength, then normalised."""
-    counts = rows.groupBy(token).agg(F.count("*").alias("cnt"))
-    middle = counts.agg(F.percentile("cnt", F.lit(0.5)).alias("middle"))
+    return ratios_of(rows.groupBy(token).agg(F.count("*").alias("cnt")), token, strength)
+
+
+def ratios_of(counts: DataFrame, token: str, strength: float) -> DataFrame:
+    """``token_ratios`` of (token, cnt)."""
+    middle = counts.agg(F.percentile("cnt", F.lit(0.5)).alias("middle"))  # its buffer has one entry a different count
     flat = F.when((F.col("cnt") <= F.col("middle")) | F.lit(strength <= 0), F.lit(1.0)).otherwise(F.pow(F.col("middle") / F.col("cnt"), F.lit(float(strength))))
     weighted = counts.join(F.broadcast(middle)).withColumn("weighted", flat * F.col("cnt"))  # middle is one row
     total = weighted.agg(F.sum("weighted").alias("total"))
     return weighted.join(F.broadcast(total)).select(token, "cnt", (F.col("weighted") / F.col("total")).alias("ratio"))
 
 
-def running_before(rows: DataFrame, value: str, classes: list[str], token: str, name: str) -> DataFrame:
-    """Adds the sum of ``value`` over all rows before each one in the order of the classes (numbers) and then the token.
+def share_picks(token: np.ndarray, source: np.ndarray, n: np.ndarray, ratio: np.ndarray, quota: np.ndarray, share: np.ndarray, target: int) -> np.ndarray:
+    """How many rows each cell of (token, source) gives when ``target`` rows are picked one by one.
 
-    Sums of classes and, in a class, of cells (the first two characters) are added to what is before in the cell, so
-    one task holds the classes or a class's cells, and no task all rows.
+    Each pick is of the token furthest below its ratio of what is picked so far, up to its quota; of equal tokens and
+    of a token's sources, of the one furthest below its share; then of the first cell. When all quotas or rows are
+    used up, picks go on without quotas. Cells are in the order of tokens, then sources. A pick is a few vector
+    operations over the tokens.
     """
-    cell = F.coalesce(F.substring(token, 1, 2), F.lit(""))
-    held = rows.withColumn("__cell", cell)
-    sums = held.groupBy(*classes, "__cell").agg(F.sum(value).alias("__sum"))
-    up_to_here = lambda w: F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = sums.select(*classes, "__cell", up_to_here(Window.partitionBy(*classes).orderBy("__cell")).alias("__cells"))
-    outer = sums.groupBy(*classes).agg(F.sum("__sum").alias("__sum"))
-    outer = outer.select(*classes, up_to_here(Window.orderBy(*classes)).alias("__classes"))
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy(*classes, "__cell").orderBy(token).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = held.withColumn("__inside", inside).join(cells, [*classes, "__cell"]).join(outer, classes)
-    return placed.withColumn(name, F.col("__classes") + F.col("__cells") + F.col("__inside")).drop("__cell", "__inside", "__cells", "__classes")
-
-
-_UNIT = 1_000_000  # deficits are compared in millionths of a row
-
-
-def water_level(deficit: np.ndarray, spare: np.ndarray, tokens: np.ndarray, need: int) -> int:
-    """The least level with at most ``need`` picks above it, where a token's picks have its deficit and, one after the
-    other, ``_UNIT`` less, as long as it has rows to spare."""
-    def above(level: int) -> int:
-        return int((tokens * np.clip(-((level - deficit) // _UNIT), 0, spare)).sum())
-
-    low, high = int((deficit - spare * _UNIT).min()) - 1, int(deficit.max())
-    while low < high:
-        middle = (low + high) // 2
-        low, high = (low, middle) if above(middle) <= need else (middle + 1, high)
-    return low
-
-
-def token_quotas(ratios: DataFrame, token: str, target: int) -> DataFrame:
-    """Adds quota (half to even), and take: the quota or all there are, then filled or cut to ``target`` in total.
-
-    A row is added, one by one, to the token furthest below its ratio, as long as that has rows to spare; or taken from
-    the token furthest above it, once each. Equal ones go by the token. Tokens of equal counts have equal ratios, so
-    the driver finds the level up to which all are filled from one row a count: less than sqrt(2 * rows) of them.
+    left, seen, chosen, given = n.copy(), np.zeros(len(ratio), np.int64), np.zeros(len(share), np.int64), np.zeros(len(n), np.int64)
+    starts = np.searchsorted(token, np.arange(len(ratio) + 1))
+    rows = np.bincount(token, weights=n, minlength=len(ratio)).astype(np.int64)
+    capped = True
+    for picked in range(min(target, int(n.sum()))):
+        closed = (rows <= 0) | (seen >= quota) if capped else rows <= 0
+        if capped and closed.all():
+            capped, closed = False, rows <= 0
+        taken = max(picked, 1)
+        gap = np.where(closed, -np.inf, ratio - seen / taken)
+        tied = np.flatnonzero(gap == gap.max())
+        cells = np.arange(starts[tied[0]], starts[tied[0] + 1]) if len(tied) == 1 else np.concatenate([np.arange(starts[t], starts[t + 1]) for t in tied])
+        cells = cells[left[cells] > 0]
+        k = cells[np.argmax((share - chosen / taken)[source[cells]])]
+        left[k] -= 1
+        given[k] += 1
+        rows[token[k]] -= 1
+        seen[token[k]] += 1
+        chosen[source[k]] += 1
+    return given
+
+
+def count_matrix(rows: DataFrame, token: str, source: str) -> tuple[DataFrame, str]:
+    """The stored counts (token, source, n), from one pass over the rows, and their path."""
+    return stored(rows.groupBy(token, source).agg(F.count("*").alias("n")))
+
+
+def nested_quotas(matrix: DataFrame, token: str, source: str, target: int, strength: float) -> DataFrame:
+    """token, source, n, cnt, ratio, quota (of the token, half to even) and take, of cells that give rows or whose token
+    has a quota; the picks of ``share_picks`` from the counts alone.
+
+    The driver sees only tokens that can be picked: those with a quota, which are at most 2 * target, and of the others
+    those with the largest ratios that the ``need`` picks beyond all quotas can reach: of equal ratios the first
+    need + 1 tokens of each source. So its cells are bounded by the target and the number of sources, not by the rows.
     """
-    rows = ratios.withColumn("quota", F.bround(F.col("ratio") * target, 0).cast("bigint"))
-    rows = rows.withColumn("first", F.least("quota", "cnt"))
-    rows = rows.withColumn("deficit", F.round((F.col("ratio") * target - F.col("first")) * _UNIT, 0).cast("bigint")).withColumn("spare", F.col("cnt") - F.col("first"))
-    one = F.lit(1).cast("bigint")
-    held = rows.groupBy("deficit", "spare", "first").agg(F.count("*").alias("n")).collect()  # one row a count
-    need = target - sum(r["first"] * r["n"] for r in held)
-    if need >= 0 and held:
-        level = water_level(*(np.array([r[c] for r in held], np.int64) for c in ("deficit", "spare", "n")), need)
-        filled = F.greatest(F.least(F.ceil((F.col("deficit") - level) / F.lit(float(_UNIT))), F.col("spare")), F.lit(0))
-        rows = rows.withColumn("filled", filled)
-        at_level = (F.col("deficit") - F.col("filled") * _UNIT == level) & (F.col("filled") < F.col("spare"))
-        rows = rows.withColumn("one", F.when(at_level, one).otherwise(0)).withColumn("class", F.lit(0))
-        left = need - sum(r["n"] * max(0, min(-((level - r["deficit"]) // _UNIT), r["spare"])) for r in held)
-        rows = running_before(rows, "one", ["class"], token, "before")
-        take = F.col("first") + F.col("filled") + ((F.col("one") > 0) & (F.col("before") < left)).cast("bigint")
-    else:
-        rows = rows.withColumn("none", (F.col("first") == 0).cast("int")).withColumn("one", one)
-        rows = running_before(rows, "one", ["none", "deficit"], token, "before")
-        take = F.col("first") - (F.col("before") < -need).cast("bigint")
-    return rows.select(token, "cnt", "ratio", "quota", take.cast("bigint").alias("take"))
-
-
-def source_quotas(matrix: DataFrame, token: str, source: str) -> DataFrame:
-    """From (token, source, n, cnt, take): the sources' part of a token's rows, in proportion, largest remainders first."""
-    exact = F.col("take") * F.col("n") / F.col("cnt")
-    rows = matrix.withColumn("whole", F.floor(exact).cast("bigint")).withColumn("part", F.round(exact - F.floor(exact), 9))
-    by = Window.partitionBy(token)
-    left = F.col("take") - F.sum("whole").over(by)
-    rank = F.row_number().over(by.orderBy(F.desc("part"), source))
-    rows = rows.withColumn("left", left).withColumn("rank", rank)
-    return rows.select(token, source, (F.col("whole") + (F.col("rank") <= F.col("left")).cast("bigint")).alias("quota"))
-
-
-def take_per_group(rows: DataFrame, keys: list[str], quotas: DataFrame, order: str) -> DataFrame:
+    counts = matrix.groupBy(token).agg(F.sum("n").alias("cnt"))
+    rated = ratios_of(counts, token, strength).withColumn("ratio", F.round("ratio", 12)).withColumn("quota", F.bround(F.col("ratio") * target, 0).cast("bigint"))
+    rated, path = stored(rated)
+    need = target - (rated.agg(F.sum(F.least("quota", "cnt"))).first()[0] or 0)
+    reach, one = F.col("quota") > 0, F.lit(1).cast("bigint")
+    cells = matrix.join(rated.withColumnRenamed(token, "__token"), F.col(token).eqNullSafe(F.col("__token"))).drop("__token")
+    held = cells.filter(reach)
+    if need > 0:
+        # equal counts have equal ratios, so there are fewer ratios than sqrt(2 * rows)
+        classes = sorted(((r["ratio"], r["n"]) for r in rated.filter(~reach).groupBy("ratio").agg(F.count("*").alias("n")).collect()), reverse=True)
+        lowest, more = None, 0
+        for ratio, n in classes:
+            lowest, more = ratio, more + n
+            if more >= need:
+                break
+        if lowest is not None:
+            rest = cells.filter(~reach & (F.col("ratio") >= lowest))
+            first = F.row_number().over(Window.partitionBy("ratio", source).orderBy(token))
+            near = rest.withColumn("__first", first).filter(F.col("__first") <= need + 1).select(F.col(token).alias("__token")).distinct()
+            held = held.unionByName(rest.join(near, F.col(token).eqNullSafe(F.col("__token")), "left_semi"))
+    totals = matrix.groupBy(source).agg(F.sum("n").alias("n")).collect()  # a row a source
+    got = held.select(token, source, "n", "cnt", "ratio", "quota").toArrow().to_pylist()
+    key = lambda x: (x is not None, x or "")
+    got.sort(key=lambda r: (key(r[token]), key(r[source])))
+    names = sorted((r[source] for r in totals), key=key)
+    place = {x: k for k, x in enumerate(names)}
+    every = sum(r["n"] for r in totals)
+    share = np.array([n / every for n in (dict((r[source], r["n"]) for r in totals)[x] for x in names)])
+    tokens = {t: k for k, t in enumerate(dict.fromkeys(r[token] for r in got))}
+    firsts = {r[token]: r for r in reversed(got)}
+    ratio, quota = (np.array([firsts[t][c] for t in tokens]) for c in ("ratio", "quota"))
+    column = lambda f: np.array([f(r) for r in got], np.int64)
+    take = share_picks(column(lambda r: tokens[r[token]]), column(lambda r: place[r[source]]), column(lambda r: r["n"]), ratio, quota, share, target) if got else []
+    schema = held.select(token, source, "n", "cnt", "ratio", "quota").withColumn("take", one).schema
+    out = matrix.sparkSession.createDataFrame([(r[token], r[source], r["n"], r["cnt"], r["ratio"], r["quota"], int(t)) for r, t in zip(got, take, strict=True)], schema)
+    drop_path(matrix.sparkSession, path)
+    return out
+
+
+def take_per_group(rows: DataFrame, keys: list[str], quotas: DataFrame, order: str, cell_rows: int = 4096) -> DataFrame:
     """Of each group the first ``quota`` rows by the hexadecimal hash ``order``; groups without a quota go.
 
-    The first two digits make 256 cells a group. Cells wholly before the cut pass by a join on the group and cell,
-    and row numbers are given in the cells at the cut alone.
+    The first digits make cells, as many as the largest group needs for about ``cell_rows`` rows a cell; ``quotas`` has the
+    keys, ``quota`` and, for that, ``n``, the rows of the group. Cells beyond the cut go by a join on the group and cell, and
+    numbers in the cell at the cut tell the rest, in the same pass.
     """
-    cell = F.substring(order, 1, 2)
+    largest = quotas.agg(F.max("n" if "n" in quotas.columns else "quota")).first()[0] or 1
+    digits = 2 + max(0, math.ceil(math.log(max(1, largest / cell_rows / 256), 16)))
+    cell = F.substring(order, 1, digits)
+    wanted = quotas.filter(F.col("quota") > 0).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("quota").alias("__quota"))
+    of_group = functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
     held = rows.groupBy(*keys, cell.alias("__cell")).agg(F.count("*").alias("__n"))
     upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__cell"))
-    state = held.withColumn("__before", upto - F.col("__n")).join(quotas.select(*keys, F.col("quota").alias("__quota")), keys).filter(F.col("__before") < F.col("__quota"))
-    state = state.withColumn("__left", F.col("__quota") - F.col("__before")).withColumn("__whole", F.col("__left") >= F.col("__n")).select(*keys, "__cell", "__left", "__whole")
-    marked = rows.withColumn("__cell", cell).join(state, [*keys, "__cell"])
-    whole = marked.filter("__whole")
-    cut = marked.filter("NOT __whole").withColumn("__rank", F.row_number().over(Window.partitionBy(*keys, "__cell").orderBy(order)))
-    return whole.select(*rows.columns).unionByName(cut.filter(F.col("__rank") <= F.col("__left")).select(*rows.columns))
+    state = held.withColumn("__before", upto - F.col("__n")).join(wanted, of_group).filter(F.col("__before") < F.col("__quota"))
+    state = state.select(*(f"__{k}" for k in keys), F.col("__cell").alias("__at"), (F.col("__quota") - F.col("__before")).alias("__left"))
+    marked = rows.withColumn("__cell", cell).join(state, of_group & (F.col("__cell") == F.col("__at")))
+    rank = F.row_number().over(Window.partitionBy(*keys, "__cell").orderBy(order))
+    return marked.withColumn("__rank", rank).filter(F.col("__rank") <= F.col("__left")).select(*rows.columns)
 
 
 def keyed_order(seed: int, *keys: str):
@@ -128,20 +149,35 @@ def sample_pairs(rows: DataFrame, *, token: str, source: str, key: str, most: in
         raise ValueError(f"source balance must be one of {', '.join(MODES)}, not {mode!r}")
     if chosen is not None:
         rows = rows.filter(F.when(F.col(chosen).isNull(), 0).otherwise(F.size(chosen)) >= min_chosen)
-    n = rows.count()
+    matrix, path = count_matrix(rows, token, source)
+    spark, paths = rows.sparkSession, [path]
+    n = matrix.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     target = min(most or n, n)
     ordered = rows.withColumn("__order", keyed_order(seed, key))
     if target < n:
-        quotas = token_quotas(token_ratios(rows, token, strength), token, target)
-        matrix = rows.groupBy(token, source).agg(F.count("*").alias("n")).join(quotas, token)
-        ordered = take_per_group(ordered, [token, source], source_quotas(matrix, token, source), "__order")
-    out = ordered if mode == "off" else balance_sources(ordered, source, mode, "__order")
-    return out.drop("__order")
+        quotas = nested_quotas(matrix, token, source, target, strength).select(token, source, "n", F.col("take").alias("quota"))
+        ordered = take_per_group(ordered, [token, source], quotas, "__order")
+        if mode != "off":
+            ordered, _ = stored(ordered)  # at most the target's rows; it is read as long as the result is
+            matrix, path = count_matrix(ordered, token, source)
+            paths.append(path)
+    if mode != "off":
+        caps, path = stored(caps_of(matrix.groupBy(source).agg(F.sum("n").alias("n")), source, mode))
+        caps = spark.createDataFrame(caps.collect(), caps.schema)  # a row a source
+        paths.append(path)
+        ordered = take_per_group(ordered, [source], caps, "__order")
+    for path in paths:
+        drop_path(spark, path)
+    return ordered.drop("__order")
 
 
 def source_caps(rows: DataFrame, source: str, mode: str) -> DataFrame:
     """source, n, quota: an equal part of all rows for each source, or one in proportion to the root of its rows."""
-    counts = rows.groupBy(source).agg(F.count("*").alias("n"))
+    return caps_of(rows.groupBy(source).agg(F.count("*").alias("n")), source, mode)
+
+
+def caps_of(counts: DataFrame, source: str, mode: str) -> DataFrame:
+    """``source_caps`` of (source, n)."""
     total = counts.agg(F.sum("n").alias("rows"), F.count("*").alias("sources"), F.sum(F.sqrt("n")).alias("roots"))
     cap = F.floor(F.col("rows") / F.col("sources")) if mode == "equal" else F.floor(F.round(F.col("rows") * F.sqrt("n") / F.col("roots"), 9))
     return counts.join(F.broadcast(total)).select(source, "n", cap.cast("bigint").alias("quota"))  # total is one row

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 #: Fixed value: softplus is taken as its argument from here on.
 _LINEAR = 20.0
 
@@ -64,8 +66,8 @@ def batch_metrics(rows: DataFrame, *by: str, lambda_mse: float = 0.4, lambda_tar
 
 
 def median_delta(rows: DataFrame, *by: str) -> DataFrame:
-    """The lower middle of all deltas of a batch."""
-    return rows.select(*by, F.explode("delta").alias("d")).groupBy(*by).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)").alias("median_delta"))
+    """The lower middle of all deltas of a batch, exact for a batch of any size without holding it."""
+    return exact_quantiles(rows.select(*by, F.explode("delta").alias("__delta")), list(by), "__delta", {"median_delta": 0.5}, "lower")
 
 
 def clipped_norm_scale(grad: Column, param: Column, clip: float = 0.01, eps: float = 1e-3) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .config import PROMPT_TEMPLATE, Choice, Repetition
 from .functions import scalar
 from .operators import balance, choose, features, loss, metrics, reports, repetition, tokens
+from .shared import drop_path
 from .sources.readers import format_prompt
 
 SKIPPED = ["bfcl", "tau", "src1"]
@@ -211,8 +212,19 @@ def rejected_ratios(spark, d):
 
 
 def quotas(spark, d):
-    rows = balance.token_quotas(balance.token_ratios(_pairs(spark, d), "token", STRENGTH), "token", TARGET)
-    return rows.select("token", "cnt", "quota", "take")
+    """The picks of each token, of cells that give rows or whose token has a quota."""
+    matrix, path = balance.count_matrix(_pairs(spark, d), "token", "source")
+    cells = balance.nested_quotas(matrix, "token", "source", TARGET, STRENGTH)
+    drop_path(spark, path)
+    return cells.groupBy("token", "cnt", "quota").agg(F.sum("take").alias("take")).filter((F.col("quota") > 0) | (F.col("take") > 0))
+
+
+def nested_picks(spark, d):
+    """The rows that each token and source gives, to a row."""
+    matrix, path = balance.count_matrix(_pairs(spark, d), "token", "source")
+    cells = balance.nested_quotas(matrix, "token", "source", TARGET, STRENGTH)
+    drop_path(spark, path)
+    return cells.filter("take > 0").select("token", "source", "n", "take")
 
 
 def source_share(spark, d):
@@ -236,22 +248,21 @@ _RATIOS = f"""{_PAIRS},
 counts AS (SELECT token, count(*) AS cnt FROM pairs GROUP BY token),
 w AS (SELECT token, cnt, CASE WHEN cnt <= m THEN 1.0::DOUBLE ELSE power(m / cnt, {STRENGTH}) END * cnt AS weighted FROM counts, (SELECT quantile_cont(cnt, 0.5) AS m FROM counts)),
 ratios AS (SELECT token, cnt, weighted / sum(weighted) OVER () AS ratio FROM w)"""
+#: The rule itself, a step a pick: the state of every cell with the cell that is best in it.
 _QUOTAS = f"""{_RATIOS},
-q AS (SELECT *, CAST(round_even(ratio * {TARGET}, 0) AS BIGINT) AS quota FROM ratios),
-q1 AS (SELECT *, least(quota, cnt) AS first FROM q),
-q2 AS (SELECT *, {TARGET} - sum(first) OVER () AS need, CAST(round((ratio * {TARGET} - first) * 1000000, 0) AS BIGINT) AS deficit, cnt - first AS spare FROM q1),
-picks AS (SELECT token, need, deficit - 1000000 * unnest(range(spare)) AS priority FROM q2),
-picked AS (SELECT token, count(*) AS more FROM (SELECT token, need, row_number() OVER (ORDER BY priority DESC, token) AS rank FROM picks) WHERE rank <= need GROUP BY token),
-q3 AS (SELECT *, row_number() OVER (ORDER BY CAST(first = 0 AS INTEGER), deficit, token) AS over_rank FROM q2 LEFT JOIN picked USING (token)),
-taken AS (SELECT token, cnt, quota, CAST(CASE WHEN need >= 0 THEN first + coalesce(more, 0) ELSE first - CAST(over_rank <= -need AS BIGINT) END AS BIGINT) AS take FROM q3)"""
-_SAMPLE = f"""WITH {_QUOTAS},
+q AS (SELECT token, cnt, round(ratio, 12) AS ratio, CAST(round_even(round(ratio, 12) * {TARGET}, 0) AS BIGINT) AS quota FROM ratios),
+pool AS (SELECT source, count(*) / (SELECT count(*) FROM pairs)::DOUBLE AS share FROM pairs GROUP BY source),
 m AS (SELECT token, source, count(*) AS n FROM pairs GROUP BY ALL),
-s AS (SELECT m.token, source, take, take * n / cnt::DOUBLE AS exact FROM m JOIN taken USING (token)),
-s1 AS (SELECT *, CAST(floor(exact) AS BIGINT) AS whole, round(exact - floor(exact), 9) AS part FROM s),
-s2 AS (SELECT *, take - sum(whole) OVER (PARTITION BY token) AS left_over, row_number() OVER (PARTITION BY token ORDER BY part DESC, source) AS rank FROM s1),
-sq AS (SELECT token, source, whole + CAST(rank <= left_over AS BIGINT) AS quota FROM s2),
+state AS (
+  SELECT 0 AS step, token, source, n, cnt, ratio, quota, share, 0 AS take, 0 AS seen, 0 AS chosen FROM m JOIN q USING (token) JOIN pool USING (source)
+  UNION ALL
+  SELECT step + 1, token, source, n, cnt, ratio, quota, share, take + CAST(token = best.t AND source = best.s AS INTEGER), seen + CAST(token = best.t AS INTEGER), chosen + CAST(source = best.s AS INTEGER)
+  FROM (SELECT *, first_value({{'t': token, 's': source}}) OVER (ORDER BY take < n AND seen < quota DESC, take < n DESC, ratio - seen / greatest(step, 1)::DOUBLE DESC, share - chosen / greatest(step, 1)::DOUBLE DESC, token, source) AS best FROM state)
+  WHERE step < {TARGET}),
+taken AS (SELECT * FROM state WHERE step = (SELECT max(step) FROM state))"""
+_SAMPLE = f"""WITH RECURSIVE {_QUOTAS},
 r AS (SELECT doc_id, token, source, row_number() OVER (PARTITION BY token, source ORDER BY md5('{SEED}|' || doc_id)) AS rn FROM pairs)
-SELECT doc_id, token, source FROM r JOIN sq USING (token, source) WHERE rn <= quota"""
+SELECT doc_id, token, source FROM r JOIN taken USING (token, source) WHERE rn <= take"""
 
 
 def _balance_sql(cap: str) -> str:
@@ -405,17 +416,17 @@ def layers(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         loop_hits, loop_hits_loose, loop_rate_by_source, loop_report, generation_records, prompt_format, skip_filter, source_isin, trimmed_filter, trimmed_count, source_labels,
-        token_spans, char_to_token, char_to_token_join, context_before, choose_tokens, choose_min_p, choose_top_k, rejected_ratios, quotas, source_share, regularised_sample, source_balance_equal,
+        token_spans, char_to_token, char_to_token_join, context_before, choose_tokens, choose_min_p, choose_top_k, rejected_ratios, quotas, nested_picks, source_share, regularised_sample, source_balance_equal,
         source_balance_sqrt, filter_cascade, filter_cascade_counts, normal_keys, preference_loss, batch_metrics, median_delta, metric_windows, threshold_stop, plateau_stop, starter_share, top_counter,
         model_name_parse, sanitize_names, layers,
     )
-    from . import queries_mining
+    from . import queries_joins, queries_mining
 
-    return {f.__name__: f for f in every} | queries_mining.queries()
+    return {f.__name__: f for f in every} | queries_mining.queries() | queries_joins.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import queries_mining
+    from . import queries_joins, queries_mining
 
     skipped = " OR ".join(f"contains(lower(source), '{s}')" for s in SKIPPED)
     words = "regexp_extract_all(text, '\\s?\\S+')"
@@ -426,7 +437,7 @@ def oracle_sql() -> dict[str, str]:
     spans = f"(SELECT doc_id, text, len(w) AS nw, w, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS idx FROM (SELECT doc_id, text, {words} AS w FROM documents))"
     ends = f"(SELECT doc_id, text, idx, t, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY idx) AS e FROM {spans})"
     located = f"SELECT d.doc_id, CAST(length(d.text) // 2 AS INTEGER) AS pos, CAST(s.idx AS INTEGER) AS idx FROM documents d {{join}} JOIN {ends} s ON s.doc_id = d.doc_id AND s.e - length(s.t) <= length(d.text) // 2 AND length(d.text) // 2 < s.e"
-    return queries_mining.oracle_sql() | {
+    return queries_mining.oracle_sql() | queries_joins.oracle_sql() | {
         "loop_hits": _hits_sql(60, 4),
         "loop_hits_loose": _hits_sql(32, 2),
         "loop_rate_by_source": f"{_FIRST} SELECT d.source, {_RATE} GROUP BY d.source",
@@ -446,7 +457,8 @@ def oracle_sql() -> dict[str, str]:
         "choose_min_p": _P.format(power=2.0, keep="p >= 0.6 * best", after="true"),
         "choose_top_k": _P.format(power=4.0, keep="rank <= 5", after="NOT contains('t' || ord, '7')"),
         "rejected_ratios": f"WITH {_RATIOS} SELECT token, cnt, round(ratio, 9) AS ratio FROM ratios",
-        "quotas": f"WITH {_QUOTAS} SELECT * FROM taken",
+        "quotas": f"WITH RECURSIVE {_QUOTAS} SELECT token, cnt, quota, CAST(sum(take) AS BIGINT) AS take FROM taken GROUP BY token, cnt, quota HAVING quota > 0 OR sum(take) > 0",
+        "nested_picks": f"WITH RECURSIVE {_QUOTAS} SELECT token, source, n, CAST(take AS BIGINT) AS take FROM taken WHERE take > 0",
         "source_share": "SELECT source, count(*) AS cnt, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM documents GROUP BY source",
         "regularised_sample": _SAMPLE,
         "source_balance_equal": _balance_sql("floor(rows / sources)"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/echoloom-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Writes the frame as Parquet in the shared folder and reads it back; returns it and its path."""
+    spark = df.sparkSession
+    path = new_path(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -15,8 +15,10 @@ def pairs(spark, n=400):
 
 def test_quotas_and_sample(spark):
     rows = pairs(spark)
-    got = balance.token_quotas(balance.token_ratios(rows, "token", 0.8), "token", 100).collect()
-    assert sum(r["take"] for r in got) == 100 and all(r["take"] <= r["cnt"] for r in got) and abs(sum(r["ratio"] for r in got) - 1) < 1e-9
+    picked = balance.nested_quotas(balance.count_matrix(rows, "token", "source")[0], "token", "source", 100, 0.8).collect()
+    assert sum(r["take"] for r in picked) == 100 and all(r["take"] <= r["n"] for r in picked)
+    got = balance.token_ratios(rows, "token", 0.8).collect()
+    assert abs(sum(r["ratio"] for r in got) - 1) < 1e-9
     counts = {r["token"]: r["cnt"] for r in got}
     middle = float(np.median(list(counts.values())))
     weight = {t: c * (1 if c <= middle else (middle / c) ** 0.8) for t, c in counts.items()}
@@ -73,51 +75,71 @@ def test_loss(spark):
         assert got[b]["margin_win"] == pytest.approx(np.mean(np.array(deltas) >= 2)) and med[b] == pytest.approx(sorted(deltas)[(len(deltas) - 1) // 2])
 
 
-def test_running_sums_and_quotas_against_loops(spark):
-    rng = np.random.default_rng(6)
-    rows = [(f"{'abc'[k % 3]}{k % 4}{k}", int(rng.integers(0, 9)), float(rng.integers(-2, 3))) for k in range(300)] + [(None, 4, 0.0), ("", 5, 0.0)]
-    df = spark.createDataFrame(rows, "token string, value long, class double").repartition(4)
-    got = {r["token"]: r["before"] for r in balance.running_before(df, "value", ["class"], "token", "before").collect()}
-    order = sorted(rows, key=lambda r: (r[2], r[0] is not None, (r[0] or "").encode()))
-    assert got == {r[0]: sum(x[1] for x in order[:k]) for k, r in enumerate(order)}
-
-
 def greedy(counts, ratios, target):
-    """Row by row: the token furthest below its ratio of what is taken so far, first up to its quota, then beyond."""
-    quota, seen, taken = {t: round(ratios[t] * target) for t in counts}, dict.fromkeys(counts, 0), 0
+    """Rows picked one by one in plain loops: of the token furthest below its ratio of what is taken so far, first up to its
+    quota, then beyond; of its rows one of the source furthest below its share; ties by token and source."""
+    total = sum(counts.values())
+    share = {s: sum(n for (_, o), n in counts.items() if o == s) / total for s in {s for _, s in counts}}
+    left, seen, chosen, taken = dict(counts), dict.fromkeys(ratios, 0), dict.fromkeys(share, 0), []
+    quota = {t: round(r * target) for t, r in ratios.items()}
     for capped in (True, False):
-        while taken < target:
-            open_tokens = [t for t in counts if seen[t] < min(counts[t], quota[t] if capped else counts[t])]
-            if not open_tokens:
+        while len(taken) < target:
+            best, n = None, max(len(taken), 1)
+            for t, s in sorted(counts):
+                if left[t, s] and not (capped and seen[t] >= quota[t]):
+                    x = (ratios[t] - seen[t] / n, share[s] - chosen[s] / n)
+                    if best is None or x > best[0]:
+                        best = (x, t, s)
+            if best is None:
                 break
-            best = max(open_tokens, key=lambda t: ratios[t] - seen[t] / max(taken, 1))
-            seen[best], taken = seen[best] + 1, taken + 1
-    return seen
+            _, t, s = best
+            left[t, s] -= 1
+            seen[t] += 1
+            chosen[s] += 1
+            taken.append((t, s))
+    return {k: counts[k] - left[k] for k in counts if counts[k] > left[k]}
 
 
 @pytest.mark.parametrize("strength", [0.0, 0.8, 1.5])
-def test_quotas_against_the_greedy_rule(spark, strength):
-    """The allocation in closed form is that of picking rows one by one, to a row a token (its denominator moves)."""
-    rng = np.random.default_rng(6)
-    counts = {f"t{k}": int(c) for k, c in enumerate(rng.zipf(1.5, 60).clip(1, 300))}
-    rows = spark.createDataFrame([(t,) for t, c in counts.items() for _ in range(c)], "token string")
-    ratios = balance.token_ratios(rows, "token", strength)
-    known = {r["token"]: r["ratio"] for r in ratios.collect()}
-    for target in (5, 60, sum(counts.values()) // 2, sum(counts.values()) - 20):
-        take = {r["token"]: r["take"] for r in balance.token_quotas(ratios, "token", target).collect()}
-        want = greedy(counts, known, target)
-        assert sum(take.values()) == target and all(0 <= take[t] <= counts[t] for t in counts)
-        assert max(abs(take[t] - want[t]) for t in counts) <= 1, target
-
-
-def test_water_level():
-    rng = np.random.default_rng(1)
-    for _ in range(200):
-        deficit, spare, n = rng.integers(-3_000_000, 3_000_000, 6) // 250_000 * 250_000, rng.integers(0, 5, 6), rng.integers(1, 4, 6)
-        picks = sorted((int(d) - balance._UNIT * k for d, s, m in zip(deficit, spare, n) for k in range(s) for _ in range(m)), reverse=True)
-        need = int(rng.integers(0, len(picks) + 1))
-        level = balance.water_level(deficit, spare, n, need)
-        assert sum(p > level for p in picks) <= need and (sum(p > level - 1 for p in picks) > need or need == len(picks))
+def test_picks_are_those_of_plain_loops(spark, strength):
+    """Many tokens of few rows, few of many; targets below and beyond the quotas; equal ratios in every source."""
+    rng = np.random.default_rng(int(strength * 10))
+    counts = {}
+    for k, c in enumerate(rng.zipf(1.6, 90).clip(1, 120)):
+        for s in rng.choice(["s0", "s0", "s0", "s1", "s2", "s3"], int(c)):
+            counts[f"t{k}", str(s)] = counts.get((f"t{k}", str(s)), 0) + 1
+    matrix = spark.createDataFrame([(*k, n) for k, n in counts.items()], "token string, source string, n long")
+    totals = matrix.groupBy("token").agg(F.sum("n").alias("cnt"))
+    ratios = {r["token"]: round(r["ratio"], 12) for r in balance.ratios_of(totals, "token", strength).collect()}
+    every = sum(counts.values())
+    for target in (1, 7, 40, every // 4, every // 2, every - 20, every):
+        got = {(r["token"], r["source"]): r["take"] for r in balance.nested_quotas(matrix, "token", "source", target, strength).collect() if r["take"]}
+        assert got == greedy(counts, ratios, target), target
+    assert balance.nested_quotas(matrix.limit(0), "token", "source", 0, strength).count() == 0
+
+
+def test_the_driver_sees_tokens_that_can_be_picked(spark, monkeypatch):
+    """Of 20,000 tokens of one row a few hundred go to the driver, and the picks are those over all of them."""
+    rows = spark.range(20_000).selectExpr("concat('t', id % 19990) AS token", "concat('s', id % 3) AS source", "id")
+    sizes, plain = [], balance.share_picks
+    monkeypatch.setattr(balance, "share_picks", lambda token, *a: (sizes.append(len(token)), plain(token, *a))[1])
+    matrix, _ = balance.count_matrix(rows, "token", "source")
+    got = {(r["token"], r["source"]): r["take"] for r in balance.nested_quotas(matrix, "token", "source", 60, 0.8).collect() if r["take"]}
+    cells = sorted(((r["token"], r["source"], r["n"]) for r in matrix.collect()))
+    names, sources = sorted({c[0] for c in cells}), ["s0", "s1", "s2"]
+    ratio = {r["token"]: round(r["ratio"], 12) for r in balance.token_ratios(rows, "token", 0.8).collect()}
+    share = np.array([sum(n for _, o, n in cells if o == s) / 20_000 for s in sources])
+    place = {t: k for k, t in enumerate(names)}
+    every = plain(np.array([place[c[0]] for c in cells]), np.array([sources.index(c[1]) for c in cells]), np.array([c[2] for c in cells]), np.array([ratio[t] for t in names]), np.array([round(ratio[t] * 60) for t in names]), share, 60)
+    assert got == {c[:2]: int(n) for c, n in zip(cells, every, strict=True) if n} and sum(got.values()) == 60 and sizes[0] < 400
+
+
+def test_null_tokens_and_sources_are_groups(spark):
+    rows = spark.createDataFrame([(k, None if k % 2 else "a", None if k % 5 == 0 else "s") for k in range(60)], "id long, token string, source string")
+    options = dict(token="token", source="source", key="id", strength=0.8, seed=1)
+    assert balance.sample_pairs(rows, most=20, **options).count() == 20
+    assert balance.sample_pairs(rows, most=20, mode="sqrt", **options).count() <= 20
+    assert balance.sample_pairs(rows, most=None, mode="equal", **options).groupBy("source").count().count() == 2
 
 
 def plain_plateau(values, patience, least):

@@ -31,3 +31,9 @@ def test_columns_and_filters_reach_the_scan(spark, small_dir):
     text = plan(core.queries()["skip_filter"](spark, small_dir))
     assert "ReadSchema: struct<doc_id:bigint,source:string>" in text
     assert "In(source" in plan(spark.read.parquet(f"{small_dir}/documents.parquet").filter("source IN ('src1', 'src2')").select("doc_id"))
+
+
+def test_sampling_reads_the_pairs_three_times(spark, small_dir):
+    """Once for the stored counts, before this plan, and twice in it; nothing goes to a single partition."""
+    text = plan(core.queries()["regularised_sample"](spark, small_dir))
+    assert text.count("documents.parquet") <= 2 and "SinglePartition" not in text
