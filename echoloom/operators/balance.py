@@ -70,12 +70,13 @@ def count_matrix(rows: DataFrame, token: str, source: str) -> tuple[DataFrame, s
 
 def nested_quotas(matrix: DataFrame, token: str, source: str, target: int, strength: float) -> DataFrame:
     """token, source, n, cnt, ratio, quota (of the token, half to even) and take, of cells that give rows or whose token
-    has a quota; the picks of ``share_picks`` from the counts alone.
+    has a quota; the picks of ``share_picks`` from the counts alone, for the target or all rows if they are fewer.
 
     The driver sees only tokens that can be picked: those with a quota, which are at most 2 * target, and of the others
     those with the largest ratios that the ``need`` picks beyond all quotas can reach: of equal ratios the first
     need + 1 tokens of each source. So its cells are bounded by the target and the number of sources, not by the rows.
     """
+    target = min(target, matrix.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     counts = matrix.groupBy(token).agg(F.sum("n").alias("cnt"))
     rated = ratios_of(counts, token, strength).withColumn("ratio", F.round("ratio", 12)).withColumn("quota", F.bround(F.col("ratio") * target, 0).cast("bigint"))
     rated, path = stored(rated)

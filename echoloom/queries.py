@@ -250,7 +250,8 @@ w AS (SELECT token, cnt, CASE WHEN cnt <= m THEN 1.0::DOUBLE ELSE power(m / cnt,
 ratios AS (SELECT token, cnt, weighted / sum(weighted) OVER () AS ratio FROM w)"""
 #: The rule itself, a step a pick: the state of every cell with the cell that is best in it.
 _QUOTAS = f"""{_RATIOS},
-q AS (SELECT token, cnt, round(ratio, 12) AS ratio, CAST(round_even(round(ratio, 12) * {TARGET}, 0) AS BIGINT) AS quota FROM ratios),
+goal AS (SELECT least({TARGET}, count(*)) AS goal FROM pairs),
+q AS (SELECT token, cnt, round(ratio, 12) AS ratio, CAST(round_even(round(ratio, 12) * goal, 0) AS BIGINT) AS quota FROM ratios, goal),
 pool AS (SELECT source, count(*) / (SELECT count(*) FROM pairs)::DOUBLE AS share FROM pairs GROUP BY source),
 m AS (SELECT token, source, count(*) AS n FROM pairs GROUP BY ALL),
 state AS (
@@ -258,7 +259,7 @@ state AS (
   UNION ALL
   SELECT step + 1, token, source, n, cnt, ratio, quota, share, take + CAST(token = best.t AND source = best.s AS INTEGER), seen + CAST(token = best.t AS INTEGER), chosen + CAST(source = best.s AS INTEGER)
   FROM (SELECT *, first_value({{'t': token, 's': source}}) OVER (ORDER BY take < n AND seen < quota DESC, take < n DESC, ratio - seen / greatest(step, 1)::DOUBLE DESC, share - chosen / greatest(step, 1)::DOUBLE DESC, token, source) AS best FROM state)
-  WHERE step < {TARGET}),
+  WHERE step < (SELECT goal FROM goal)),
 taken AS (SELECT * FROM state WHERE step = (SELECT max(step) FROM state))"""
 _SAMPLE = f"""WITH RECURSIVE {_QUOTAS},
 r AS (SELECT doc_id, token, source, row_number() OVER (PARTITION BY token, source ORDER BY md5('{SEED}|' || doc_id)) AS rn FROM pairs)

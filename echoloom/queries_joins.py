@@ -89,7 +89,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "asof_view": "SELECT l.event_id, r.event_id AS view_id, r.value AS view_value FROM events l LEFT JOIN events r ON r.event_type = 'view' AND r.user_id = l.user_id AND r.ts < l.ts AND r.ts >= l.ts - INTERVAL 3 DAY WHERE l.event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY l.event_id ORDER BY r.ts DESC NULLS LAST, r.event_id DESC) = 1",
         "asof_next_click": "SELECT l.event_id, r.event_id AS click_id FROM events l LEFT JOIN events r ON r.event_type = 'click' AND r.user_id = l.user_id AND r.ts >= l.ts WHERE l.event_type = 'error' QUALIFY row_number() OVER (PARTITION BY l.event_id ORDER BY r.ts NULLS LAST, r.event_id DESC) = 1",
-        "asof_nearest_error": "WITH b AS (SELECT l.event_id, l.ts AS at, (SELECT max({'ts': r.ts, 'id': r.event_id}) FROM events r WHERE r.event_type = 'error' AND r.ts <= l.ts) AS b, (SELECT min(r.ts) FROM events r WHERE r.event_type = 'error' AND r.ts >= l.ts) AS f FROM events l WHERE l.event_type = 'view'), n AS (SELECT b.*, (SELECT max(r.event_id) FROM events r WHERE r.event_type = 'error' AND r.ts = b.f) AS f_id FROM b) SELECT event_id, CASE WHEN f IS NULL OR epoch_us(at) - epoch_us(b.ts) <= epoch_us(f) - epoch_us(at) THEN b.id ELSE f_id END AS error_id FROM n",
+        "asof_nearest_error": "WITH b AS (SELECT l.event_id, l.ts AS here, (SELECT max({'ts': r.ts, 'id': r.event_id}) FROM events r WHERE r.event_type = 'error' AND r.ts <= l.ts) AS b, (SELECT min(r.ts) FROM events r WHERE r.event_type = 'error' AND r.ts >= l.ts) AS f FROM events l WHERE l.event_type = 'view'), n AS (SELECT b.*, (SELECT max(r.event_id) FROM events r WHERE r.event_type = 'error' AND r.ts = b.f) AS f_id FROM b) SELECT event_id, CASE WHEN f IS NULL OR epoch_us(here) - epoch_us(b.ts) <= epoch_us(f) - epoch_us(here) THEN b.id ELSE f_id END AS error_id FROM n",
         "loop_hits_by_joins": _hits_sql(60, 4),
         "tokens_at_probes": f"SELECT d.doc_id, CAST(u.pos AS INTEGER) AS pos, CAST(s.idx AS INTEGER) AS idx FROM documents d, unnest(range(0, length(d.text) - 16, 128)) AS u(pos) JOIN {tokens_sql} s ON s.doc_id = d.doc_id AND s.e - length(s.t) <= u.pos AND u.pos < s.e",
         "loop_tokens": f"{hits} SELECT h.doc_id, count(*) AS n_tokens, CAST(min(s.idx) AS INTEGER) AS first_idx, CAST(max(s.idx) AS INTEGER) AS last_idx FROM hits h JOIN {tokens_sql} s ON s.doc_id = h.doc_id AND s.e - length(s.t) >= h.start_char AND s.e - length(s.t) < h.end_char WHERE h.first = 1 GROUP BY h.doc_id",
