@@ -1,24 +1,33 @@
 """Main text of web pages by equivalence-class template deduction.
 
-The tokens of a page are its block paths and its texts with their block paths. Over the pages of a host that differ
-in their content (copies count once), tokens with the same occurrence vector form an equivalence class. A class
-belongs to the template where it occurs in ``LEAST`` pages or more and in at least half of those with the element
-around it, so classes nest; on a page, its members are template where they stand in the order of the class. Texts
-of the template are not content, in an article or outside; what is left lies in the slots. A slot with the role of
-navigation, header, footer, notice, advert, form or comments is left out, and the remaining slots are the text.
-
-A class lies in the slot of the class of the element around it, whose support is at least its own; the slots of
-elements found so are named by their roles. The role of a slot is that of its enclosing elements: names, and whole
-words of class, id and role. Parts of such words (site-header, cookie-notice) name only slots that deduction found,
-outside articles (but for comments) and where they don't hold most of a page without one. A role word never hides an article or main
-element below it, except that lists of comments or related articles stay out beside another article. On headings and
-sections in an article it counts only where the template holds the element. If more than half of an article's words
-are the host's, the page is an edited copy and keeps them. Of a page whose host shows no template, content elements
-are the text, or all slots if it has none.
-
-Template counts are taken over all pages of a host by hashes, so no pages are held together.
-
-Null or empty html gives an empty text. Repeated pages are extracted each; a null url is a host of its own.
+The tokens of a page are its elements, by their paths, and its texts with their paths. Over the pages of a host that
+differ in their content (copies count once), a token's occurrence vector says how often each page has it, and tokens
+with equal vectors form an equivalence class. Classes nest: an element is template where two pages have it (or the
+host's only page has), and a text is template where its class is that of an element around it, so that each such
+element brings that text, and two pages show it. What the template leaves are slots, and the elements around a slot are
+its names.
+
+Words choose among the slots so found, and nothing else does: an element that is not of the template has no role.
+
+- Elements that hold content are ``article``, ``main`` and containers marked as nothing but content. If a page has some,
+  its text is what stands in them, fixed texts included, as an article may repeat a sentence.
+- Navigation, footers, asides, menus and the like are no content by their element; headers only outside content.
+- Words of class, id and role name notices, adverts, sidebars, comments and such. Parts of words (site-header) count
+  where two pages have the element. In an ``article`` both count only for containers that every page with that article
+  has (but for comments by their whole word), and never for paragraphs, items and headings. An article in a list of
+  comments or related articles is content only where there is no other.
+- A page without content elements gives its slots without a role, less the template's texts; if all have a role, those
+  named by words alone (a page in a form, or in a banner); a page of navigation alone is empty.
+
+So one rule holds for hosts of any number of pages: a text that half of the pages show stays, and one that every page
+shows is template. Of a host whose only pages are edited copies of each other, without content elements, what they share
+counts as its template.
+
+Pages are scanned in one pass with constant work a tag, whatever is broken: paths are numbers in a tree, an end tag
+without a start is skipped by a count, and a tag that never ends takes the rest of the page, as in browsers. So very
+long pages take time in proportion to their length. Null or empty html gives an empty text. Repeated pages are
+extracted each; a null url is a host of its own. Ties don't matter, as nothing is ranked. An empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,17 +36,20 @@ import hashlib
 import html as htmllib
 import re
 from collections import Counter, defaultdict
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, partitions
+from .common import cut, drop_stored, map_texts, partitions, store
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
-HIDDEN = frozenset("head script style noscript template title svg math iframe object canvas audio video map".split())
-CHROME = frozenset("nav footer aside form button select option dialog menu fieldset label".split())
+HIDDEN = frozenset("head script style noscript template title svg math iframe object canvas audio video map textarea xmp noembed noframes".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+CHROME = frozenset("nav footer aside button select option dialog menu fieldset label".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img picture ruby rt rp".split())
 #: Words of class, id and role attributes that mark a part as no content.
 ROLES = frozenset(
@@ -47,173 +59,223 @@ ROLES = frozenset(
 )
 #: Role words of lists that hold articles of their own.
 LISTS = frozenset("comment comments reply replies respond disqus related recommended".split())
-#: Role words of reader comments, whose compounds count in an article as well.
-COMMENTS = frozenset("comment comments reply replies respond disqus".split())
-CONTENT = frozenset(("article", "main"))
-#: Class and id words of content elements on sites that use plain divisions.
+#: Words of class and id that mark content, what may stand beside them in a compound, and beginnings of
+#: compounds that say what a part has and not what it is.
 CONTENT_MARKS = frozenset("content article post entry story main".split())
+BESIDE_MARKS = frozenset("body text area wrapper container".split())
+SAYS_HAS = frozenset("has with no without".split())
+CONTENT = frozenset(("article", "main"))
+NO_CONTAINER = frozenset("p li dt dd tr td th h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption".split())
+HEADERS = frozenset(("header", "masthead"))  # in content they hold its title
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
+_NAME = re.compile(r"[A-Za-z][^\s/>\x00]*")
+#: The rest of a tag: a quote counts after an equals sign. Nothing is tried twice.
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_UNFINISHED = re.compile(r"</?[A-Za-z]")  # a tag that the end of the page cuts is no text
 _SPACE = re.compile(r"\s+")
-_WORDS = re.compile(r"[a-z0-9]+")
-_NO_ROLE = frozenset("h1 h2 h3 h4 h5 h6 section".split())  # in an article, unless the template holds the element
-LEAST = 5  # pages of different content that show a template
+_PARTS = re.compile(r"[a-z0-9]+")
 
+ROOT = 0
+Label = tuple[str, frozenset, frozenset, bool]  # element, role words, role words in compounds, marked as content
 
-def _roles(name: str, attrs: str) -> tuple[str, bool, str, str, bool]:
-    """The label of an element in paths, whether it is no content by itself, its role word, else a role word that is a
-    part of its marks, and whether it marks content."""
-    if not attrs.strip():
-        return name, name in CHROME, "", "", name in CONTENT
-    whole, marks, label, hidden = set(), set(), name, False
+
+def _label(name: str, attrs: str) -> tuple[str, bool]:
+    """An element's label in paths, with the words that can name it, and whether it is hidden."""
+    hidden = name in HIDDEN
+    if not attrs or attrs.isspace():
+        return name, hidden
+    whole, parts, marked = set(), set(), False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role"):
-            words = value.split()
-            if key == "class" and words:
-                label += "." + ".".join(sorted(words))
-            whole.update(words)
-            marks.update(_WORDS.findall(value))
+            for word in value.split():
+                pieces = _PARTS.findall(word)
+                if word in ROLES:
+                    whole.add(word)
+                elif pieces and pieces[0] not in SAYS_HAS:
+                    parts.update(ROLES.intersection(pieces))
+                    marked |= not CONTENT_MARKS.isdisjoint(pieces) and CONTENT_MARKS.union(BESIDE_MARKS).issuperset(pieces)
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             hidden = True
-    off = hidden or name in CHROME
-    roles = frozenset() if name in ("html", "body", *CONTENT) else ROLES
-    role = min(whole & roles, default="")
-    return label, off, role, "" if role else min(marks & roles, default=""), name in CONTENT or (not off and name in ("div", "section", "td") and bool(marks & CONTENT_MARKS) and not marks & ROLES)
+    marked = marked and not whole and not parts and name in ("div", "section", "td")
+    return name + "".join("." + w for w in sorted(whole)) + "".join("~" + w for w in sorted(parts)) + "+" * marked, hidden
+
+
+class _Known(dict):
+    def __missing__(self, x):
+        if len(self) > 50_000:
+            self.clear()
+        out = self[x] = self.make(*x) if isinstance(x, tuple) else self.make(x)
+        return out
+
+    def __init__(self, make) -> None:
+        self.make = make
+
 
+def _read_label(label: str) -> Label:
+    name = re.match(r"[^.~+]*", label)[0]
+    words = lambda mark: frozenset(re.findall(rf"\{mark}([^.~+]+)", label[len(name) :]))
+    return name, words("."), words("~"), label.endswith("+") and len(label) > len(name)
 
-# What an element's inside is: shown; left out by a role word, by a list's role word, or for good; an article in a list.
-SHOWN, ROLE, LIST, OFF, LISTED = range(5)
+
+_labels, _read = _Known(_label), _Known(_read_label)
+
+
+def _key(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 class Page:
-    """The blocks of a page in order: (path, in a content element, left out, elements that leave it out if they are
-    of the template, text); and its paths in order."""
+    """The blocks of a page in order, as (path, text), and its paths, numbered from the root's: their parents, labels
+    and how often an element opens there."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, bool, bool, tuple[str, ...], str]] = []
-        self.tags: list[str] = []
-        stack: list[tuple[str, str, int, bool, tuple[str, ...]]] = []  # name, label, state, in a content element, unsure roles
+        self.blocks: list[tuple[int, str]] = []
+        self.parents, self.labels, self.counts = [-1], [""], [1]
+        children: dict[tuple[int, str], int] = {}
+        stack: list[tuple[str, int, bool]] = []  # name, path, hidden
+        places: dict[str, list[int]] = defaultdict(list)  # of open elements by name
+        outer: list[int] = []  # places of open elements that are not inline
         text: list[str] = []
-        path, out, content, unsure = "", SHOWN, False, ()
-        listed: list[int] = []  # blocks of articles in lists
+        path, hidden = ROOT, False
 
         def flush() -> None:
             if text:
                 joined = _SPACE.sub(" ", htmllib.unescape("".join(text))).strip()
                 text.clear()
                 if joined:
-                    if out == LISTED:
-                        listed.append(len(self.blocks))
-                    self.blocks.append((path, content, out in (ROLE, LIST, OFF), unsure, joined))
+                    self.blocks.append((path, joined))
 
-        def settle() -> tuple[str, int, bool, tuple[str, ...]]:
-            top = stack[-1][2:] if stack else (SHOWN, False, ())
-            return "/".join(x[1] for x in stack if x[0] not in INLINE), *top
+        def close(k: int) -> None:
+            nonlocal path, hidden
+            while len(stack) > k:
+                name = stack.pop()[0]
+                places[name].pop()
+                if name not in INLINE:
+                    outer.pop()
+            _, path, hidden = stack[-1] if stack else ("", ROOT, False)
 
         at, n = 0, len(source)
         while at < n:
-            m = _TAG.search(source, at)
-            if m is None:
-                unfinished = _UNFINISHED.search(source, at)
-                text.append(source[at : unfinished.start() if unfinished else n])
+            tag = source.find("<", at)
+            if tag < 0:
+                tag = n
+            if tag > at and not hidden:
+                text.append(source[at:tag])
+            if tag == n:
                 break
-            if m.start() > at:
-                text.append(source[at : m.start()])
-            at = m.end()
-            if m[2] is None:
-                if m[0].startswith("<![CDATA["):
-                    text.append(htmllib.escape(m[0][9:].removesuffix("]]>")))
+            after = source[tag + 1 : tag + 2]
+            if after in ("!", "?"):
+                if source.startswith("<!--", tag):
+                    end, size = source.find("-->", tag + 4), 3
+                elif source.startswith("<![CDATA[", tag):
+                    end, size = source.find("]]>", tag + 9), 3
+                    if not hidden:
+                        text.append(htmllib.escape(source[tag + 9 : end if end >= 0 else n]))
+                else:
+                    end, size = source.find(">", tag), 1
+                at = end + size if end >= 0 else n
                 continue
-            name = m[2].lower()
-            if name not in INLINE:
-                flush()
-            elif name == "br":
-                text.append(" ")
+            ends = after == "/"
+            named = _NAME.match(source, tag + 1 + ends)
+            if named is None:
+                if not hidden:
+                    text.append("<")
+                at = tag + 1
                 continue
-            if m[1]:  # an end tag
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-                if k is None or (name in INLINE and any(x[0] not in INLINE for x in stack[k:])):
+            rest = _REST.match(source, named.end())
+            if rest is None:  # the tag never ends
+                break
+            at = rest.end()
+            name = named[0].lower()
+            if name == "br":
+                if not hidden:
+                    text.append(" ")
+                continue
+            inline = name in INLINE
+            if ends:
+                k = places[name][-1] if places[name] else -1
+                if k < 0 or (inline and outer and outer[-1] > k):
                     continue
-                flush_first = any(x[0] not in INLINE or x[2] != out for x in stack[k:])
-                if flush_first:
+                if not inline and not hidden:
                     flush()
-                del stack[k:]
-            else:
-                if name in VOID:
-                    continue
-                if name in _ENDS_P:
-                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-                    if k is not None and all(x[0] in INLINE for x in stack[k + 1 :]):
-                        del stack[k:]
-                if name in _CLOSES and stack:
-                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), None)
-                    if k is not None and stack[k][0] in _CLOSES[name]:
-                        del stack[k:]
-                label, off, role, part, holds = _roles(name, m[3])
-                state, inside, roles = stack[-1][2:] if stack else (SHOWN, False, ())
-                if holds and not inside:
-                    roles = ()
-                if name in CONTENT and state in (ROLE, LIST):
-                    state = LISTED if state == LIST else SHOWN
-                if state != OFF and (name in HIDDEN or off):
-                    state = ROLE if name == "form" and state in (SHOWN, ROLE) else OFF  # a form may hold the whole page
-                elif state == SHOWN and name == "header" and not inside:
-                    state = ROLE
-                elif role and state in (SHOWN, LISTED, ROLE):
-                    if inside and name in _NO_ROLE:
-                        label += "#" + role
-                        roles = (*roles, "/".join([x[1] for x in stack if x[0] not in INLINE] + [label]))
-                    else:
-                        state = LIST if role in LISTS else ROLE
-                elif part and state == SHOWN and not holds and name not in INLINE and (not inside or part in COMMENTS):
-                    label += "#" + part
-                    roles = (*roles, "/".join([x[1] for x in stack if x[0] not in INLINE] + [label]))
-                if state != out or roles != unsure:
+                close(k)
+                continue
+            if name in RAW:  # its text ends at its own end tag alone
+                found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                at = found.end() if found else n
+                continue
+            if name in VOID:
+                if not inline and not hidden and name == "hr":
                     flush()
-                if name in RAW:  # its text ends at its own end tag alone
-                    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                    at = end.end() if end else n
-                    continue
-                stack.append((name, label, state, inside or holds, roles))
-                if name not in INLINE:
-                    path, out, content, unsure = settle()
-                    self.tags.append(path)
-                    continue
-            path, out, content, unsure = settle()
+                continue
+            if places["head"] and name not in IN_HEAD and name != "head":
+                close(places["head"][-1])
+            if not inline and name not in HIDDEN and not hidden:
+                flush()
+            if outer and ((name in _ENDS_P and stack[outer[-1]][0] == "p") or (name in _CLOSES and stack[outer[-1]][0] in _CLOSES[name])):
+                close(outer[-1])
+            label, off = _labels[name, rest[0][:-1].rstrip("/")]
+            if inline:
+                stack.append((name, path, hidden or off))
+            else:
+                child = children.get((path, label))
+                if child is None:
+                    child = children[path, label] = len(self.parents)
+                    self.parents.append(path)
+                    self.labels.append(label)
+                    self.counts.append(0)
+                self.counts[child] += 1
+                outer.append(len(stack))
+                stack.append((name, child, hidden or off))
+            places[name].append(len(stack) - 1)
+            path, hidden = stack[-1][1], stack[-1][2]
         flush()
-        if listed and any(c and not off and k not in set(listed) for k, (_, c, off, _, _) in enumerate(self.blocks)):
-            for k in listed:
-                p, c, _, u, t = self.blocks[k]
-                self.blocks[k] = (p, c, True, u, t)
 
+    def keys(self) -> list[int]:
+        """A key for each path, the same on all pages."""
+        out = [_key("<")]
+        for parent, label in zip(self.parents[1:], self.labels[1:], strict=True):
+            out.append(_key(f"{out[parent]}/{label}"))
+        return out
 
-def _key(token: str) -> int:
-    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    def in_content(self) -> list[bool]:
+        """For each path whether it is in an article or main element, whose texts are never template."""
+        out = [False]
+        for parent, label in zip(self.parents[1:], self.labels[1:], strict=True):
+            out.append(out[parent] or _read[label][0] in CONTENT)
+        return out
+
+
+def text_key(path_key: int, text: str) -> int:
+    return _key(f"{path_key}\t{text}")
+
+
+class Token(NamedTuple):
+    key: int
+    text: bool
+    n: int
+
+
+def tokens(page: Page) -> tuple[int, list[Token]]:
+    """A fingerprint of the page's content, and its distinct tokens with their counts."""
+    keys, inside = page.keys(), page.in_content()
+    texts = Counter(text_key(keys[p], t) for p, t in page.blocks if not inside[p])
+    found = [Token(k, False, n) for k, n in zip(keys, page.counts, strict=True)] + [Token(k, True, n) for k, n in texts.items()]
+    return _key("\n".join(t for _, t in page.blocks)), sorted(found)
 
 
-def tokens(page: Page) -> tuple[int, list[tuple[int, int, int, int]]]:
-    """A fingerprint of the page's content, and its distinct tokens: key, key of the path around, first place, count."""
-    root = _key("<")
-    keys: dict[str, int] = {"": root}
-    found = {root: [root, 0, 1]}
-    for at, path in enumerate(page.tags):
-        if path not in keys:
-            keys[path] = _key("<" + path)
-            found[keys[path]] = [keys.get(path.rpartition("/")[0], root), at, 0]
-        found[keys[path]][2] += 1
-    shown = [(path, content, text) for path, content, off, _, text in page.blocks if not off]
-    inner = [x for x in shown if x[1]] or shown
-    for at, (path, _, text) in enumerate(shown):
-        x = found.setdefault(_key(path + "\t" + text), [keys.get(path, root), at, 0])
-        x[2] += 1
-    return _key("\n".join(x[2] for x in inner)), sorted((k, *x) for k, x in found.items())
+class Class(NamedTuple):
+    """Of a token: in how many pages it is, its occurrence vector and its pages, as hashes."""
 
+    support: int
+    vector: int
+    pages: int
 
-Template = dict[int, tuple[int, float]]  # key of a token: its class, and its mean place
+
+Template = dict[int, Class]
 
 
 def deduce(pages: list[Page]) -> Template:
@@ -221,135 +283,170 @@ def deduce(pages: list[Page]) -> Template:
     distinct = {}
     for fingerprint, found in map(tokens, pages):
         distinct[fingerprint] = min(found, distinct.get(fingerprint, found))
-    seen: Counter = Counter()
-    vector: dict[int, int] = defaultdict(int)
-    place: Counter = Counter()
-    around = {}
+    support: Counter = Counter()
+    vector, where = defaultdict(int), defaultdict(int)
+    texts = set()
     for fingerprint, found in distinct.items():
-        for key, parent, at, n in found:
-            seen[key] += 1
+        for key, text, n in found:
+            support[key] += 1
             vector[key] ^= _key(f"{fingerprint} {n}")
-            place[key] += at
-            around[key] = parent
-    return {k: (vector[k], place[k] / n) for k, n in seen.items() if n >= LEAST and 2 * n >= seen[around[k]]}
-
-
-def _of_template(page: Page, template: Template) -> set[int]:
-    """The blocks of a page that are members of template classes and stand in their order."""
-    last: dict[int, tuple[float, int]] = {}
-    out, taken = set(), set()
-    for k, (path, _, off, _, text) in enumerate(page.blocks):
-        key = 0 if off else _key(path + "\t" + text)
-        if off or key not in template:
-            continue
-        group, place = template[key]
-        if key in taken or place >= last.get(group, (-1.0, 0))[0]:
-            out.add(k)
-            if key not in taken:
-                taken.add(key)
-                last[group] = (place, k)
-    return out
+            where[key] ^= _key(str(fingerprint))
+            if text:
+                texts.add(key)
+    least = min(2, len(distinct))
+    elements = {vector[k] for k in support if k not in texts}
+    return {k: Class(n, vector[k], where[k]) for k, n in support.items() if (n >= 2 and vector[k] in elements if k in texts else n >= least)}
+
+
+# What the slots of a path are: content, without a role, named by words, in a list, no content by element.
+IN_CONTENT, PLAIN, NAMED, LISTED, OFF = range(5)
+
+
+def roles(page: Page, keys: list[int], template: Template) -> list[int]:
+    """The role of the slots of each path."""
+    out: list[tuple[int, int | None]] = [(PLAIN, None)]  # role, key of the article around
+    for k in range(1, len(keys)):
+        role, article = out[page.parents[k]]
+        known = template.get(keys[k])
+        if known is not None:  # else it is no part of the template and has no role
+            name, whole, parts, marked = _read[page.labels[k]]
+            words = whole | parts if known.support >= 2 else whole
+            if name in HEADINGS or name in ("html", "body"):
+                words = frozenset()
+            if article is not None and (name in NO_CONTAINER or known.support < 2 or known.pages != template[article].pages):
+                words = words & LISTS if name not in NO_CONTAINER and not whole.isdisjoint(LISTS) else frozenset()
+            if role == IN_CONTENT:
+                words = words - HEADERS
+            if name in CONTENT or marked:
+                if role not in (LISTED, OFF):
+                    role = IN_CONTENT
+                if name == "article" and article is None:
+                    article = keys[k]
+            elif name in CHROME:
+                role = OFF
+            elif words:
+                if role != OFF:
+                    role = LISTED if not words.isdisjoint(LISTS) else max(role, NAMED)
+            elif name in ("header", "form") and role == PLAIN:
+                role = NAMED
+        out.append((role, article))
+    return [role for role, _ in out]
 
 
 def page_text(page: Page, template: Template) -> str:
-    """The text in the remaining slots of a page."""
-    fixed = _of_template(page, template) if template else set()
-    words = [0, 0]
-    for k, (_, content, off, _, text) in enumerate(page.blocks):
-        if content and not off:
-            words[k in fixed] += text.count(" ") + 1
-    if words[1] > words[0]:  # an edited copy
-        fixed = {k for k in fixed if not page.blocks[k][1]}
-    only_content = not template and sum(words) > 0
-    named = _named_slots(page, template, fixed, sum(words) > 0) if template else set()
-    kept = []
-    for k, (_, content, off, unsure, text) in enumerate(page.blocks):
-        if off or k in fixed or (only_content and not content) or not named.isdisjoint(unsure):
-            continue
-        kept.append(text)
-    return "\n".join(kept)
-
-
-def _named_slots(page: Page, template: Template, fixed: set[int], has_content: bool) -> set[str]:
-    """The elements with a role by part of a word, or in an article, that the template holds; of a page without content
-    elements only those with at most half of its words."""
-    size: Counter = Counter()
-    total = 0
-    for k, (_, _, off, unsure, text) in enumerate(page.blocks):
-        if not off and k not in fixed:
-            n = text.count(" ") + 1
-            total += n
-            size.update(dict.fromkeys(unsure, n))
-    return {u for u, n in size.items() if _key("<" + u) in template and (has_content or 2 * n <= total)}
+    """The text in the slots of a page that hold its content."""
+    keys = page.keys()
+    role = roles(page, keys, template)
+    best = min((role[p] for p, _ in page.blocks), default=OFF)
+    if best == OFF:
+        return ""
+    chosen = [(p, t) for p, t in page.blocks if role[p] == best]
+    if best in (PLAIN, NAMED):
+        fixed = _fixed(page, keys, template)
+        chosen = [x for x in chosen if x not in fixed] or chosen
+    return "\n".join(t for _, t in chosen)
+
+
+def _fixed(page: Page, keys: list[int], template: Template) -> set[tuple[int, str]]:
+    """The texts whose class is that of an element around them."""
+    of = [template.get(k) for k in keys]
+    holders = defaultdict(list)
+    for k, c in enumerate(of):
+        if c is not None:
+            holders[c.vector].append(k)
+    # paths are numbered after their parents, so one pass back gives the last number below each, if children are dense
+    first, last = _spans(page.parents)
+    out = set()
+    for p, t in set(page.blocks):
+        c = template.get(text_key(keys[p], t))
+        if c is not None and any(first[k] <= first[p] <= last[k] for k in holders.get(c.vector, ())):
+            out.add((p, t))
+    return out
+
+
+def _spans(parents: list[int]) -> tuple[list[int], list[int]]:
+    """For each path its place in a walk through the tree, and the last place below it."""
+    size = [1] * len(parents)
+    for k in range(len(parents) - 1, 0, -1):
+        size[parents[k]] += size[k]
+    first, free = [0] * len(parents), [1] * len(parents)
+    for k in range(1, len(parents)):
+        p = parents[k]
+        first[k] = first[p] + free[p]
+        free[p] += size[k]
+    return first, [f + s - 1 for f, s in zip(first, size, strict=True)]
 
 
 def extract(pages: list[Page]) -> list[str]:
-    """The text in the remaining slots of each page of a host."""
+    """The text of each page of a host."""
     template = deduce(pages)
     return [page_text(p, template) for p in pages]
 
 
-def host_templates(rows: DataFrame) -> DataFrame:
-    """Per host with a template: its tokens as (key, class, mean place). ``rows`` has host and html.
-
-    Counts are grouped sums of hashes; a host keeps at most two texts for each one of a page's mean, as each of them
-    stands in half of the pages with its path.
-    """
+def page_tokens(rows: DataFrame) -> DataFrame:
+    """Of (host, salt, html) per page: host, salt, print (of its content) and its tokens."""
 
     def make():
         def f(x):
             got = [tokens(Page(h or "")) for h in x["html"]]
-            return {"host": x["host"], "print": [g[0] for g in got], "found": [[dict(zip(("key", "around", "at", "n"), t, strict=True)) for t in g[1]] for g in got]}
+            return {"host": x["host"], "salt": x["salt"], "print": [g[0] for g in got], "found": [[t._asdict() for t in g[1]] for g in got]}
 
         return f
 
-    found = map_texts(rows, ["host", "html"], make, "host string, print bigint, found array<struct<key:bigint,around:bigint,at:int,n:int>>", rows_at_once=128)
+    return map_texts(rows, ["host", "salt", "html"], make, "host string, salt bigint, print bigint, found array<struct<key:bigint,text:boolean,n:int>>", rows_at_once=128)
+
+
+def host_templates(found: DataFrame) -> DataFrame:
+    """The tokens of each host's template (host, key, support, vector, pages) from ``page_tokens``, by grouped sums of
+    hashes, so a host's pages are never together."""
     distinct = found.groupBy("host", "print").agg(F.min("found").alias("found"))
     each = distinct.select("host", "print", F.inline("found"))
-    counted = each.groupBy("host", "key").agg(F.min("around").alias("around"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("print", "n")).alias("class"), F.avg("at").alias("place"))
-    counted = cut(counted.filter(F.col("n") >= LEAST))
-    outer = counted.select("host", F.col("key").alias("around"), F.col("n").alias("n_around"))
-    held = counted.join(outer, ["host", "around"]).filter(2 * F.col("n") >= F.col("n_around"))
-    return held.groupBy("host").agg(F.collect_list(F.struct("key", "class", "place")).alias("template"))
+    counted = each.groupBy("host", "key").agg(F.max("text").alias("text"), F.count("*").alias("support"), F.bit_xor(F.xxhash64("print", "n")).alias("vector"), F.bit_xor(F.xxhash64("print")).alias("pages"))
+    # the root is a token of every page
+    several = distinct.groupBy("host").agg((F.count("*") > 1).alias("several"))
+    counted = cut(counted.join(several, "host").filter((F.col("support") > 1) | ~(F.col("text") | F.col("several"))).drop("several"))
+    elements = counted.filter(~F.col("text"))
+    texts = counted.filter("text").join(elements.select("host", "vector").distinct(), ["host", "vector"], "left_semi")
+    columns = ["host", "key", "support", "vector", "pages"]
+    return elements.select(columns).unionByName(texts.select(columns))
 
 
-def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk_bytes: int = 1 << 16, chunks: int = 128) -> DataFrame:
+def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk_bytes: int = 1 << 16, chunks: int = 64) -> DataFrame:
     """Per page: id, url, text, n_chars. Pages are read twice: for the templates of their hosts, and with them.
 
-    Where templates are joined, a host with more bytes than one of ``chunks`` parts of a task's even share
-    (``chunk_bytes`` at least) is dealt over several tasks by a hash of the page, so chunks are small against tasks and
-    fill them evenly.
+    For the second time pages are dealt in chunks of about a ``chunks``-th of a task's even share (``chunk_bytes`` at
+    least): hosts with more bytes are salted by a hash of the page, small hosts share chunks. Beside a chunk's pages stand
+    the template's tokens that these pages have, and no others.
     """
     spark = pages.sparkSession
     tasks = partitions(spark)
+    kind = dict(pages.dtypes)
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = rows.withColumn("host", host)
-    sizes = cut(rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("bigint")).alias("n")))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    sizes = cut(rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("bigint") + 64).alias("n")))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     share = max(chunk_bytes, total // (chunks * tasks))
-    # less than chunks * tasks hosts hold more than the share
+    # at most chunks * tasks hosts hold more than the share
     hot = F.broadcast(sizes.filter(F.col("n") > share).select("host", F.ceil(F.col("n") / share).alias("salts")))
-    salts = F.coalesce("salts", F.lit(1))
-    templates = host_templates(rows).join(hot, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("salts")
-    keyed = rows.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("id", "url", "html"), salts)).drop("salts").repartition(tasks, "host", "salt")
-    joined = keyed.join(templates, ["host", "salt"], "left")
-
-    def make():
-        known: dict[str, Template] = {}
-
-        def f(x):
-            texts = []
-            for h, html, t in zip(x["host"], x["html"], x["template"], strict=True):
-                if h not in known:
-                    if len(known) >= 64:
-                        known.clear()
-                    known[h] = {r["key"]: (r["class"], r["place"]) for r in t or ()}
-                texts.append(page_text(Page(html or ""), known[h]))
-            return {"page": x["id"], "url": x["url"], "text": texts, "n_chars": [len(t) for t in texts]}
-
-        return f
-
-    kind = dict(pages.dtypes)
-    out = map_texts(joined, ["id", "url", "host", "html", "template"], make, f"page {kind[id_col]}, url string, text string, n_chars bigint", rows_at_once=128)
-    return out.select(F.col("page").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+    salted = rows.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("id", "url", "html"), F.coalesce("salts", F.lit(1).cast("bigint")))).drop("salts")
+    found, found_at = store(page_tokens(salted))
+    asked = found.select("host", "salt", F.inline("found")).select("host", "salt", "key").distinct()
+    chunk = F.pmod(F.xxhash64("host", "salt"), F.lit(max(1, -(-total // share)))).alias("chunk")
+    told = asked.join(host_templates(found), ["host", "key"]).select(chunk, "host", "key", "support", "vector", "pages")
+    dealt = salted.select(chunk, "id", "url", "host", "html")
+
+    def texts_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        templates: dict[str, Template] = defaultdict(dict)
+        for h, *row in zip(*(right[c].to_pylist() for c in ("host", "key", "support", "vector", "pages")), strict=True):
+            templates[h][row[0]] = Class(*row[1:])
+        texts = []
+        for at in range(0, left.num_rows, 128):
+            part = left.slice(at, 128)
+            texts += [page_text(Page(x or ""), templates[h]) for h, x in zip(part["host"].to_pylist(), part["html"].to_pylist(), strict=True)]
+        return pa.table({"id": left["id"], "url": left["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
+
+    each = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(texts_of, f"id {kind[id_col]}, url string, text string, n_chars bigint")
+    out = cut(each)
+    drop_stored(spark, found_at)
+    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
