@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,30 +10,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import new_path, shared_dir
+from ..shared import drop_path, new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint; the files go when the frame is no longer referenced."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Of the operators that run now, the folders that each has written; and the folders that results are read from.
+_WRITTEN: list[list[str]] = []
+_KEPT: list[str] = []
 
 
 def store(df: DataFrame, **options: str) -> tuple[DataFrame, str]:
     """Writes the frame as Parquet in the shared folder and reads it back; returns it and its path."""
     spark = df.sparkSession
     path = new_path(spark)
+    (_WRITTEN[-1] if _WRITTEN else _KEPT).append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop_stored(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a table in the shared folder, which goes when the operator that called is done."""
+    return store(df)[0]
+
+
+drop_stored = drop_path
+
+
+def operator(f: Callable) -> Callable:
+    """An operator that leaves no folder in the shared one but those that its result is read from.
+
+    The outermost operator's result keeps its folder until ``release``; those of operators that it called go with it.
+    """
+
+    @functools.wraps(f)
+    def run(*args, **options):
+        written: list[str] = []
+        _WRITTEN.append(written)
+        held: list[str] = written
+        session = None
+        try:
+            out = f(*args, **options)
+            frames = [x for x in (out if isinstance(out, tuple) else (out,)) if isinstance(x, DataFrame)]
+            read = "\n".join(file for x in frames for file in x.inputFiles())
+            held = [path for path in written if path.rpartition("/")[2] not in read]
+            (_WRITTEN[-2] if len(_WRITTEN) > 1 else _KEPT).extend(set(written) - set(held))
+            return out
+        finally:
+            _WRITTEN.pop()
+            session = SparkSession.getActiveSession()
+            for path in held if session else ():
+                drop_stored(session, path)
+
+    return run
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the folders that results of operators are read from, when these have been written or are done with."""
+    while _KEPT:
+        drop_stored(spark, _KEPT.pop())
 
 
 def partitions(spark: SparkSession) -> int:

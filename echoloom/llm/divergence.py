@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_stored, map_stream, partitions, store
+from .common import cut, drop_stored, map_stream, operator, partitions, store
 
 _LETTERS = bytes(x | 0x20 if 0x41 <= x <= 0x5A else x if x >= 0x80 or 0x61 <= x <= 0x7A else 0x20 for x in range(256))
 
@@ -127,6 +127,7 @@ def chunk_rows_of(terms: list[bytes], of: list[str], n: list[int], groups: dict[
         yield from ((x, "term", dictionary[k].decode("utf-8"), -f) for f, k in sorted(best[i])[:most_terms])
 
 
+@operator
 def source_divergence(
     docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 10, terms: int = 10, chunk_rows: int = 20_000
 ) -> DataFrame:

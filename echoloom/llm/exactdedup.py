@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_stored, map_stream, partitions, store
+from .common import cut, drop_stored, map_stream, operator, partitions, store
 
 HOT = 64
 _RECORD = "entry bigint, h bigint, n bigint, top bigint, content binary"
@@ -204,6 +204,7 @@ def _through_tables(records: DataFrame, table_bytes: int, combine: bool) -> Data
     return map_stream(records, ["entry", "h", "n", "top", "content"], run, f"{_RECORD}, rep bigint, sha string")
 
 
+@operator
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = 48 << 20, bucket_bytes: int = 16 << 20, hot: int = HOT) -> DataFrame:
     """Per row: id, keep_id (the largest id with an equal text), group_size, kept and text_sha256 (of the content)."""
     spark = docs.sparkSession
@@ -248,6 +249,7 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("top").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+@operator
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of documents that stay, with all their columns; of rows with one id and equal texts, one."""
     found = exact_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("kept")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_stored, map_texts, partitions, store
+from .common import cut, drop_stored, map_texts, operator, partitions, store
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -411,6 +411,7 @@ def host_templates(found: DataFrame) -> DataFrame:
     return elements.select(columns).unionByName(texts.select(columns))
 
 
+@operator
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk_bytes: int = 1 << 16, chunks: int = 64) -> DataFrame:
     """Per page: id, url, text, n_chars. Pages are read twice: for the templates of their hosts, and with them.
 

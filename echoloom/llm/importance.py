@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_stored, map_stream, partitions, store
+from .common import cut, drop_stored, map_stream, operator, partitions, store
 
 BUCKETS, PARTS = 10_000, 50
 SLOTS = BUCKETS // PARTS  # buckets of a range: less than 256, so a place is a byte
@@ -195,6 +195,7 @@ def numbered(rows: DataFrame, order: list) -> tuple[DataFrame, str]:
     return ranked.withColumn("rank", F.col("number") + F.col("offset")).drop("range", "number", "of", "offset"), at
 
 
+@operator
 def resample(
     docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target_text_col: str = "text", longest: int = 3, least_words: int = 20, percent: int = 5, seed: int = 42
 ) -> DataFrame:

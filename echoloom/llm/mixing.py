@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_stored, store
+from .common import cut, drop_stored, operator, store
 from .packing import text_tokens
 
 MOST_SOURCES = 10_000
@@ -154,6 +154,7 @@ def _passes(passes: Column, last: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
+@operator
 def draws(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5, most_sources: int = MOST_SOURCES, **options) -> DataFrame:
     """Per copy of a row in the mixture: id, source, n_tokens, pass (from 1) and position, its number in the source's
     sequence of blocks (from 1). Texts are read once and not shuffled."""
@@ -176,6 +177,7 @@ def draws(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     return out
 
 
+@operator
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5, most_sources: int = MOST_SOURCES, **options) -> DataFrame:
     """The rows of the mixture with the columns of ``docs``, one row a copy. A map over the rows with the plan of each
     source; texts are not shuffled."""

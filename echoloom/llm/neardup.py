@@ -5,6 +5,8 @@ the ``halves ** 2`` hash tables are all pairs of one half key of either collecti
 functions serve tables that would need halves ** 2 * 2 * width. With similarity s a pair shares a table with
 probability (1 - (1 - s**width) ** halves) ** 2; the defaults give 0.9995 at 0.8 and nearly 1 above 0.85.
 
+Candidates are representatives that share a table key, so a half key of either collection; every one is decided.
+
 The stages, none of which makes all pairs of a group:
 
 1. Equal shingle sets become one class with the smallest id as representative (counted in part before the shuffle).
@@ -12,14 +14,20 @@ The stages, none of which makes all pairs of a group:
    those of the second collection.
 3. Every table's bucket has one leader, and each representative is compared with ``tried`` of the leaders that it
    meets: those that a 128-bit sketch takes for the nearest. Links make components.
-4. What still shares a half key of the first collection across components is compared in full, whatever the size of
-   the bucket: all rows outside a bucket's largest component against all of its rows, in blocks of bounded rows and
-   shingles, by matrix products that give all intersections at once. Rows of the largest component aren't compared
-   with each other, so a group that is mostly linked costs its size times the few that are left.
+4. Candidates of different components are left. Two sets of the threshold's similarity share one of their first
+   shingles in any order of all shingles, if as many are taken as may lack in the other set, and one more. The order
+   takes shingles that one component alone has, which can't be shared with another, and then rare ones before common ones. Sets
+   whose first shingles are all their component's own are done. A shingle that few sets begin with gives pairs, which
+   are candidates if they share half keys of both collections. Sets that begin with a shingle of many sets meet by
+   their first half keys, whatever the size of the bucket: all rows outside a bucket's largest component against all of its
+   rows, in blocks of bounded rows and shingles, by matrix products that give all intersections at once; links count
+   where a half key of the second collection is shared as well. Rows of the largest component aren't compared with each
+   other. So texts that are similar below the threshold, by their own or rare shingles, cost what they are long, however
+   many they are; only sets whose first shingles are common to many, but not linked, are compared in blocks.
 
 Keys that many rows share (leaders, components, copies) meet what is known of them in salted joins: the one row of a
-key is copied to ``SALTS`` tasks. Hot table keys, of which there can be few, are broadcast. Links and components stay in tables; loops cut their lineage with
-checkpoints.
+key is copied to ``SALTS`` tasks. Hot table keys and shingles, of which there can be few, are broadcast. Links and
+components stay in tables; loops write each round to the shared folder and drop the one before.
 
 Null and empty texts have no shingles and are linked with nothing. Rows with one id are one document, with the links
 of all its texts. Rows with a null id keep a null component and are kept. An empty table gives an empty result.
@@ -33,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_stored, map_texts, store
+from .common import cut, drop_stored, map_texts, operator, store
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 SALTS = 16
@@ -97,24 +105,26 @@ def looked_up(rows: DataFrame, key: str, table: DataFrame, table_key: str, salts
     return salted.join(copies, (salted[key] == copies[table_key]) & (F.col("__salt") == F.col("__salt_2")), how).drop("__salt", "__salt_2")
 
 
-def connected(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
+def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of undirected links: node, component (its smallest node). Smallest labels spread to neighbours
     and labels jump to their own label's label, so long chains take logarithmic rounds."""
+    spark = links.sparkSession
     both = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    label = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
-    for _ in range(most_rounds):
+    both, links_at = store(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    label, at = store(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
+    while True:
         seen = looked_up(both, "v", label, "node").groupBy("u").agg(F.min("component").alias("near"))
         spread = label.join(seen, label["node"] == seen["u"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         # the old label's node may be told of a smaller one as well (hooking), then every label jumps
         hook = spread.groupBy(F.col("old").alias("root")).agg(F.min("component").alias("hooked"))
         spread = looked_up(spread, "old", hook, "root").select("node", "old", F.least("component", "hooked").alias("component"))
         jump = spread.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        new = cut(looked_up(spread, "component", jump, "at").select("node", "old", F.least("component", "further").alias("component")))
+        new, new_at = store(looked_up(spread, "component", jump, "at").select("node", "old", F.least("component", "further").alias("component")))
+        drop_stored(spark, at)
+        at, label = new_at, new.select("node", "component")
         if not new.filter(F.col("old") != F.col("component")).limit(1).count():
-            return new.select("node", "component")
-        label = new.select("node", "component")
-    raise RuntimeError("components did not settle")
+            drop_stored(spark, links_at)
+            return label
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int, together: int = 1024) -> DataFrame:
@@ -132,8 +142,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int, together:
     return found.filter(den * both >= num * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def block_links(component: np.ndarray, minor: np.ndarray, sets: list[np.ndarray], num: int, den: int, width: int = 2048) -> list[tuple[int, int]]:
-    """Links between minor rows and any rows of other components, for a later check on full sets.
+def block_links(component: np.ndarray, minor: np.ndarray, sets: list[np.ndarray], second: np.ndarray, num: int, den: int, width: int = 2048) -> list[tuple[int, int]]:
+    """Links between minor rows and any rows of other components that share a half key of the ``second`` collection (a
+    row of keys a set), for a later check on full sets.
 
     Of clear links (half a percent above the threshold) a spanning forest is given, and all of those within half a
     percent of it between trees, since shortened hashes may shift these. All intersections come from products of 0/1
@@ -162,7 +173,15 @@ def block_links(component: np.ndarray, minor: np.ndarray, sets: list[np.ndarray]
     apart = root[few][:, None] != root[None, :]
     clear = (den * both >= 1.005 * num * union) & apart
     close = (den * both >= 0.995 * num * union) & apart & ~clear
-    i, j = np.nonzero(clear)
+
+    def candidates(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.nonzero(which)
+        met = np.zeros(len(i), bool)
+        for k in range(second.shape[1]):
+            met |= second[few[i], k] == second[j, k]
+        return i[met], j[met]
+
+    i, j = candidates(clear)
     parent = list(range(len(names)))
 
     def find(x: int) -> int:
@@ -177,12 +196,13 @@ def block_links(component: np.ndarray, minor: np.ndarray, sets: list[np.ndarray]
         if p != q:
             parent[max(p, q)] = min(p, q)
             out.append((x, y))
-    i, j = np.nonzero(close)
+    i, j = candidates(close)
     return out + [(x, y) for x, y in zip(few[i].tolist(), j.tolist(), strict=True) if find(root[x]) != find(root[y])]
 
 
+@operator
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, halves: int = 16, width: int = 4, tried: int = 2, block_rows: int = 512, block_shingles: int = 500_000
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, halves: int = 16, width: int = 4, tried: int = 2, together: int = 64, block_rows: int = 512, block_shingles: int = 500_000
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable over links), kept (it is its own component)."""
     spark = docs.sparkSession
@@ -252,10 +272,37 @@ def near_duplicates(
     nearest = F.array_sort(F.collect_set(F.struct(apart.alias("apart"), F.col("rep_2").alias("b"))))  # at most one a table
     best = cut(near.groupBy(F.col("rep").alias("a")).agg(F.slice(nearest, 1, tried).alias("near")).select("a", F.explode("near.b").alias("b")))
     nodes = connected(_confirmed(best, sets, num, den))
-    component = tabled.select("rep", "n", "first").join(nodes, F.col("rep") == F.col("node"), "left").select("rep", "n", "first", F.coalesce("component", "rep").alias("component"))
-
-    # 4. what is left: rows of different components that share a first half key
-    left = cut(component.select("rep", "n", "component", F.explode("first").alias("one")))
+    component = tabled.select("rep", "n", "first", "second").join(nodes, F.col("rep") == F.col("node"), "left").select("rep", "n", "first", "second", F.coalesce("component", "rep").alias("component"))
+
+    # 4. what is left: rows of different components that share a first half key ...
+    halves_of = component.select("rep", "n", "component", "first", F.transform("second", lambda v, j: F.xxhash64(j, v)).alias("second"))
+    halves_of, halves_at = store(halves_of)
+    left = halves_of.select("rep", "n", "component", F.explode("first").alias("one"))
+    several = left.groupBy(F.col("one").alias("of_one")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("of_one")
+    open_reps, open_at = store(looked_up(left, "one", several, "of_one").select("rep", "n", "component").distinct())
+    # ... and their first shingles: of those that several components have, what is left of the number after the component's own
+    shingles = open_reps.join(sets.withColumnRenamed("rep", "of"), F.col("rep") == F.col("of")).select("rep", "n", "component", F.explode("shingles").alias("shingle"))
+    shingles, shingles_at = store(shingles)
+    shared = shingles.groupBy("shingle").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(F.col("shingle").alias("of_shingle"), "m")
+    shared, shared_at = store(shared)
+    edge = (shared.agg(F.sum("m")).first()[0] or 0) / 2000  # less than 2,000 shingles have more rows
+    here = F.col("shingle") == F.col("of_shingle")
+    hot, usual = F.broadcast(shared.filter(F.col("m") > edge)), shared.filter(F.col("m") <= edge)
+    rest = shingles.join(hot.select("of_shingle"), here, "left_anti").join(usual, here)
+    met = rest.unionByName(shingles.join(hot, here)).groupBy("rep", "n", "component").agg(F.array_sort(F.collect_list(F.struct("m", "shingle"))).alias("shared"))  # a set's own
+    begin = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("shared"))
+    begun = met.withColumn("begin", begin.cast("int")).filter("begin > 0").select("rep", "n", "component", F.explode(F.slice("shared", F.lit(1), F.col("begin"))).alias("x")).select("rep", "n", "component", "x.shingle")
+    begun, begun_at = store(begun)
+    held = begun.groupBy("shingle").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    one = F.struct("rep", "n", "component")
+    few_rows = begun.join(held.filter(F.col("m") <= together).select("shingle"), "shingle").groupBy("shingle").agg(F.collect_list(one).alias("xs"))  # at most ``together``
+    pairs = few_rows.select(F.explode("xs").alias("x"), "xs").select("x", F.explode("xs").alias("y")).filter("x.rep < y.rep AND x.component <> y.component")
+    pairs = pairs.filter(den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    keys_of = lambda side: halves_of.select(F.col("rep").alias(side), F.col("first").alias(f"first_{side}"), F.col("second").alias(f"second_{side}"))
+    pairs = pairs.join(keys_of("a"), "a").join(keys_of("b"), "b").filter(F.arrays_overlap("first_a", "first_b") & F.arrays_overlap("second_a", "second_b")).select("a", "b")
+    by_pairs = _confirmed(cut(pairs), sets, num, den)
+    many_rows = begun.join(held.filter(F.col("m") > together).select(F.col("shingle").alias("of_shingle")), here).select("rep").distinct()
+    left = cut(halves_of.join(many_rows, "rep").select("rep", "n", "component", "second", F.explode("first").alias("one")))
     parts = left.groupBy("one", "component").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     mixed = parts.groupBy(F.col("one").alias("of_one")).agg(F.max(F.struct("m", "component", "total")).alias("major"), F.sum("m").alias("m"), F.sum("total").alias("total"), F.count("*").alias("parts")).filter("parts > 1")
 
@@ -271,17 +318,19 @@ def near_duplicates(
     others = F.filter(upto(F.col("few") + F.col("many")), lambda k: k != F.col("mine"))
     meetings = F.when(F.col("minor"), F.transform(others, lambda k: F.struct(F.least("mine", k).alias("lo"), F.greatest("mine", k).alias("hi"))))
     meetings = meetings.otherwise(F.transform(upto(F.col("few")), lambda k: F.struct(k.alias("lo"), (F.col("mine") + F.col("few")).alias("hi"))))
-    dealt = dealt.withColumn("mine", mine).select("rep", "component", "minor", "one", F.explode(meetings).alias("meeting")).select("rep", "component", "minor", "one", "meeting.lo", "meeting.hi")
+    dealt = dealt.withColumn("mine", mine).select("rep", "component", "minor", "second", "one", F.explode(meetings).alias("meeting")).select("rep", "component", "minor", "second", "one", "meeting.lo", "meeting.hi")
     # 31 bits of each shingle's hash: they can only add to an intersection, and what they link is confirmed on full sets
     short = sets.select("rep", F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("shingles"))
     dealt = dealt.join(short, "rep")
 
     def linked(group: pa.Table) -> pa.Table:
         rep, minor = group.column("rep").to_numpy(), group.column("minor").to_numpy()
-        found = block_links(group.column("component").to_numpy(), minor, [x.values.to_numpy() for x in group.column("shingles")], num, den)
+        second = np.stack([x.values.to_numpy() for x in group.column("second")])
+        found = block_links(group.column("component").to_numpy(), minor, [x.values.to_numpy() for x in group.column("shingles")], second, num, den)
         return pa.table({"a": pa.array(rep[[i for i, _ in found]] if found else [], pa.int64()), "b": pa.array(rep[[j for _, j in found]] if found else [], pa.int64())})
 
-    late = _confirmed(cut(dealt.groupBy("one", "lo", "hi").applyInArrow(linked, "a bigint, b bigint").distinct()), sets, num, den)
+    by_blocks = _confirmed(cut(dealt.groupBy("one", "lo", "hi").applyInArrow(linked, "a bigint, b bigint").distinct()), sets, num, den)
+    late = by_pairs.unionByName(by_blocks)
     # the late links join components, so only these are connected again
     of_node = nodes.select(F.col("node").alias("at"), F.col("component").alias("root"))
     ends = late.join(of_node, F.col("a") == F.col("at"), "left").select(F.coalesce("root", "a").alias("a"), "b")
@@ -296,19 +345,24 @@ def near_duplicates(
     out = looked_up(signed.select("id", "n", F.struct("f0", "f1").alias("of")), "of", known, "set", how="left")
     component_id = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
     result = cut(out.select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), component_id.alias("component_id")))
-    for path in (signed_at, reps_at, tabled_at, sets_at):
+    for path in (signed_at, reps_at, tabled_at, sets_at, halves_at, open_at, shingles_at, shared_at, begun_at):
         drop_stored(spark, path)
     return result.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
+@operator
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of documents that are their component's smallest id, one row of each text of an id; rows without an id stay."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, num=num, den=den)
-    gone = found.filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    left = docs.join(gone, F.col(f"`{id_col}`").cast("bigint") == gone["__gone"], "left_anti")
-    # rows without an id differ in a number of their own, so one pass over the texts does
-    own = F.when(F.col(f"`{id_col}`").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(F.col(f"`{text_col}`")))
-    name = "__row"
-    while name in left.columns:
-        name += "_"
-    return left.withColumn(name, own).dropDuplicates([id_col, name]).drop(name)
+    own = "__near"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    of, gone, row = (f"{own}_{x}" for x in ("of", "gone", "row"))
+    keyed = docs.withColumn(of, F.col(f"`{id_col}`").cast("bigint"))
+    dropped = found.filter(~F.col("kept")).select(F.col(id_col).alias(gone)).distinct()
+    left = keyed.join(dropped, F.col(of) == F.col(gone), "left_anti")
+    if keyed.filter(F.col(of).isNotNull()).groupBy(of).count().filter("count > 1").limit(1).count():
+        # rows without an id differ in a number of their own
+        number = F.when(F.col(of).isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(F.col(f"`{text_col}`")))
+        left = left.withColumn(row, number).dropDuplicates([of, row]).drop(row)
+    return left.drop(of)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, operator
 
 
 def text_tokens(text_col: str = "text"):
@@ -65,6 +65,7 @@ def length_histogram(rows: DataFrame, length: str = "length") -> tuple[np.ndarra
     return np.array([r["top"] for r in got], np.int64), np.array([r["n"] for r in got], np.int64)
 
 
+@operator
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 16, batch_tokens: int = 65_536, shard_rows: int = 2_000, keep: list[str] | None = None) -> DataFrame:
     """Per row: id, length, bucket, padded_length, batch (its number in the bucket) and slot; ``keep`` adds columns."""
     kept = [c for c in (keep or []) if c != id_col]

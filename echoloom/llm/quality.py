@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, map_texts, replace_batches, store
+from .common import drop_stored, map_texts, operator, replace_batches, store
 
 #: Frequent short words of English, French, German and Spanish.
 COMMON_WORDS = frozenset(
@@ -214,6 +214,7 @@ class QualityModel:
         self.labels, self.weights = labels, weights
 
 
+@operator
 def fit_quality(docs: DataFrame, *, text_col: str = "text", sample: int = 6_000) -> QualityModel:
     """Counts the vote patterns of all texts, then fits the scorer on about ``sample`` texts.
 
@@ -252,6 +253,7 @@ def fit_quality(docs: DataFrame, *, text_col: str = "text", sample: int = 6_000)
     return QualityModel(labels, fit_scorer(features, target))
 
 
+@operator
 def quality_scores(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Per row: id, score (1: good), the posterior of its votes, the votes, and kept."""
     weights, labels = model.weights, model.labels
@@ -270,6 +272,7 @@ def quality_scores(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_i
     return out.select(F.col("id").alias(id_col), "score", "posterior", "votes", (F.col("score") >= threshold).alias("kept"))
 
 
+@operator
 def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows with a score of ``threshold`` or more, with all their columns."""
     weights, at = model.weights, docs.columns.index(text_col)

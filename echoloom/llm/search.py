@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, drop_stored, map_texts, store
+from .common import cut, drop_stored, map_texts, operator, store
 
 BLOCK = 64
 _NULL = -(1 << 63)
@@ -244,6 +244,7 @@ class Walk:
         return q, self.id[q, r], self.score[q, r]
 
 
+@operator
 def search(
     docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75, shard_rows: int = 4096, shard_chars: int = 16_000_000, queries_at_once: int = 32_000, terms_at_once: int = 4_000_000, groups: int = 12, side_by_side: int = 256, slice_queries: int = 2048
 ) -> DataFrame:

@@ -76,6 +76,97 @@ def test_large_group_near_the_threshold(spark):
     assert got == brute_components(rows, 2)
 
 
+@pytest.mark.parametrize("collection", [0, 1])
+def test_both_collections_make_the_candidates(spark, monkeypatch, collection):
+    """Where no two texts share a half key of one collection, no texts are linked but equal sets."""
+    rows = make_docs(4, groups=4)
+    plain = neardup.Signer.sign
+
+    def apart(self, s):
+        keys, bits = plain(self, s)
+        keys = keys.copy()
+        own = int(s.sum() % (1 << 60))
+        keys[collection * self.halves : (collection + 1) * self.halves] = [hash((own, k)) for k in range(self.halves)]
+        return keys, bits
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, shingle=2).collect()}
+    monkeypatch.setattr(neardup.Signer, "sign", apart)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, shingle=2).collect()}
+    sets = {i: frozenset(neardup.shingle_set(t, 2).tolist()) for i, t in rows}
+    assert got == {i: min([j for j in sets if sets[j] == sets[i]] if sets[i] else [i]) for i in sets}
+    assert got != linked
+
+
+def edited(rng, base, share, words):
+    return " ".join(f"y{rng.randrange(words)}" if rng.random() < share else w for w in base)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs from 0.80 on, each apart from the others: 99 in 100 and more are linked, and no pair below."""
+    rng, rows, want = random.Random(5), [], {}
+    while len(rows) < 1200:
+        base = [f"b{len(rows)}w{k}" for k in range(120)]
+        other = list(base)
+        for at in rng.sample(range(120), rng.randrange(4, 9)):
+            other[at] = f"x{rng.randrange(10**9)}"
+        a, b = (set(zip(w, w[1:])) for w in (base, other))
+        if 0.78 <= len(a & b) / len(a | b) <= 0.84:
+            want[len(rows) + 1] = 100 * len(a & b) >= 80 * len(a | b)
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    got = {r["doc_id"]: not r["kept"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
+    there = [i for i, linked in want.items() if linked]
+    assert len(there) > 200 and sum(got[i] for i in there) >= 0.99 * len(there) and not any(got[i] for i, linked in want.items() if not linked)
+
+
+def test_a_large_group_below_the_threshold_moves_rows_in_proportion(spark, monkeypatch):
+    """1,500 texts at about 0.6 of each other, most of which share a table key: pairs and block rows stay few a text."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, edited(rng, base, 0.13, 3000)) for k in range(1500)]
+    seen, plain = {}, neardup.cut
+
+    def watched(df):
+        out = plain(df)
+        seen[tuple(out.columns)] = seen.get(tuple(out.columns), 0) + out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "cut", watched)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shingle=2).collect()}
+    assert got == brute_components(rows, 2)
+    assert seen["a", "b"] < 20 * 1500 and seen["rep", "n", "component", "second", "one"] < 16 * 1500, seen
+
+
+def test_operators_leave_no_folders(spark):
+    """Only what a result is read from stays in the shared folder, until it is released."""
+    import os
+
+    from echoloom.llm import common
+    from echoloom.shared import shared_dir
+
+    rows = spark.createDataFrame(make_docs(2, groups=3), "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "concat('s', doc_id % 3) AS source", "length(text) AS n_chars")
+    folder = shared_dir(spark).removeprefix("file:")
+    common.release(spark)
+    before = set(os.listdir(folder))
+    from echoloom.llm import divergence, exactdedup, importance, mixing, packing, quality
+
+    for run in (
+        lambda: neardup.near_duplicates(rows), lambda: neardup.keep_one(rows), lambda: search.search(rows, rows.limit(3), k=2), lambda: packing.pack(rows), lambda: mixing.mix(rows), lambda: mixing.draws(rows),
+        lambda: divergence.source_divergence(rows), lambda: exactdedup.drop_copies(rows), lambda: importance.resample(rows, rows), lambda: quality.quality_scores(rows, quality.fit_quality(rows)),
+    ):
+        run().write.format("noop").mode("overwrite").save()
+        left = {x for x in set(os.listdir(folder)) - before if not x.endswith(".crc")}
+        assert len(left) <= 2, left
+        common.release(spark)
+        assert set(os.listdir(folder)) == before
+
+
+def test_names_that_clash_with_own_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 7, 8), (2, "a b c d e f", 9, 1)], "doc_id long, text string, __near_gone long, __near_of long")
+    got = neardup.keep_one(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "a b c d e f", 7, 8)]
+
+
 def test_texts_of_one_id(spark):
     """An id with two texts has the links of both; one row of each of its texts stays."""
     a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
@@ -101,7 +192,7 @@ def test_block_links_span_all_links():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 10**6, 60)
     sets = [np.unique(np.where(rng.random(60) < 0.12, rng.integers(0, 10**6, 60), base)) for _ in range(40)]
-    found = [(i, j) for i, j in neardup.block_links(np.arange(40), np.ones(40, bool), sets, 80, 100, width=16) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    found = [(i, j) for i, j in neardup.block_links(np.arange(40), np.ones(40, bool), sets, np.zeros((40, 1), int), 80, 100, width=16) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
     labels = list(range(40))
     for pairs in (found, [(i, j) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]):
         parent = list(range(40))
