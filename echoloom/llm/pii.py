@@ -9,12 +9,18 @@ kind stay different; with the key, pseudonyms can be turned back. It is a step r
 A match that isn't valid is tried with shorter ends and the later patterns, and then the search goes on one position
 further, so values beside other numbers are found.
 
-A value has one permutation wherever it stands: what follows a word like ``password`` is taken without marks at its
-ends, and as the kind that it would be alone, if any. Letters of addresses are permuted alike in both cases. A date
-with slashes is read as month and day if it can be, and then linked with other notations; else as day and month,
-among the dates that can only be read so. Days and months of one digit come back with two.
-
-Null texts stay null; texts without such values come back unchanged. Repeated rows are treated alike.
+A value has one permutation wherever it stands: what follows a word like ``password``, also with words joined to it
+(db_password), is taken without marks at its ends, and as the kind that it would be alone, if any. A value without a
+digit counts where it is quoted or follows an equals sign. Letters of addresses are permuted alike in both cases;
+letters beyond ASCII stay in their block of 64 characters. A date with slashes is read as month and day if it can be,
+and then linked with other notations, spelled months (English, German, French, Spanish) included; else as day and
+month, among the dates that can only be read so. Days and months of one digit come back with two. Of phone numbers the
+national number is permuted, by its length, and the country code stays, so notations are linked, with and without it.
+Social security numbers are permuted among the valid ones. Addresses of four padded parts (192.168.001.001) are those
+without the zeros; version 6 addresses come back in their short notation.
+
+Null texts stay null; texts without such values come back unchanged, empty texts and tables too. Repeated rows are
+treated alike, and texts of any length are searched whole. Other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
@@ -23,8 +29,10 @@ import bisect
 import datetime
 import functools
 import hashlib
+import ipaddress
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import pyarrow as pa
@@ -86,19 +94,38 @@ def luhn_sum(digits: str) -> int:
 
 #: Words before a secret.
 SECRET_WORDS = "password passwd pwd secret token api_key apikey access_key accesskey auth".split()
-_SECRET_LABEL = rf"""(?i:\b(?:{'|'.join(SECRET_WORDS)})\b["']?\s*[=:]\s*["']?)"""
-_LABELLED = re.compile(_SECRET_LABEL + r"[A-Za-z0-9+/_\-.]*")
+_LABEL_WORDS = rf"(?<![A-Za-z0-9])(?:[A-Za-z0-9]{{1,30}}[_-]){{0,4}}(?:{'|'.join(SECRET_WORDS)})(?:[_-][A-Za-z0-9]{{1,30}}){{0,2}}"
+_SECRET_LABEL = rf"""(?i:{_LABEL_WORDS}["']?\s*[=:]\s*["']?|\bbearer\s+)"""
+_LABELLED = re.compile(_SECRET_LABEL + r"\S{0,256}")
+#: The names of the months in each language, in order.
+MONTHS = {
+    "en": "january february march april may june july august september october november december".split(),
+    "en short": "jan feb mar apr may jun jul aug sep oct nov dec".split(),
+    "de": "januar februar märz april mai juni juli august september oktober november dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+_MONTH = "(?i:" + "|".join(sorted({m for names in MONTHS.values() for m in names}, key=lambda m: (-len(m), m))) + ")"
+_DAY_MONTH = rf"[0-9]{{1,2}}(?:st|nd|rd|th|er|\.)?\s(?:of\s|de\s)?{_MONTH},?\s(?:de\s|del\s)?[0-9]{{4}}"
+_MONTH_DAY = rf"{_MONTH}\s[0-9]{{1,2}}(?:st|nd|rd|th)?,?\s[0-9]{{4}}"
+_SPELLED = re.compile(rf"(?P<day>[0-9]{{1,2}})(?P<suffix>st|nd|rd|th|er)?(?P<a>\.?\s(?:of\s|de\s)?)(?P<month>{_MONTH})(?P<b>,?\s(?:de\s|del\s)?)(?P<year>[0-9]{{4}})")
+_SPELLED_FIRST = re.compile(rf"(?P<month>{_MONTH})(?P<a>\s)(?P<day>[0-9]{{1,2}})(?P<suffix>st|nd|rd|th)?(?P<b>,?\s)(?P<year>[0-9]{{4}})")
+#: The country codes of two digits; those that begin with 1 or 7 have one, all others three.
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_QUAD = re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}")
 #: The patterns, each with its kind, in order of precedence.
 PATTERNS = (
     ("secret", r"\b(?:AKIA|ASIA)[A-Z2-7]{16}\b"),
     ("secret", r"\bgh[pousr]_[A-Za-z0-9]{36}\b"),
     ("secret", r"\b[sp]k_(?:live|test)_[A-Za-z0-9]{16,}\b"),
-    ("secret_value", _SECRET_LABEL + r"(?P<sv>[A-Za-z0-9+/_\-.]{6,})"),
-    ("email", r"(?<![\w.+%-])[\w][\w.+%-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b"),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("secret_value", _SECRET_LABEL + r"""(?P<sv>(?<=")[^"\s]{4,128}(?=")|(?<=')[^'\s]{4,128}(?=')|[^\s"'<>,;()\[\]{}]{6,})"""),
+    ("email", r"(?<![\w.+%-])[\w][\w.+%-]{0,63}@(?:[^\W_](?:(?:[^\W_]|-){0,61}[^\W_])?\.)+[^\W\d_]{2,24}\b"),
+    ("iban", r"\b(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)\b"),
     ("card", r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9])"),
     ("ip", r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])"),
+    ("ip6", r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])"),
     ("date", r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-]|\.[0-9])"),
+    ("date", rf"(?<![\w/.-])(?:{_DAY_MONTH}|{_MONTH_DAY})(?![\w/-]|\.[0-9])"),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     ("phone", r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]){1,3}[0-9]{2,5}(?![\w-])|(?<![\w+])\+[0-9]{8,15}(?!\w)"),
 )
@@ -110,6 +137,7 @@ _AFTER = re.compile(r"[0-9]-\Z")
 _CARD = next(k for k, (kind, _) in enumerate(PATTERNS) if kind == "card")
 _APART = [k for k, (kind, _) in enumerate(PATTERNS) if kind in ("ip", "date", "ssn")]
 _DATE = _EACH[next(k for k, (kind, _) in enumerate(PATTERNS) if kind == "date")]
+_LABEL_AT = next(k for k, (kind, _) in enumerate(PATTERNS) if kind == "secret_value")
 _CARD_GROUPS = re.compile(r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])")
 _DATE_FORMS = (("%Y-%m-%d", re.compile(r"\d{4}-\d\d-\d\d")), ("%Y/%m/%d", re.compile(r"\d{4}/\d\d/\d\d")), ("%d.%m.%Y", re.compile(r"\d{1,2}\.\d{1,2}\.\d{4}")))
 _HEX = re.compile(r"[0-9a-f]{8,}")
@@ -122,6 +150,17 @@ def _late_days() -> list[int]:
     return [d for d in range(_DAYS) if datetime.date.fromordinal(_DAY0 + d).day > 12]
 
 
+@functools.cache
+def _letters(c: str, caseless: bool) -> str:
+    """The letters among which one beyond ASCII is permuted: those of its block and kind, or itself alone. Caseless ones
+    are lower-case letters with a capital of their own."""
+    kind, low = unicodedata.category(c), ord(c) >> 6 << 6
+    every = [chr(x) for x in range(low, low + 64)]
+    if caseless and kind in ("Ll", "Lu"):
+        return "".join(x for x in every if unicodedata.category(x) == "Ll" and len(x.upper()) == 1 and x.upper().lower() == x)
+    return "".join(x for x in every if unicodedata.category(x) == kind) if kind.startswith("L") else ""
+
+
 class Pseudonymizer:
     """Replaces the values in texts; ``key`` decides the permutations."""
 
@@ -161,19 +200,27 @@ class Pseudonymizer:
         Addresses that differ in case alone have the same letters afterwards.
         """
         caseless = kind in ("email", "domain")
-        radix = [16 if hexes else 10 if "0" <= c <= "9" else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 1 for c in value]
-        x, size = 0, 1
-        for c, r in zip(value, radix, strict=True):
-            if r > 1:
-                x, size = x * r + (int(c, 16) if r in (10, 16) else ord(c.lower()) - 97), size * r
-        x = self._permute(f"{kind}:{''.join('h' if r == 16 else '9' if r == 10 else 'A' if c.isupper() and r == 26 and not caseless else 'a' if r == 26 else c for c, r in zip(value, radix, strict=True))}", size, x, back)
+        x, size, shape, tables = 0, 1, [], []
+        for c in value:
+            if "0" <= c <= "9":
+                table, mark = ("0123456789abcdef", "h") if hexes else ("0123456789", "9")
+            elif "a" <= c <= "z" or "A" <= c <= "Z":
+                table, mark = ("0123456789abcdef", "h") if hexes else ("abcdefghijklmnopqrstuvwxyz", "A" if c.isupper() and not caseless else "a")
+            else:
+                table = _letters(c.lower() if caseless and len(c.lower()) == 1 else c, caseless) if c.isalpha() else ""
+                mark = f"<{table}>"
+            at = table.find(c.lower() if caseless or ord(c) < 128 else c) if table else -1
+            if at >= 0:
+                x, size = x * len(table) + at, size * len(table)
+            tables.append(table if at >= 0 else "")
+            shape.append(mark if at >= 0 else c)
+        x = self._permute(f"{kind}:{''.join(shape)}", size, x, back)
         out = []
-        for c, r in zip(reversed(value), reversed(radix), strict=True):
-            if r == 1:
-                out.append(c)
-                continue
-            x, d = divmod(x, r)
-            out.append("0123456789abcdef"[d] if r in (10, 16) else chr((65 if c.isupper() else 97) + d))
+        for c, table in zip(reversed(value), reversed(tables), strict=True):
+            if table:
+                x, d = divmod(x, len(table))
+                c = table[d].upper() if c.isupper() and (ord(c) < 128 or caseless) else table[d]
+            out.append(c)
         return "".join(reversed(out))
 
     def _card(self, value: str, back: bool) -> str | None:
@@ -185,13 +232,76 @@ class Pseudonymizer:
         return "".join(next(new) if c.isdigit() else c for c in value)
 
     def _ip(self, value: str, back: bool) -> str | None:
-        parts = [int(p) for p in value.split(".")]
-        if any(p > 255 for p in parts) or any(len(p) > 1 and p[0] == "0" for p in value.split(".")):
+        parts = value.split(".")
+        padded = all(len(p) == 3 for p in parts) and any(p[0] == "0" for p in parts)
+        if any(int(p) > 255 for p in parts) or (not padded and any(len(p) > 1 and p[0] == "0" for p in parts)):
+            return None
+        x = self._permute("ip", 1 << 32, int.from_bytes(bytes(map(int, parts)), "big"), back)
+        return ".".join(f"{b:03d}" if padded else str(b) for b in x.to_bytes(4, "big"))
+
+    def _ip6(self, value: str, back: bool) -> str | None:
+        """Addresses with three groups and a digit at least; times and names are none."""
+        if sum(map(bool, value.split(":"))) < 3 or not any(c.isdigit() for c in value):
+            return None
+        try:
+            x = int(ipaddress.IPv6Address(value))
+        except ValueError:
             return None
-        x = self._permute("ip", 1 << 32, int.from_bytes(bytes(parts), "big"), back)
-        return ".".join(map(str, x.to_bytes(4, "big")))
+        return str(ipaddress.IPv6Address(self._permute("ip6", 1 << 128, x, back)))
+
+    def _spelled(self, value: str, back: bool) -> str | None:
+        """A date with its month's name: in the language, capitals and order that it has."""
+        m = _SPELLED.fullmatch(value) or _SPELLED_FIRST.fullmatch(value)
+        if m is None:
+            return None
+        name = m["month"].lower()
+        liked = "de" if "." in m["a"] else "es" if "de" in m["a"].split() else "en"
+        language = next(x for x in sorted(MONTHS, key=lambda x: x != liked) if name in MONTHS[x])
+        try:
+            day = datetime.date(int(m["year"]), MONTHS[language].index(name) + 1, int(m["day"])).toordinal() - _DAY0
+        except ValueError:
+            return None
+        if not 0 <= day < _DAYS:
+            return None
+        new = datetime.date.fromordinal(_DAY0 + self._permute("date", _DAYS, day, back))
+        month = MONTHS[language][new.month - 1]
+        month = month.upper() if m["month"].isupper() else month.capitalize() if m["month"][0].isupper() else month
+        suffix = m["suffix"] or ""
+        if suffix in ("st", "nd", "rd", "th"):
+            suffix = "th" if new.day in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
+        else:
+            suffix = "er" if language == "fr" and new.day == 1 else ""
+        first = f"{new.day}{suffix}{m['a']}{month}" if m.re is _SPELLED else f"{month}{m['a']}{new.day}{suffix}"
+        return f"{first}{m['b']}{new.year:04d}"
+
+    def _ssn(self, value: str, back: bool) -> str | None:
+        """Areas but 000 and 666, groups from 01, serials from 0001: a number in their product."""
+        area, group, serial = int(value[:3]), int(value[4:6]), int(value[7:])
+        if area in (0, 666) or not group or not serial:
+            return None
+        x = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
+        x, serial = divmod(self._permute("ssn", 998 * 99 * 9999, x, back), 9999)
+        area, group = divmod(x, 99)
+        return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
+
+    def _phone(self, value: str, back: bool) -> str | None:
+        digits = [k for k, c in enumerate(value) if "0" <= c <= "9"]
+        if not 7 <= len(digits) <= 15 or _QUAD.fullmatch(value):
+            return None
+        code = 0
+        if value[0] == "+":
+            first = "".join(value[k] for k in digits[:2])
+            if first[0] == "0":
+                return None
+            code = 1 if first[0] in "17" else 2 if first in TWO_DIGIT_CODES else 3
+            if len(digits) - code < 4:
+                return None
+        at = digits[code]
+        return value[:at] + self._digits("phone", value[at:], back)
 
     def _date(self, value: str, back: bool) -> str | None:
+        if any(c.isalpha() for c in value):
+            return self._spelled(value, back)
         forms = [f for f, p in _DATE_FORMS if p.fullmatch(value)] or (["%m/%d/%Y", "%d/%m/%Y"] if value.count("/") == 2 else [])
         for form in forms:
             try:
@@ -210,16 +320,17 @@ class Pseudonymizer:
         return None
 
     def _iban(self, value: str, back: bool) -> str | None:
-        plain = value.replace(" ", "")
+        plain = value.replace(" ", "").upper()
+
         def number(x: str) -> int:
             return int("".join(str(int(c, 36)) for c in x))
 
-        if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
+        if not 15 <= len(plain) <= 34 or (value.islower() and sum(c.isdigit() for c in plain) < 10) or number(plain[4:] + plain[:4]) % 97 != 1:
             return None
         body = self._mixed(f"iban{plain[:2]}", plain[4:], back)
-        made = plain[:2] + f"{98 - number(body + plain[:2] + '00') % 97:02d}" + body
-        new = iter(made)
-        return "".join(c if c == " " else next(new) for c in value)
+        new = iter(plain[:2] + f"{98 - number(body + plain[:2] + '00') % 97:02d}" + body)
+        made = "".join(c if c == " " else next(new) for c in value)
+        return made.lower() if value.islower() else made
 
     def pseudonym(self, kind: str, value: str, back: bool = False) -> str | None:
         """The pseudonym of a value, or None if it isn't valid."""
@@ -231,12 +342,12 @@ class Pseudonymizer:
             return self._date(value, back)
         if kind == "iban":
             return self._iban(value, back)
+        if kind == "ip6":
+            return self._ip6(value, back)
         if kind == "ssn":
-            return None if value[:3] in ("000", "666") or value[4:6] == "00" or value[7:] == "0000" else self._digits("ssn", value, back)
+            return self._ssn(value, back)
         if kind == "phone":
-            country = re.match(r"\+[0-9]{1,3}(?=[ .(-])", value)
-            rest = value[country.end() :] if country else value[1:] if value[0] == "+" else value
-            return None if not 7 <= sum(c.isdigit() for c in value) <= 15 else value[: len(value) - len(rest)] + self._digits("phone", rest, back)
+            return self._phone(value, back)
         if kind == "email":
             name, at, domain = value.rpartition("@")
             new = self._mixed("email", name, back)
@@ -263,7 +374,7 @@ class Pseudonymizer:
     def _windows(text: str) -> list[tuple[int, int]]:
         """Disjoint parts of the text, cut at white space, that hold all places where a value can be."""
         places = [m.span() for m in _ANY.finditer(text)]
-        if any(map(text.lower().__contains__, SECRET_WORDS)):
+        if any(map(text.lower().__contains__, (*SECRET_WORDS, "bearer"))):
             places = sorted(places + [m.span() for m in _LABELLED.finditer(text)])
         out: list[tuple[int, int]] = []
         for start, end in places:
@@ -285,11 +396,7 @@ class Pseudonymizer:
         if found == 0:
             if len(self.known) >= 200_000:
                 self.known.clear()
-            if kind == "secret_value" and not any(c.isdigit() for c in value):
-                found = None
-            else:
-                found = self.pseudonym(kind, value)
-            self.known[kind, value] = found
+            found = self.known[kind, value] = self.pseudonym(kind, value)
         return found
 
     def _value_at(self, text: str, m: re.Match[str], stop: int) -> tuple[int, int, str, str] | None:
@@ -299,13 +406,18 @@ class Pseudonymizer:
         hyphen; a shorter card number needs the groups of a card, as one in ten numbers has a right sum. What another
         pattern tells apart inside a phone number, or a card number of other groups, goes before it.
         """
-        first = int(m.lastgroup[1:]) if m.lastgroup != "sv" else 3
+        first = int(m.lastgroup[1:]) if m.lastgroup != "sv" else _LABEL_AT
         for k in range(first, len(PATTERNS)):
             kind = PATTERNS[k][0]
             x = m if k == first else _EACH[k].match(text, m.start(), stop)
             if x is None:
                 continue
             start, end = x.span("sv") if kind == "secret_value" else x.span()
+            if kind == "secret_value":
+                label, value = text[x.start() : start].rstrip(), x["sv"]
+                plain = not any(c.isdigit() for c in value) and label[-1] not in "=\"'"
+                if plain or "://" in value or (label[-6:].lower() == "bearer" and len(value) < 12):
+                    continue
             gaps = [g.start() for g in _GAP.finditer(text, start, end)] if kind in _SHORTER else []
             for e in (end, *reversed(gaps)):
                 value = text[start:e]
