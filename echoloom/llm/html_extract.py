@@ -384,23 +384,32 @@ def extract(pages: list[Page]) -> list[str]:
 
 
 def page_tokens(rows: DataFrame) -> DataFrame:
-    """Of (host, salt, html) per page: host, salt, print (of its content) and its tokens."""
+    """Of (host, salt, html) per page: host, salt, print (of its content) and its tokens, as their keys and counts; those of
+    its ``elements`` come first."""
 
     def make():
         def f(x):
-            got = [tokens(Page(h or "")) for h in x["html"]]
-            return {"host": x["host"], "salt": x["salt"], "print": [g[0] for g in got], "found": [[t._asdict() for t in g[1]] for g in got]}
+            out = {"host": x["host"], "salt": x["salt"], "print": [], "keys": [], "ns": [], "elements": []}
+            for h in x["html"]:
+                print_, found = tokens(Page(h or ""))
+                found.sort(key=lambda t: (t.text, t.key))
+                out["print"].append(print_)
+                out["keys"].append([t.key for t in found])
+                out["ns"].append([t.n for t in found])
+                out["elements"].append(sum(not t.text for t in found))
+            return out
 
         return f
 
-    return map_texts(rows, ["host", "salt", "html"], make, "host string, salt bigint, print bigint, found array<struct<key:bigint,text:boolean,n:int>>", rows_at_once=128)
+    return map_texts(rows, ["host", "salt", "html"], make, "host string, salt bigint, print bigint, keys array<bigint>, ns array<int>, elements int", rows_at_once=128)
 
 
 def host_templates(found: DataFrame) -> DataFrame:
     """The tokens of each host's template (host, key, support, vector, pages) from ``page_tokens``, by grouped sums of
     hashes, so a host's pages are never together."""
-    distinct = found.groupBy("host", "print").agg(F.min("found").alias("found"))
-    each = distinct.select("host", "print", F.inline("found"))
+    distinct = found.groupBy("host", "print").agg(F.min(F.struct("keys", "ns", "elements")).alias("x")).select("host", "print", "x.*")
+    each = distinct.select("host", "print", "elements", F.posexplode(F.arrays_zip("keys", "ns")).alias("at", "x"))
+    each = each.select("host", "print", F.col("x.keys").alias("key"), F.col("x.ns").alias("n"), (F.col("at") >= F.col("elements")).alias("text"))
     counted = each.groupBy("host", "key").agg(F.max("text").alias("text"), F.count("*").alias("support"), F.bit_xor(F.xxhash64("print", "n")).alias("vector"), F.bit_xor(F.xxhash64("print")).alias("pages"))
     # the root is a token of every page
     several = distinct.groupBy("host").agg((F.count("*") > 1).alias("several"))
@@ -431,10 +440,11 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     # at most chunks * tasks hosts hold more than the share
     hot = F.broadcast(sizes.filter(F.col("n") > share).select("host", F.ceil(F.col("n") / share).alias("salts")))
     salted = rows.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("id", "url", "html"), F.coalesce("salts", F.lit(1).cast("bigint")))).drop("salts")
-    found, found_at = store(page_tokens(salted))
-    asked = found.select("host", "salt", F.inline("found")).select("host", "salt", "key").distinct()
+    found, found_at = store(page_tokens(salted), compression="zstd")
+    asked = found.select("host", "salt", F.explode("keys").alias("key")).distinct()
     chunk = F.pmod(F.xxhash64("host", "salt"), F.lit(max(1, -(-total // share)))).alias("chunk")
-    told = asked.join(host_templates(found), ["host", "key"]).select(chunk, "host", "key", "support", "vector", "pages")
+    told = cut(asked.join(host_templates(found), ["host", "key"]).select(chunk, "host", "key", "support", "vector", "pages"))
+    drop_stored(spark, found_at)
     dealt = salted.select(chunk, "id", "url", "host", "html")
 
     def texts_of(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -448,6 +458,4 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
         return pa.table({"id": left["id"], "url": left["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
     each = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(texts_of, f"id {kind[id_col]}, url string, text string, n_chars bigint")
-    out = cut(each)
-    drop_stored(spark, found_at)
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+    return each.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
