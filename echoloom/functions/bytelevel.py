@@ -49,16 +49,30 @@ class _Memory(dict):
         return out
 
 
-def decode_tokens(tokens: Column | str) -> Column:
-    """Of an array of raw tokens, the array of their surface texts."""
+def decode_tokens(tokens: Column | str, checked: bool = False) -> Column:
+    """Of an array of raw tokens, the array of their surface texts; ``checked`` gives a struct of that (``value``) and the
+    ``error`` of a row that can't be decoded, which stops nothing."""
 
-    @F.arrow_udf("array<string>")
+    def shown(x, known):
+        return None if x is None else [known[t] for t in x]
+
+    @F.arrow_udf("struct<value:array<string>,error:string>" if checked else "array<string>")
     def run(a: pa.Array) -> pa.Array:
         known = _Memory()
-        return pa.array([None if x is None else [known[t] for t in x] for x in a.to_pylist()], pa.list_(pa.string()))
+        if checked:
+            return pa.array([guarded(shown, x, known) for x in a.to_pylist()], pa.struct([("value", pa.list_(pa.string())), ("error", pa.string())]))
+        return pa.array([shown(x, known) for x in a.to_pylist()], pa.list_(pa.string()))
 
     return run.asNondeterministic()(F.col(tokens) if isinstance(tokens, str) else tokens)  # run once a row, whatever filters on it
 
 
+def guarded(f, *args) -> dict:
+    """The value of a function, or its error's class and message."""
+    try:
+        return {"value": f(*args), "error": None}
+    except Exception as e:  # any row may fail; what it says goes with the row
+        return {"value": None, "error": f"{type(e).__name__}: {e}"[:200]}
+
+
 def decode_token(token: Column | str) -> Column:
     return F.get(decode_tokens(F.array(F.col(token) if isinstance(token, str) else token)), F.lit(0))

@@ -10,7 +10,7 @@ from .operators import balance, features, loss, metrics, reports
 from .operators.pairs import build_pairs, cap_pairs
 from .operators.repetition import with_repetition
 from .operators.tokens import with_decoded
-from .plans.mine import mine
+from .plans.mine import mined
 from .plans.training_data import model_names
 from .queries import _HIT_PARTS, _docs, _events, _logits, _model_names, _pairs, _PAIRS, _toy_pairs, SOURCES, WORD, read
 from .shared import new_path
@@ -71,12 +71,9 @@ def mined_pairs(spark, d):
 
 
 def mined_by_source(spark, d):
-    """Records, loops and pairs of a mining run for each source; failed responses have none."""
-    completions = _completions(spark, d)
-    records, pairs = mine(completions)
-    a = records.groupBy("source").agg(F.count("*").alias("n_texts"), F.count_if(F.col("status") == "loop_detected").alias("n_loops"))
-    b = pairs.groupBy("source").agg(F.count("*").alias("n_pairs"))
-    return a.join(b, "source", "left").select("source", "n_texts", "n_loops", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"))
+    """Records, loops and pairs of a mining run for each source, in one pass; failed responses have none."""
+    rows = mined(_completions(spark, d)).filter(F.col("error").isNull())
+    return rows.groupBy("source").agg(F.count("*").alias("n_texts"), F.count_if(F.col("hit").isNotNull()).alias("n_loops"), F.count_if(F.col("pair").isNotNull()).alias("n_pairs"))
 
 
 def failed_responses(spark, d):
@@ -119,13 +116,13 @@ def _prompt_lines(spark, d):
 
 
 def read_prompts(spark, d):
-    rows = readers.prompts(readers.checked_lines(_prompt_lines(spark, d)), skip=["src1"])
+    rows = readers.prompts(_prompt_lines(spark, d), skip=["src1"])
     prompt = readers.format_prompt(F.col("text"), F.col("chat_messages"), "<{prompt}>")
     return rows.select("source", F.md5(prompt).alias("prompt_md5"), F.coalesce(F.size("chat_messages"), F.lit(0)).alias("n_messages"))
 
 
 def prompts_of_sources(spark, d):
-    rows = readers.prompts(readers.checked_lines(_prompt_lines(spark, d)), source_values=SOURCES)
+    rows = readers.prompts(_prompt_lines(spark, d), source_values=SOURCES)
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count("chat_messages").alias("n_chats"))
 
 

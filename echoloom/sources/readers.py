@@ -46,26 +46,38 @@ def messages_of(field: Column) -> Column:
     return F.when(has("role"), roles).when(has("from"), converted)
 
 
+def messages_in(v: Column, field: str) -> Column:
+    """``messages_of`` a field of a parsed record: its first element tells the form."""
+    path = f"$.{field}"
+    speaker = F.create_map(*[F.lit(x) for kv in SPEAKERS.items() for x in kv])
+    said = F.try_variant_get(v, path, "array<map<string,string>>")
+    converted = F.transform(said, lambda m: F.struct(F.coalesce(F.try_element_at(speaker, F.try_element_at(m, F.lit("from"))), F.lit("user")).alias("role"), F.coalesce(F.try_element_at(m, F.lit("value")), F.lit("")).alias("content")))
+    has = lambda key: F.try_variant_get(v, f"{path}[0].{key}", "variant").isNotNull()
+    return F.when(has("role"), F.try_variant_get(v, path, MESSAGES)).when(has("from"), converted)
+
+
 def prompts(lines: DataFrame, *, prompt_field: str = "conversations", source_field: str | None = "source", source_values: list[str] | None = None, skip: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """text, chat_messages and source of JSON lines; filters come before parsing, the limit last.
+    """text, chat_messages and source of JSON lines; filters come before messages are taken apart, the limit last.
 
-    The limit takes the first lines as they stand in the input; 0 and None are no limit.
+    A line is parsed once, into a VARIANT, from which fields of any form are taken; a malformed line is an error. The
+    limit takes the first lines as they stand in the input; 0 and None are no limit.
     """
-    rows = lines.withColumn("__line", F.monotonically_increasing_id()) if limit else lines
-    rows = rows.withColumn("__field", F.get_json_object("value", f"$.{prompt_field}"))
-    keys = F.json_object_keys("value")
+    rows = non_blank(lines).withColumn("__line", F.monotonically_increasing_id()) if limit else non_blank(lines)
+    # an exploded array of one: filters on what is taken from the record stay above it, so it isn't parsed for them again
+    rows = rows.select(*rows.columns, F.explode(F.array(F.parse_json("value"))).alias("__record"))
+    record = F.col("__record")
     if source_field:
-        given = F.get_json_object("value", f"$.{source_field}")
-        source = F.when(F.array_contains(keys, source_field), F.coalesce(given, F.lit("None"))).otherwise("")
+        there = F.try_variant_get(record, f"$.{source_field}", "variant").isNotNull()  # a JSON null is there
+        source = F.when(there, F.coalesce(F.try_variant_get(record, f"$.{source_field}", "string"), F.lit("None"))).otherwise("")
     else:
         source = F.lit("")
     rows = rows.withColumn("source", source)
     if source_values:
         rows = rows.filter(F.col("source").isin(*source_values))
     rows = rows.filter(~holds_any("source", skip or []))
-    chat = messages_of(F.col("__field"))
-    plain = F.when(F.array_contains(keys, prompt_field), F.coalesce("__field", F.lit("None"))).otherwise("")
-    rows = rows.withColumn("chat_messages", chat)
+    there = F.try_variant_get(record, f"$.{prompt_field}", "variant").isNotNull()
+    plain = F.when(there, F.coalesce(F.try_variant_get(record, f"$.{prompt_field}", "string"), F.lit("None"))).otherwise("")
+    rows = rows.withColumn("chat_messages", messages_in(record, prompt_field))
     if limit:
         rows = rows.orderBy("__line").limit(limit)
     return rows.select(F.when(F.col("chat_messages").isNull(), plain).otherwise("").alias("text"), "chat_messages", "source")
@@ -74,7 +86,7 @@ def prompts(lines: DataFrame, *, prompt_field: str = "conversations", source_fie
 def load_prompts(spark: SparkSession, *, input_jsonl: str | None = None, dataset_path: str | None = None, **options) -> DataFrame:
     """From JSON lines or, without them, from an exported dataset in Parquet."""
     if input_jsonl:
-        return prompts(json_lines(spark, str(input_jsonl)), **options)
+        return prompts(spark.read.text(str(input_jsonl)), **options)
     if dataset_path:
         rows = spark.read.parquet(str(dataset_path))
         return prompts(rows.select(F.to_json(F.struct("*")).alias("value")), **options)
@@ -89,26 +101,33 @@ def format_prompt(text: Column, chat: Column, template: str) -> Column:
     return F.concat(F.lit(before), prompt, F.lit(after))
 
 
+#: The parts of a completion response that are read.
+RESPONSE = "choices array<struct<text:string,logprobs:struct<tokens:array<string>,top_logprobs:array<map<string,double>>>>>"
+
+
 def parse_completions(rows: DataFrame, response: str = "response") -> DataFrame:
     """Adds completion, tokens and alternatives from the JSON of completion responses (first choice), and failed.
 
-    Alternatives keep the order of the response; empty and missing positions are left out. A response that is missing
-    or no JSON object has failed; it stops nothing.
+    A response is parsed once. Its alternatives keep their order, which a VARIANT's fields would not; empty and missing
+    positions are left out. A response that is missing, malformed or no JSON object has failed; it stops nothing.
     """
-    rows = rows.withColumn("failed", F.json_object_keys(response).isNull())
-    choice = "$.choices[0]"
-    has = F.get_json_object(response, f"{choice}.logprobs").isNotNull()
-    tokens = F.from_json(F.get_json_object(response, f"{choice}.logprobs.tokens"), "array<string>")
-    tops = F.from_json(F.get_json_object(response, f"{choice}.logprobs.top_logprobs"), "array<map<string,double>>")
+    names = [c for c in rows.columns]
+    parsed = F.from_json(F.col(response), f"{RESPONSE}, __malformed string", {"columnNameOfCorruptRecord": "__malformed"})
+    rows = rows.withColumn("__parsed", parsed)
+    broken = F.col("__parsed").isNull() | F.col("__parsed.__malformed").isNotNull() | F.startswith(F.ltrim(F.col(response)), F.lit("["))
+    rows = rows.withColumn("failed", broken).withColumn("__choice", F.when(~F.col("failed"), F.get(F.col("__parsed.choices"), F.lit(0))))
 
     def options(m):
         return F.transform(F.map_entries(m), lambda e, k: F.struct(k.alias("ord"), e["key"].alias("tok"), e["value"].alias("lp")))
 
-    every = F.transform(F.coalesce(tops, F.array().cast("array<map<string,double>>")), lambda m, k: F.struct(k.alias("idx"), F.coalesce(options(m), F.array().cast("array<struct<ord:int,tok:string,lp:double>>")).alias("options")))
-    token_list = F.coalesce(F.when(has, tokens), F.array().cast("array<string>"))
-    rows = rows.withColumn("completion", F.when(has, F.lit("")).otherwise(F.coalesce(F.get_json_object(response, f"{choice}.text"), F.lit(""))))
-    rows = rows.withColumn("tokens", token_list)
-    return rows.withColumn("alternatives", F.filter(every, lambda a: (F.size(a["options"]) > 0) & (a["idx"] < F.size("tokens"))))
+    none = F.array().cast("array<map<string,double>>")
+    tops = F.coalesce(F.col("__choice.logprobs.top_logprobs"), none)
+    every = F.transform(tops, lambda m, k: F.struct(k.alias("idx"), F.coalesce(options(m), F.array().cast("array<struct<ord:int,tok:string,lp:double>>")).alias("options")))
+    has = F.col("__choice.logprobs").isNotNull()
+    rows = rows.withColumn("completion", F.when(has, F.lit("")).otherwise(F.coalesce(F.col("__choice.text"), F.lit(""))))
+    rows = rows.withColumn("tokens", F.coalesce(F.col("__choice.logprobs.tokens"), F.array().cast("array<string>")))
+    rows = rows.withColumn("alternatives", F.filter(every, lambda a: (F.size(a["options"]) > 0) & (a["idx"] < F.size("tokens"))))
+    return rows.select(*(F.col(f"`{c}`") for c in names if c not in ("failed", "completion", "tokens", "alternatives")), "failed", "completion", "tokens", "alternatives")
 
 
 def pairs_of(lines: DataFrame) -> DataFrame:

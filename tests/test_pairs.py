@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from echoloom.config import Choice, MiningConfig, parse_config
 from echoloom.functions import bytelevel, scalar
-from echoloom.operators import choose, features, pairs, tokens
+from echoloom.operators import choose, features, pairs, repetition, tokens
 from echoloom.plans.mine import run_mining
 from echoloom.plans.training_data import merged_dir, model_names, prepare, steps
 from echoloom.config import TrainingConfig
@@ -41,7 +41,7 @@ def test_prompts(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.load_prompts(spark)
     path.write_text("{broken")
-    with pytest.raises(Exception, match="malformed"):
+    with pytest.raises(Exception, match="(?i)malformed"):
         readers.load_prompts(spark, input_jsonl=str(path)).collect()
 
 
@@ -104,11 +104,33 @@ def test_mining(spark, tmp_path):
     assert report == {"n_texts": 4, "n_loops": 3, "loop_rate": 75.0, "n_pairs": 1, "n_failed": 0}
     broken = readers.parse_completions(spark.createDataFrame([*rows, ("c", "p5", "{broken"), ("c", "p6", None), ("c", "p7", "[1]")], "source string, prompt string, response string"))
     assert run_mining(broken, str(tmp_path / "run2"), MiningConfig(temperature=1.0)) == {**report, "n_failed": 3}
+    letters = spark.read.json(str(tmp_path / "run2" / "failed")).collect()
+    assert sorted((r["prompt"], r["error_class"]) for r in letters) == [("p5", "MalformedResponse"), ("p6", "MalformedResponse"), ("p7", "MalformedResponse")]
     ready = prepare(readers.read_pairs(spark, str(tmp_path / "run" / "pairs")), lambda: lambda t: [len(w) for w in t.split()] or [0], TrainingConfig(filter_rejected_stop_words=False))
     assert ready.features.count() == 1 and ready.by_source.first()["source_label"] == "__unknown__"
     assert steps(TrainingConfig(num_epochs=2), 17) == 3 and merged_dir("runs/merged", "n") == "runs/n"
 
 
+def test_a_row_that_raises_is_counted_and_the_others_go_on(spark, tmp_path, monkeypatch):
+    """The detector fails on one text and the decoder on another: each is a row of its own among the failed ones."""
+    plain_detect, plain_decode = repetition.detect, bytelevel.decode
+    monkeypatch.setattr(repetition, "detect", lambda t, r: 1 / 0 if t and "poison" in t else plain_detect(t, r))
+
+    def decode(token):
+        if token == "bad":
+            raise KeyError(token)
+        return plain_decode(token)
+
+    monkeypatch.setattr(bytelevel, "decode", decode)
+    rows = [("a", "p1", json.dumps({"choices": [{"text": "poison"}]})), ("a", "p2", response(["bad"], [None])), ("a", "p3", json.dumps({"choices": [{"text": "loop and loop. " * 20}]})), ("b", "p4", "{")]
+    completions = readers.parse_completions(spark.createDataFrame(rows, "source string, prompt string, response string"))
+    report = run_mining(completions, str(tmp_path / "run"), MiningConfig(temperature=1.0))
+    assert report == {"n_texts": 1, "n_loops": 1, "loop_rate": 100.0, "n_pairs": 0, "n_failed": 3}
+    letters = spark.read.json(str(tmp_path / "run" / "failed")).collect()
+    assert sorted((r["prompt"], r["error_class"]) for r in letters) == [("p1", "ZeroDivisionError"), ("p2", "KeyError"), ("p4", "MalformedResponse")]
+    assert [r["prompt"] for r in spark.read.json(str(tmp_path / "run" / "generations")).collect()] == ["p3"]
+
+
 def test_names(spark):
     assert [scalar.format_number(x) for x in (1e-6, 1.5e-5, 0.4, 1e20, 12345678.9)] == ["1e-6", "1.5e-5", "0.4", "1e20", "12345679"]
     assert scalar.format_epochs(2.0) == "2" and scalar.format_epochs(0.5) == "0.5" and scalar.top_counts([]) == "none" and scalar.top_counts([("b", 1), ("a", 1), ("c", 2)], 2) == "c=2, a=1"

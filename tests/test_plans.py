@@ -37,3 +37,17 @@ def test_sampling_reads_the_pairs_three_times(spark, small_dir):
     """Once for the stored counts, before this plan, and twice in it; nothing goes to a single partition."""
     text = plan(core.queries()["regularised_sample"](spark, small_dir))
     assert text.count("documents.parquet") <= 2 and "SinglePartition" not in text
+
+
+def test_mining_decodes_and_detects_once_a_row(spark, small_dir):
+    """One detector, and the decoder once for tokens and once for the options of the place; a response is parsed once."""
+    text = plan(core.queries()["mined_by_source"](spark, small_dir))
+    assert text.count("ArrowEvalPython") == 3 and text.count("FileScan") == 1 and text.count("from_json") == 1 and "get_json_object" not in text
+    assert text.count("run(") == 3
+    text = plan(core.queries()["parse_completions"](spark, small_dir))
+    assert text.count("from_json") == 1 and "get_json_object" not in text and "json_object_keys" not in text
+
+
+def test_prompts_are_parsed_once_into_a_variant(spark, small_dir):
+    text = plan(core.queries()["prompts_of_sources"](spark, small_dir))
+    assert text.count("parseJson") == 1 and "from_json" not in text and "get_json_object" not in text
