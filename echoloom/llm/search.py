@@ -13,8 +13,10 @@ of the blocks between, which are never read. The block is scored for those queri
 thresholds rise at once. The block of the largest bound is scored first, so thresholds are tight from the start.
 Scores are rounded to 9 decimals, so that equal documents tie.
 
-Shards are dealt to a fixed number of ``groups``, each read by one task, which gives k rows a query: the rows of the
-map are queries * k * groups at any size of the table. Queries are taken in hashed blocks of about
+Shards are dealt to groups of ``group_shards``, at least ``groups`` of them, each read by one task, which gives k rows a
+query: tasks grow with the index, and so do the rows of the map, queries * k * groups. They are merged in two levels,
+first the best k of about the square root of the groups, then of all, so no task gets the rows of all groups for a query.
+Queries are taken in hashed blocks of about
 ``queries_at_once`` queries or ``terms_at_once`` terms, whichever gives more blocks; the terms of one block are
 broadcast, which bounds the driver, and a block's queries are dealt in slices over further tasks. Each block is a
 pass over the index.
@@ -26,6 +28,7 @@ with one id the one with the smallest hash of its terms is taken.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -246,7 +249,7 @@ class Walk:
 
 @operator
 def search(
-    docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75, shard_rows: int = 4096, shard_chars: int = 16_000_000, queries_at_once: int = 32_000, terms_at_once: int = 4_000_000, groups: int = 12, side_by_side: int = 256, slice_queries: int = 2048
+    docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75, shard_rows: int = 4096, shard_chars: int = 16_000_000, queries_at_once: int = 32_000, terms_at_once: int = 4_000_000, groups: int = 12, group_shards: int = 8, side_by_side: int = 256, slice_queries: int = 2048
 ) -> DataFrame:
     """The k best documents of each query (id, text; each distinct term counts once): query_id, rank, the found id, score."""
     spark = docs.sparkSession
@@ -254,8 +257,10 @@ def search(
     # rows of megabytes: a row group's size is looked at after each, not first after a hundred
     written = {"parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "4", "parquet.page.size.row.check.min": "1"}
     index, index_at = store(build_index(docs.select(F.coalesce(number, F.lit(_NULL)).alias("id"), F.col(f"`{text_col}`").alias("text")), shard_rows, shard_chars), **written)
-    n, total = index.agg(F.sum("n"), F.sum("total")).first()
+    n, total, shards_there = index.agg(F.sum("n"), F.sum("total"), F.count("*")).first()
     n, total = n or 0, total or 0
+    groups = max(groups, -(-shards_there // group_shards))
+    first_level = math.isqrt(groups) if groups > 12 else 1
 
     def make():
         return lambda x: {"id": x["id"], "terms": [np.unique(_hashes(set(terms_of(t)))) for t in x["text"]]}
@@ -305,6 +310,9 @@ def search(
             shards = index.select("ids", "lengths", "terms", "starts", "place", "count").coalesce(groups)
             some = shards.mapInArrow(run, "query_id bigint, found bigint, score double")
             best = some if best is None else best.unionByName(some)
+        if first_level > 1:  # documents are in one part each, so the best k of the parts' best are those of all
+            part = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "found"))
+            best = best.withColumn("part", F.pmod(F.xxhash64("found"), F.lit(first_level))).withColumn("rank", part).filter(F.col("rank") <= k).drop("part", "rank")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "found"))
         top = cut(best.withColumn("rank", rank).filter(F.col("rank") <= k))
         out = top if out is None else out.unionByName(top)

@@ -314,13 +314,17 @@ def test_search_skips_blocks(spark):
     assert walk.met == 60 * sum(-(-len(r["ids"]) // search.BLOCK) for r in index) and walk.scored < 0.5 * walk.met
 
 
-def test_search_map_rows_are_bounded(spark):
-    """The map gives k rows a query and group, however many shards there are."""
+def test_search_map_rows_are_bounded(spark, monkeypatch):
+    """The map gives k rows a query and group; groups hold a number of shards each, so tasks grow with the index."""
     rows = [(k, f"w{k % 7} x{k % 11} y") for k in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     a = search.search(docs, docs.filter("doc_id % 100 = 0"), k=4, shard_rows=10, groups=3).orderBy("query_id", "rank").collect()
     b = search.search(docs, docs.filter("doc_id % 100 = 0"), k=4, slice_queries=2, side_by_side=1).orderBy("query_id", "rank").collect()
     assert a == b and len(a) == 24
+    tasks, plain = [], search.cut
+    monkeypatch.setattr(search, "cut", lambda df: (tasks.append(df._jdf.queryExecution().executedPlan().toString()), plain(df))[1])
+    c = search.search(docs, docs.filter("doc_id % 100 = 0"), k=4, shard_rows=10, group_shards=2).orderBy("query_id", "rank").collect()
+    assert c == a and "Coalesce 32" in tasks[0] and tasks[0].count("Window [") == 2  # 64 shards in 32 tasks, merged in two levels
 
 
 def test_search_one_query_of_an_id(spark):
