@@ -421,13 +421,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         source_balance_sqrt, filter_cascade, filter_cascade_counts, normal_keys, preference_loss, batch_metrics, median_delta, metric_windows, threshold_stop, plateau_stop, starter_share, top_counter,
         model_name_parse, sanitize_names, layers,
     )
-    from . import queries_joins, queries_mining, queries_streams, queries_tables
+    from . import queries_files, queries_joins, queries_mining, queries_streams, queries_tables
 
-    return {f.__name__: f for f in every} | queries_mining.queries() | queries_joins.queries() | queries_streams.queries() | queries_tables.queries()
+    return {f.__name__: f for f in every} | queries_mining.queries() | queries_joins.queries() | queries_streams.queries() | queries_tables.queries() | queries_files.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import queries_joins, queries_mining, queries_streams, queries_tables
+    from . import queries_files, queries_joins, queries_mining, queries_streams, queries_tables
 
     skipped = " OR ".join(f"contains(lower(source), '{s}')" for s in SKIPPED)
     words = "regexp_extract_all(text, '\\s?\\S+')"
@@ -438,7 +438,7 @@ def oracle_sql() -> dict[str, str]:
     spans = f"(SELECT doc_id, text, len(w) AS nw, w, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS idx FROM (SELECT doc_id, text, {words} AS w FROM documents))"
     ends = f"(SELECT doc_id, text, idx, t, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY idx) AS e FROM {spans})"
     located = f"SELECT d.doc_id, CAST(length(d.text) // 2 AS INTEGER) AS pos, CAST(s.idx AS INTEGER) AS idx FROM documents d {{join}} JOIN {ends} s ON s.doc_id = d.doc_id AND s.e - length(s.t) <= length(d.text) // 2 AND length(d.text) // 2 < s.e"
-    return queries_mining.oracle_sql() | queries_joins.oracle_sql() | queries_streams.oracle_sql() | queries_tables.oracle_sql() | {
+    return queries_mining.oracle_sql() | queries_joins.oracle_sql() | queries_streams.oracle_sql() | queries_tables.oracle_sql() | queries_files.oracle_sql() | {
         "loop_hits": _hits_sql(60, 4),
         "loop_hits_loose": _hits_sql(32, 2),
         "loop_rate_by_source": f"{_FIRST} SELECT d.source, {_RATE} GROUP BY d.source",
