@@ -10,7 +10,9 @@ Draws come from one pool of 65,536 triples; each sample reads the place that its
 term gives, and equal values are decided by the term's hash.
 
 Null texts count as empty. Empty texts have the all-zero fingerprint, alike with each other (1) and with nothing
-else (0). Equal texts have equal fingerprints.
+else (0). Equal texts have equal fingerprints. Very long texts are sampled whole, 512 terms at a time. Rows of one id
+stand in the order of their texts' hashes; the only row of a table is its own next one. An empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations

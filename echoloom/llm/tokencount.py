@@ -5,7 +5,9 @@ list; a heap repeatedly gives the lowest-rank adjacent pair, which is merged. It
 its merges; no identifiers are emitted. Counts of pre-tokens and of words with the space before them are
 remembered in tables of bounded size.
 
-Null texts count as empty: 0 bytes and 0 tokens. Repeated rows are counted each; null ids pass through.
+Null texts count as empty: 0 bytes and 0 tokens. Repeated rows are counted each; null ids pass through. A very long text
+is counted whole, pre-token by pre-token, and a pre-token of n bytes in n log n steps. Of equal ranks the first pair is
+merged. An empty table gives an empty result; only the id and the text are read, whatever other columns are called.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ whose rows differ in their labels, and both terms of a pair whose common rows di
 
 Null and empty texts have no terms and get the score of the intercept. Without labels of both classes every
 score is the share of label 1 (0 without labels). Repeated rows are scored each; a document with several
-labels has the largest.
+labels has the largest. Very long texts are read whole; their terms are a set. An empty table gives an empty result;
+other columns, whatever they are called, are not read. Ties can't arise, as nothing is ranked.
 """
 
 from __future__ import annotations

@@ -151,6 +151,44 @@ def test_machine_is_the_sum_over_pairs():
         assert abs(p - 1 / (1 + math.exp(-z))) < 1e-9
 
 
+def test_fit_is_that_of_plain_loops(monkeypatch):
+    """Adam on the factorization machine's loss, with scores and gradients by loops over all pairs of terms."""
+    rng = np.random.default_rng(3)
+    rows = [np.flatnonzero(rng.random(7) < 0.5) for _ in range(40)]
+    label = np.array([float((0 in r) and (3 in r)) if rng.random() < 0.9 else float(rng.random() < 0.5) for r in rows])
+    ids = np.arange(7)
+    monkeypatch.setattr(toxicity, "select_features", lambda rows, label, most: ids)
+    monkeypatch.setattr(toxicity, "select_pairs", lambda rows, label: np.empty((0, 2), np.int64))
+    steps, rate, decay = 15, 0.05, 2e-4
+    model = toxicity.fit(rows, label, factors=2, steps=steps, rate=rate, decay=decay, seed=5)
+    share = label.mean()
+    p = {"b": math.log(share / (1 - share))} | {("w", i): 0.0 for i in range(7)}
+    first = np.random.default_rng(5).normal(0, 0.05, (7, 2))
+    p |= {("v", i, k): float(first[i, k]) for i in range(7) for k in range(2)}
+
+    def raw(r):
+        pairs = sum(p["v", i, k] * p["v", j, k] for a, i in enumerate(r) for j in r[a + 1 :] for k in range(2))
+        return p["b"] + sum(p["w", i] for i in r) + pairs
+
+    m1, m2 = dict.fromkeys(p, 0.0), dict.fromkeys(p, 0.0)
+    for step in range(1, steps + 1):
+        g = dict.fromkeys(p, 0.0)
+        for r, y in zip(rows, label):
+            e = (1 / (1 + math.exp(-raw(r)))) - y
+            g["b"] += e / len(rows)
+            for i in r:
+                g["w", i] += e / len(rows)
+                for k in range(2):
+                    g["v", i, k] += e * sum(p["v", j, k] for j in r if j != i) / len(rows)
+        for x in p:
+            grad = g[x] + (decay * p[x] if x != "b" else 0)
+            m1[x] += 0.1 * (grad - m1[x])
+            m2[x] += 0.001 * (grad * grad - m2[x])
+            p[x] -= rate * (m1[x] / (1 - 0.9**step)) / (math.sqrt(m2[x] / (1 - 0.999**step)) + 1e-8)
+    want = [1 / (1 + math.exp(-raw(r))) for r in rows]
+    assert np.allclose(model.score([set(r.tolist()) for r in rows]), want, atol=1e-9)
+
+
 def test_gradient_steps_lower_the_loss():
     rng = np.random.default_rng(4)
     rows = [np.array(sorted({*(rng.integers(0, 30, 5)), *([100] if k % 3 == 0 else [])}), np.int64) for k in range(600)]
