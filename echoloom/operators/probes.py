@@ -15,6 +15,9 @@ from .joins import asof_join
 from .repetition import run_around
 
 
+_CHUNK = 1 << 14
+
+
 def _run(text: Column, at: Column, period: Column) -> Column:
     """Start and end of the run of equal chunks around a place."""
 
@@ -33,11 +36,20 @@ def hits_by_joins(texts: DataFrame, id_col: str, text_col: str = "text", r: Repe
     the places only those whose mark is a probe's are sorted.
     """
     rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter((F.length("text") >= r.min_total_repeated) & (F.length("text") > r.sample_len))
-    n = F.length("text")
-    mark = F.substring(F.col("text"), F.col("place") + 1, F.lit(r.sample_len))
-    probes = rows.withColumn("place", F.explode(F.sequence(F.lit(0), n - r.sample_len - 1, F.lit(r.sample_interval)))).select("id", mark.alias("mark"), F.col("place").alias("probe"))
-    places = rows.withColumn("place", F.explode(F.sequence(F.lit(0), n - r.sample_len))).select("id", mark.alias("mark"), "place")
-    places = places.join(probes.select("id", "mark").distinct(), ["id", "mark"], "left_semi")
+    n, size = F.length("text"), r.sample_len
+    # a text's characters are numbered from its beginning, so it is cut in chunks, and marks are taken from a chunk's array
+    begin = F.explode(F.sequence(F.lit(0), n - size, F.lit(_CHUNK))).alias("begin")
+    chunks = rows.select("id", n.alias("n"), "text", begin).select("id", "n", "begin", F.split(F.substring(F.col("text"), F.col("begin") + 1, F.lit(_CHUNK + size - 1)), "").alias("chars"))
+
+    def marks(places: Column) -> DataFrame:
+        each = F.transform(places, lambda k: F.struct((F.col("begin") + k).alias("place"), F.array_join(F.slice("chars", k + 1, F.lit(size)), "").alias("mark")))
+        return chunks.select("id", "n", F.explode(each).alias("x")).select("id", "n", "x.mark", "x.place")
+
+    last = F.size("chars") - size
+    every = F.sequence(F.lit(0), last)
+    first = F.pmod(-F.col("begin"), F.lit(r.sample_interval))
+    probes = marks(F.when(first <= last, F.sequence(first, last, F.lit(r.sample_interval)))).filter(F.col("place") < F.col("n") - size).select("id", "mark", F.col("place").alias("probe"))
+    places = marks(every).select("id", "mark", "place").join(probes.select("id", "mark").distinct(), ["id", "mark"], "left_semi")
     ahead = asof_join(probes.withColumn("from", F.col("probe") + r.sample_len), places, ["id", "mark"], "from", "place", direction="forward", tolerance=r.max_period - r.sample_len, cell=cell)
     behind = asof_join(probes.withColumn("from", F.col("probe") - r.sample_len), places, ["id", "mark"], "from", "place", tolerance=r.max_period - r.sample_len, cell=cell)
     there = F.col("match.place")

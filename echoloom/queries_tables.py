@@ -8,11 +8,11 @@ from .operators import cubes, reports, runs
 from .operators.repetition import record_of, with_repetition
 from .queries import _docs, _FIRST, _pairs, _PAIRS
 
-LONGEST = 64
+LONGEST = 32
 
 
 def loop_runs(spark, d):
-    """Every maximal repetition with a period up to 64 in the documents that the detector finds a loop in."""
+    """Every maximal repetition with a period up to 32 in the documents that the detector finds a loop in."""
     looped = with_repetition(_docs(spark, d).select("doc_id", "text")).filter(F.col("hit").isNotNull()).drop("hit")
     found = runs.with_runs(looped, "text", max_period=LONGEST)
     return found.select("doc_id", "start", "end", "period", "repeats", "unit")
@@ -44,7 +44,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "loop_runs": f"""{_FIRST},
 c AS (SELECT d.doc_id, d.text, length(d.text) AS n FROM looped JOIN documents d USING (doc_id)),
-same AS (SELECT doc_id, p, k FROM (SELECT doc_id, text, n, unnest(range(1, n + 1)) AS k FROM c) t, (SELECT unnest(range(1, {LONGEST + 1})) AS p) q WHERE k + p <= n AND substr(text, k, 1) = substr(text, k + p, 1)),
+ch AS (SELECT doc_id, unnest(x) AS c, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, string_split(text, '') AS x FROM c)),
+later AS (SELECT doc_id, c, k, p, k + p AS k2 FROM ch, (SELECT unnest(range(1, {LONGEST + 1})) AS p) q),
+same AS (SELECT a.doc_id, a.p, a.k FROM later a JOIN ch b ON b.doc_id = a.doc_id AND b.k = a.k2 AND b.c = a.c),
 g AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, p ORDER BY k) AS island FROM same),
 i AS (SELECT doc_id, p, min(k) - 1 AS s, max(k) + p AS e FROM g GROUP BY doc_id, p, island),
 long AS (SELECT * FROM i WHERE e - s >= greatest(4 * p, 60)),
