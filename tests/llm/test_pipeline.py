@@ -1,6 +1,8 @@
 """The pipeline against a plain version of its stages."""
 
+import math
 import random
+from collections import Counter
 
 from echoloom.llm import pii, quality
 from echoloom.llm.queries import KEY
@@ -13,6 +15,50 @@ def make(spark, tmp_path, rows):
     return str(tmp_path)
 
 
+def plain_weights(tokens, entropy=0.9, repeats=2.0):
+    """Tempered shares: the smallest exponent by plain bisection for each aim, and the larger of the two."""
+    total = sum(tokens.values())
+    u = [t / total for t in tokens.values() if t]
+
+    def weights(a):
+        z = sum(x**a for x in u)
+        return [x**a / z for x in u]
+
+    aims = [
+        lambda a: -sum(w * math.log(w) for w in weights(a)) <= entropy * math.log(len(u)) + 1e-12,
+        lambda a: min(u) ** (a - 1) / sum(x**a for x in u) <= repeats * (1 + 1e-12),
+    ]
+    best = 0.0
+    for aim in aims:
+        low, high = 0.0, 1.0
+        if aim(0.0):
+            continue
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (low, middle) if aim(middle) else (middle, high)
+        best = max(best, high)
+    z = sum(x**best for x in u)
+    return {s: (t / total) ** best / z if t else 0.0 for s, t in tokens.items()}
+
+
+def check_mixture(clean, mixed):
+    """Each source has its weight of all words: whole passes, and a last one that is cut where the next document is too long."""
+    words = {i: len((t or "").split()) for i, (t, _) in clean.items()}
+    tokens = Counter()
+    for i, (_, s) in clean.items():
+        tokens[s] += words[i]
+    weight, copies, total = plain_weights(tokens), Counter(mixed), sum(tokens.values())
+    for s, n in tokens.items():
+        mine = [i for i, (_, o) in clean.items() if o == s]
+        quota = weight[s] * total
+        passes = math.floor(quota / n + 1e-9) if n else 1
+        assert all(copies[i] in (passes, passes + 1) for i in mine)
+        extra = [words[i] for i in mine if copies[i] == passes + 1]
+        rest = quota - passes * n
+        assert sum(extra) <= rest + 1e-6 and (rest - sum(extra) < max(words[i] for i in mine) or len(extra) == len(mine))
+    assert set(copies) <= set(clean)
+
+
 def test_stages(spark, tmp_path):
     import corpus_pipeline as c
 
@@ -46,7 +92,7 @@ def test_stages(spark, tmp_path):
             assert {r["doc_id"]: (r["text"], r["source"]) for r in steps.collect()} == clean and "ann.lee7" not in str(clean)
         if name == "mixing":
             mixed = sorted(r["doc_id"] for r in steps.collect())
-            assert set(mixed) <= set(clean)
+            check_mixture(clean, mixed)
     assert sorted(r["doc_id"] for r in steps.collect()) == mixed
     assert sorted(r["doc_id"] for r in c.run(spark, folder).collect()) == mixed
 
