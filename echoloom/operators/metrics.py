@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import drop_path, stored
+
 
 def window_means(log: DataFrame, key: str, step: str, value: str, every: int = 5) -> DataFrame:
     """Per key and run of ``every`` steps (from 1): the mean."""
@@ -59,7 +61,8 @@ def plateau_stop(log: DataFrame, key: str, step: str, value: str, higher: bool =
     order. ``cell_steps`` steps are numbered in one task.
     """
     v = (F.col(value) if higher else -F.col(value)).cast("double")
-    rows = numbered(log.select(key, F.col(step).alias("__step"), v.alias("__v")), [key], F.floor(F.col("__step") / cell_steps), ["__step"], "__place")
+    # numbered once, in a table; it is read for the records and for the steps of stops
+    rows, path = stored(numbered(log.select(key, F.col(step).alias("__step"), v.alias("__v")), [key], F.floor(F.col("__step") / cell_steps), ["__step"], "__place"))
     rising = records(rows, key, "__place", "__v").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("__place").alias("p"), F.col("__v").alias("v")))).alias("xs"))
     zero = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("stop"))
 
@@ -70,7 +73,9 @@ def plateau_stop(log: DataFrame, key: str, step: str, value: str, higher: bool =
 
     ends = rising.select(F.col(key).alias("__key"), F.aggregate("xs", zero, fold, lambda s: F.coalesce(s["stop"], s["at"] + patience)).alias("__stop"))  # a row a key
     there = rows.join(ends, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__place") <= F.col("__stop")), "inner")
-    return there.groupBy(key).agg(F.min(F.when(F.col("__place") == F.col("__stop"), F.col("__step").cast("bigint"))).alias("stop_step"))
+    out, _ = stored(there.groupBy(key).agg(F.min(F.when(F.col("__place") == F.col("__stop"), F.col("__step").cast("bigint"))).alias("stop_step")))
+    drop_path(log.sparkSession, path)
+    return out
 
 
 def estimated_steps(examples: int | Column, epochs: float, batch: int, accumulation: int) -> int | Column:

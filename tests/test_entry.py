@@ -13,8 +13,25 @@ def test_entry(spark, small_dir):
     assert entry.entry(spark).count() > 0
 
 
+#: Why a query has no SQL; each is held by tests against brute force, a library, a round trip or held-out labels.
+NO_SQL = {
+    "op1_toxicity": "a fitted model",
+    "op2_pii": "keyed permutations",
+    "op4_fingerprints": "random draws by hashes",
+    "op5_search": "scores of whole texts against all rows are too slow in SQL",
+    "op6_packing": "dynamic programming over the histogram",
+    "op7_quality": "a fitted model",
+    "op8_html_extraction": "parsing of broken markup",
+    "op9_mixing": "keyed permutations and bisection",
+    "op10_token_counts": "a tokenizer",
+    "op12_importance_resampling": "crc32 of every run of words",
+    "pipeline": "its stages have none",
+}
+
+
 def test_every_query_has_sql_or_a_reason():
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(core.oracle_sql()) <= set(core.queries())
+    there, sql = set(entry.queries()), set(entry.oracle_sql())
+    assert there - sql == there & set(NO_SQL) and sql <= there and set(core.oracle_sql()) == set(core.queries())
 
 
 def _names(folder):
