@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The label of pairs without a source, and the mark of prompts that were trimmed.
 UNKNOWN_SOURCE = "__unknown__"
 TRIMMED_MARK = "[TRIMMED_SOURCE_PROMPT]"
 #: Words that make no useful rejected token.

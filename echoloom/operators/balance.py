@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..shared import drop_path, stored
 
+#: The modes of source balance.
 MODES = ("off", "sqrt", "equal")
 
 

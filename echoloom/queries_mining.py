@@ -13,7 +13,7 @@ from .operators.tokens import with_decoded
 from .plans.mine import mined
 from .plans.training_data import model_names
 from .queries import _HIT_PARTS, _docs, _events, _logits, _model_names, _pairs, _PAIRS, _toy_pairs, SOURCES, WORD, read
-from .shared import new_path
+from .shared import drop_path, new_path, stored
 from .sources import readers
 from .streaming.detect import windowed_rates, write_whole
 
@@ -101,7 +101,10 @@ def stream_rates(spark, d):
     running.awaitTermination()
     written = spark.read.parquet(f"{out}/rates")
     last = written.agg(F.max("batch")).first()[0]
-    return written.filter(F.col("batch") == last).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "n_texts", "n_loops", F.round("loop_rate", 6).alias("loop_rate"))
+    rates = written.filter(F.col("batch") == last).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "n_texts", "n_loops", F.round("loop_rate", 6).alias("loop_rate"))
+    result, _ = stored(rates)
+    drop_path(spark, out)
+    return result
 
 
 # Readers ------------------------------------------------------------------------------------------------------------
@@ -173,7 +176,7 @@ def padded_ids(spark, d):
 
 
 def min_chosen(spark, d):
-    """Rows with enough chosen tokens, then equal parts of the sources."""
+    """Rows with enough chosen tokens; without a cap and a mode all of them stay."""
     chosen = F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, (F.col("doc_id") % 4).cast("int"))
     rows = _docs(spark, d).select("doc_id", "source", F.lit("t").alias("token"), F.when(F.col("doc_id") % 9 != 0, chosen).alias("chosen"))
     return balance.sample_pairs(rows, token="token", source="source", key="doc_id", most=None, strength=0.0, seed=7, chosen="chosen", min_chosen=2).select("doc_id", "source")

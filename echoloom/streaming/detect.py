@@ -20,13 +20,15 @@ def detect_files(spark: SparkSession, path: str, schema: T.StructType | str, tex
 
 
 def windowed_rates(stream: DataFrame, time_col: str, width: str = "10 minutes", late: str = "30 minutes", hit: str = "hit") -> DataFrame:
-    """Loop rates in tumbling windows; rows later than the watermark are left out."""
+    """Loop rates in tumbling windows. Written whole (complete mode) all windows are kept, and late rows counted; to drop
+    closed windows and keep late rows aside, see ``late``."""
     counts = stream.withWatermark(time_col, late).groupBy(F.window(time_col, width).alias("window")).agg(F.count("*").alias("n_texts"), F.count_if(F.col(hit).isNotNull()).alias("n_loops"))
     return counts.withColumn("loop_rate", F.lit(100.0) * F.col("n_loops") / F.greatest("n_texts", F.lit(1)))
 
 
 def write_whole(result: DataFrame, out: str, checkpoint: str):
-    """Writes the whole result of an aggregated stream after each micro-batch, as <out>/batch=<number>."""
+    """Writes the whole result of an aggregated stream after each micro-batch, as <out>/batch=<number>; for results whose
+    groups are few at any length of the stream, as all of them are state."""
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
