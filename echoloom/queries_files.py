@@ -11,6 +11,8 @@ from .queries import _CASCADE, _toy_pairs, word_encoder
 from .queries_mining import _completions, _KIND, _MINED, _prompt_lines
 from .shared import drop_path, new_path, stored
 from .sources import readers
+from .sources.lines import NAME as LINES
+from .sources.lines import register_lines
 
 
 def _kept(frame, out):
@@ -49,13 +51,23 @@ def training_files(spark, d):
     return _kept(spark.read.schema("reason string, n long").json(f"{out}/reports/reasons"), out)
 
 
+def source_lines(spark, d):
+    """Completions written and read through the data source of JSON lines, two of their three columns."""
+    register_lines(spark)
+    out = new_path(spark)
+    _completions(spark, d).select("source", "prompt", "response").write.format(LINES).mode("append").save(out)
+    rows = spark.read.format(LINES).schema("source string, response string").option("split_bytes", 1 << 20).load(out)
+    return _kept(rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("response") == '{"choices": []}').alias("n_without_choices")), out)
+
+
 def queries():
-    return {f.__name__: f for f in (prompt_files, mining_files, training_files)}
+    return {f.__name__: f for f in (prompt_files, mining_files, training_files, source_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "prompt_files": "SELECT source, md5('<' || CASE WHEN doc_id % 3 = 0 THEN 'user: ' || text || chr(10) || 'assistant: ok' ELSE text END || '>') AS prompt_md5, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS n_messages FROM documents WHERE NOT contains(lower(source), 'src1')",
         "mining_files": f"{_MINED}, f AS (SELECT source, count(*) AS n FROM main.documents WHERE {_KIND} = 3 GROUP BY source), m AS (SELECT d.source, count(*) AS n_texts, count(h.doc_id) AS n_loops, count(m.doc_id) AS n_pairs FROM documents d LEFT JOIN looped h USING (doc_id) LEFT JOIN made m USING (doc_id) GROUP BY d.source) SELECT coalesce(m.source, f.source) AS source, coalesce(n_texts, 0) AS n_texts, coalesce(n_loops, 0) AS n_loops, coalesce(n_pairs, 0) AS n_pairs, coalesce(f.n, 0) AS n_failed FROM m FULL JOIN f ON f.source = m.source",
+        "source_lines": f"SELECT source, count(*) AS n, count(*) FILTER ({_KIND} = 1) AS n_without_choices FROM documents GROUP BY source",
         "training_files": f"{_CASCADE} SELECT reason, count(*) AS n FROM r GROUP BY reason",
     }
