@@ -350,3 +350,19 @@ def test_near_duplicate_sql():
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     got = con.execute(queries.oracle_sql()["op3_near_duplicates"]).fetchall()
     assert {i: (n, c) for i, n, c, _ in got} == brute_components(rows, 2) and all(k == (i == c) for i, _, c, k in got)
+
+
+def test_a_packed_index_has_the_same_arrays_in_small_row_groups(spark, monkeypatch):
+    """Arrays pass as bytes, and a reader holds a few shards: row groups of 128 MB were decoded whole, in each task."""
+    rng, kept = random.Random(8), {}
+    rows = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(300)))) for i in range(400)] + [(400, "same " * 70_000), (401, None)], "id long, text string").coalesce(1)
+    plain, packed = (search.build_index(rows, 150, 1 << 30, packed=p).collect() for p in (False, True))
+    assert len(plain) == len(packed) == 3
+    for a, b in zip(plain, packed, strict=True):
+        assert (a["n"], a["total"]) == (b["n"], b["total"])
+        for c in ("ids", "lengths", "terms", "starts", "place", "count"):
+            assert search._unpacked(c, bytes(b[c])).tolist() == a[c], c
+    store = search.store
+    monkeypatch.setattr(search, "store", lambda df, **options: (kept.setdefault("options", options), store(df, **options))[1])
+    search.search(rows, rows.limit(3), id_col="id", k=2)
+    assert int(kept["options"]["parquet.block.size"]) <= 16 << 20
