@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bytelevel import sliced
 from ..functions.scalar import is_stop_word, is_trimmed, let, normal_key
 
 #: A row's chosen tokens are thinned only from this many on, above this percentile of their counts.
@@ -36,7 +37,7 @@ def encoder(encode: Callable[[], Callable[[str], list[int]]]) -> Callable[[Colum
                     known[t] = f(t)
                 return known[t]
 
-            return pa.array([None if x is None else [ids(t or "") for t in x] for x in a.to_pylist()], pa.list_(pa.list_(pa.int64())))
+            return sliced(lambda a: pa.array([None if x is None else [ids(t or "") for t in x] for x in a.to_pylist()], pa.list_(pa.list_(pa.int64()))), a)
 
         return run(texts)
 
