@@ -51,3 +51,30 @@ def test_mining_decodes_and_detects_once_a_row(spark, small_dir):
 def test_prompts_are_parsed_once_into_a_variant(spark, small_dir):
     text = plan(core.queries()["prompts_of_sources"](spark, small_dir))
     assert text.count("parseJson") == 1 and "from_json" not in text and "get_json_object" not in text
+
+
+@pytest.mark.parametrize("name", ["mined_by_source", "mined_pairs"])
+def test_alternatives_wait_in_no_queue(spark, small_dir, name):
+    """Rows are queued for Python with all their columns; alternatives, the widest, are packed before."""
+    above, packs, _ = plan(core.queries()[name](spark, small_dir)).partition("MapInArrow")
+    assert packs and above.count("ArrowEvalPython") == 3 and "alternatives" not in above
+
+
+def test_batches_are_taken_some_rows_at_a_time():
+    import pyarrow as pa
+
+    from echoloom.functions.bytelevel import sliced
+
+    seen = []
+    got = sliced(lambda a: (seen.append(len(a)), pa.array([len(x or []) for x in a.to_pylist()]))[1], pa.array([[1] * (k % 3) if k % 7 else None for k in range(600)]))
+    assert seen == [256, 256, 88] and got.to_pylist() == [k % 3 if k % 7 else 0 for k in range(600)]
+    assert sliced(lambda a: a, pa.array([], pa.string())).to_pylist() == []
+
+
+def test_decoding_of_null_lists_and_tokens(spark):
+    from echoloom.functions.bytelevel import decode_tokens
+
+    rows = [(["Ġa", None, "", "Ġa"],), (None,), ([],), (["Ċ"],)]
+    for checked in (False, True):
+        got = [r[0] for r in spark.createDataFrame(rows, "x array<string>").coalesce(1).select(decode_tokens("x", checked=checked)).collect()]
+        assert [g["value"] if checked else g for g in got] == [[" a", None, "", " a"], None, [], ["\n"]]
