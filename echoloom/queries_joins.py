@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .operators import quantiles, repetition, tokens
 from .operators.joins import asof_join, interval_join
 from .operators.probes import hits_by_joins
-from .queries import _docs, _hits_sql, _HIT_PARTS, _words, read
+from .queries import _docs, _hits_sql, _HIT_PARTS, _words, read, WORD
 
 
 # As-of joins ----------------------------------------------------------------------------------------------------------
@@ -55,8 +55,10 @@ def tokens_at_probes(spark, d):
 
 def loop_tokens(spark, d):
     """Tokens that begin in a loop: spans of all lengths, from a line to a whole document."""
-    hits = repetition.with_repetition(_docs(spark, d).select("doc_id", "text")).filter(F.col("hit").isNotNull()).select("doc_id", F.col("hit.start").alias("start"), F.col("hit.end").alias("end"))
-    starts = tokens.token_spans(_words(spark, d), "doc_id").select("doc_id", "idx", "char_start")
+    found = repetition.with_repetition(_docs(spark, d).select("doc_id", "text")).filter(F.col("hit").isNotNull())
+    hits = found.select("doc_id", F.col("hit.start").alias("start"), F.col("hit.end").alias("end"))
+    words = found.select("doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("decoded"))  # of texts with a loop: no other token can meet one
+    starts = tokens.token_spans(words, "doc_id").select("doc_id", "idx", "char_start")
     met = interval_join(starts, hits, ["doc_id"], "char_start", "start", "end", narrowest=1024)
     return met.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
 
