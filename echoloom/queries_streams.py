@@ -1,6 +1,6 @@
 """The registered queries of streams over several micro-batches, and the same results as DuckDB SQL.
 
-Tables arrive in parts, a file each, one after the other: rows by their time, and some of them one to three parts late.
+Tables arrive in parts, one after the other: rows by their time, and some of them one to three parts late.
 """
 
 from __future__ import annotations
@@ -19,12 +19,15 @@ PARTS = 5
 EVENT_DELAY, DOC_DELAY = timedelta(days=1), timedelta(minutes=30)
 
 
-def _arrive(rows, out):
-    """Writes the parts of (columns, part) in their order, a file each, and returns the stream of them, a file a batch."""
+def _arrive(rows, out, time_col, delay, then=None):
+    """Lets the parts of (columns, part) arrive in their order: each is written, by as many tasks as read it, then split
+    in late rows and others as a batch of its own, and ``then`` goes on with the stream of the others."""
     spark, schema = rows.sparkSession, rows.drop("part").schema
     for k in range(PARTS):
-        rows.filter(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{out}/in/part={k}")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in/part=*")
+        rows.filter(F.col("part") == k).drop("part").write.parquet(f"{out}/in/part={k}")
+        _finished(spark, late.split_late(spark.readStream.schema(schema).parquet(f"{out}/in/part=*"), time_col, delay, f"{out}/split", f"{out}/c1"))
+        if then:
+            _finished(spark, then(late.rows_in_time(spark, f"{out}/split", schema)))
 
 
 def _part(place, key):
@@ -58,11 +61,9 @@ def stream_sessions(spark, d):
     """Sessions of each user's events with six hours between them, of the rows in time, as they were closed."""
     out = new_path(spark)
     rows = _event_rows(spark, d)
-    _finished(spark, late.split_late(_arrive(rows, out), "ts", EVENT_DELAY, f"{out}/split", f"{out}/c1"))
-    kept = late.rows_in_time(spark, f"{out}/split", rows.drop("part").schema, files_at_once=1)
-    counts = late.session_counts(kept, "ts", EVENT_DELAY, F.col("event_type") == "error", "6 hours", ("user_id",))
-    _finished(spark, late.append_closed(counts, f"{out}/closed", f"{out}/c2"))
-    closed = spark.read.schema(counts.schema).parquet(f"{out}/closed")
+    counts = lambda kept: late.session_counts(kept, "ts", EVENT_DELAY, F.col("event_type") == "error", "6 hours", ("user_id",))
+    _arrive(rows, out, "ts", EVENT_DELAY, lambda kept: late.append_closed(counts(kept), f"{out}/closed", f"{out}/c2"))
+    closed = spark.read.schema(counts(rows).schema).parquet(f"{out}/closed")
     return _kept(closed.select("user_id", F.date_format("start", _MINUTE).alias("start"), F.date_format("end", _MINUTE).alias("end"), "n_texts", "n_loops"), out)
 
 
@@ -70,7 +71,7 @@ def stream_late(spark, d):
     """The events that came after the watermark had passed them."""
     out = new_path(spark)
     rows = _event_rows(spark, d)
-    _finished(spark, late.split_late(_arrive(rows, out), "ts", EVENT_DELAY, f"{out}/split", f"{out}/c1"))
+    _arrive(rows, out, "ts", EVENT_DELAY)
     return _kept(late.late_rows(spark, f"{out}/split", rows.drop("part").schema).select("event_id", "batch"), out)
 
 
@@ -79,11 +80,9 @@ def stream_loop_windows(spark, d):
     out = new_path(spark)
     minute = F.col("doc_id") % 400
     rows = _docs(spark, d).select("doc_id", "text", (F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(mins=minute.cast("int"))).alias("ts"), _part(F.floor(minute / 100), F.col("doc_id")).alias("part"))
-    _finished(spark, late.split_late(_arrive(rows, out), "ts", DOC_DELAY, f"{out}/split", f"{out}/c1"))
-    kept = with_repetition(late.rows_in_time(spark, f"{out}/split", rows.drop("part").schema, files_at_once=1))
-    counts = late.window_counts(kept, "ts", DOC_DELAY, F.col("hit").isNotNull(), "60 minutes", "20 minutes")
-    _finished(spark, late.append_closed(counts, f"{out}/closed", f"{out}/c2"))
-    closed = spark.read.schema(counts.schema).parquet(f"{out}/closed")
+    counts = lambda kept: late.window_counts(with_repetition(kept), "ts", DOC_DELAY, F.col("hit").isNotNull(), "60 minutes", "20 minutes")
+    _arrive(rows, out, "ts", DOC_DELAY, lambda kept: late.append_closed(counts(kept), f"{out}/closed", f"{out}/c2"))
+    closed = spark.read.schema(counts(rows).schema).parquet(f"{out}/closed")
     return _kept(closed.select(F.date_format("start", _MINUTE).alias("start"), "n_texts", "n_loops", F.round("loop_rate", 6).alias("loop_rate")), out)
 
 
@@ -91,10 +90,8 @@ def stream_stops(spark, d):
     """The first plateau of each kind of event's values, by state with a timer, of the events in time."""
     out = new_path(spark)
     rows = _event_rows(spark, d)
-    _finished(spark, late.split_late(_arrive(rows, out), "ts", EVENT_DELAY, f"{out}/split", f"{out}/c1"))
-    kept = late.rows_in_time(spark, f"{out}/split", rows.drop("part").schema, files_at_once=1)
-    found = stops.stops(kept, "event_type", "event_id", "value", patience=10, min_delta=5.0, time_col="ts", delay=EVENT_DELAY)
-    _finished(spark, stops.append_stops(found, f"{out}/stops", f"{out}/c2"))
+    found = lambda kept: stops.stops(kept, "event_type", "event_id", "value", patience=10, min_delta=5.0, time_col="ts", delay=EVENT_DELAY)
+    _arrive(rows, out, "ts", EVENT_DELAY, lambda kept: stops.append_stops(found(kept), f"{out}/stops", f"{out}/c2"))
     return _kept(spark.read.schema(stops.STOPS).parquet(f"{out}/stops").select(F.col("key").alias("event_type"), F.col("plateau_step").alias("event_id")), out)
 
 

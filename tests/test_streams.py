@@ -130,3 +130,51 @@ def test_rows_without_a_time_are_late_and_an_empty_stream_gives_nothing(spark, t
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/batch=*")
     assert late.split_late(stream, "ts", dt.timedelta(0), f"{tmp_path}/split", f"{tmp_path}/ck").awaitTermination(60)
     assert [r["id"] for r in late.late_rows(spark, f"{tmp_path}/split", stream.schema).collect()] == [1]
+
+
+def test_parts_are_written_by_many_tasks_and_taken_whole(spark, tmp_path):
+    """One task wrote a whole part; and a part of many files may not be taken in pieces, whose watermark passes the rest."""
+    from echoloom import queries_streams
+
+    rows = spark.range(3000).repartition(3).select("id", (F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(mins=F.floor(F.col("id") / 3).cast("int"))).alias("ts"), F.floor(F.col("id") / 600).cast("int").alias("part"))
+    seen, delay = [], dt.timedelta(minutes=30)
+    queries_streams._arrive(rows, str(tmp_path), "ts", delay, lambda kept: seen.append(kept) or late.append_closed(late.window_counts(kept, "ts", delay, F.lit(True), "20 minutes"), f"{tmp_path}/closed", f"{tmp_path}/c2"))
+    assert len(seen) == 5 and len(list((tmp_path / "in" / "part=0").glob("part-*.parquet"))) == 3
+    assert late.late_rows(spark, f"{tmp_path}/split", spark.range(1).schema).count() == 0
+    closed = spark.read.parquet(f"{tmp_path}/closed").collect()
+    assert len(closed) == 48 and {r["n_texts"] for r in closed} == {60}
+
+
+def test_logs_wait_packed(spark, tmp_path, monkeypatch):
+    """Each waiting log was an entry of the state, written and read one by one."""
+    monkeypatch.setattr(stops, "_TOGETHER", 7)
+    entries = []
+
+    class Store:
+        def __init__(self, *_):
+            self.x = {}
+
+        exists, get, update = (lambda s: "v" in s.x), (lambda s: s.x["v"]), (lambda s, v: s.x.__setitem__("v", v))
+        keys, iterator, removeKey = (lambda s: iter(list(s.x))), (lambda s: iter(list(s.x.items()))), (lambda s, k: s.x.pop(k))
+
+        def updateValue(self, k, v):
+            self.x[k] = v
+            entries.append(k)
+
+    class Handle:
+        timers: set = set()
+        getValueState = getMapState = Store
+        listTimers, registerTimer, deleteTimer = (lambda s: iter(list(s.timers))), (lambda s, t: s.timers.add(t)), (lambda s, t: s.timers.discard(t))
+
+    class Now:
+        getCurrentWatermarkInMs = lambda s: 25
+
+    import pandas as pd
+
+    p = stops._Series(None, 4, 0.0, True, True)
+    p.init(Handle())
+    frame = pd.DataFrame({"step": [*range(40, 0, -1), 12], "at": [*range(40, 0, -1), 12], "value": [1.0] * 40 + [9.0]})
+    assert list(p.handleInputRows(("k",), iter([frame]), None)) == [] and len(entries) == 6 and Handle.timers == {1}
+    got = pd.concat(p.handleExpiredTimer(("k",), Now(), None))
+    assert got["plateau_step"].tolist() == [5] and not p.waiting.x and not Handle.timers
+    assert list(p.handleInputRows(("k",), iter([frame]), None)) == [] and not p.waiting.x
