@@ -7,17 +7,20 @@ to a file of its own beside the table, and a commit renames all of them; a task
 leaves no rows. Files are reached through Arrow's file systems (local, HDFS, S3 and GCS paths).
 
 Blank lines are left out, null fields and missing ones are null, a malformed line is an error that names its file. An empty
-folder has no rows. Options: ``path``, and ``split_bytes``, the size of a range.
+folder has no rows. Options: ``path``, and ``split_bytes``, the size of a range (more in a table of
+more than ``MOST_TASKS`` ranges).
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
@@ -25,6 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 NAME = "echo_lines"
 _PENDING = "_pending"
+#: Tasks of a read at most: of larger tables the ranges grow, since a task of Python costs much before its first line.
+MOST_TASKS = 512
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -53,6 +58,9 @@ def ranges_of(file: str, low: int, high: int, split_bytes: int) -> list[Range]:
     return [Range(file, at, min(high, at + split_bytes)) for at in range(low, high, split_bytes)]
 
 
+_BEYOND = 1 << 15
+
+
 def lines_of(path: str, part: Range, chunk: int = 1 << 20) -> Iterator[bytes]:
     system, _ = file_system(path)
     with system.open_input_file(part.file) as f:
@@ -62,7 +70,9 @@ def lines_of(path: str, part: Range, chunk: int = 1 << 20) -> Iterator[bytes]:
         if skip:  # a line that begins at the edge is this range's if the byte before ends one
             at -= 1
         f.seek(at)
-        while data := f.read(chunk):
+        left = part.high - at
+        while data := f.read(min(chunk, max(left, _BEYOND))):  # no chunk beyond the range for the rest of its last line
+            left -= len(data)
             held += data
             *lines, held = held.split(b"\n")
             for line in lines:
@@ -96,15 +106,27 @@ def rows_of(path: str, part: Range, schema: T.StructType) -> Iterator[tuple]:
             yield row
 
 
+def batches_of(rows: Iterator[tuple], schema: T.StructType, together: int = 128) -> Iterator[pa.RecordBatch]:
+    """Rows of texts as Arrow batches, which pass to the JVM as they are."""
+    names = schema.fieldNames()
+    while some := list(itertools.islice(rows, together)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some, strict=True)] if names else [], names=names)
+
+
 class LineReader(DataSourceReader):
     def __init__(self, path: str, schema: T.StructType, split_bytes: int) -> None:
         self.path, self.schema, self.split_bytes = path, schema, split_bytes
 
     def partitions(self) -> list[Range]:
-        return [r for file, size in files_of(self.path).items() for r in ranges_of(file, 0, size, self.split_bytes)]
-
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return rows_of(self.path, partition, self.schema) if partition is not None else iter(())
+        files = files_of(self.path)
+        split = max(self.split_bytes, -(-sum(files.values()) // MOST_TASKS))
+        return [r for file, size in files.items() for r in ranges_of(file, 0, size, split)]
+
+    def read(self, partition: Range) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
+        if partition is None:
+            return iter(())
+        rows = rows_of(self.path, partition, self.schema)
+        return batches_of(rows, self.schema) if all(isinstance(f.dataType, T.StringType) for f in self.schema) else rows
 
 
 class LineStream(DataSourceStreamReader):

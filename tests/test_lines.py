@@ -57,3 +57,18 @@ def test_blank_and_malformed_lines(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text("{broken\n")
     with pytest.raises(Exception, match="malformed line"):
         spark.read.format(NAME).load(str(tmp_path)).collect()
+
+
+def test_a_large_table_has_a_bounded_number_of_tasks(spark, tmp_path, monkeypatch):
+    """A task a range, 75,000 of them at 75 GB, cost more than the lines."""
+    from pyspark.sql import types as T
+
+    from echoloom.sources import lines
+
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"source": f"s{k}"}) + "\n" for k in range(3000)))
+    schema = T.StructType([T.StructField("source", T.StringType())])
+    reader = lines.LineReader(str(tmp_path), schema, 10)
+    parts = reader.partitions()
+    assert lines.MOST_TASKS >= len(parts) > 400
+    got = [x for p in parts for b in reader.read(p) for x in b.column("source").to_pylist()]
+    assert got == [f"s{k}" for k in range(3000)]
