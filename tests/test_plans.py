@@ -78,3 +78,44 @@ def test_decoding_of_null_lists_and_tokens(spark):
     for checked in (False, True):
         got = [r[0] for r in spark.createDataFrame(rows, "x array<string>").coalesce(1).select(decode_tokens("x", checked=checked)).collect()]
         assert [g["value"] if checked else g for g in got] == [[" a", None, "", " a"], None, [], ["\n"]]
+
+
+@pytest.mark.parametrize("name", ["mined_by_source", "mined_pairs"])
+def test_only_packed_binaries_wait_for_python(spark, small_dir, name):
+    """Neither the response's text nor lists of tokens go beyond the packing, and a text without a loop waits for no place."""
+    above, _, packs = plan(core.queries()[name](spark, small_dir)).partition("MapInArrow")
+    outputs = packs.partition("\n")[0].rpartition("[")[2]
+    assert "response" not in outputs and " tokens#" not in outputs and "doc_id" not in outputs
+    last = above.partition("ArrowEvalPython")[0] + above.partition("ArrowEvalPython")[2].partition("Generate")[0]
+    assert "Generate" in above and "__packed" not in last and " decoded#" not in above
+
+
+def test_packed_rows_are_small_and_whole():
+    import pyarrow as pa
+
+    from echoloom.functions.bytelevel import _Memory
+    from echoloom.operators import pairs
+
+    toks = [["a", "é中", "", None, "b"], None, [], ["x"] * 3, ["", "\U0001f600"]]
+    option = lambda k, t, lp: {"ord": k, "tok": t, "lp": lp}
+    places = [[{"idx": 1, "options": [option(0, "é中", -1.0), option(1, "q", None)]}, {"idx": 4, "options": [option(3, "zé", 0.5), option(1, "", 0.5)]}], None, [], [{"idx": 2, "options": None}, {"idx": 0, "options": []}], [{"idx": 1, "options": [option(0, "u", 2.0)]}]]
+    kind = pa.list_(pa.struct([("idx", pa.int32()), ("options", pairs._ARROW_OPTIONS)]))
+    for first in (0, 2, 3):  # slices too
+        t, a = pa.array(toks, pa.list_(pa.string()))[first:], pa.array(places, kind)[first:]
+        packed = list(zip(t.to_pylist(), a.to_pylist(), pairs._packed_tokens(t).to_pylist(), pairs._packed_places(a).to_pylist(), strict=True))
+        for tokens, alternatives, x, y in packed:
+            assert (x is None) == (not tokens) and (y is None) == (not alternatives)
+            for k in range(len(tokens or [])):
+                got = pairs._place(x, y, k, _Memory())
+                assert got["rejected"] == tokens[k] and got["options"] == next((p["options"] or [] for p in alternatives if p["idx"] == k), [])
+        assert pairs._tokens([x for _, _, x, _ in packed if x]).to_pylist() == [x for x in t.to_pylist() if x]
+    words = [f"word{k * k}" for k in range(2000)]
+    many = pa.array([[{"idx": k, "options": [option(j, w + e, -float(j)) for j, e in enumerate(("", "1", "2", "b"))]} for k, w in enumerate(words)]], kind)
+    assert len(pairs._packed_places(many)[0].as_py()) < 0.15 * many.nbytes  # offsets alone would take more
+
+
+def test_a_memory_of_tokens_stays_small():
+    from echoloom.functions.bytelevel import _Memory
+
+    known = _Memory()
+    assert [known[f"Ġ{k}"] for k in range(100_000)] == [f" {k}" for k in range(100_000)] and len(known) <= 1 << 16
